@@ -78,7 +78,7 @@ def passthrough_q(spark, sf_dir):
     out = jobs.passthrough(embedding_records(spark, sf_dir))
     f = F.split("value", " : ")
     return out.select(_vec_id(), "partition", "offset",
-                      _r6(F.col("ans").cast("double")).alias("x"),
+                      _r6(F.col("ans").cast("float")).alias("x"),
                       F.size(f).alias("n_fields"),
                       (f[0] == F.col("send_time")).alias("key_ok"))
 

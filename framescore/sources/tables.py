@@ -39,7 +39,7 @@ def embedding_records(spark: SparkSession, sf_dir: str, topic: str = TOPIC) -> D
         encode_features("embedding").alias("value"),
         F.lit(topic).alias("topic"),
         (F.col("vec_id") % N_TOPIC_PARTITIONS).cast("int").alias("partition"),
-        F.floor(F.col("vec_id") / N_TOPIC_PARTITIONS).cast("bigint").alias("offset"),
+        F.expr(f"vec_id div {N_TOPIC_PARTITIONS}").cast("bigint").alias("offset"),
         F.timestamp_millis(ms).alias("timestamp"),
         F.lit(0).alias("timestampType"),
     )
@@ -68,5 +68,5 @@ def document_records(spark: SparkSession, sf_dir: str, topic: str = "documents")
         F.encode(F.col("text"), "UTF-8").alias("value"),
         F.lit(topic).alias("topic"),
         (F.col("doc_id") % N_TOPIC_PARTITIONS).cast("int").alias("partition"),
-        F.floor(F.col("doc_id") / N_TOPIC_PARTITIONS).cast("bigint").alias("offset"),
+        F.expr(f"doc_id div {N_TOPIC_PARTITIONS}").cast("bigint").alias("offset"),
     )
