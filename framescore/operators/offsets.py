@@ -9,7 +9,10 @@ counts of the earlier ranges of the same ``p``.  The shift table has at most
 ``#ranges + #topic-partitions`` rows.
 
 The numbered data is checkpointed to the shared checkpoint folder so both
-uses read the same materialised ids, even if an executor is lost.
+uses read the same materialised ids, even if an executor is lost.  The shift
+table is joined back with the join strategy AQE picks from its runtime size
+(broadcast when under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else
+a shuffle join), so no extra pass over the data is spent on sizing it.
 """
 
 from __future__ import annotations
@@ -19,9 +22,6 @@ from pyspark.sql import functions as F
 
 from framescore.session import ensure_checkpoint_dir
 
-# Row bound under which the shift table is broadcast; above it, a shuffle join.
-SHIFT_BROADCAST_ROWS = 1_000_000
-
 
 def assign_offsets(df: DataFrame, partition_col: str, order_cols: list,
                    offset_col: str = "offset", num_ranges: int | None = None) -> DataFrame:
@@ -39,8 +39,6 @@ def assign_offsets(df: DataFrame, partition_col: str, order_cols: list,
               .rowsBetween(Window.unboundedPreceding, -1))
     shift = shift.select(partition_col, "_fs_task", "_fs_first",
                          F.coalesce(F.sum("_fs_n").over(before), F.lit(0)).alias("_fs_base"))
-    if shift.count() <= SHIFT_BROADCAST_ROWS:
-        shift = F.broadcast(shift)
     out = ranged.join(shift, [partition_col, "_fs_task"])
     out = out.withColumn(offset_col,
                          (F.col("_fs_base") + F.col("_fs_rid") - F.col("_fs_first")).cast("bigint"))

@@ -35,6 +35,7 @@ STREAM_DIVISOR = 225.0          # streaming image job
 BATCH_DIVISOR = 255.0           # batch image job
 ICON_SIDE = 8                   # embeddings rendered as 8 x 8 images for IDX files
 START_OFFSET = 10
+CHUNK_BYTES = 65536           # bound on bytes per row in byte-level checks
 FIRST_N = 100
 
 
@@ -101,14 +102,32 @@ def first_byte_signed_q(spark, sf_dir):
     return r.select("doc_id", first_byte_signed("value").alias("b"))
 
 
+def _chunks(df: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """Split each payload into consecutive pieces of at most ``size`` bytes so
+    no single row carries a whole large text through the Python workers.  An
+    empty payload still yields one (empty) piece, so every key is kept."""
+    n = F.coalesce(F.length("value"), F.lit(0))
+    count = F.greatest(F.floor((n + size - 1) / size).cast("int"), F.lit(1))
+    return (df.select(key, "value", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
+              .select(key, "chunk", F.substring("value", F.col("chunk") * size + 1, F.lit(size))
+                      .alias("value")))
+
+
+def _array_sum(c):
+    return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+
+
 def scaled_bytes_q(spark, sf_dir):
-    r = document_records(spark, sf_dir)
-    s = r.select("doc_id", F.length("value").cast("bigint").alias("n"),
-                 scale_bytes("value", STREAM_DIVISOR).alias("a"),
-                 scale_bytes("value", BATCH_DIVISOR).alias("b"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return s.select("doc_id", "n", F.round(total(F.col("a")), 3).alias("sum225"),
-                    F.round(total(F.col("b")), 3).alias("sum255"))
+    r = document_records(spark, sf_dir).select("doc_id", "value")
+    pieces = _chunks(r, CHUNK_BYTES)
+    part = pieces.select("doc_id", F.length("value").cast("bigint").alias("n"),
+                         _array_sum(scale_bytes("value", STREAM_DIVISOR)).alias("a"),
+                         _array_sum(scale_bytes("value", BATCH_DIVISOR)).alias("b"))
+    sums = part.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("a").alias("a"),
+                                      F.sum("b").alias("b"))
+    return sums.select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+                       F.round(F.coalesce("a", F.lit(0.0)), 3).alias("sum225"),
+                       F.round(F.coalesce("b", F.lit(0.0)), 3).alias("sum255"))
 
 
 def event_records_q(spark, sf_dir):
@@ -231,7 +250,7 @@ def stream_replay_q(spark, sf_dir):
     out = shared_path(spark, "stream-out")
     jobs.run_stream(spark, jobs.scored, source="parquet", path=log, topic="stair",
                     outfile=out, available_now=True, model=dense_model(spark, sf_dir),
-                    max_files_per_trigger=1, wait_timeout_s=600)
+                    max_files_per_trigger=2, wait_timeout_s=600)
     f = F.split(F.col("value"), " : ")
     lines = spark.read.text(out)
     return lines.select(
