@@ -131,6 +131,33 @@ class OnnxModel:
         return np.asarray(s.run(outs, {inp: np.asarray(x, dtype=np.float32)})[0])
 
 
+class OnnxFileModel(OnnxModel):
+    """S11 for large artifacts: the model file is shipped once per executor with
+    ``SparkContext.addFile`` and each Python worker opens its local copy."""
+
+    def __init__(self, file_name: str, width: int, classes: int, **kw):
+        super().__init__(b"", width, classes, **kw)
+        self.file_name = file_name
+
+    def _sess(self):
+        if self._session is None:
+            import onnxruntime as ort
+            from pyspark import SparkFiles
+            opts = ort.SessionOptions()
+            opts.intra_op_num_threads = 1
+            self._session = ort.InferenceSession(SparkFiles.get(self.file_name), opts,
+                                                 providers=["CPUExecutionProvider"])
+        return self._session
+
+
+def ship_model_file(spark, path: str, width: int, classes: int, **kw) -> OnnxFileModel:
+    """Register ``path`` with the cluster's file distribution and return a model
+    that loads it on the executors."""
+    import os
+    spark.sparkContext.addFile(path)
+    return OnnxFileModel(os.path.basename(path), width, classes, **kw)
+
+
 def byte_weights(width: int, classes: int) -> np.ndarray:
     """Deterministic integer weights ``((i * (k + 3)) % 17) - 8`` for image tests."""
     i = np.arange(width)[None, :]

@@ -8,6 +8,8 @@ a fresh folder under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,12 @@ from framescore.functions.codec import (decode_features, first_byte_signed, firs
                                         scale_bytes, send_time)
 from framescore.functions.trace import return_topic
 from framescore.operators.evaluate import accuracy
-from framescore.operators.models import DenseSoftmax, LstmSoftmax, byte_weights, fit_centroids
+from framescore.operators.models import (DenseSoftmax, LstmSoftmax, byte_weights, fit_centroids,
+                                         ship_model_file)
+from framescore.operators.onnx_export import dense_to_onnx
 from framescore.operators.scoring import score
 from framescore.plans import jobs
-from framescore.session import shared_path
+from framescore.session import local_fs_path, shared_path
 from framescore.sinks.results import read_results, write_record_log
 from framescore.sources.csv import feature_csv, render_csv_line
 from framescore.sources.idx import idx_images, idx_labels, quantize_pixels, write_idx_pair
@@ -154,6 +158,18 @@ def score_softmax_q(spark, sf_dir):
                     (argmax_label("scores") == F.col("label")).alias("fold_agrees"))
 
 
+def score_onnx_q(spark, sf_dir):
+    """The dense model exported to ONNX, shipped as a file, run by onnxruntime."""
+    dense = dense_model(spark, sf_dir)
+    folder = local_fs_path(shared_path(spark, "model"))
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, "centroids.onnx")
+    with open(path, "wb") as fh:
+        fh.write(dense_to_onnx(dense.weights, dense.bias))
+    model = ship_model_file(spark, path, dense.width, dense.classes)
+    return jobs.scored(embedding_records(spark, sf_dir), model).select(_vec_id(), "label")
+
+
 def score_csv_q(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     path = shared_path(spark, "score-csv")
@@ -285,6 +301,7 @@ QUERIES = {
     "score_dense": score_dense_q,
     "score_softmax": score_softmax_q,
     "score_csv": score_csv_q,
+    "score_onnx": score_onnx_q,
     "accuracy": accuracy_q,
     "score_images": score_images_q,
     "idx_tables": idx_tables_q,

@@ -21,6 +21,7 @@ from framescore.functions.codec import (clock_key, encode_features, first_byte_s
                                         first_feature, float_text, send_time)
 from framescore.functions.trace import return_topic_name, trace_line
 from framescore.operators.evaluate import accuracy
+from framescore.operators.offsets import assign_offsets
 from framescore.operators.rejects import tag_rejects
 from framescore.operators.scoring import score
 from framescore.session import shared_path
@@ -93,12 +94,24 @@ def image_accuracy(spark: SparkSession, path: str, model, divisor: float = 255.0
 
 def publish(df: DataFrame, features: str, topic: str, key=None, partition: str | None = None,
             offset: str | None = None, timestamp: str | None = None) -> DataFrame:
-    """Producer: features -> (key = send-time text, value = float32 payload)."""
+    """Producer: features -> (key = send-time text, value = float32 payload).
+    Partition and offset stay null unless given: a broker assigns them."""
     key_col = clock_key() if key is None else (F.col(key) if isinstance(key, str) else key)
     staged = df.withColumn("_fs_key", key_col).withColumn("_fs_val", encode_features(features))
     return publish_records(staged, "_fs_key", "_fs_val", topic, partition, offset, timestamp)
 
 
+def as_replay_log(records: DataFrame, partitions: int = 4) -> DataFrame:
+    """Assign what a broker would for a replayable log: partition = key hash
+    modulo ``partitions``, offset = dense arrival rank within the partition
+    (arrival = key, then input position)."""
+    staged = (records.withColumn("partition", F.pmod(F.hash("key"), F.lit(partitions)).cast("int"))
+                     .withColumn("_fs_seq", F.monotonically_increasing_id())
+                     .drop("offset"))
+    out = assign_offsets(staged, "partition", ["key", "_fs_seq"])
+    return out.drop("_fs_seq")
+
+
 JOBS = {"passthrough": passthrough, "keyvalue": keyvalue}
 
 

@@ -91,6 +91,7 @@ FROM top JOIN p ON top.vec_id = p.vec_id AND top.label = p.k
 WHERE top.rn = 1
 """,
     "score_csv": _DENSE_LABELS,
+    "score_onnx": _DENSE_LABELS,
     "accuracy": f"""
 WITH pred AS ({_DENSE_LABELS})
 SELECT count(*) AS n,
