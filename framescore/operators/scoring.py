@@ -1,9 +1,11 @@
 """Model scoring on the executors, one Arrow batch at a time.
 
-``score`` is a single ``mapInArrow`` node: the model is broadcast once, each
-Arrow batch becomes one [n, d] matrix (no per-row Python), the model runs on
-the whole matrix, and the winning class follows the P8 rule.  No shuffle; the
-same function runs on batch and streaming DataFrames.
+``score`` is one Arrow UDF in a projection: the model is broadcast once, each
+Arrow batch of the feature column becomes one [n, d] matrix (no per-row
+Python), the model runs on the whole matrix, and the winning class follows the
+P8 rule.  Only the feature column is sent to the Python worker; the other
+columns stay in the JVM.  No shuffle; the same function runs on batch and
+streaming DataFrames.
 
 Input forms (``input=``):
   * ``"floats"``  - ARRAY<FLOAT> column
@@ -25,7 +27,8 @@ import time
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescore.functions.argmax import winning_class
@@ -81,58 +84,80 @@ def _matrix_from_payload(arr, d: int, kind):
     return x, ok
 
 
-def score(df: DataFrame, model, features: str = "features", keep: list | None = None,
-          input="floats", timings: bool = True, with_scores: bool = True) -> DataFrame:
-    """Score ``features`` with ``model``; output = ``keep`` columns + scores,
-    label, prob (+ stage times)."""
-    keep = [c for c in df.columns if c != features] if keep is None else list(keep)
-    spark = df.sparkSession
+_ARROW_TYPES = {T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.float64()}
+
+
+def _arrow_field(f: T.StructField) -> pa.Field:
+    if isinstance(f.dataType, T.ArrayType):
+        return pa.field(f.name, pa.list_(pa.float32()))
+    return pa.field(f.name, _ARROW_TYPES[type(f.dataType)])
+
+
+def score_column(model, features, input="floats", timings: bool = True,
+                 with_scores: bool = True, spark=None) -> Column:
+    """The scorer as one Arrow UDF over the feature column, returning a struct
+    ``(scores, label, prob[, start_ms, tensor_ns, infer_ns, post_ns, end_ms,
+    batch_rows])``.  Only the feature column crosses to Python; every other
+    column of the row stays in the JVM."""
+    from pyspark.sql import SparkSession
+    spark = spark or SparkSession.getActiveSession()
     bmodel = spark.sparkContext.broadcast(model)
     d = int(model.width)
-    in_df = df.select(*keep, features)
-    fields = [in_df.schema[c] for c in keep] + SCORE_FIELDS + (TIMING_FIELDS if timings else [])
-    out_schema = T.StructType(fields)
-    names = [f.name for f in fields]
-    n_keep = len(keep)
+    fields = SCORE_FIELDS + (TIMING_FIELDS if timings else [])
+    out_type = T.StructType(fields)
+    arrow_fields = [_arrow_field(f) for f in fields]
 
-    def run(batches):
+    def run(col: pa.Array) -> pa.Array:
         m = bmodel.value
-        for rb in batches:
-            n = rb.num_rows
-            start_ms = time.time_ns() // 1_000_000
-            t0 = time.perf_counter_ns()
-            col = rb.column(n_keep)
-            if input == "floats":
-                x, ok = _matrix_from_list(col, d)
-            else:
-                x, ok = _matrix_from_payload(col, d, input)
-            t1 = time.perf_counter_ns()
-            s = m.predict(x) if n else np.zeros((0, getattr(m, "classes", 0)))
-            t2 = time.perf_counter_ns()
-            lab = winning_class(s)
-            k = s.shape[1] if s.ndim == 2 else 0
-            prob = s[np.arange(n), lab] if k else np.full(n, np.nan)
-            mask = pa.array(~ok)
-            cols = [rb.column(i) for i in range(n_keep)]
-            if with_scores:
-                offs = pa.array(np.arange(n + 1, dtype=np.int32) * k, type=pa.int32())
-                scores = pa.ListArray.from_arrays(
-                    offs, pa.array(np.asarray(s, dtype=np.float32).reshape(-1)), mask=mask)
-            else:
-                scores = pa.nulls(n, pa.list_(pa.float32()))
-            cols += [scores,
-                     pa.array(lab.astype(np.int32), mask=~ok),
-                     pa.array(prob.astype(np.float64), mask=~ok)]
-            if timings:
-                t3 = time.perf_counter_ns()
-                end_ms = time.time_ns() // 1_000_000
-                per = max(n, 1)
-                cols += [pa.array(np.full(n, start_ms, dtype=np.int64)),
-                         pa.array(np.full(n, (t1 - t0) // per, dtype=np.int64)),
-                         pa.array(np.full(n, (t2 - t1) // per, dtype=np.int64)),
-                         pa.array(np.full(n, (t3 - t2) // per, dtype=np.int64)),
-                         pa.array(np.full(n, end_ms, dtype=np.int64)),
-                         pa.array(np.full(n, n, dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return in_df.mapInArrow(run, out_schema)
+        n = len(col)
+        start_ms = time.time_ns() // 1_000_000
+        t0 = time.perf_counter_ns()
+        if input == "floats":
+            x, ok = _matrix_from_list(col, d)
+        else:
+            x, ok = _matrix_from_payload(col, d, input)
+        t1 = time.perf_counter_ns()
+        s = m.predict(x) if n else np.zeros((0, getattr(m, "classes", 0)))
+        t2 = time.perf_counter_ns()
+        s = np.asarray(s)
+        lab = winning_class(s)
+        k = s.shape[1] if s.ndim == 2 else 0
+        prob = s[np.arange(n), lab] if k else np.full(n, np.nan)
+        bad = ~ok
+        if with_scores:
+            offs = pa.array(np.arange(n + 1, dtype=np.int32) * k, type=pa.int32())
+            scores = pa.ListArray.from_arrays(
+                offs, pa.array(np.asarray(s, dtype=np.float32).reshape(-1)),
+                mask=pa.array(bad))
+        else:
+            scores = pa.nulls(n, pa.list_(pa.float32()))
+        cols = [scores, pa.array(lab.astype(np.int32), mask=bad),
+                pa.array(prob.astype(np.float64), mask=bad)]
+        if timings:
+            t3 = time.perf_counter_ns()
+            end_ms = time.time_ns() // 1_000_000
+            per = max(n, 1)
+            cols += [pa.array(np.full(n, start_ms, dtype=np.int64)),
+                     pa.array(np.full(n, (t1 - t0) // per, dtype=np.int64)),
+                     pa.array(np.full(n, (t2 - t1) // per, dtype=np.int64)),
+                     pa.array(np.full(n, (t3 - t2) // per, dtype=np.int64)),
+                     pa.array(np.full(n, end_ms, dtype=np.int64)),
+                     pa.array(np.full(n, n, dtype=np.int32))]
+        return pa.StructArray.from_arrays(cols, fields=arrow_fields)
+
+    udf = F.arrow_udf(run, out_type)
+    if timings:
+        udf = udf.asNondeterministic()      # reads clocks: never evaluate twice
+    c = F.col(features) if isinstance(features, str) else features
+    return udf(c)
+
+
+def score(df: DataFrame, model, features: str = "features", keep: list | None = None,
+          input="floats", timings: bool = True, with_scores: bool = True) -> DataFrame:
+    """Score ``features`` with ``model``; output = ``keep`` columns (default: all
+    but the features) + scores, label, prob (+ stage times)."""
+    keep = [c for c in df.columns if c != features] if keep is None else list(keep)
+    s = score_column(model, features, input, timings, with_scores, spark=df.sparkSession)
+    names = [f.name for f in SCORE_FIELDS + (TIMING_FIELDS if timings else [])]
+    staged = df.select(*keep, s.alias("_fs_score"))
+    return staged.select(*keep, *[F.col("_fs_score")[n].alias(n) for n in names])
