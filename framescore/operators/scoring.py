@@ -84,6 +84,20 @@ def _matrix_from_payload(arr, d: int, kind):
     return x, ok
 
 
+# Largest pickled model shipped by broadcast; bigger artifacts go through
+# ``models.ship_model_file`` (addFile, loaded from local disk on the executors).
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def _broadcast_model(spark, model):
+    import pickle
+    size = len(pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL))
+    if size > MAX_BROADCAST_BYTES:
+        raise ValueError(f"model pickles to {size} bytes (> {MAX_BROADCAST_BYTES}); "
+                         "ship it as a file with models.ship_model_file")
+    return spark.sparkContext.broadcast(model)
+
+
 _ARROW_TYPES = {T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.float64()}
 
 
@@ -101,7 +115,7 @@ def score_column(model, features, input="floats", timings: bool = True,
     column of the row stays in the JVM."""
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()
-    bmodel = spark.sparkContext.broadcast(model)
+    bmodel = _broadcast_model(spark, model)
     d = int(model.width)
     fields = SCORE_FIELDS + (TIMING_FIELDS if timings else [])
     out_type = T.StructType(fields)

@@ -8,8 +8,6 @@ a fresh folder under the shared checkpoint folder.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +21,7 @@ from framescore.operators.models import (DenseSoftmax, LstmSoftmax, byte_weights
 from framescore.operators.onnx_export import dense_to_onnx
 from framescore.operators.scoring import score
 from framescore.plans import jobs
-from framescore.session import local_fs_path, shared_path
+from framescore.session import shared_path, write_bytes
 from framescore.sinks.results import read_results, write_record_log
 from framescore.sources.csv import feature_csv, render_csv_line
 from framescore.sources.idx import idx_images, idx_labels, quantize_pixels, write_idx_pair
@@ -161,11 +159,8 @@ def score_softmax_q(spark, sf_dir):
 def score_onnx_q(spark, sf_dir):
     """The dense model exported to ONNX, shipped as a file, run by onnxruntime."""
     dense = dense_model(spark, sf_dir)
-    folder = local_fs_path(shared_path(spark, "model"))
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, "centroids.onnx")
-    with open(path, "wb") as fh:
-        fh.write(dense_to_onnx(dense.weights, dense.bias))
+    path = shared_path(spark, "model") + "/centroids.onnx"
+    write_bytes(path, dense_to_onnx(dense.weights, dense.bias))
     model = ship_model_file(spark, path, dense.width, dense.classes)
     return jobs.scored(embedding_records(spark, sf_dir), model).select(_vec_id(), "label")
 

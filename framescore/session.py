@@ -78,4 +78,28 @@ def local_fs_path(path: str) -> str:
 
 
 def makedirs(path: str) -> None:
-    os.makedirs(local_fs_path(path), exist_ok=True)
+    fs, p = _filesystem(path)
+    fs.create_dir(p, recursive=True)
+
+
+def _filesystem(path: str):
+    """pyarrow filesystem + path for a local path or a URI (file, s3, gs, hdfs...)."""
+    import pyarrow.fs as pafs
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    if "://" not in path:
+        path = "file://" + os.path.abspath(path)
+    return pafs.FileSystem.from_uri(path)
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """Write a whole file atomically (temp name, then rename) on any filesystem
+    pyarrow can reach, so a retried task replaces its own output."""
+    fs, p = _filesystem(path)
+    parent = p.rsplit("/", 1)[0]
+    if parent:
+        fs.create_dir(parent, recursive=True)
+    tmp = f"{p}.tmp-{uuid.uuid4().hex[:8]}"
+    with fs.open_output_stream(tmp) as out:
+        out.write(data)
+    fs.move(tmp, p)

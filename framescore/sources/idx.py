@@ -12,8 +12,8 @@ all cores.
 
 ``write_idx_pair`` is the writer side used to derive IDX files from a table:
 one image file and one label file per Spark partition, written by the tasks
-into a shared folder under deterministic names (a retried task rewrites the
-same files atomically).
+through pyarrow's filesystem layer into the shared folder under deterministic
+names (a retried task rewrites the same files atomically).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescore.session import local_fs_path
+from framescore.session import write_bytes
 
 IMAGE_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()),
@@ -143,13 +143,6 @@ def encode_idx(pixels: list, labels: list | None, h: int, w: int):
     return out_img, out_lab
 
 
-def _atomic_write(path: str, data: bytes) -> None:
-    tmp = f"{path}.tmp-{os.getpid()}"
-    with open(tmp, "wb") as fh:
-        fh.write(data)
-    os.replace(tmp, path)
-
-
 def write_idx_pair(df: DataFrame, path: str, pixels: str, label: str, h: int, w: int,
                    order_by: str, rows_per_file: int = 100_000) -> DataFrame:
     """Write ``df`` as paired gzip IDX files, one pair per range of ``order_by``.
@@ -159,7 +152,7 @@ def write_idx_pair(df: DataFrame, path: str, pixels: str, label: str, h: int, w:
     """
     from pyspark import TaskContext
 
-    base = local_fs_path(path)
+    base = path.rstrip("/")
     n_rows = df.count()
     n_files = max(1, -(-n_rows // rows_per_file))
     ranged = (df.select(F.col(order_by), F.col(pixels).alias("pixels"),
@@ -173,11 +166,10 @@ def write_idx_pair(df: DataFrame, path: str, pixels: str, label: str, h: int, w:
             lab.extend(rb.column("label").to_pylist())
         if not pix:
             return
-        os.makedirs(base, exist_ok=True)
         src = f"part-{TaskContext.get().partitionId():05d}"
         img, labs = encode_idx(pix, lab, h, w)
-        _atomic_write(os.path.join(base, src + IMAGE_SUFFIX), img)
-        _atomic_write(os.path.join(base, src + LABEL_SUFFIX), labs)
+        write_bytes(f"{base}/{src}{IMAGE_SUFFIX}", img)
+        write_bytes(f"{base}/{src}{LABEL_SUFFIX}", labs)
         yield pa.RecordBatch.from_arrays([pa.array([src]), pa.array([len(pix)], pa.int64())],
                                          names=["source", "n"])
 

@@ -1,7 +1,6 @@
 """Every registered query against its DuckDB statement on sf0.001 (whole tables)."""
 
 import math
-import os
 
 import duckdb
 import pytest
