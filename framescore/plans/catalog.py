@@ -159,7 +159,8 @@ def score_softmax_q(spark, sf_dir):
 def score_onnx_q(spark, sf_dir):
     """The dense model exported to ONNX, shipped as a file, run by onnxruntime."""
     dense = dense_model(spark, sf_dir)
-    path = shared_path(spark, "model") + "/centroids.onnx"
+    folder = shared_path(spark, "model")
+    path = f"{folder}/{folder.rsplit('/', 1)[-1]}.onnx"      # unique name per shipped file
     write_bytes(path, dense_to_onnx(dense.weights, dense.bias))
     model = ship_model_file(spark, path, dense.width, dense.classes)
     return jobs.scored(embedding_records(spark, sf_dir), model).select(_vec_id(), "label")

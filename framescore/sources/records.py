@@ -32,12 +32,14 @@ PROJECTIONS = {
 
 def kafka_options(topic: str, bootstrap: str, starting_offsets: str | None = None,
                   group_id: str | None = None, max_offsets_per_trigger: int | None = None,
-                  extra: dict | None = None) -> dict:
+                  min_partitions: int | None = None, extra: dict | None = None) -> dict:
     """Reader options for a broker topic.
 
     S6: the consumer group is named after the topic.  S5: ``earliest`` start is
     an option; without it a first run starts at ``latest`` and later runs
-    resume from the query checkpoint.
+    resume from the query checkpoint.  ``min_partitions`` lets Spark cut one
+    hot topic partition into several offset ranges read by separate tasks;
+    ``max_offsets_per_trigger`` bounds a micro-batch.
     """
     opts = {
         "kafka.bootstrap.servers": bootstrap,
@@ -48,6 +50,8 @@ def kafka_options(topic: str, bootstrap: str, starting_offsets: str | None = Non
         opts["startingOffsets"] = starting_offsets
     if max_offsets_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(int(max_offsets_per_trigger))
+    if min_partitions:
+        opts["minPartitions"] = str(int(min_partitions))
     opts.update(extra or {})
     return opts
 
@@ -56,12 +60,14 @@ def record_stream(spark: SparkSession, source: str = "parquet", *, path: str | N
                   topic: str | None = None, bootstrap: str | None = None,
                   starting_offsets: str | None = None, projection: str = "meta",
                   streaming: bool = True, max_files_per_trigger: int | None = None,
-                  max_offsets_per_trigger: int | None = None) -> DataFrame:
+                  max_offsets_per_trigger: int | None = None,
+                  min_partitions: int | None = None) -> DataFrame:
     """Open a record source and project the decoder's columns."""
     reader = spark.readStream if streaming else spark.read
     if source == "kafka":
         df = reader.format("kafka").options(**kafka_options(
-            topic, bootstrap, starting_offsets, max_offsets_per_trigger=max_offsets_per_trigger)).load()
+            topic, bootstrap, starting_offsets, max_offsets_per_trigger=max_offsets_per_trigger,
+            min_partitions=min_partitions)).load()
     else:
         r = reader.schema(RECORD_SCHEMA).format(source)
         if streaming and max_files_per_trigger:

@@ -118,3 +118,21 @@ def test_image_job_bare_labels(spark):
     x = np.array([[1, 2, 3, 4]], dtype=np.float32) / np.float32(225)
     assert got[0]["value"] == str(int(np.argmax(m.predict(x)[0])))
     assert got[1]["label"] is None
+
+
+def test_onnx_query_twice_in_one_session(spark):
+    from __spark_entry__ import queries
+    q = queries()["score_onnx"]
+    a = {tuple(r) for r in q(spark, SF).collect()}
+    b = {tuple(r) for r in q(spark, SF).collect()}
+    assert a == b and len(a) == 500
+
+
+def test_onnx_model_matches_dense(spark):
+    from framescore.operators.models import OnnxModel
+    from framescore.operators.onnx_export import dense_to_onnx
+    w = np.random.default_rng(3).normal(size=(4, 6))
+    x = np.random.default_rng(4).normal(size=(9, 6)).astype(np.float32)
+    dense = DenseSoftmax(w)
+    onnx = OnnxModel(dense_to_onnx(w), 6, 4)
+    assert np.allclose(dense.predict(x), onnx.predict(x), atol=1e-6)

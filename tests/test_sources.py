@@ -84,10 +84,15 @@ def test_idx_write_read_roundtrip(spark, scratch):
 
 
 def test_kafka_option_mapping():
-    o = kafka_options("stair", "h:9092", starting_offsets="earliest", max_offsets_per_trigger=10)
+    o = kafka_options("stair", "h:9092", starting_offsets="earliest", max_offsets_per_trigger=10,
+                      min_partitions=64)
     assert o == {"kafka.bootstrap.servers": "h:9092", "subscribe": "stair",
                  "kafka.group.id": "stair", "startingOffsets": "earliest",
-                 "maxOffsetsPerTrigger": "10"}
+                 "maxOffsetsPerTrigger": "10", "minPartitions": "64"}
+    from framescore.sinks.results import kafka_sink_options
+    assert kafka_sink_options("stair-return", "h:9092", checkpoint="/c") == {
+        "kafka.bootstrap.servers": "h:9092", "topic": "stair-return", "kafka.acks": "all",
+        "checkpointLocation": "/c"}
 
 
 def test_record_replay_projection_and_start(spark, scratch):
