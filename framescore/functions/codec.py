@@ -141,6 +141,41 @@ def scale_bytes(col, divisor: float = 255.0) -> Column:
     return _scale(c)
 
 
+def scaled_sums_arrow(arr: pa.Array, divisors) -> pa.Array:
+    """Per row: byte count and, for each divisor, the float64 sum of the P6
+    float32 values (the same kernel as ``scale_bytes_arrow``)."""
+    _, lengths, _, valid = _binary_parts(arr)
+    n = len(lengths)
+    fields, cols = [pa.field("n", pa.int64())], [pa.array(lengths.astype(np.int64))]
+    starts = np.zeros(n, dtype=np.int64)
+    np.cumsum(lengths[:-1], out=starts[1:])
+    for j, d in enumerate(divisors):
+        flat = scale_bytes_arrow(arr, d)
+        vals = pc.list_flatten(flat).to_numpy(zero_copy_only=False).astype(np.float64)
+        sums = np.zeros(n)
+        nz = lengths > 0
+        if nz.any():
+            sums[nz] = np.add.reduceat(vals, starts[nz])
+        fields.append(pa.field(f"s{j}", pa.float64()))
+        cols.append(pa.array(sums))
+    return pa.StructArray.from_arrays(cols, fields=fields, mask=pa.array(~valid))
+
+
+def scaled_sums(col, divisors=(225.0, 255.0)) -> Column:
+    """P6 check aggregate: ``struct(n, s0, s1, ...)`` per row, reduced on the
+    executors so only a few numbers per row come back from Python."""
+    c = F.col(col) if isinstance(col, str) else col
+    ds = [float(d) for d in divisors]
+    out = T.StructType([T.StructField("n", T.LongType())]
+                       + [T.StructField(f"s{j}", T.DoubleType()) for j in range(len(ds))])
+
+    @F.arrow_udf(out)
+    def _sums(v: pa.Array) -> pa.Array:
+        return scaled_sums_arrow(v, ds)
+
+    return _sums(c)
+
+
 def _word_bits(v: Column, index: int) -> Column:
     word = F.substring(v, FLOAT_BYTES * index + 1, FLOAT_BYTES)
     return F.conv(F.hex(word), 16, 10).cast("bigint")

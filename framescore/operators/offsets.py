@@ -8,8 +8,9 @@ into many Spark partitions, numbered locally with
 counts of the earlier ranges of the same ``p``.  The shift table has at most
 ``#ranges + #topic-partitions`` rows.
 
-The numbered data is checkpointed to the shared checkpoint folder so both
-uses read the same materialised ids, even if an executor is lost.  The shift
+The numbered rows are written once as a parquet table in the shared
+checkpoint folder, so both uses read the same materialised ids even if an
+executor is lost, and the shift aggregation reads only two narrow columns.  The shift
 table is joined back with the join strategy AQE picks from its runtime size
 (broadcast when under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else
 a shuffle join), so no extra pass over the data is spent on sizing it.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framescore.session import ensure_checkpoint_dir
+from framescore.session import ensure_checkpoint_dir, materialize
 
 
 def assign_offsets(df: DataFrame, partition_col: str, order_cols: list,
@@ -31,7 +32,7 @@ def assign_offsets(df: DataFrame, partition_col: str, order_cols: list,
     keys = [partition_col, *order_cols]
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumn("_fs_rid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged, "offsets")
     ranged = ranged.withColumn("_fs_task", F.shiftright("_fs_rid", 33))
     shift = (ranged.groupBy(partition_col, "_fs_task")
                    .agg(F.min("_fs_rid").alias("_fs_first"), F.count(F.lit(1)).alias("_fs_n")))

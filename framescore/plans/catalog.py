@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions.argmax import argmax_label
 from framescore.functions.codec import (decode_features, first_byte_signed, first_feature,
-                                        scale_bytes, send_time)
+                                        scaled_sums, send_time)
 from framescore.functions.trace import return_topic
 from framescore.operators.evaluate import accuracy
 from framescore.operators.models import (DenseSoftmax, LstmSoftmax, byte_weights, fit_centroids,
@@ -115,18 +115,12 @@ def _chunks(df: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
                       .alias("value")))
 
 
-def _array_sum(c):
-    return F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-
-
 def scaled_bytes_q(spark, sf_dir):
     r = document_records(spark, sf_dir).select("doc_id", "value")
     pieces = _chunks(r, CHUNK_BYTES)
-    part = pieces.select("doc_id", F.length("value").cast("bigint").alias("n"),
-                         _array_sum(scale_bytes("value", STREAM_DIVISOR)).alias("a"),
-                         _array_sum(scale_bytes("value", BATCH_DIVISOR)).alias("b"))
-    sums = part.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("a").alias("a"),
-                                      F.sum("b").alias("b"))
+    part = pieces.select("doc_id", scaled_sums("value", (STREAM_DIVISOR, BATCH_DIVISOR)).alias("s"))
+    sums = part.groupBy("doc_id").agg(F.sum("s.n").alias("n"), F.sum("s.s0").alias("a"),
+                                      F.sum("s.s1").alias("b"))
     return sums.select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
                        F.round(F.coalesce("a", F.lit(0.0)), 3).alias("sum225"),
                        F.round(F.coalesce("b", F.lit(0.0)), 3).alias("sum255"))
@@ -228,7 +222,7 @@ def idx_tables_q(spark, sf_dir):
     path = _write_icons(spark, sf_dir)
     imgs = idx_images(spark, path)
     labs = idx_labels(spark, path)
-    px = F.aggregate(scale_bytes("pixels", 1.0), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    px = scaled_sums("pixels", (1.0,))["s0"]
     j = imgs.select("source", "pos", px.alias("ps")).join(labs, ["source", "pos"])
     return j.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
                                   F.sum("ps").cast("bigint").alias("pixel_sum"))

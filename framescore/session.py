@@ -68,6 +68,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/framescore/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a parquet table in the shared folder and
+    reading it back (columnar, so later readers load only the columns they use)."""
+    path = shared_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_fs_path(path: str) -> str:
     """Strip a ``file:`` scheme for code that opens files directly."""
     if path.startswith("file://"):

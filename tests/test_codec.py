@@ -105,3 +105,18 @@ def test_float_text_is_jvm_style(spark):
     df = spark.createDataFrame([(1e-5,), (1e10,), (123456.79,)], "x float")
     got = [r[0] for r in df.select(F.col("x").cast("string")).collect()]
     assert got == ["1.0E-5", "1.0E10", "123456.79"]
+
+
+def test_scaled_sums_match_scaled_arrays():
+    from framescore.functions.codec import scaled_sums_arrow
+    rows = [bytes(range(256)), b"", None, bytes([200] * 1000), b"\x01"]
+    arr = pa.array(rows, type=pa.binary())
+    got = scaled_sums_arrow(arr, [225.0, 255.0]).to_pylist()
+    for r, g in zip(rows, got):
+        if r is None:
+            assert g is None
+            continue
+        assert g["n"] == len(r)
+        for key, d in (("s0", 225.0), ("s1", 255.0)):
+            want = sum(float(np.float32(b) / np.float32(d)) for b in r)
+            assert abs(g[key] - want) < 1e-9
