@@ -169,16 +169,25 @@ def fit_centroids(df: DataFrame, features: str = "embedding", label: str = "labe
                   name: str = "centroids") -> DenseSoftmax:
     """Dense stand-in model: weight row k = mean feature vector of class k.
 
-    One Spark aggregation keyed by (class, position) with map-side partial
-    aggregation; only k x d means reach the driver, after a size check.
+    One pass over the input: a Spark aggregation keyed by (class, position)
+    with map-side partial aggregation.  The k x d result is size-checked on the
+    executors before it is pulled to the driver (persisted meanwhile, so the
+    check and the pull share one computation; lineage is kept).
     """
-    dims = df.agg(F.max(label).alias("k"), F.max(F.size(features)).alias("d")).first()
-    k, d = int(dims["k"]) + 1, int(dims["d"])
-    if k * d > MAX_MODEL_NUMBERS:
-        raise ValueError(f"model of {k} x {d} is too large to ship to the driver")
     means = (df.select(F.col(label).alias("k"), F.posexplode(features).alias("i", "x"))
-               .groupBy("k", "i").agg(F.avg(F.col("x").cast("double")).alias("w")))
-    w = np.zeros((k, d))
-    for r in means.collect():
-        w[r["k"], r["i"]] = r["w"]
+               .groupBy("k", "i").agg(F.avg(F.col("x").cast("double")).alias("w"))
+               .persist())
+    try:
+        dims = means.agg(F.max("k").alias("k"), F.max("i").alias("i"),
+                         F.count(F.lit(1)).alias("n")).first()
+        if not dims["n"]:
+            raise ValueError("no labelled rows to fit")
+        k, d = int(dims["k"]) + 1, int(dims["i"]) + 1
+        if k * d > MAX_MODEL_NUMBERS:
+            raise ValueError(f"model of {k} x {d} is too large to ship to the driver")
+        w = np.zeros((k, d))
+        for r in means.collect():
+            w[r["k"], r["i"]] = r["w"]
+    finally:
+        means.unpersist()
     return DenseSoftmax(w, name=name)

@@ -22,13 +22,13 @@ from framescore.functions.codec import (clock_key, encode_features, first_byte_s
 from framescore.functions.trace import return_topic_name, trace_line
 from framescore.operators.evaluate import accuracy
 from framescore.operators.offsets import assign_offsets
-from framescore.operators.rejects import tag_rejects
+from framescore.operators.rejects import REASON, tag_rejects
 from framescore.operators.scoring import score
 from framescore.session import shared_path
 from framescore.sources.csv import feature_csv
 from framescore.sources.idx import idx_images, idx_labels
 from framescore.sources.records import publish_records, record_stream
-from framescore.streaming.runner import run_to_end, start_stream
+from framescore.streaming.runner import run_to_end, start_stream, trigger_args
 
 
 def _clock_ms():
@@ -120,25 +120,55 @@ def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str |
                timeout_ms: int | None = None, available_now: bool = False,
                checkpoint: str | None = None, model=None, sink_format: str = "text",
                starting_offsets: str | None = None, max_files_per_trigger: int | None = None,
-               wait: bool = True, wait_timeout_s: float | None = None):
+               rejects_path: str | None = None, wait: bool = True,
+               wait_timeout_s: float | None = None):
     """U4 parameters -> a running query.  Results go to ``outfile`` when given,
-    else to the ``<topic>-return`` topic.  Malformed records are dropped from
-    the result stream into nothing but their count in the query progress: use
-    ``tag_rejects`` in a custom job to keep them."""
+    else to the ``<topic>-return`` topic.
+
+    Malformed records (null key or value, payload under 4 bytes, wrong width
+    for the model) never reach the job.  With ``rejects_path`` they are kept:
+    every micro-batch writes its result lines to ``outfile/batch_id=N`` and its
+    rejects ``(partition, offset, reject_reason)`` to ``rejects_path/batch_id=N``,
+    both with overwrite, so a replayed micro-batch replaces its own output."""
     records = record_stream(spark, source, path=path, topic=topic if source == "kafka" else None,
                             bootstrap=bootstrap, starting_offsets=starting_offsets,
                             max_files_per_trigger=max_files_per_trigger, projection="all")
     width = getattr(model, "width", None) if model is not None else None
-    records = tag_rejects(records, width=width).where(F.col("reject_reason").isNull())
+    tagged = tag_rejects(records, width=width)
     fn = JOBS.get(job, job) if isinstance(job, str) else job
-    out = fn(records, model) if model is not None else fn(records)
+
+    def apply(df):
+        good = df.where(F.col(REASON).isNull()).drop(REASON)
+        return fn(good, model) if model is not None else fn(good)
+
     checkpoint = checkpoint or shared_path(spark, f"ckpt-{topic}")
-    if outfile:
+    trig = trigger_args(timeout_ms, available_now)
+    if rejects_path:
+        if not outfile:
+            raise ValueError("rejects_path needs outfile")
+
+        def per_batch(batch: DataFrame, batch_id: int):
+            batch.persist()
+            try:
+                (apply(batch).select("value").write.mode("overwrite")
+                    .text(f"{outfile.rstrip('/')}/batch_id={batch_id}"))
+                (batch.where(F.col(REASON).isNotNull())
+                      .select("topic", "partition", "offset", REASON)
+                      .write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch_id={batch_id}"))
+            finally:
+                batch.unpersist()
+
+        w = tagged.writeStream.option("checkpointLocation", checkpoint)
+        if trig:
+            w = w.trigger(**trig)
+        q = w.foreachBatch(per_batch).start()
+    elif outfile:
+        out = apply(tagged)
         fmt = "text" if sink_format == "text" else sink_format
         data = out.select("value") if fmt == "text" else out
         q = start_stream(data, fmt, checkpoint, path=outfile, timeout_ms=timeout_ms,
                          available_now=available_now)
     else:
-        q = start_stream(out, "kafka", checkpoint, topic=return_topic_name(topic),
+        q = start_stream(apply(tagged), "kafka", checkpoint, topic=return_topic_name(topic),
                          bootstrap=bootstrap, timeout_ms=timeout_ms, available_now=available_now)
     return run_to_end(q, wait_timeout_s) if wait else q

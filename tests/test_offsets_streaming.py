@@ -91,3 +91,24 @@ def test_overwrite_text_sink_is_idempotent(spark, scratch):
     lines = spark.read.text(out)
     assert lines.count() == 500
     assert lines.where(F.size(F.split("value", " : ")) != 7).count() == 0
+
+
+def test_stream_rejects_are_kept_with_reason(spark, scratch):
+    import struct
+    m = fit_centroids(table(spark, SF, "embeddings"), "embedding", "label")
+    log = os.path.join(scratch, "log4")
+    recs = embedding_records(spark, SF)
+    bad = spark.createDataFrame(
+        [(None, struct.pack(">64f", *([0.5] * 64)), 0, 900), (b"1", None, 1, 900),
+         (b"2", b"\x01\x02", 2, 900), (b"3", struct.pack(">3f", 1, 2, 3), 3, 900)],
+        "key binary, value binary, partition int, offset long")
+    bad = bad.selectExpr("key", "value", "'stair' AS topic", "partition", "offset",
+                         "current_timestamp() AS timestamp", "0 AS timestampType")
+    write_record_log(recs.unionByName(bad), log)
+    out, rej = os.path.join(scratch, "out4"), os.path.join(scratch, "rej4")
+    jobs.run_stream(spark, jobs.scored, source="parquet", path=log, outfile=out,
+                    rejects_path=rej, available_now=True, model=m,
+                    checkpoint=os.path.join(scratch, "ck4"), wait_timeout_s=300)
+    assert spark.read.text(out).count() == 500
+    reasons = sorted(r[0] for r in spark.read.parquet(rej).select("reject_reason").collect())
+    assert reasons == ["bad_width", "null_key", "null_value", "short_value"]
