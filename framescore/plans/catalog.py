@@ -38,6 +38,7 @@ BATCH_DIVISOR = 255.0           # batch image job
 ICON_SIDE = 8                   # embeddings rendered as 8 x 8 images for IDX files
 START_OFFSET = 10
 CHUNK_BYTES = 65536           # bound on bytes per row in byte-level checks
+LSTM_PARAMS = dict(steps=8, features=8, hidden=16, classes=10, seed=7)
 FIRST_N = 100
 
 
@@ -180,7 +181,7 @@ def accuracy_q(spark, sf_dir):
 
 
 def score_lstm_q(spark, sf_dir):
-    model = LstmSoftmax.seeded(steps=8, features=8, hidden=16, classes=10, seed=7)
+    model = LstmSoftmax.seeded(**LSTM_PARAMS)
     out = jobs.scored(embedding_records(spark, sf_dir), model)
     return out.select(_vec_id(), "label")
 

@@ -6,6 +6,8 @@ centroid model, integer image weights) from the raw tables; nothing is shared
 with the Spark side but the rules.
 """
 
+import numpy as np
+
 # Centroid model logits per (vec_id, class) from the raw embeddings.
 _DENSE_LOGITS = """
   e AS (SELECT vec_id, label, unnest(embedding) AS x,
@@ -30,6 +32,49 @@ _DOC_BYTES = """
 _ICON_PIXELS = ("list_transform(embedding, lambda x: "
                 "least(greatest(floor((x::DOUBLE + 1.0) * 128), 0), 255))")
 
+def _lit(a) -> str:
+    a = np.asarray(a, dtype=np.float64)
+    if a.ndim == 1:
+        return "[" + ", ".join(repr(float(v)) for v in a) + "]"
+    return "[" + ", ".join(_lit(r) for r in a) + "]"
+
+
+def _sigmoid(e: str) -> str:
+    return f"(1.0 / (1.0 + exp(-({e}))))"
+
+
+def lstm_sql(m) -> str:
+    """The LSTM recurrence as a recursive CTE over time steps, on DOUBLE lists;
+    weights are inlined as literals.  Gate order i, f, g, o."""
+    h, f, steps, k = m.hidden, m.features, m.steps, m.classes
+    gi, gf, go = _sigmoid("z[k+1]"), _sigmoid(f"z[{h}+k+1]"), _sigmoid(f"z[{3 * h}+k+1]")
+    c_new = f"{gf} * c[k+1] + {gi} * tanh(z[{2 * h}+k+1])"
+    return f"""
+WITH RECURSIVE
+w AS (SELECT {_lit(m.w_in)}::DOUBLE[][] AS wi, {_lit(m.w_rec)}::DOUBLE[][] AS wr,
+             {_lit(m.b)}::DOUBLE[] AS b, {_lit(m.w_out)}::DOUBLE[][] AS wo,
+             {_lit(m.b_out)}::DOUBLE[] AS bo),
+run(vec_id, t, emb, h, c) AS (
+  SELECT vec_id, 0, embedding::DOUBLE[], list_transform(range({h}), lambda k: 0.0::DOUBLE),
+         list_transform(range({h}), lambda k: 0.0::DOUBLE)
+  FROM embeddings
+  UNION ALL
+  SELECT vec_id, t + 1, emb,
+         list_transform(range({h}), lambda k: {go} * tanh({c_new})),
+         list_transform(range({h}), lambda k: {c_new})
+  FROM (SELECT r.vec_id, r.t, r.emb, r.h, r.c,
+               list_transform(range({4 * h}), lambda j:
+                   list_inner_product(w.wi[j+1], r.emb[r.t*{f}+1 : r.t*{f}+{f}])
+                   + list_inner_product(w.wr[j+1], r.h) + w.b[j+1]) AS z
+        FROM run r, w WHERE r.t < {steps})
+),
+fin AS (SELECT vec_id,
+               list_transform(range({k}), lambda k: list_inner_product(w.wo[k+1], h) + w.bo[k+1]) AS lg
+        FROM run, w WHERE t = {steps})
+SELECT vec_id, CAST(list_position(lg, list_max(lg)) - 1 AS INTEGER) AS label FROM fin
+"""
+
+
 ORACLE_SQL = {
     "encode_features": """
 SELECT vec_id,
@@ -157,3 +202,12 @@ SELECT vec_id, CAST(1700000000000 + vec_id AS VARCHAR) AS send_time,
 FROM pred ORDER BY "offset", "partition" LIMIT 100
 """,
 }
+
+
+def _with_lstm():
+    from framescore.operators.models import LstmSoftmax
+    from framescore.plans.catalog import LSTM_PARAMS
+    ORACLE_SQL["score_lstm"] = lstm_sql(LstmSoftmax.seeded(**LSTM_PARAMS))
+
+
+_with_lstm()
