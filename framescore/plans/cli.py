@@ -54,6 +54,8 @@ def main(argv=None):
     ap.add_argument("--width", type=int, default=500)
     ap.add_argument("--divisor", type=float, default=225.0)
     ap.add_argument("--partitions", type=int, default=4)
+    ap.add_argument("--timed", action="store_true",
+                    help="passthrough: decode whole payloads and measure decode time")
     a = ap.parse_args(argv)
 
     spark = get_session(app=f"framescore-{a.job}")
@@ -73,7 +75,8 @@ def main(argv=None):
         return
 
     model = _model(spark, a.model)
-    job = {"passthrough": jobs.passthrough, "keyvalue": jobs.keyvalue, "scored": jobs.scored,
+    job = {"passthrough": lambda r: jobs.passthrough(r, timed=a.timed),
+           "keyvalue": jobs.keyvalue, "scored": jobs.scored,
            "images": lambda r, m: jobs.bare_labels(r, m, a.divisor)}[a.job]
     jobs.run_stream(spark, job, source=a.source, path=a.path, topic=a.topic,
                     bootstrap=a.bootstrap, outfile=a.outfile, timeout_ms=a.timeout,

@@ -136,3 +136,12 @@ def test_onnx_model_matches_dense(spark):
     dense = DenseSoftmax(w)
     onnx = OnnxModel(dense_to_onnx(w), 6, 4)
     assert np.allclose(dense.predict(x), onnx.predict(x), atol=1e-6)
+
+
+def test_passthrough_timed_equals_native(spark):
+    recs = embedding_records(spark, SF)
+    native = {(r["partition"], r["offset"]): r["ans"] for r in jobs.passthrough(recs).collect()}
+    timed = jobs.passthrough(recs, timed=True).collect()
+    assert {(r["partition"], r["offset"]): r["ans"] for r in timed} == native
+    assert all(r["decode_ns"] >= 0 and r["end_ms"] >= r["start_ms"] for r in timed)
+    assert all(len(r["value"].split(" : ")) == 7 for r in timed)
