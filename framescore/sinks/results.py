@@ -55,3 +55,20 @@ def read_results(spark: SparkSession, path: str, fmt: str = "parquet", limit: in
     """K5: read a result output back, first ``limit`` rows in record order."""
     df = spark.read.format(fmt).load(path)
     return first_n(df, limit, list(order_by)) if limit else df
+
+
+def return_topic_reader_options(topic: str, bootstrap: str) -> dict:
+    """K5 broker form: batch read of ``<topic>-return`` from the earliest offset."""
+    from framescore.functions.trace import return_topic_name
+    return {"kafka.bootstrap.servers": bootstrap, "subscribe": return_topic_name(topic),
+            "startingOffsets": "earliest", "endingOffsets": "latest"}
+
+
+def read_return_topic(spark: SparkSession, topic: str, bootstrap: str,
+                      limit: int | None = None) -> DataFrame:
+    """K5: result lines with the broker's timestamp (what a console consumer with
+    ``print.timestamp`` captures), first ``limit`` in (offset, partition) order."""
+    df = (spark.read.format("kafka").options(**return_topic_reader_options(topic, bootstrap))
+          .load().select("partition", "offset", "timestamp",
+                         F.col("value").cast("string").alias("value")))
+    return first_n(df, limit, ["offset", "partition"]) if limit else df

@@ -89,7 +89,8 @@ def test_kafka_option_mapping():
     assert o == {"kafka.bootstrap.servers": "h:9092", "subscribe": "stair",
                  "kafka.group.id": "stair", "startingOffsets": "earliest",
                  "maxOffsetsPerTrigger": "10", "minPartitions": "64"}
-    from framescore.sinks.results import kafka_sink_options
+    from framescore.sinks.results import kafka_sink_options, return_topic_reader_options
+    assert return_topic_reader_options("stair", "h:9092")["subscribe"] == "stair-return"
     assert kafka_sink_options("stair-return", "h:9092", checkpoint="/c") == {
         "kafka.bootstrap.servers": "h:9092", "topic": "stair-return", "kafka.acks": "all",
         "checkpointLocation": "/c"}
