@@ -42,3 +42,24 @@ def test_trace_null_field_nulls_line(spark):
                                 "end_ms long, first_byte int")
     assert row.select(trace_line("keyvalue")).first()[0] is None
     assert row.select(return_topic(F.lit("t"))).first()[0] == "t-return"
+
+
+def test_fold_equals_numpy_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    values = st.one_of(st.sampled_from([float("nan"), 0.0, -0.0, 0.5, 0.25]),
+                       st.floats(-2, 2, width=32))
+    rows = []
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(values, min_size=0, max_size=6))
+    def collect(v):
+        rows.append(v)
+
+    collect()
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s array<float>")
+    got = {r[0]: r[1] for r in df.select("i", argmax_label("s")).collect()}
+    for i, r in enumerate(rows):
+        want = winning_class(np.array([r], dtype=np.float32))[0] if r else 0
+        assert got[i] == want, (r, got[i], want)
