@@ -167,11 +167,8 @@ def score_csv_q(spark, sf_dir):
     (e.select(render_csv_line("embedding", "vec_id").alias("value"))
       .write.mode("overwrite").text(path))
     model = dense_model(spark, sf_dir)
-    rows = feature_csv(spark, path, model.width, keep_fields=True)
-    rows = rows.where(F.col("reject_reason").isNull()).select(
-        F.element_at("_fs_fields", model.width + 1).cast("bigint").alias("vec_id"), "features")
-    return score(rows, model, features="features", keep=["vec_id"], timings=False).select(
-        "vec_id", "label")
+    out = jobs.csv_labels(spark, path, model, model.width, key_field=model.width + 1)
+    return out.select(F.col("key").cast("bigint").alias("vec_id"), "label")
 
 
 def accuracy_q(spark, sf_dir):

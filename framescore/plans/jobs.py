@@ -85,11 +85,18 @@ def bare_labels(records: DataFrame, model, divisor: float = 225.0,
     return s.select(*keep, "label", F.col("label").cast("string").alias("value"))
 
 
-def csv_labels(spark: SparkSession, path: str, model, width: int) -> DataFrame:
-    """M5 (+S8): feature CSV -> class per row; rejects keep their reason."""
-    rows = feature_csv(spark, path, width, keep_fields=False)
+def csv_labels(spark: SparkSession, path: str, model, width: int,
+               key_field: int | None = None) -> DataFrame:
+    """M5 (+S8): feature CSV -> class per row.  ``key_field`` (1-based, past the
+    features) names an extra column to carry along as ``key``; rejected rows
+    (short, non-numeric) are left out here and kept by ``feature_csv``."""
+    rows = feature_csv(spark, path, width, keep_fields=key_field is not None)
     good = rows.where(F.col("reject_reason").isNull())
-    return score(good.drop("reject_reason"), model, features="features", timings=False)
+    if key_field is not None:
+        good = good.select(F.element_at("_fs_fields", key_field).alias("key"), "features")
+    else:
+        good = good.select("value", "features")
+    return score(good, model, features="features", timings=False)
 
 
 def image_accuracy(spark: SparkSession, path: str, model, divisor: float = 255.0) -> DataFrame:
