@@ -155,9 +155,13 @@ def write_idx_pair(df: DataFrame, path: str, pixels: str, label: str, h: int, w:
     base = path.rstrip("/")
     n_rows = df.count()
     n_files = max(1, -(-n_rows // rows_per_file))
+    # the sequence number breaks ties, so even a constant order key gives files
+    # of about ``rows_per_file`` rows instead of one file holding every duplicate
     ranged = (df.select(F.col(order_by), F.col(pixels).alias("pixels"),
-                        F.col(label).cast("int").alias("label"))
-              .repartitionByRange(n_files, order_by).sortWithinPartitions(order_by))
+                        F.col(label).cast("int").alias("label"),
+                        F.monotonically_increasing_id().alias("_fs_seq"))
+              .repartitionByRange(n_files, order_by, "_fs_seq")
+              .sortWithinPartitions(order_by, "_fs_seq"))
 
     def write(batches):
         pix, lab = [], []

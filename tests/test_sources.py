@@ -108,3 +108,13 @@ def test_record_replay_projection_and_start(spark, scratch):
     # partition 0 holds offsets 0..124; from 100 on leaves 25, other partitions keep 375
     assert from_offsets(recs, {0: 100}).count() == 400
     assert from_offsets(recs, 120).count() == 4 * 5
+
+
+def test_idx_writer_splits_duplicate_order_keys(spark, scratch):
+    df = spark.range(0, 60).select(F.lit(1).alias("k"),
+                                   F.unhex(F.lit("00010203")).alias("px"),
+                                   F.lit(3).alias("y"))
+    out = os.path.join(scratch, "idx-dup")
+    manifest = write_idx_pair(df, out, "px", "y", 2, 2, "k", rows_per_file=20)
+    sizes = sorted(r["n"] for r in manifest.collect())
+    assert sum(sizes) == 60 and len(sizes) >= 2 and max(sizes) < 60
