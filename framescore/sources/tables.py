@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framescore.functions.codec import encode_features, epoch_millis, send_time_key
+from framescore.functions.codec import encode_features, epoch_millis
 from framescore.operators.offsets import assign_offsets
 
 # Fixed values of the stand-in record logs.
@@ -46,18 +46,24 @@ def embedding_records(spark: SparkSession, sf_dir: str, topic: str = TOPIC) -> D
 
 
 def event_records(spark: SparkSession, sf_dir: str, topic: str = "events") -> DataFrame:
+    """Offsets are assigned on the narrow columns first; the key text and the
+    float32 payload are built afterwards, so neither the range sampling nor the
+    shuffle runs the encoder or moves payload bytes."""
     src = table(spark, sf_dir, "events")
     ntz = isinstance(src.schema["ts"].dataType, T.TimestampNTZType)
-    ev = src.select(
+    narrow = src.select("event_id", epoch_millis("ts", ntz).alias("_fs_ms"), "value",
+                        (F.col("user_id") % N_TOPIC_PARTITIONS).cast("int").alias("partition"))
+    numbered = assign_offsets(narrow, "partition", ["event_id"])
+    return numbered.select(
         "event_id",
-        send_time_key("ts", ntz).alias("key"),
+        F.col("_fs_ms").cast("string").cast("binary").alias("key"),
         encode_features(F.array(F.col("value").cast("float"))).alias("value"),
         F.lit(topic).alias("topic"),
-        (F.col("user_id") % N_TOPIC_PARTITIONS).cast("int").alias("partition"),
-        F.timestamp_millis(epoch_millis("ts", ntz)).alias("timestamp"),
+        "partition",
+        "offset",
+        F.timestamp_millis("_fs_ms").alias("timestamp"),
         F.lit(0).alias("timestampType"),
     )
-    return assign_offsets(ev, "partition", ["event_id"])
 
 
 def document_records(spark: SparkSession, sf_dir: str, topic: str = "documents") -> DataFrame:

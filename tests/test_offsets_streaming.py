@@ -112,3 +112,19 @@ def test_stream_rejects_are_kept_with_reason(spark, scratch):
     assert spark.read.text(out).count() == 500
     reasons = sorted(r[0] for r in spark.read.parquet(rej).select("reject_reason").collect())
     assert reasons == ["bad_width", "null_key", "null_value", "short_value"]
+
+
+def test_processing_time_trigger(spark, scratch):
+    """The latency knob maps to a processing-time trigger."""
+    log = os.path.join(scratch, "log5")
+    write_record_log(embedding_records(spark, SF), log)
+    stream = spark.readStream.schema(spark.read.parquet(log).schema).option(
+        "maxFilesPerTrigger", "1").parquet(log)
+    q = start_stream(jobs.keyvalue(stream, keep=["partition", "offset"]), "memory",
+                     os.path.join(scratch, "ck5"), query_name="kv_mem", timeout_ms=50)
+    try:
+        q.processAllAvailable()
+        rows = spark.sql("SELECT value FROM kv_mem").collect()
+    finally:
+        q.stop()
+    assert len(rows) == 500 and all(len(r[0].split(" ")) == 4 for r in rows)
