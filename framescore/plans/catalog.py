@@ -26,8 +26,8 @@ from framescore.sinks.results import read_results, write_record_log
 from framescore.sources.csv import feature_csv, render_csv_line
 from framescore.sources.idx import idx_images, idx_labels, quantize_pixels, write_idx_pair
 from framescore.sources.records import from_offsets, record_stream
-from framescore.sources.tables import (KEY_BASE_MS, document_records, embedding_records,
-                                       event_records, table)
+from framescore.sources.tables import (KEY_BASE_MS, TOPIC, document_records,
+                                       embedding_records, event_records, table)
 
 # Fixed parameters of the stand-in workloads (see FIXTURES.md).
 IMAGE_SIDE = 28                 # 28 x 28 = 784-byte image frames
@@ -244,7 +244,7 @@ def trace_fields_q(spark, sf_dir):
     out = _scored(spark, sf_dir)
     f = F.split("value", " : ")
     return out.select(
-        _vec_id(), "send_time", return_topic("stair").alias("topic"), "partition", "offset",
+        _vec_id(), "send_time", return_topic(TOPIC).alias("topic"), "partition", "offset",
         "label", F.size(f).alias("n_fields"),
         F.concat_ws(" : ", f[0], f[6], f[7], f[8]).alias("line"))
 
@@ -252,7 +252,7 @@ def trace_fields_q(spark, sf_dir):
 def stream_replay_q(spark, sf_dir):
     log = _record_log(spark, sf_dir)
     out = shared_path(spark, "stream-out")
-    jobs.run_stream(spark, jobs.scored, source="parquet", path=log, topic="stair",
+    jobs.run_stream(spark, jobs.scored, source="parquet", path=log, topic=TOPIC,
                     outfile=out, available_now=True, model=dense_model(spark, sf_dir),
                     max_files_per_trigger=2, wait_timeout_s=600)
     f = F.split(F.col("value"), " : ")

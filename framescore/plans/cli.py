@@ -18,6 +18,7 @@ from __future__ import annotations
 import argparse
 
 from framescore.session import get_session
+from framescore.sources.records import DEFAULT_TOPIC
 
 
 def _model(spark, spec: str | None):
@@ -40,7 +41,7 @@ def _model(spark, spec: str | None):
 def main(argv=None):
     ap = argparse.ArgumentParser(prog="framescore")
     ap.add_argument("job", choices=["passthrough", "keyvalue", "scored", "images", "publish"])
-    ap.add_argument("--topic", default="stair")
+    ap.add_argument("--topic", default=DEFAULT_TOPIC)
     ap.add_argument("--outfile")
     ap.add_argument("--timeout", type=int)
     ap.add_argument("--source", default="kafka", choices=["kafka", "parquet"])

@@ -27,7 +27,7 @@ from framescore.operators.scoring import score
 from framescore.session import shared_path
 from framescore.sources.csv import feature_csv
 from framescore.sources.idx import idx_images, idx_labels
-from framescore.sources.records import publish_records, record_stream
+from framescore.sources.records import DEFAULT_TOPIC, publish_records, record_stream
 from framescore.streaming.runner import run_to_end, start_stream, trigger_args
 
 
@@ -132,7 +132,7 @@ JOBS = {"passthrough": passthrough, "keyvalue": keyvalue}
 
 
 def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str | None = None,
-               topic: str = "stair", bootstrap: str | None = None, outfile: str | None = None,
+               topic: str = DEFAULT_TOPIC, bootstrap: str | None = None, outfile: str | None = None,
                timeout_ms: int | None = None, available_now: bool = False,
                checkpoint: str | None = None, model=None, sink_format: str = "text",
                starting_offsets: str | None = None, max_files_per_trigger: int | None = None,

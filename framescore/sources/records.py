@@ -22,6 +22,9 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("timestampType", T.IntegerType()),
 ])
 
+# Fixed value: the default topic name of the original jobs.
+DEFAULT_TOPIC = "stair"
+
 # Column projections of the reference decoders.
 PROJECTIONS = {
     "meta": ("partition", "offset", "key", "value"),    # S1

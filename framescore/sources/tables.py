@@ -20,11 +20,12 @@ from pyspark.sql import types as T
 
 from framescore.functions.codec import encode_features, epoch_millis
 from framescore.operators.offsets import assign_offsets
+from framescore.sources.records import DEFAULT_TOPIC
 
 # Fixed values of the stand-in record logs.
 KEY_BASE_MS = 1700000000000
 N_TOPIC_PARTITIONS = 4
-TOPIC = "stair"
+TOPIC = DEFAULT_TOPIC
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
