@@ -97,18 +97,43 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-z))
 
 
-class OnnxModel:
-    """An ONNX graph (bytes) evaluated with onnxruntime; the inference session
-    is created lazily once per Python worker and never pickled."""
+def _onnx_session(source):
+    import onnxruntime as ort
+    opts = ort.SessionOptions()
+    opts.intra_op_num_threads = 1
+    return ort.InferenceSession(source, opts, providers=["CPUExecutionProvider"])
+
+
+def _onnx_dims(sess, width, classes):
+    """Width/classes from the graph's static shapes when not given."""
+    ishape = sess.get_inputs()[0].shape
+    oshape = sess.get_outputs()[0].shape
+    if width is None and len(ishape) == 2 and isinstance(ishape[1], int):
+        width = ishape[1]
+    if classes is None and len(oshape) == 2 and isinstance(oshape[1], int):
+        classes = oshape[1]
+    if width is None or classes is None:
+        raise ValueError("model width/classes not given and not fixed in the graph")
+    return int(width), int(classes)
+
 
-    def __init__(self, model_bytes: bytes, width: int, classes: int,
-                 input_name: str | None = None, output_name: str | None = None,
-                 name: str = "onnx"):
+class OnnxModel:
+    """An ONNX graph (bytes) evaluated with onnxruntime.  The graph is loaded
+    once on the driver to fail fast on a bad model; on the executors the
+    inference session is created lazily once per Python worker and is never
+    pickled."""
+
+    def __init__(self, model_bytes: bytes, width: int | None = None,
+                 classes: int | None = None, input_name: str | None = None,
+                 output_name: str | None = None, name: str = "onnx", _validate: bool = True):
         self.model_bytes = model_bytes
-        self.width, self.classes = width, classes
         self.input_name, self.output_name = input_name, output_name
         self.name = name
         self._session = None
+        if _validate:
+            self.width, self.classes = _onnx_dims(_onnx_session(model_bytes), width, classes)
+        else:
+            self.width, self.classes = width, classes
 
     def __getstate__(self):
         st = dict(self.__dict__)
@@ -117,11 +142,7 @@ class OnnxModel:
 
     def _sess(self):
         if self._session is None:
-            import onnxruntime as ort
-            opts = ort.SessionOptions()
-            opts.intra_op_num_threads = 1
-            self._session = ort.InferenceSession(self.model_bytes, opts,
-                                                 providers=["CPUExecutionProvider"])
+            self._session = _onnx_session(self.model_bytes)
         return self._session
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -136,24 +157,25 @@ class OnnxFileModel(OnnxModel):
     ``SparkContext.addFile`` and each Python worker opens its local copy."""
 
     def __init__(self, file_name: str, width: int, classes: int, **kw):
-        super().__init__(b"", width, classes, **kw)
+        super().__init__(b"", width, classes, _validate=False, **kw)
         self.file_name = file_name
 
     def _sess(self):
         if self._session is None:
-            import onnxruntime as ort
             from pyspark import SparkFiles
-            opts = ort.SessionOptions()
-            opts.intra_op_num_threads = 1
-            self._session = ort.InferenceSession(SparkFiles.get(self.file_name), opts,
-                                                 providers=["CPUExecutionProvider"])
+            self._session = _onnx_session(SparkFiles.get(self.file_name))
         return self._session
 
 
-def ship_model_file(spark, path: str, width: int, classes: int, **kw) -> OnnxFileModel:
-    """Register ``path`` with the cluster's file distribution and return a model
-    that loads it on the executors."""
+def ship_model_file(spark, path: str, width: int | None = None, classes: int | None = None,
+                    **kw) -> OnnxFileModel:
+    """Validate the model on the driver (fail fast), register ``path`` with the
+    cluster's file distribution, and return a model that loads it on the
+    executors."""
     import os
+
+    from framescore.session import read_bytes
+    width, classes = _onnx_dims(_onnx_session(read_bytes(path)), width, classes)
     spark.sparkContext.addFile(path)
     return OnnxFileModel(os.path.basename(path), width, classes, **kw)
 

@@ -111,3 +111,9 @@ def write_bytes(path: str, data: bytes) -> None:
     with fs.open_output_stream(tmp) as out:
         out.write(data)
     fs.move(tmp, p)
+
+
+def read_bytes(path: str) -> bytes:
+    fs, p = _filesystem(path)
+    with fs.open_input_stream(p) as inp:
+        return inp.read()

@@ -145,3 +145,21 @@ def test_passthrough_timed_equals_native(spark):
     assert {(r["partition"], r["offset"]): r["ans"] for r in timed} == native
     assert all(r["decode_ns"] >= 0 and r["end_ms"] >= r["start_ms"] for r in timed)
     assert all(len(r["value"].split(" : ")) == 7 for r in timed)
+
+
+def test_onnx_bad_model_fails_on_driver(scratch):
+    import os
+
+    import pytest
+
+    from framescore.operators.models import OnnxModel, ship_model_file
+    from framescore.operators.onnx_export import dense_to_onnx
+    with pytest.raises(Exception):
+        OnnxModel(b"not a model")
+    m = OnnxModel(dense_to_onnx(np.ones((3, 5))))
+    assert (m.width, m.classes) == (5, 3)
+    bad = os.path.join(scratch, "bad.onnx")
+    with open(bad, "wb") as fh:
+        fh.write(b"\x00garbage")
+    with pytest.raises(Exception):
+        ship_model_file(None, bad)
