@@ -40,6 +40,7 @@ START_OFFSET = 10
 CHUNK_BYTES = 65536           # bound on bytes per row in byte-level checks
 LSTM_PARAMS = dict(steps=8, features=8, hidden=16, classes=10, seed=7)
 FIRST_N = 100
+RECORD_LOG_FILE_ROWS = 250      # several files per record log, so replay takes several batches
 
 
 def _vec_id(send_time_col="send_time"):
@@ -236,7 +237,8 @@ def image_accuracy_q(spark, sf_dir):
 
 def _record_log(spark, sf_dir) -> str:
     path = shared_path(spark, "record-log")
-    write_record_log(embedding_records(spark, sf_dir).repartition(4, "partition"), path)
+    write_record_log(embedding_records(spark, sf_dir), path,
+                     max_records_per_file=RECORD_LOG_FILE_ROWS)
     return path
 
 

@@ -31,9 +31,13 @@ def write_text(df: DataFrame, path: str, col: str = "value") -> None:
     df.select(F.col(col).cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def write_record_log(df: DataFrame, path: str, partition_by_topic: bool = False) -> None:
-    """K3 replay form: records with the broker's schema as parquet."""
+def write_record_log(df: DataFrame, path: str, partition_by_topic: bool = False,
+                     max_records_per_file: int | None = None) -> None:
+    """K3 replay form: records with the broker's schema as parquet.  Files are
+    split by ``max_records_per_file`` inside each task (no shuffle)."""
     w = df.select(*[F.col(f.name).cast(f.dataType) for f in RECORD_SCHEMA.fields]).write.mode("overwrite")
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", str(int(max_records_per_file)))
     if partition_by_topic:
         w = w.partitionBy("topic")
     w.parquet(path)
