@@ -40,6 +40,7 @@ START_OFFSET = 10
 CHUNK_BYTES = 65536           # bound on bytes per row in byte-level checks
 LSTM_PARAMS = dict(steps=8, features=8, hidden=16, classes=10, seed=7)
 FIRST_N = 100
+IDX_FILE_ROWS = 256             # images per IDX file pair
 RECORD_LOG_FILE_ROWS = 250      # several files per record log, so replay takes several batches
 
 
@@ -213,7 +214,8 @@ def _write_icons(spark, sf_dir) -> str:
     e = table(spark, sf_dir, "embeddings")
     path = shared_path(spark, "idx")
     write_idx_pair(e.select("vec_id", quantize_pixels("embedding").alias("pixels"), "label"),
-                   path, "pixels", "label", ICON_SIDE, ICON_SIDE, "vec_id", rows_per_file=256)
+                   path, "pixels", "label", ICON_SIDE, ICON_SIDE, order_by="vec_id",
+                   rows_per_file=IDX_FILE_ROWS)
     return path
 
 

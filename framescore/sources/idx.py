@@ -11,9 +11,9 @@ unit of work; many files scan in parallel).  Rows come out in Arrow batches of
 all cores.
 
 ``write_idx_pair`` is the writer side used to derive IDX files from a table:
-one image file and one label file per Spark partition, written by the tasks
-through pyarrow's filesystem layer into the shared folder under deterministic
-names (a retried task rewrites the same files atomically).
+each task writes its own rows as image/label file pairs of bounded size
+through pyarrow's filesystem layer into the shared folder, under names fixed
+by (partition, chunk), so a retried task rewrites the same files atomically.
 """
 
 from __future__ import annotations
@@ -144,42 +144,54 @@ def encode_idx(pixels: list, labels: list | None, h: int, w: int):
 
 
 def write_idx_pair(df: DataFrame, path: str, pixels: str, label: str, h: int, w: int,
-                   order_by: str, rows_per_file: int = 100_000) -> DataFrame:
-    """Write ``df`` as paired gzip IDX files, one pair per range of ``order_by``.
-
-    Returns the manifest ``(source, n)`` as a DataFrame (one row per file pair)
-    after writing it next to the files, so nothing passes through the driver.
+                   order_by: str | None = None, rows_per_file: int = 100_000) -> DataFrame:
+    """Write ``df`` as paired gzip IDX files without a shuffle.
+
+    Every task writes its own input partition, ``rows_per_file`` rows per file
+    pair (``part-<partition>-<chunk>``), so memory per task is bounded and a
+    huge or skewed input never meets in one task.  ``order_by`` sorts rows
+    within each task first (no shuffle), making the positions deterministic.
+    Returns the manifest ``(source, n)`` after writing it next to the files,
+    so nothing passes through the driver.
     """
     from pyspark import TaskContext
 
     base = path.rstrip("/")
-    n_rows = df.count()
-    n_files = max(1, -(-n_rows // rows_per_file))
-    # the sequence number breaks ties, so even a constant order key gives files
-    # of about ``rows_per_file`` rows instead of one file holding every duplicate
-    ranged = (df.select(F.col(order_by), F.col(pixels).alias("pixels"),
-                        F.col(label).cast("int").alias("label"),
-                        F.monotonically_increasing_id().alias("_fs_seq"))
-              .repartitionByRange(n_files, order_by, "_fs_seq")
-              .sortWithinPartitions(order_by, "_fs_seq"))
+    staged = df.select(F.col(pixels).alias("pixels"), F.col(label).cast("int").alias("label"),
+                       *([F.col(order_by).alias("_fs_order")] if order_by else []))
+    if order_by:
+        staged = staged.sortWithinPartitions("_fs_order")
 
     def write(batches):
-        pix, lab = [], []
+        pid = TaskContext.get().partitionId()
+        pix, lab, chunk = [], [], 0
+
+        def flush():
+            src = f"part-{pid:05d}-{chunk:05d}"
+            img, labs = encode_idx(pix, lab, h, w)
+            write_bytes(f"{base}/{src}{IMAGE_SUFFIX}", img)
+            write_bytes(f"{base}/{src}{LABEL_SUFFIX}", labs)
+            return pa.RecordBatch.from_arrays([pa.array([src]), pa.array([len(pix)], pa.int64())],
+                                              names=["source", "n"])
+
         for rb in batches:
-            pix.extend(rb.column("pixels").to_pylist())
-            lab.extend(rb.column("label").to_pylist())
-        if not pix:
-            return
-        src = f"part-{TaskContext.get().partitionId():05d}"
-        img, labs = encode_idx(pix, lab, h, w)
-        write_bytes(f"{base}/{src}{IMAGE_SUFFIX}", img)
-        write_bytes(f"{base}/{src}{LABEL_SUFFIX}", labs)
-        yield pa.RecordBatch.from_arrays([pa.array([src]), pa.array([len(pix)], pa.int64())],
-                                         names=["source", "n"])
-
-    manifest = ranged.mapInArrow(write, "source string, n bigint")
-    manifest.write.mode("overwrite").parquet(path.rstrip("/") + "/_manifest")
-    return df.sparkSession.read.parquet(path.rstrip("/") + "/_manifest")
+            p_col, l_col = rb.column("pixels").to_pylist(), rb.column("label").to_pylist()
+            j = 0
+            while j < len(p_col):
+                take = min(rows_per_file - len(pix), len(p_col) - j)
+                pix.extend(p_col[j:j + take])
+                lab.extend(l_col[j:j + take])
+                j += take
+                if len(pix) == rows_per_file:
+                    yield flush()
+                    chunk += 1
+                    pix, lab = [], []
+        if pix:
+            yield flush()
+
+    manifest = staged.mapInArrow(write, "source string, n bigint")
+    manifest.write.mode("overwrite").parquet(base + "/_manifest")
+    return df.sparkSession.read.parquet(base + "/_manifest")
 
 
 def quantize_pixels(features, offset: float = 1.0, scale: float = 128.0) -> "F.Column":

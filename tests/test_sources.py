@@ -110,11 +110,12 @@ def test_record_replay_projection_and_start(spark, scratch):
     assert from_offsets(recs, 120).count() == 4 * 5
 
 
-def test_idx_writer_splits_duplicate_order_keys(spark, scratch):
-    df = spark.range(0, 60).select(F.lit(1).alias("k"),
-                                   F.unhex(F.lit("00010203")).alias("px"),
-                                   F.lit(3).alias("y"))
+def test_idx_writer_bounded_files_without_shuffle(spark, scratch):
+    df = spark.range(0, 61, numPartitions=2).select(
+        F.lit(1).alias("k"), F.unhex(F.lit("00010203")).alias("px"), F.lit(3).alias("y"))
     out = os.path.join(scratch, "idx-dup")
     manifest = write_idx_pair(df, out, "px", "y", 2, 2, "k", rows_per_file=20)
     sizes = sorted(r["n"] for r in manifest.collect())
-    assert sum(sizes) == 60 and len(sizes) >= 2 and max(sizes) < 60
+    assert sum(sizes) == 61 and max(sizes) == 20 and len(sizes) == 4
+    j = idx_images(spark, out).join(idx_labels(spark, out), ["source", "pos"])
+    assert j.count() == 61
