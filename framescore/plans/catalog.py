@@ -107,15 +107,24 @@ def first_byte_signed_q(spark, sf_dir):
     return r.select("doc_id", first_byte_signed("value").alias("b"))
 
 
+def _pieces(value: str, size: int, keep_empty: bool):
+    """Array of consecutive ``size``-byte pieces of ``value``, built inside one
+    expression so the generator that explodes it never carries the whole
+    payload along with each piece (linear, not quadratic, in the payload)."""
+    n = F.coalesce(F.length(value), F.lit(0))
+    count = F.floor((n + size - 1) / size).cast("int")
+    if keep_empty:
+        count = F.greatest(count, F.lit(1))
+    idx = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(idx, lambda i: F.substring(F.col(value), i * size + 1, F.lit(size)))
+
+
 def _chunks(df: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
     """Split each payload into consecutive pieces of at most ``size`` bytes so
     no single row carries a whole large text through the Python workers.  An
     empty payload still yields one (empty) piece, so every key is kept."""
-    n = F.coalesce(F.length("value"), F.lit(0))
-    count = F.greatest(F.floor((n + size - 1) / size).cast("int"), F.lit(1))
-    return (df.select(key, "value", F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
-              .select(key, "chunk", F.substring("value", F.col("chunk") * size + 1, F.lit(size))
-                      .alias("value")))
+    return df.select(key, F.posexplode(_pieces("value", size, keep_empty=True))
+                     .alias("chunk", "value"))
 
 
 def scaled_bytes_q(spark, sf_dir):
@@ -193,12 +202,9 @@ def stage_times_q(spark, sf_dir):
 def _frames(df: DataFrame, size: int) -> DataFrame:
     """Cut every payload into consecutive ``size``-byte frames; the last frame
     of a payload keeps whatever bytes remain (and is then rejected for width)."""
-    n = F.length("value")
-    count = F.floor((n + size - 1) / size).cast("int")
-    idx = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return (df.select("doc_id", "value", F.posexplode(idx).alias("_i", "frame"))
-              .select("doc_id", F.col("frame").cast("bigint").alias("frame"),
-                      F.substring("value", F.col("frame") * size + 1, F.lit(size)).alias("value")))
+    out = df.select("doc_id", F.posexplode(_pieces("value", size, keep_empty=False))
+                    .alias("frame", "value"))
+    return out.select("doc_id", F.col("frame").cast("bigint").alias("frame"), "value")
 
 
 def score_images_q(spark, sf_dir):
