@@ -45,18 +45,25 @@ def _binary_parts(arr: pa.Array):
 
 
 def _gather(starts: np.ndarray, takes: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Concatenate ``data[s:s+t]`` for every (s, t), vectorised."""
+    """Concatenate ``data[s:s+t]`` for every (s, t) in row order, vectorised.
+
+    Contiguous runs are returned as a view.  Otherwise the kept byte ranges
+    are marked with an int8 +1/-1 delta array whose running sum is the keep
+    mask: about two bytes of scratch per payload byte, never a per-byte index.
+    """
     total = int(takes.sum())
     if total == 0:
         return np.zeros(0, dtype=np.uint8)
     nz = takes > 0
     s, t = starts[nz], takes[nz]
-    seg_start = np.zeros(len(t), dtype=np.int64)
-    np.cumsum(t[:-1], out=seg_start[1:])
-    if len(s) and np.array_equal(s[1:], s[:-1] + t[:-1]):
+    if np.array_equal(s[1:], s[:-1] + t[:-1]):
         return data[s[0]:s[0] + total]          # one contiguous run: no copy
-    idx = np.arange(total, dtype=np.int64) + np.repeat(s - seg_start, t)
-    return data[idx]
+    lo, hi = int(s[0]), int(s[-1] + t[-1])
+    delta = np.zeros(hi - lo + 1, dtype=np.int8)
+    np.add.at(delta, s - lo, 1)
+    np.add.at(delta, s + t - lo, -1)
+    keep = np.cumsum(delta[:-1], dtype=np.int8).astype(bool)
+    return data[lo:hi][keep]
 
 
 def _list_array(values: pa.Array, counts: np.ndarray, valid: np.ndarray) -> pa.Array:

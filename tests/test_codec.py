@@ -120,3 +120,14 @@ def test_scaled_sums_match_scaled_arrays():
         for key, d in (("s0", 225.0), ("s1", 255.0)):
             want = sum(float(np.float32(b) / np.float32(d)) for b in r)
             assert abs(g[key] - want) < 1e-9
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.binary(max_size=12), st.integers(0, 12)), max_size=15))
+def test_gather_matches_python_slices(rows):
+    from framescore.functions.codec import _binary_parts, _gather
+    arr = pa.array([b for b, _ in rows], type=pa.binary())
+    starts, lengths, data, _ = _binary_parts(arr)
+    takes = np.array([min(k, len(b)) for b, k in rows], dtype=np.int64)
+    got = bytes(_gather(starts, takes, data)) if rows else b""
+    assert got == b"".join(b[:k] for b, k in rows)
