@@ -4,9 +4,10 @@ IDX layout (big-endian int32 header, magic not checked):
   images: magic, count, rows, cols, then count*rows*cols unsigned bytes
   labels: magic, count, then count unsigned bytes
 
-Files are listed by ``binaryFile`` and each one is decompressed as a stream
-inside ``mapInArrow`` (a gzip member is not splittable, so one file is one
-unit of work; many files scan in parallel).  Rows come out in Arrow batches of
+Files are listed by ``binaryFile`` (path only, contents not loaded) and each
+one is opened through pyarrow's filesystem layer and decompressed as a stream
+inside ``mapInArrow``, ``chunk`` records at a time (a gzip member is not
+splittable, so one file is one unit of work; many files scan in parallel).  Rows come out in Arrow batches of
 ``chunk`` records; ``repartition`` after the scan spreads a few big files over
 all cores.
 
@@ -68,37 +69,43 @@ def _read_exact(stream, n: int) -> bytes:
     return buf
 
 
+def _open_gzip(path: str):
+    """Decompressing input stream for a local path or URI (pyarrow.fs, C++ gzip)."""
+    from framescore.session import _filesystem
+    fs, p = _filesystem(path)
+    return fs.open_input_stream(p, compression="gzip")
+
+
 def _scan(kind: str, chunk: int):
     def run(batches):
         for rb in batches:
-            paths = rb.column("path").to_pylist()
-            contents = rb.column("content")
-            for i, p in enumerate(paths):
+            for p in rb.column("path").to_pylist():
                 src = source_key(p)
-                stream = gzip.GzipFile(fileobj=io.BytesIO(contents[i].as_py()))
-                if kind == "images":
-                    _, count, h, w = struct.unpack(">iiii", _read_exact(stream, 16))
-                    d = h * w
-                else:
-                    _, count = struct.unpack(">ii", _read_exact(stream, 8))
-                    d = 1
-                for s in range(0, count, chunk):
-                    e = min(count, s + chunk)
-                    body = _read_exact(stream, (e - s) * d)
-                    pos = pa.array(np.arange(s, e, dtype=np.int64))
-                    srcs = pa.array([src] * (e - s), type=pa.string())
+                with _open_gzip(p) as stream:
                     if kind == "images":
-                        offs = np.arange(0, (e - s + 1) * d, d, dtype=np.int32)
-                        pixels = pa.Array.from_buffers(
-                            pa.binary(), e - s, [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(body)])
-                        hs = pa.array(np.full(e - s, h, dtype=np.int32))
-                        ws = pa.array(np.full(e - s, w, dtype=np.int32))
-                        yield pa.RecordBatch.from_arrays([srcs, pos, hs, ws, pixels],
-                                                         schema=_arrow_schema(IMAGE_SCHEMA))
+                        _, count, h, w = struct.unpack(">iiii", _read_exact(stream, 16))
+                        d = h * w
                     else:
-                        lab = pa.array(np.frombuffer(body, dtype=np.uint8).astype(np.int32))
-                        yield pa.RecordBatch.from_arrays([srcs, pos, lab],
-                                                         schema=_arrow_schema(LABEL_SCHEMA))
+                        _, count = struct.unpack(">ii", _read_exact(stream, 8))
+                        d = 1
+                    for s in range(0, count, chunk):
+                        e = min(count, s + chunk)
+                        body = _read_exact(stream, (e - s) * d)
+                        pos = pa.array(np.arange(s, e, dtype=np.int64))
+                        srcs = pa.array([src] * (e - s), type=pa.string())
+                        if kind == "images":
+                            offs = np.arange(0, (e - s + 1) * d, d, dtype=np.int32)
+                            pixels = pa.Array.from_buffers(
+                                pa.binary(), e - s,
+                                [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(body)])
+                            hs = pa.array(np.full(e - s, h, dtype=np.int32))
+                            ws = pa.array(np.full(e - s, w, dtype=np.int32))
+                            yield pa.RecordBatch.from_arrays([srcs, pos, hs, ws, pixels],
+                                                             schema=_arrow_schema(IMAGE_SCHEMA))
+                        else:
+                            lab = pa.array(np.frombuffer(body, dtype=np.uint8).astype(np.int32))
+                            yield pa.RecordBatch.from_arrays([srcs, pos, lab],
+                                                             schema=_arrow_schema(LABEL_SCHEMA))
     return run
 
 
@@ -109,8 +116,11 @@ def _arrow_schema(st: T.StructType) -> pa.Schema:
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """File listing only: ``content`` is never selected, so Spark does not read
+    the files (and the 2 GB per-file row limit does not apply); the listing is
+    still split across tasks by file size."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-            .option("recursiveFileLookup", "true").load(path).select("path", "content"))
+            .option("recursiveFileLookup", "true").load(path).select("path"))
 
 
 def idx_images(spark: SparkSession, path: str, glob: str = "*images-idx3-ubyte.gz",
