@@ -148,23 +148,38 @@ def scale_bytes(col, divisor: float = 255.0) -> Column:
     return _scale(c)
 
 
-def scaled_sums_arrow(arr: pa.Array, divisors) -> pa.Array:
+SUM_WINDOW_BYTES = 1 << 23
+
+
+def scaled_sums_arrow(arr: pa.Array, divisors, window: int = SUM_WINDOW_BYTES) -> pa.Array:
     """Per row: byte count and, for each divisor, the float64 sum of the P6
-    float32 values (the same kernel as ``scale_bytes_arrow``)."""
-    _, lengths, _, valid = _binary_parts(arr)
+    float32 values (the same arithmetic as ``scale_bytes_arrow``).
+
+    Rows are reduced in consecutive groups of about ``window`` payload bytes,
+    so scratch memory stays bounded (a single larger row is its own group)."""
+    starts, lengths, data, valid = _binary_parts(arr)
     n = len(lengths)
+    sums = np.zeros((len(divisors), n))
+    if n:
+        first = np.zeros(n, dtype=np.int64)
+        np.cumsum(lengths[:-1], out=first[1:])           # start of each row in the packed bytes
+        group = first // window
+        cuts = np.flatnonzero(np.diff(group)) + 1
+        for a, b in zip(np.r_[0, cuts], np.r_[cuts, n]):
+            ln = lengths[a:b]
+            raw = _gather(starts[a:b], ln, data).astype(np.float32)
+            nz = ln > 0
+            if not nz.any():
+                continue
+            pos = np.zeros(b - a, dtype=np.int64)
+            np.cumsum(ln[:-1], out=pos[1:])
+            for j, d in enumerate(divisors):
+                vals = (raw / np.float32(d)).astype(np.float64)
+                sums[j, a:b][nz] = np.add.reduceat(vals, pos[nz])
     fields, cols = [pa.field("n", pa.int64())], [pa.array(lengths.astype(np.int64))]
-    starts = np.zeros(n, dtype=np.int64)
-    np.cumsum(lengths[:-1], out=starts[1:])
-    for j, d in enumerate(divisors):
-        flat = scale_bytes_arrow(arr, d)
-        vals = pc.list_flatten(flat).to_numpy(zero_copy_only=False).astype(np.float64)
-        sums = np.zeros(n)
-        nz = lengths > 0
-        if nz.any():
-            sums[nz] = np.add.reduceat(vals, starts[nz])
+    for j in range(len(divisors)):
         fields.append(pa.field(f"s{j}", pa.float64()))
-        cols.append(pa.array(sums))
+        cols.append(pa.array(sums[j]))
     return pa.StructArray.from_arrays(cols, fields=fields, mask=pa.array(~valid))
 
 

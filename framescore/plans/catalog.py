@@ -37,7 +37,6 @@ STREAM_DIVISOR = 225.0          # streaming image job
 BATCH_DIVISOR = 255.0           # batch image job
 ICON_SIDE = 8                   # embeddings rendered as 8 x 8 images for IDX files
 START_OFFSET = 10
-CHUNK_BYTES = 65536           # bound on bytes per row in byte-level checks
 LSTM_PARAMS = dict(steps=8, features=8, hidden=16, classes=10, seed=7)
 FIRST_N = 100
 IDX_FILE_ROWS = 256             # images per IDX file pair
@@ -107,35 +106,24 @@ def first_byte_signed_q(spark, sf_dir):
     return r.select("doc_id", first_byte_signed("value").alias("b"))
 
 
-def _pieces(value: str, size: int, keep_empty: bool):
+def _pieces(value: str, size: int):
     """Array of consecutive ``size``-byte pieces of ``value``, built inside one
     expression so the generator that explodes it never carries the whole
     payload along with each piece (linear, not quadratic, in the payload)."""
     n = F.coalesce(F.length(value), F.lit(0))
     count = F.floor((n + size - 1) / size).cast("int")
-    if keep_empty:
-        count = F.greatest(count, F.lit(1))
     idx = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(idx, lambda i: F.substring(F.col(value), i * size + 1, F.lit(size)))
 
 
-def _chunks(df: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
-    """Split each payload into consecutive pieces of at most ``size`` bytes so
-    no single row carries a whole large text through the Python workers.  An
-    empty payload still yields one (empty) piece, so every key is kept."""
-    return df.select(key, F.posexplode(_pieces("value", size, keep_empty=True))
-                     .alias("chunk", "value"))
-
-
 def scaled_bytes_q(spark, sf_dir):
+    """P6 over whole texts: one Arrow pass per batch scales every byte by both
+    divisors and reduces each row on the executor; no explode, no shuffle."""
     r = document_records(spark, sf_dir).select("doc_id", "value")
-    pieces = _chunks(r, CHUNK_BYTES)
-    part = pieces.select("doc_id", scaled_sums("value", (STREAM_DIVISOR, BATCH_DIVISOR)).alias("s"))
-    sums = part.groupBy("doc_id").agg(F.sum("s.n").alias("n"), F.sum("s.s0").alias("a"),
-                                      F.sum("s.s1").alias("b"))
-    return sums.select("doc_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-                       F.round(F.coalesce("a", F.lit(0.0)), 3).alias("sum225"),
-                       F.round(F.coalesce("b", F.lit(0.0)), 3).alias("sum255"))
+    s = r.select("doc_id", scaled_sums("value", (STREAM_DIVISOR, BATCH_DIVISOR)).alias("s"))
+    return s.select("doc_id", F.coalesce(F.col("s.n"), F.lit(0)).cast("bigint").alias("n"),
+                    F.round(F.coalesce(F.col("s.s0"), F.lit(0.0)), 3).alias("sum225"),
+                    F.round(F.coalesce(F.col("s.s1"), F.lit(0.0)), 3).alias("sum255"))
 
 
 def event_records_q(spark, sf_dir):
@@ -202,7 +190,7 @@ def stage_times_q(spark, sf_dir):
 def _frames(df: DataFrame, size: int) -> DataFrame:
     """Cut every payload into consecutive ``size``-byte frames; the last frame
     of a payload keeps whatever bytes remain (and is then rejected for width)."""
-    out = df.select("doc_id", F.posexplode(_pieces("value", size, keep_empty=False))
+    out = df.select("doc_id", F.posexplode(_pieces("value", size))
                     .alias("frame", "value"))
     return out.select("doc_id", F.col("frame").cast("bigint").alias("frame"), "value")
 

@@ -131,3 +131,17 @@ def test_gather_matches_python_slices(rows):
     takes = np.array([min(k, len(b)) for b, k in rows], dtype=np.int64)
     got = bytes(_gather(starts, takes, data)) if rows else b""
     assert got == b"".join(b[:k] for b, k in rows)
+
+
+def test_scaled_sums_windows_do_not_change_results():
+    from framescore.functions.codec import scaled_sums_arrow
+    rng = np.random.default_rng(5)
+    rows = [bytes(rng.integers(0, 256, size=int(k), dtype=np.uint8)) for k in
+            rng.integers(0, 300, size=40)] + [None, b""]
+    arr = pa.array(rows, type=pa.binary())
+    wide = scaled_sums_arrow(arr, [225.0, 255.0]).to_pylist()
+    for window in (1, 7, 256, 1000):
+        narrow = scaled_sums_arrow(arr, [225.0, 255.0], window=window).to_pylist()
+        for a, b in zip(wide, narrow):
+            assert (a is None and b is None) or (
+                a["n"] == b["n"] and abs(a["s0"] - b["s0"]) < 1e-9 and abs(a["s1"] - b["s1"]) < 1e-9)
