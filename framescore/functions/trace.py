@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Field order and separators of the three result layouts.
+# Field order and separators of the three result layouts, and
+# the suffix that names the result topic.
 LAYOUTS = {
     # 7 fields, " : " separated (pass-through, no model)
     "passthrough": (" : ", ("send_time", "start_ms", "decode_ns", "end_ms",
@@ -21,7 +22,6 @@ LAYOUTS = {
     # 4 fields, single space (key/value, first byte)
     "keyvalue": (" ", ("send_time", "start_ms", "end_ms", "first_byte")),
 }
-
 RETURN_SUFFIX = "-return"
 
 
