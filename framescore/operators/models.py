@@ -207,9 +207,9 @@ def fit_centroids(df: DataFrame, features: str = "embedding", label: str = "labe
         k, d = int(dims["k"]) + 1, int(dims["i"]) + 1
         if k * d > MAX_MODEL_NUMBERS:
             raise ValueError(f"model of {k} x {d} is too large to ship to the driver")
+        t = means.toArrow()                 # columnar transfer, no per-row objects
         w = np.zeros((k, d))
-        for r in means.collect():
-            w[r["k"], r["i"]] = r["w"]
+        w[t.column("k").to_numpy(), t.column("i").to_numpy()] = t.column("w").to_numpy()
     finally:
         means.unpersist()
     return DenseSoftmax(w, name=name)
