@@ -55,6 +55,8 @@ def main(argv=None):
     ap.add_argument("--width", type=int, default=500)
     ap.add_argument("--divisor", type=float, default=225.0)
     ap.add_argument("--partitions", type=int, default=4)
+    ap.add_argument("--overwrite", action="store_true",
+                    help="replace an earlier fresh run's --outfile")
     ap.add_argument("--timed", action="store_true",
                     help="passthrough: decode whole payloads and measure decode time")
     a = ap.parse_args(argv)
@@ -82,7 +84,8 @@ def main(argv=None):
     jobs.run_stream(spark, job, source=a.source, path=a.path, topic=a.topic,
                     bootstrap=a.bootstrap, outfile=a.outfile, timeout_ms=a.timeout,
                     available_now=a.available_now, checkpoint=a.checkpoint, model=model,
-                    starting_offsets="earliest" if a.earliest else None)
+                    starting_offsets="earliest" if a.earliest else None,
+                    overwrite=a.overwrite)
 
 
 if __name__ == "__main__":

@@ -24,7 +24,7 @@ from framescore.operators.evaluate import accuracy
 from framescore.operators.offsets import assign_offsets
 from framescore.operators.rejects import REASON, tag_rejects
 from framescore.operators.scoring import score
-from framescore.session import shared_path
+from framescore.session import delete_path, path_exists, shared_path
 from framescore.sources.csv import feature_csv
 from framescore.sources.idx import idx_images, idx_labels
 from framescore.sources.records import DEFAULT_TOPIC, publish_records, record_stream
@@ -136,7 +136,7 @@ def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str |
                timeout_ms: int | None = None, available_now: bool = False,
                checkpoint: str | None = None, model=None, sink_format: str = "text",
                starting_offsets: str | None = None, max_files_per_trigger: int | None = None,
-               rejects_path: str | None = None, wait: bool = True,
+               rejects_path: str | None = None, overwrite: bool = False, wait: bool = True,
                wait_timeout_s: float | None = None):
     """U4 parameters -> a running query.  Results go to ``outfile`` when given,
     else to the ``<topic>-return`` topic.
@@ -145,7 +145,12 @@ def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str |
     for the model) never reach the job.  With ``rejects_path`` they are kept:
     every micro-batch writes its result lines to ``outfile/batch_id=N`` and its
     rejects ``(partition, offset, reject_reason)`` to ``rejects_path/batch_id=N``,
-    both with overwrite, so a replayed micro-batch replaces its own output."""
+    both with overwrite, so a replayed micro-batch replaces its own output.
+
+    A run without ``checkpoint`` is a fresh run.  Its ``outfile`` must not hold
+    the sink log of an earlier run (the file sink would take those batches as
+    done and write nothing); ``overwrite=True`` replaces it, as the original
+    jobs' overwrite mode did."""
     records = record_stream(spark, source, path=path, topic=topic if source == "kafka" else None,
                             bootstrap=bootstrap, starting_offsets=starting_offsets,
                             max_files_per_trigger=max_files_per_trigger, projection="all")
@@ -157,6 +162,13 @@ def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str |
         good = df.where(F.col(REASON).isNull()).drop(REASON)
         return fn(good, model) if model is not None else fn(good)
 
+    if checkpoint is None:
+        for out_path in (outfile, rejects_path):
+            if out_path and path_exists(spark, out_path):
+                if not overwrite:
+                    raise FileExistsError(f"{out_path} holds an earlier run's output; pass "
+                                          "overwrite=True or that run's checkpoint")
+                delete_path(spark, out_path)
     checkpoint = checkpoint or shared_path(spark, f"ckpt-{topic}")
     trig = trigger_args(timeout_ms, available_now)
     if rejects_path:

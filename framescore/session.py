@@ -117,3 +117,21 @@ def read_bytes(path: str) -> bytes:
     fs, p = _filesystem(path)
     with fs.open_input_stream(p) as inp:
         return inp.read()
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, hp = _hadoop_path(spark, path)
+    return bool(fs.exists(hp))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Recursive delete through the Hadoop FileSystem of ``path`` (any scheme)."""
+    fs, hp = _hadoop_path(spark, path)
+    if fs.exists(hp):
+        fs.delete(hp, True)

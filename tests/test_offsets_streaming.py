@@ -128,3 +128,18 @@ def test_processing_time_trigger(spark, scratch):
     finally:
         q.stop()
     assert len(rows) == 500 and all(len(r[0].split(" ")) == 4 for r in rows)
+
+
+def test_fresh_run_into_old_output_needs_overwrite(spark, scratch):
+    import pytest
+    m = fit_centroids(table(spark, SF, "embeddings"), "embedding", "label")
+    log = os.path.join(scratch, "log6")
+    write_record_log(embedding_records(spark, SF), log)
+    out = os.path.join(scratch, "out6")
+    kw = dict(source="parquet", path=log, outfile=out, available_now=True, model=m,
+              wait_timeout_s=300)
+    jobs.run_stream(spark, jobs.scored, **kw)
+    with pytest.raises(FileExistsError):
+        jobs.run_stream(spark, jobs.scored, **kw)
+    jobs.run_stream(spark, jobs.scored, overwrite=True, **kw)
+    assert spark.read.text(out).count() == 500
