@@ -261,6 +261,23 @@ def stream_replay_q(spark, sf_dir):
         f[8].cast("int").alias("label"))
 
 
+def stream_rejects_q(spark, sf_dir):
+    """§1.3 + K2: document texts replayed as keypoint payloads into the dense
+    model.  Malformed records go to a rejects table with their reason, the
+    rest are scored; both written per micro-batch by ``foreachBatch``."""
+    log = shared_path(spark, "doc-log")
+    write_record_log(document_records(spark, sf_dir), log,
+                     max_records_per_file=RECORD_LOG_FILE_ROWS)
+    out, rej = shared_path(spark, "doc-out"), shared_path(spark, "doc-rejects")
+    jobs.run_stream(spark, jobs.scored, source="parquet", path=log, outfile=out,
+                    rejects_path=rej, available_now=True, model=dense_model(spark, sf_dir),
+                    wait_timeout_s=600)
+    scored = spark.read.text(out).select(F.lit("scored").alias("outcome"))
+    rejected = spark.read.parquet(rej).select(F.col("reject_reason").alias("outcome"))
+    return (scored.unionByName(rejected).groupBy("outcome")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def start_offset_q(spark, sf_dir):
     log = _record_log(spark, sf_dir)
     recs = record_stream(spark, "parquet", path=log, streaming=False)
@@ -294,6 +311,7 @@ QUERIES = {
     "image_accuracy": image_accuracy_q,
     "trace_fields": trace_fields_q,
     "stream_replay": stream_replay_q,
+    "stream_rejects": stream_rejects_q,
     "start_offset": start_offset_q,
     "first_n": first_n_q,
     "score_lstm": score_lstm_q,

@@ -190,6 +190,15 @@ WITH pred AS ({_DENSE_LABELS})
 SELECT vec_id, CAST(1700000000000 + vec_id AS VARCHAR) AS send_time,
        CAST(vec_id % 4 AS INTEGER) AS "partition", CAST(vec_id // 4 AS BIGINT) AS "offset", label
 FROM pred
+""",
+    "stream_rejects": """
+SELECT outcome, count(*) AS n
+FROM (SELECT CASE WHEN text IS NULL THEN 'null_value'
+                  WHEN octet_length(encode(text)) < 4 THEN 'short_value'
+                  WHEN octet_length(encode(text)) // 4 <> 64 THEN 'bad_width'
+                  ELSE 'scored' END AS outcome
+      FROM documents)
+GROUP BY outcome
 """,
     "start_offset": """
 SELECT CAST(vec_id % 4 AS INTEGER) AS "partition", count(*) AS n

@@ -76,4 +76,6 @@ def document_records(spark: SparkSession, sf_dir: str, topic: str = "documents")
         F.lit(topic).alias("topic"),
         (F.col("doc_id") % N_TOPIC_PARTITIONS).cast("int").alias("partition"),
         F.expr(f"doc_id div {N_TOPIC_PARTITIONS}").cast("bigint").alias("offset"),
+        F.timestamp_millis(F.lit(KEY_BASE_MS) + F.col("doc_id")).alias("timestamp"),
+        F.lit(0).alias("timestampType"),
     )
