@@ -41,10 +41,6 @@ def trace_line(layout: str) -> Column:
     return join_fields(fields, sep)
 
 
-def layout_fields(layout: str) -> tuple:
-    return LAYOUTS[layout][1]
-
-
 def return_topic(topic) -> Column:
     """Results go to ``<topic>-return``; accepts a topic name or a topic
     Column (so one query can serve many topics)."""

@@ -76,20 +76,6 @@ def materialize(df, name: str):
     return df.sparkSession.read.parquet(path)
 
 
-def local_fs_path(path: str) -> str:
-    """Strip a ``file:`` scheme for code that opens files directly."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def makedirs(path: str) -> None:
-    fs, p = _filesystem(path)
-    fs.create_dir(p, recursive=True)
-
-
 def _filesystem(path: str):
     """pyarrow filesystem + path for a local path or a URI (file, s3, gs, hdfs...)."""
     import pyarrow.fs as pafs
