@@ -54,11 +54,11 @@ def _matrix_from_list(arr, d: int):
     n = len(arr)
     lengths = pc.list_value_length(arr).fill_null(-1).to_numpy(zero_copy_only=False)
     ok = lengths == d
-    x = np.zeros((n, d), dtype=np.float32)
-    if ok.all():
+    if ok.all():                                   # common case: no scatter, no zero fill
         flat = pc.list_flatten(arr).cast(pa.float32()).to_numpy(zero_copy_only=False)
-        x[:] = flat.reshape(n, d)
-    elif ok.any():
+        return flat.reshape(n, d), ok
+    x = np.zeros((n, d), dtype=np.float32)
+    if ok.any():
         sub = arr.filter(pa.array(ok))
         flat = pc.list_flatten(sub).cast(pa.float32()).to_numpy(zero_copy_only=False)
         x[ok] = flat.reshape(-1, d)
@@ -70,17 +70,18 @@ def _matrix_from_payload(arr, d: int, kind):
     n = len(lengths)
     if kind == "f32be":
         ok = valid & (lengths // FLOAT_BYTES == d)
-        take = np.where(ok, d * FLOAT_BYTES, 0)
-        raw = _gather(starts, take, data)
-        vals = np.frombuffer(np.ascontiguousarray(raw).tobytes(), dtype=WIRE_DTYPE)
+        raw = _gather(starts, np.where(ok, d * FLOAT_BYTES, 0), data)
+        vals = np.frombuffer(np.ascontiguousarray(raw), dtype=WIRE_DTYPE).astype(np.float32)
     else:
         _, divisor = kind
         ok = valid & (lengths == d)
-        take = np.where(ok, d, 0)
-        raw = _gather(starts, take, data)
-        vals = raw.astype(np.float32) / np.float32(divisor)
+        raw = _gather(starts, np.where(ok, d, 0), data)
+        vals = raw.astype(np.float32)
+        vals /= np.float32(divisor)
+    if ok.all():                                   # common case: the decoded block is the matrix
+        return vals.reshape(n, d), ok
     x = np.zeros((n, d), dtype=np.float32)
-    x[ok] = vals.astype(np.float32).reshape(-1, d)
+    x[ok] = vals.reshape(-1, d)
     return x, ok
 
 
