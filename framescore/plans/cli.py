@@ -16,9 +16,14 @@ publish: --csv <path> --width N writes keyed float32 records to the topic (or --
 from __future__ import annotations
 
 import argparse
+import os
+import sys
 
-from framescore.session import get_session
-from framescore.sources.records import DEFAULT_TOPIC
+if __package__ in (None, ""):          # run as a script file (spark-submit .../cli.py)
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from framescore.session import get_session  # noqa: E402
+from framescore.sources.records import DEFAULT_TOPIC  # noqa: E402
 
 
 def _model(spark, spec: str | None):
