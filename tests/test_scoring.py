@@ -163,3 +163,16 @@ def test_onnx_bad_model_fails_on_driver(scratch):
         fh.write(b"\x00garbage")
     with pytest.raises(Exception):
         ship_model_file(None, bad)
+
+
+def test_scores_are_distributions_and_labels_in_range(spark):
+    """SURVEY §5 properties on Spark output: sum(softmax) = 1 +- 1e-5, label in [0, k)."""
+    recs = embedding_records(spark, SF)
+    for model in (fit_centroids(table(spark, SF, "embeddings"), "embedding", "label"),
+                  LstmSoftmax.seeded()):
+        out = score(recs.select("offset", "partition", "value"), model, features="value",
+                    input="f32be", timings=False)
+        bad = out.where((F.abs(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-5)
+                        | (F.col("label") < 0) | (F.col("label") >= model.classes)
+                        | (F.size("scores") != model.classes))
+        assert out.count() == 500 and bad.count() == 0
