@@ -252,7 +252,7 @@ def stream_replay_q(spark, sf_dir):
     out = shared_path(spark, "stream-out")
     jobs.run_stream(spark, jobs.scored, source="parquet", path=log, topic=TOPIC,
                     outfile=out, available_now=True, model=dense_model(spark, sf_dir),
-                    max_files_per_trigger=2, wait_timeout_s=600)
+                    max_files_per_trigger=4, wait_timeout_s=600)
     f = F.split(F.col("value"), " : ")
     lines = spark.read.text(out)
     return lines.select(
