@@ -62,6 +62,10 @@ def main(argv=None):
     ap.add_argument("--partitions", type=int, default=4)
     ap.add_argument("--overwrite", action="store_true",
                     help="replace an earlier fresh run's --outfile")
+    ap.add_argument("--max-bytes-per-trigger", type=int,
+                    help="replay: bound each micro-batch by input bytes")
+    ap.add_argument("--max-offsets-per-trigger", type=int,
+                    help="kafka: bound each micro-batch by records")
     ap.add_argument("--timed", action="store_true",
                     help="passthrough: decode whole payloads and measure decode time")
     a = ap.parse_args(argv)
@@ -90,7 +94,8 @@ def main(argv=None):
                     bootstrap=a.bootstrap, outfile=a.outfile, timeout_ms=a.timeout,
                     available_now=a.available_now, checkpoint=a.checkpoint, model=model,
                     starting_offsets="earliest" if a.earliest else None,
-                    overwrite=a.overwrite)
+                    overwrite=a.overwrite, max_bytes_per_trigger=a.max_bytes_per_trigger,
+                    max_offsets_per_trigger=a.max_offsets_per_trigger)
 
 
 if __name__ == "__main__":

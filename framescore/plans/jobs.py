@@ -136,8 +136,9 @@ def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str |
                timeout_ms: int | None = None, available_now: bool = False,
                checkpoint: str | None = None, model=None, sink_format: str = "text",
                starting_offsets: str | None = None, max_files_per_trigger: int | None = None,
-               rejects_path: str | None = None, overwrite: bool = False, wait: bool = True,
-               wait_timeout_s: float | None = None):
+               rejects_path: str | None = None, overwrite: bool = False,
+               max_bytes_per_trigger: int | None = None, max_offsets_per_trigger: int | None = None,
+               wait: bool = True, wait_timeout_s: float | None = None):
     """U4 parameters -> a running query.  Results go to ``outfile`` when given,
     else to the ``<topic>-return`` topic.
 
@@ -153,7 +154,9 @@ def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str |
     jobs' overwrite mode did."""
     records = record_stream(spark, source, path=path, topic=topic if source == "kafka" else None,
                             bootstrap=bootstrap, starting_offsets=starting_offsets,
-                            max_files_per_trigger=max_files_per_trigger, projection="all")
+                            max_files_per_trigger=max_files_per_trigger,
+                            max_bytes_per_trigger=max_bytes_per_trigger,
+                            max_offsets_per_trigger=max_offsets_per_trigger, projection="all")
     width = getattr(model, "width", None) if model is not None else None
     tagged = tag_rejects(records, width=width)
     fn = JOBS.get(job, job) if isinstance(job, str) else job

@@ -64,7 +64,8 @@ def record_stream(spark: SparkSession, source: str = "parquet", *, path: str | N
                   starting_offsets: str | None = None, projection: str = "meta",
                   streaming: bool = True, max_files_per_trigger: int | None = None,
                   max_offsets_per_trigger: int | None = None,
-                  min_partitions: int | None = None) -> DataFrame:
+                  min_partitions: int | None = None,
+                  max_bytes_per_trigger: int | None = None) -> DataFrame:
     """Open a record source and project the decoder's columns."""
     reader = spark.readStream if streaming else spark.read
     if source == "kafka":
@@ -75,6 +76,8 @@ def record_stream(spark: SparkSession, source: str = "parquet", *, path: str | N
         r = reader.schema(RECORD_SCHEMA).format(source)
         if streaming and max_files_per_trigger:
             r = r.option("maxFilesPerTrigger", str(int(max_files_per_trigger)))
+        if streaming and max_bytes_per_trigger:      # size-bounded micro-batches
+            r = r.option("maxBytesPerTrigger", str(int(max_bytes_per_trigger)))
         df = r.load(path)
         if topic is not None:
             df = df.where(F.col("topic") == F.lit(topic))

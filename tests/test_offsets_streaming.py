@@ -143,3 +143,15 @@ def test_fresh_run_into_old_output_needs_overwrite(spark, scratch):
         jobs.run_stream(spark, jobs.scored, **kw)
     jobs.run_stream(spark, jobs.scored, overwrite=True, **kw)
     assert spark.read.text(out).count() == 500
+
+
+def test_replay_bounded_by_bytes(spark, scratch):
+    log = os.path.join(scratch, "log7")
+    write_record_log(embedding_records(spark, SF), log, max_records_per_file=50)
+    from framescore.sources.records import record_stream
+    s = record_stream(spark, "parquet", path=log, max_bytes_per_trigger=20000)
+    q = start_stream(s, "memory", os.path.join(scratch, "ck7"), query_name="mb7",
+                     available_now=True)
+    run_to_end(q, 300)
+    assert spark.sql("SELECT count(*) FROM mb7").first()[0] == 500
+    assert len(q.recentProgress) > 1
