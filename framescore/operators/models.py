@@ -196,14 +196,17 @@ def fit_centroids(df: DataFrame, features: str = "embedding", label: str = "labe
     executors before it is pulled to the driver (persisted meanwhile, so the
     check and the pull share one computation; lineage is kept).
     """
-    means = (df.select(F.col(label).alias("k"), F.posexplode(features).alias("i", "x"))
+    labelled = df.where(F.col(label).isNotNull())           # unlabelled rows carry no class
+    means = (labelled.select(F.col(label).alias("k"), F.posexplode(features).alias("i", "x"))
                .groupBy("k", "i").agg(F.avg(F.col("x").cast("double")).alias("w"))
                .persist())
     try:
-        dims = means.agg(F.max("k").alias("k"), F.max("i").alias("i"),
+        dims = means.agg(F.max("k").alias("k"), F.min("k").alias("k0"), F.max("i").alias("i"),
                          F.count(F.lit(1)).alias("n")).first()
         if not dims["n"]:
             raise ValueError("no labelled rows to fit")
+        if dims["k0"] < 0:
+            raise ValueError(f"class labels must be >= 0, found {dims['k0']}")
         k, d = int(dims["k"]) + 1, int(dims["i"]) + 1
         if k * d > MAX_MODEL_NUMBERS:
             raise ValueError(f"model of {k} x {d} is too large to ship to the driver")

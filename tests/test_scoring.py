@@ -176,3 +176,14 @@ def test_scores_are_distributions_and_labels_in_range(spark):
                         | (F.col("label") < 0) | (F.col("label") >= model.classes)
                         | (F.size("scores") != model.classes))
         assert out.count() == 500 and bad.count() == 0
+
+
+def test_fit_centroids_label_checks(spark):
+    import pytest
+    df = spark.createDataFrame([([1.0, 2.0], 0), ([3.0, 4.0], None), ([5.0, 6.0], 1)],
+                               "f array<float>, y int")
+    m = fit_centroids(df, "f", "y")
+    assert np.allclose(m.weights, [[1.0, 2.0], [5.0, 6.0]])
+    bad = spark.createDataFrame([([1.0, 2.0], -1)], "f array<float>, y int")
+    with pytest.raises(ValueError):
+        fit_centroids(bad, "f", "y")
