@@ -40,7 +40,10 @@ def assign_offsets(df: DataFrame, partition_col: str, order_cols: list,
               .rowsBetween(Window.unboundedPreceding, -1))
     shift = shift.select(partition_col, "_fs_task", "_fs_first",
                          F.coalesce(F.sum("_fs_n").over(before), F.lit(0)).alias("_fs_base"))
-    out = ranged.join(shift, [partition_col, "_fs_task"])
+    # null-safe on the partition value, so rows without one are numbered too
+    shift = shift.withColumnRenamed(partition_col, "_fs_p").withColumnRenamed("_fs_task", "_fs_t")
+    out = ranged.join(shift, F.col(partition_col).eqNullSafe(F.col("_fs_p"))
+                      & (F.col("_fs_task") == F.col("_fs_t")))
     out = out.withColumn(offset_col,
                          (F.col("_fs_base") + F.col("_fs_rid") - F.col("_fs_first")).cast("bigint"))
-    return out.drop("_fs_rid", "_fs_task", "_fs_first", "_fs_base")
+    return out.drop("_fs_rid", "_fs_task", "_fs_first", "_fs_base", "_fs_p", "_fs_t")

@@ -155,3 +155,10 @@ def test_replay_bounded_by_bytes(spark, scratch):
     run_to_end(q, 300)
     assert spark.sql("SELECT count(*) FROM mb7").first()[0] == 500
     assert len(q.recentProgress) > 1
+
+
+def test_assign_offsets_keeps_null_partition_rows(spark):
+    df = spark.createDataFrame([(1, 0), (2, None), (3, 0), (4, None), (5, 1)],
+                               "event_id long, p int")
+    got = {r["event_id"]: r["offset"] for r in assign_offsets(df, "p", ["event_id"], num_ranges=3).collect()}
+    assert got == {1: 0, 3: 1, 2: 0, 4: 1, 5: 0}
