@@ -100,8 +100,9 @@ def from_offsets(df: DataFrame, start) -> DataFrame:
         for p, o in start.items():
             c = (F.col("partition") == int(p)) & (F.col("offset") >= int(o))
             cond = c if cond is None else cond | c
-        rest = ~F.col("partition").isin([int(p) for p in start])
-        return df.where(cond | rest)
+        # partitions not named (a null partition included) start at offset 0
+        rest = F.coalesce(~F.col("partition").isin([int(p) for p in start]), F.lit(True))
+        return df.where(F.coalesce(cond, F.lit(False)) | rest)
     return df.where(F.col("offset") >= int(start))
 
 
