@@ -119,3 +119,12 @@ def test_idx_writer_bounded_files_without_shuffle(spark, scratch):
     assert sum(sizes) == 61 and max(sizes) == 20 and len(sizes) == 4
     j = idx_images(spark, out).join(idx_labels(spark, out), ["source", "pos"])
     assert j.count() == 61
+
+
+def test_rejects_strict_mode_raises(spark):
+    import pytest
+    df = spark.createDataFrame([(b"1", b"\x00\x00\x80\x3f"), (None, b"\x00\x00\x80\x3f")],
+                               "key binary, value binary")
+    assert tag_rejects(df.limit(1), strict=True).count() == 1
+    with pytest.raises(Exception, match="null_key"):
+        tag_rejects(df, strict=True).collect()
