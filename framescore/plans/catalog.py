@@ -41,6 +41,7 @@ LSTM_PARAMS = dict(steps=8, features=8, hidden=16, classes=10, seed=7)
 FIRST_N = 100
 IDX_FILE_ROWS = 256             # images per IDX file pair
 RECORD_LOG_FILE_ROWS = 250      # several files per record log, so replay takes several batches
+EVENT_LOG_FILE_ROWS = 12500
 
 
 def _vec_id(send_time_col="send_time"):
@@ -261,6 +262,20 @@ def stream_replay_q(spark, sf_dir):
         f[8].cast("int").alias("label"))
 
 
+def event_stream_q(spark, sf_dir):
+    """The key/value job on a stream: timed event records replayed from a log,
+    4-field lines (send time, clock, clock, signed first byte) to a text sink."""
+    log = shared_path(spark, "event-log")
+    write_record_log(event_records(spark, sf_dir), log, max_records_per_file=EVENT_LOG_FILE_ROWS)
+    out = shared_path(spark, "event-out")
+    jobs.run_stream(spark, "keyvalue", source="parquet", path=log, topic="events", outfile=out,
+                    available_now=True, max_files_per_trigger=4, wait_timeout_s=600)
+    f = F.split(F.col("value"), " ")
+    return spark.read.text(out).select(f[0].cast("bigint").alias("send_time"),
+                                       f[3].cast("int").alias("first_byte"),
+                                       F.size(f).alias("n_fields"))
+
+
 def stream_rejects_q(spark, sf_dir):
     """§1.3 + K2: document texts replayed as keypoint payloads into the dense
     model.  Malformed records go to a rejects table with their reason, the
@@ -311,6 +326,7 @@ QUERIES = {
     "image_accuracy": image_accuracy_q,
     "trace_fields": trace_fields_q,
     "stream_replay": stream_replay_q,
+    "event_stream": event_stream_q,
     "stream_rejects": stream_rejects_q,
     "start_offset": start_offset_q,
     "first_n": first_n_q,

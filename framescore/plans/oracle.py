@@ -190,6 +190,12 @@ WITH pred AS ({_DENSE_LABELS})
 SELECT vec_id, CAST(1700000000000 + vec_id AS VARCHAR) AS send_time,
        CAST(vec_id % 4 AS INTEGER) AS "partition", CAST(vec_id // 4 AS BIGINT) AS "offset", label
 FROM pred
+""",
+    "event_stream": """
+SELECT epoch_us(ts) // 1000 AS send_time,
+       CASE WHEN u > 127 THEN u - 256 ELSE u END AS first_byte,
+       4 AS n_fields
+FROM (SELECT ts, ('0x' || substr(hex(value::FLOAT::BIT::BLOB), 1, 2))::INTEGER AS u FROM events)
 """,
     "stream_rejects": """
 SELECT outcome, count(*) AS n
