@@ -83,6 +83,9 @@ def _filesystem(path: str):
         path = "file://" + path[len("file:"):]
     if "://" not in path:
         path = "file://" + os.path.abspath(path)
+    for hadoop_scheme in ("s3a://", "s3n://"):      # Hadoop's names for the S3 scheme
+        if path.startswith(hadoop_scheme):
+            path = "s3://" + path[len(hadoop_scheme):]
     return pafs.FileSystem.from_uri(path)
 
 
