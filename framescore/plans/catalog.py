@@ -80,8 +80,8 @@ def first_feature_q(spark, sf_dir):
     return r.select(_vec_id(send_time("key")), _r6(first_feature("value")).alias("x"))
 
 
-def passthrough_q(spark, sf_dir):
-    out = jobs.passthrough(embedding_records(spark, sf_dir))
+def passthrough_q(spark, sf_dir, timed: bool = False):
+    out = jobs.passthrough(embedding_records(spark, sf_dir), timed=timed)
     f = F.split("value", " : ")
     return out.select(_vec_id(), "partition", "offset",
                       _r6(F.col("ans").cast("float")).alias("x"),
@@ -89,6 +89,12 @@ def passthrough_q(spark, sf_dir):
                       (f[0] == F.col("send_time")).alias("key_ok"))
 
 
+def passthrough_timed_q(spark, sf_dir):
+    """The pass-through job with whole payloads decoded in one Arrow pass and the
+    decode time measured per batch (P2 + P12); same result fields as passthrough."""
+    return passthrough_q(spark, sf_dir, timed=True)
+
+
 def feature_csv_q(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     path = shared_path(spark, "features-csv")
@@ -312,6 +318,7 @@ QUERIES = {
     "decode_features": decode_features_q,
     "first_feature": first_feature_q,
     "passthrough": passthrough_q,
+    "passthrough_timed": passthrough_timed_q,
     "feature_csv": feature_csv_q,
     "first_byte_signed": first_byte_signed_q,
     "scaled_bytes": scaled_bytes_q,

@@ -95,6 +95,11 @@ SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings
 SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS "partition", CAST(vec_id // 4 AS BIGINT) AS "offset",
        round(embedding[1]::DOUBLE, 6) AS x, 7 AS n_fields, true AS key_ok
 FROM embeddings
+""",
+    "passthrough_timed": """
+SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS "partition", CAST(vec_id // 4 AS BIGINT) AS "offset",
+       round(embedding[1]::DOUBLE, 6) AS x, 7 AS n_fields, true AS key_ok
+FROM embeddings
 """,
     "feature_csv": """
 SELECT vec_id, CAST(i AS BIGINT) AS pos, round(x::DOUBLE, 6) AS x
