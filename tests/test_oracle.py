@@ -52,6 +52,13 @@ def test_query_matches_oracle(spark, con, name):
     exp_cols = [d[0] for d in cur.description]
     exp = cur.fetchall()
     assert sorted(df.columns) == sorted(exp_cols)
+    # same column types on both sides (Spark simple names -> DuckDB names)
+    names = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+    rel = con.sql(oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    for f in df.schema.fields:
+        assert names.get(f.dataType.simpleString()) == duck_types[f.name], (f.name, f.dataType)
     assert len(got) == len(exp)
     assert _canon([tuple(r) for r in got], df.columns) == _canon(exp, exp_cols)
 
