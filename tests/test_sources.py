@@ -128,3 +128,23 @@ def test_rejects_strict_mode_raises(spark):
     assert tag_rejects(df.limit(1), strict=True).count() == 1
     with pytest.raises(Exception, match="null_key"):
         tag_rejects(df, strict=True).collect()
+
+
+def test_projections_and_batch_sinks(spark, scratch):
+    from framescore.sinks.results import read_results, write_record_log, write_table, write_text
+    from framescore.sources.tables import document_records
+    log = os.path.join(scratch, "doclog")
+    write_record_log(document_records(spark, "/root/testdata/sf0.001"), log)
+    text = record_stream(spark, "parquet", path=log, streaming=False, projection="text")
+    assert text.columns == ["value"] and dict(text.dtypes)["value"] == "string"
+    assert record_stream(spark, "parquet", path=log, streaming=False,
+                         projection="value").columns == ["value"]
+    out = os.path.join(scratch, "lines")
+    write_text(text, out)
+    write_text(text.limit(3), out)                       # overwrite, not append
+    assert spark.read.text(out).count() == 3
+    tbl = os.path.join(scratch, "tbl")
+    recs = record_stream(spark, "parquet", path=log, streaming=False)
+    write_table(recs.select("partition", "offset"), tbl)
+    first = read_results(spark, tbl, limit=5).collect()
+    assert [(r["offset"], r["partition"]) for r in first] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0)]
