@@ -140,8 +140,10 @@ def test_projections_and_batch_sinks(spark, scratch):
     assert record_stream(spark, "parquet", path=log, streaming=False,
                          projection="value").columns == ["value"]
     out = os.path.join(scratch, "lines")
-    write_text(text, out)
-    write_text(text.limit(3), out)                       # overwrite, not append
+    ids = record_stream(spark, "parquet", path=log, streaming=False, projection="all") \
+        .select(F.col("key").cast("string").alias("value"))   # one-line values
+    write_text(ids, out)
+    write_text(ids.limit(3), out)                         # overwrite, not append
     assert spark.read.text(out).count() == 3
     tbl = os.path.join(scratch, "tbl")
     recs = record_stream(spark, "parquet", path=log, streaming=False)
