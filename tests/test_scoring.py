@@ -187,3 +187,12 @@ def test_fit_centroids_label_checks(spark):
     bad = spark.createDataFrame([([1.0, 2.0], -1)], "f array<float>, y int")
     with pytest.raises(ValueError):
         fit_centroids(bad, "f", "y")
+
+
+def test_float32_dense_same_labels(spark):
+    e = table(spark, SF, "embeddings")
+    m64 = fit_centroids(e, "embedding", "label")
+    m32 = DenseSoftmax(m64.weights, dtype=np.float32)
+    X = np.stack(e.toPandas()["embedding"].to_numpy()).astype(np.float32)
+    assert (m64.predict(X).argmax(1) == m32.predict(X).argmax(1)).all()
+    assert m32.predict(X).dtype == np.float32
