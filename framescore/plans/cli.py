@@ -66,6 +66,8 @@ def main(argv=None):
                     help="replay: bound each micro-batch by input bytes")
     ap.add_argument("--max-offsets-per-trigger", type=int,
                     help="kafka: bound each micro-batch by records")
+    ap.add_argument("--float32", action="store_true",
+                    help="dense models: float32 arithmetic (original precision, faster)")
     ap.add_argument("--timed", action="store_true",
                     help="passthrough: decode whole payloads and measure decode time")
     a = ap.parse_args(argv)
@@ -87,6 +89,11 @@ def main(argv=None):
         return
 
     model = _model(spark, a.model)
+    if a.float32 and hasattr(model, "weights"):
+        import numpy as np
+
+        from framescore.operators.models import DenseSoftmax
+        model = DenseSoftmax(model.weights, model.bias, name=model.name, dtype=np.float32)
     job = {"passthrough": lambda r: jobs.passthrough(r, timed=a.timed),
            "keyvalue": jobs.keyvalue, "scored": jobs.scored,
            "images": lambda r, m: jobs.bare_labels(r, m, a.divisor)}[a.job]
