@@ -196,3 +196,30 @@ def test_float32_dense_same_labels(spark):
     X = np.stack(e.toPandas()["embedding"].to_numpy()).astype(np.float32)
     assert (m64.predict(X).argmax(1) == m32.predict(X).argmax(1)).all()
     assert m32.predict(X).dtype == np.float32
+
+
+def test_output_schemas_match_fixtures(spark, scratch):
+    """Typed outputs R7, R9, R4, R1 and RA have the FIXTURES.md column types."""
+    from framescore.plans.catalog import _write_icons
+    recs = embedding_records(spark, SF)
+    m = fit_centroids(table(spark, SF, "embeddings"), "embedding", "label")
+
+    def types(df, cols):
+        return [dict(df.dtypes)[c] for c in cols]
+
+    r7 = jobs.passthrough(recs)
+    assert types(r7, ["send_time", "start_ms", "decode_ns", "end_ms", "partition", "offset",
+                      "ans"]) == ["string", "bigint", "bigint", "bigint", "int", "bigint", "string"]
+    r9 = jobs.scored(recs, m)
+    assert types(r9, ["send_time", "start_ms", "tensor_ns", "infer_ns", "post_ns", "end_ms",
+                      "partition", "offset", "label"]) == [
+        "string", "bigint", "bigint", "bigint", "bigint", "bigint", "int", "bigint", "int"]
+    r4 = jobs.keyvalue(recs)
+    assert types(r4, ["send_time", "start_ms", "end_ms", "first_byte"]) == [
+        "string", "bigint", "bigint", "int"]
+    r1 = jobs.bare_labels(recs.select("value"), DenseSoftmax(byte_weights(256, 10)))
+    assert types(r1, ["label"]) == ["int"]
+    ra = jobs.image_accuracy(spark, _write_icons(spark, SF),
+                             DenseSoftmax(byte_weights(64, 10)), 255.0)
+    assert ra.dtypes == [("n", "bigint"), ("n_correct", "bigint"), ("accuracy", "double")]
+    assert all(dict(df.dtypes)["value"] == "string" for df in (r7, r9, r4, r1))
