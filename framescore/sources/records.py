@@ -25,6 +25,10 @@ RECORD_SCHEMA = T.StructType([
 # Fixed value: the default topic name of the original jobs.
 DEFAULT_TOPIC = "stair"
 
+KAFKA_HINT = ("the Kafka connector is not on the classpath; start Spark with "
+              "--packages org.apache.spark:spark-sql-kafka-0-10_2.13:{version} "
+              "or replay a parquet record log with source='parquet'")
+
 # Column projections of the reference decoders.
 PROJECTIONS = {
     "meta": ("partition", "offset", "key", "value"),    # S1
@@ -69,9 +73,14 @@ def record_stream(spark: SparkSession, source: str = "parquet", *, path: str | N
     """Open a record source and project the decoder's columns."""
     reader = spark.readStream if streaming else spark.read
     if source == "kafka":
-        df = reader.format("kafka").options(**kafka_options(
-            topic, bootstrap, starting_offsets, max_offsets_per_trigger=max_offsets_per_trigger,
-            min_partitions=min_partitions)).load()
+        try:
+            df = reader.format("kafka").options(**kafka_options(
+                topic, bootstrap, starting_offsets, max_offsets_per_trigger=max_offsets_per_trigger,
+                min_partitions=min_partitions)).load()
+        except Exception as e:  # noqa: BLE001 - re-raised with the fix
+            if "Failed to find data source" in str(e):
+                raise RuntimeError(KAFKA_HINT.format(version=spark.version)) from e
+            raise
     else:
         r = reader.schema(RECORD_SCHEMA).format(source)
         if streaming and max_files_per_trigger:

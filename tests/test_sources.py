@@ -150,3 +150,9 @@ def test_projections_and_batch_sinks(spark, scratch):
     write_table(recs.select("partition", "offset"), tbl)
     first = read_results(spark, tbl, limit=5).collect()
     assert [(r["offset"], r["partition"]) for r in first] == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0)]
+
+
+def test_missing_kafka_connector_message(spark):
+    import pytest
+    with pytest.raises(RuntimeError, match="spark-sql-kafka-0-10_2.13"):
+        record_stream(spark, "kafka", topic="stair", bootstrap="localhost:9092")
