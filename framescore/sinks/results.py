@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescore.operators.limits import first_n
-from framescore.sources.records import RECORD_SCHEMA
+from framescore.sources.records import KAFKA_HINT, RECORD_SCHEMA
 
 
 def kafka_sink_options(topic: str, bootstrap: str, acks: str = "all",
@@ -45,8 +45,13 @@ def write_record_log(df: DataFrame, path: str, partition_by_topic: bool = False,
 
 def publish_kafka(df: DataFrame, topic: str, bootstrap: str) -> None:
     """K3 broker form (needs the Kafka connector on the classpath)."""
-    (df.select("key", "value").write.format("kafka")
-       .options(**kafka_sink_options(topic, bootstrap)).save())
+    try:
+        (df.select("key", "value").write.format("kafka")
+           .options(**kafka_sink_options(topic, bootstrap)).save())
+    except Exception as e:  # noqa: BLE001 - re-raised with the fix
+        if "Failed to find data source" in str(e):
+            raise RuntimeError(KAFKA_HINT.format(version=df.sparkSession.version)) from e
+        raise
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

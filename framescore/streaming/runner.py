@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from framescore.sinks.results import kafka_sink_options
+from framescore.sources.records import KAFKA_HINT
 
 
 def trigger_args(timeout_ms: int | None = None, available_now: bool = False,
@@ -42,9 +43,14 @@ def start_stream(df: DataFrame, sink: str, checkpoint: str, *, path: str | None
     if trig:
         w = w.trigger(**trig)
     if sink == "kafka":
-        return (df.select(output_col).writeStream.format("kafka")
-                .options(**kafka_sink_options(topic, bootstrap, checkpoint=checkpoint))
-                .trigger(**(trig or {"processingTime": "0 seconds"})).start())
+        try:
+            return (df.select(output_col).writeStream.format("kafka")
+                    .options(**kafka_sink_options(topic, bootstrap, checkpoint=checkpoint))
+                    .trigger(**(trig or {"processingTime": "0 seconds"})).start())
+        except Exception as e:  # noqa: BLE001 - re-raised with the fix
+            if "Failed to find data source" in str(e):
+                raise RuntimeError(KAFKA_HINT.format(version=df.sparkSession.version)) from e
+            raise
     if sink == "overwrite-text":
         def per_batch(batch: DataFrame, batch_id: int):
             (batch.select(output_col).write.mode("overwrite")

@@ -156,3 +156,17 @@ def test_missing_kafka_connector_message(spark):
     import pytest
     with pytest.raises(RuntimeError, match="spark-sql-kafka-0-10_2.13"):
         record_stream(spark, "kafka", topic="stair", bootstrap="localhost:9092")
+
+
+def test_missing_kafka_connector_message_on_sinks(spark, scratch):
+    import pytest
+
+    from framescore.sinks.results import publish_kafka
+    from framescore.streaming.runner import start_stream
+    df = spark.createDataFrame([(b"k", b"v")], "key binary, value binary")
+    with pytest.raises(RuntimeError, match="spark-sql-kafka"):
+        publish_kafka(df, "stair", "localhost:9092")
+    stream = spark.readStream.format("rate").load().selectExpr("CAST(value AS STRING) AS value")
+    with pytest.raises(RuntimeError, match="spark-sql-kafka"):
+        start_stream(stream, "kafka", os.path.join(scratch, "ck"), topic="t",
+                     bootstrap="localhost:9092")
