@@ -145,3 +145,17 @@ def test_scaled_sums_windows_do_not_change_results():
         for a, b in zip(wide, narrow):
             assert (a is None and b is None) or (
                 a["n"] == b["n"] and abs(a["s0"] - b["s0"]) < 1e-9 and abs(a["s1"] - b["s1"]) < 1e-9)
+
+
+def test_float_text_equals_jvm_float_tostring(spark):
+    """P4 text: Spark's float -> string equals the JVM's Float.toString (what the
+    original jobs print), on edge values and on every first feature of embeddings."""
+    jvm = spark.sparkContext._jvm
+    edge = [float("inf"), float("-inf"), -0.0, 1.4e-45, 3.4028235e38, 0.1, 12345678.0, 1e-4]
+    firsts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+              .select(F.col("embedding")[0]).collect()]
+    df = spark.createDataFrame([(v,) for v in edge + firsts], "x float")
+    for r in df.select("x", F.col("x").cast("string").alias("s")).collect():
+        bits = struct.unpack(">i", struct.pack(">f", r["x"]))[0]
+        want = jvm.java.lang.Float.toString(jvm.java.lang.Float.intBitsToFloat(bits))
+        assert r["s"] == want, (r["x"], r["s"], want)
