@@ -274,10 +274,23 @@ def first_byte_signed(col) -> Column:
 
 
 def send_time(col) -> Column:
-    """Key bytes -> text; invalid UTF-8 bytes become U+FFFD as a JVM
-    ``new String(bytes)`` does."""
+    """Key bytes -> text, decoded like a JVM ``new String(bytes)``.
+
+    Valid UTF-8 (the normal case) is a plain cast.  Invalid bytes become
+    U+FFFD with the JVM decoder's grouping: one replacement per malformed
+    byte, except that a UTF-8-encoded surrogate (ED, then A0-BF, then a
+    continuation byte) is one malformed unit, as is ED A0-BF on its own.
+    Those units are rewritten to a single invalid byte before
+    ``make_valid_utf8``.  Everything stays in Catalyst; the rewrite runs only
+    for invalid keys.
+    """
     v = F.col(col) if isinstance(col, str) else col
-    return F.make_valid_utf8(v.cast("string"))
+    text = v.cast("string")
+    pairs = F.regexp_replace(F.hex(v), "(..)", "$1 ")
+    pairs = F.regexp_replace(pairs, "ED [AB][0-9A-F] [89AB][0-9A-F] ", "FF ")
+    pairs = F.regexp_replace(pairs, "ED [AB][0-9A-F] ", "FF ")
+    rebuilt = F.unhex(F.regexp_replace(pairs, " ", "")).cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.make_valid_utf8(rebuilt))
 
 
 def epoch_millis(ts_col, ntz: bool = False) -> Column:

@@ -159,3 +159,20 @@ def test_float_text_equals_jvm_float_tostring(spark):
         bits = struct.unpack(">i", struct.pack(">f", r["x"]))[0]
         want = jvm.java.lang.Float.toString(jvm.java.lang.Float.intBitsToFloat(bits))
         assert r["s"] == want, (r["x"], r["s"], want)
+
+
+def test_send_time_matches_jvm_decoder(spark):
+    """P7 parity: same replacement characters as the JVM's new String(bytes, UTF-8),
+    surrogate encodings and truncated sequences included."""
+    import random
+    rng = random.Random(7)
+    alphabet = [0x31, 0xC2, 0xC3, 0xA9, 0xE0, 0xE2, 0xED, 0xEF, 0x82, 0xAC, 0xF0, 0xF4, 0xF5,
+                0x9F, 0x80, 0x90, 0xBF, 0xFF, 0xC0, 0xA0]
+    cases = [bytes(rng.choice(alphabet) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    cases += [b"\xed\xa0\x80", b"\xed\xbf", b"\xed\xa9\xa9\xf4\xe2", b"1700000000000"]
+    df = spark.createDataFrame([(c,) for c in cases], "k binary")
+    got = [r[0] for r in df.select(send_time("k")).collect()]
+    jvm = spark.sparkContext._jvm
+    utf8 = jvm.java.nio.charset.StandardCharsets.UTF_8
+    for c, g in zip(cases, got):
+        assert g == jvm.java.lang.String(bytearray(c), utf8), c.hex()
