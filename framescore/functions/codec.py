@@ -126,7 +126,7 @@ def _decode_udf(v: pa.Array) -> pa.Array:
 def encode_features(col) -> Column:
     """Float vector -> big-endian float32 payload."""
     c = F.col(col) if isinstance(col, str) else col
-    return _encode_udf(F.transform(c, lambda x: x.cast("float")))
+    return _encode_udf(c.cast("array<float>"))       # no-op cast when already float
 
 
 def decode_features(col) -> Column:
