@@ -29,7 +29,7 @@ def parse_features(df: DataFrame, width: int, line: str = "value",
     """Add ``out`` ARRAY<FLOAT> (first ``width`` fields) and ``reject_reason``."""
     fields = split_fields(line)
     head = F.slice(fields, 1, width)
-    parsed = F.transform(head, lambda s: s.try_cast("float"))
+    parsed = head.try_cast("array<float>")          # element-wise: a bad field becomes null
     n_bad = F.size(F.filter(parsed, lambda x: x.isNull()))
     reason = (F.when(F.col(line).isNull(), F.lit("null_row"))
               .when(F.size(fields) < width, F.lit("short_row"))
@@ -49,7 +49,7 @@ def feature_csv(spark: SparkSession, path: str, width: int = 500,
 def render_csv_line(features, *extra) -> Column:
     """Features (+ trailing extra columns) as one CSV line, floats in JVM text."""
     f = F.col(features) if isinstance(features, str) else features
-    parts = [F.array_join(F.transform(f, lambda x: x.cast("string")), ",")]
+    parts = [F.concat_ws(",", f.cast("array<string>"))]
     for e in extra:
         parts.append(F.lit(","))
         parts.append((F.col(e) if isinstance(e, str) else e).cast("string"))
