@@ -195,3 +195,9 @@ def test_be_float_at_random_bit_patterns(spark):
             assert math.isnan(g)
         else:
             assert struct.pack(">f", g) == p[:4], p[:4].hex()
+
+
+def test_first_byte_signed_all_values(spark):
+    df = spark.createDataFrame([(bytes([b, 7]),) for b in range(256)], "v binary")
+    got = [r[0] for r in df.select(first_byte_signed("v")).collect()]
+    assert got == [struct.unpack("b", bytes([b]))[0] for b in range(256)]
