@@ -29,3 +29,15 @@ for label, m in (("float64", DenseSoftmax(w)), ("float32", DenseSoftmax(w, dtype
     print(f"{label}: decode {1e3*(t1-t0):.1f} ms, predict {1e3*(t2-t1):.1f} ms, "
           f"argmax {1e3*(t3-t2):.1f} ms for {n} x {d} -> {k}; {n/(t3-t0):.0f} rows/s per core")
     assert np.array_equal(x, payload.astype(np.float32))
+
+# LSTM on the same payloads: 500 floats as 20 steps x 25 features, hidden 64, 100 classes
+from framescore.operators.models import LstmSoftmax  # noqa: E402
+lstm = LstmSoftmax.seeded(steps=20, features=25, hidden=64, classes=k, seed=7)
+for _ in range(2):
+    t0 = time.perf_counter()
+    x, ok = _matrix_from_payload(arr, d, "f32be")
+    s = lstm.predict(x)
+    lab = winning_class(s)
+    t1 = time.perf_counter()
+print(f"lstm float64 (20 x 25, hidden 64): {1e3*(t1-t0):.1f} ms per batch; "
+      f"{n/(t1-t0):.0f} rows/s per core")
