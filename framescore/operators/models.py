@@ -84,16 +84,19 @@ class LstmSoftmax:
     def logits(self, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, dtype=np.float64).reshape(-1, self.steps, self.features)
         n, hd = x.shape[0], self.hidden
+        # gate blocks reordered to (i, f, o | g) so the three sigmoids are one call
+        order = np.r_[0:2 * hd, 3 * hd:4 * hd, 2 * hd:3 * hd]
+        w_in, w_rec, b = self.w_in[order], self.w_rec[order], self.b[order]
         h = np.zeros((n, hd))
         c = np.zeros((n, hd))
         for t in range(self.steps):
-            z = x[:, t, :] @ self.w_in.T + h @ self.w_rec.T + self.b
-            i = _sigmoid(z[:, :hd])
-            f = _sigmoid(z[:, hd:2 * hd])
-            g = np.tanh(z[:, 2 * hd:3 * hd])
-            o = _sigmoid(z[:, 3 * hd:])
-            c = f * c + i * g
-            h = o * np.tanh(c)
+            z = x[:, t, :] @ w_in.T
+            z += h @ w_rec.T
+            z += b
+            sig = _sigmoid(z[:, :3 * hd])
+            g = np.tanh(z[:, 3 * hd:])
+            c = sig[:, hd:2 * hd] * c + sig[:, :hd] * g
+            h = sig[:, 2 * hd:] * np.tanh(c)
         return h @ self.w_out.T + self.b_out
 
     def predict(self, x: np.ndarray) -> np.ndarray:
