@@ -77,21 +77,31 @@ class Forest:
                 head = keys[climbing, t] >> shift
                 lo[climbing, t] = np.searchsorted(self.sorted[:, t], head << shift)
                 hi[climbing, t] = np.searchsorted(self.sorted[:, t], (head + 1) << shift)
-            climbing = climbing[(hi - lo)[climbing].sum(axis=1) < wanted]
+            others = np.maximum((hi - lo)[climbing] - 1, 0)    # a query of this shard matches itself
+            climbing = climbing[others.sum(axis=1) < wanted]
             if not len(climbing):
                 break
         return lo, hi
 
+    def open(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The union of the trees' ranges."""
+        opened = np.zeros(len(self.vectors), bool)
+        for t in range(TREES):
+            opened[self.order[lo[t]:hi[t], t]] = True
+        return np.flatnonzero(opened)
+
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE):
         """Best k rows of the shard among the opened ones: (query ids, row ids, distances)."""
         n = len(self.vectors)
-        lo, hi = self.ranges(queries, max(int(np.ceil(share * n)), min(n, 4 * k)))
+        wanted = int(np.ceil(share * n))
+        lo, hi = self.ranges(queries, wanted)
         out = []
         for q in range(len(queries)):
-            opened = np.zeros(n, bool)
-            for t in range(TREES):
-                opened[self.order[lo[q, t]:hi[q, t], t]] = True
-            rows = np.flatnonzero(opened)
+            rows, more = self.open(lo[q], hi[q]), wanted
+            while len(rows) < min(n, 4 * k):              # all trees hold the same few: climb on
+                more = 2 * more + 1
+                low, high = self.ranges(queries[q:q + 1], more)
+                rows = self.open(low[0], high[0])
             # squared distances pick the near ones; the measure itself is then computed in full
             rough = ((self.vectors[rows] - queries[q]) ** 2).sum(axis=1)
             if len(rows) > 4 * k:

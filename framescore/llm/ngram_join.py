@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from framescore.llm import arrays
 from framescore.llm.components import components
-from framescore.llm.tables import shuffle_width, stored
+from framescore.llm.tables import dropped, shuffle_width, stored
 
 WORDS = 5
 PERCENT = 75
@@ -401,6 +401,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
             pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
         edges = edges.unionByName(stored(verified(pairs, tokens), "ngram-edges"))
         groups = stored(components(edges), "ngram-groups")
+    for done in (posts, reps, tokens, tried, edges):
+        dropped(done)
     return rows, classes, groups
 
 
@@ -439,3 +441,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = rows.join(owner, ["n", "h1", "h2"], "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(
         F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is its component's least; of rows that repeat id
+    and text one stays, and rows with a null id, which link with nothing, all stay."""
+    least = (near_duplicates(docs, id_col, text_col).filter("component_id = doc_id")
+             .select(F.col("doc_id").alias(id_col)).distinct())
+    kept = docs.join(least, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))

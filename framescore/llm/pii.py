@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framescore.llm.tables import stored
+from framescore.llm.tables import dropped, stored
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, in possessive form.
@@ -120,10 +120,14 @@ def _located(kind: str, base: bool, n: str) -> str:
                   {str(base).lower()} AS base, {fields}))"""
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its candidates: array of (start, kind, end, base, votes), by start, kind."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+               ) -> DataFrame:
+    """doc_id and its candidates: array of (start, kind, end, base, votes), by start, kind
+    (``carry``: and the whole row as ``row``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
+    own = ["doc_id", "row"] if carry else ["doc_id"]
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *row, text.alias("text"))
     tried = ([(k, True, p, NEEDS.get(k)) for k, p in BASE.items()]
              + [(k, False, p, WEAK_NEEDS.get(k)) for k, p in WEAK.items()])
     names = []
@@ -145,7 +149,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sequence(0, size({n}) div {_step(n)}), q -> aggregate(
               slice({n}_len, q * {_step(n)} + 1, {_step(n)}), 0L, (a, z) -> a + z)) END"""
                ).cast("array<bigint>").alias(f"{n}_sum") for _, _, n in names])
-    spans = sums.select("doc_id", *[
+    spans = sums.select(*own, *[
         F.expr(f"CASE WHEN size({n}) = 0 THEN NULL ELSE {_located(k, b, n)} END").alias(n)
         for k, b, n in names])
     bases = [n for _, b, n in names if b]
@@ -153,8 +157,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def joined(cols: list[str]) -> str:
         return f"flatten(filter(array({', '.join(cols)}), c -> c IS NOT NULL))"
-    both = spans.select("doc_id", F.expr(joined(bases)).alias("strong"), F.expr(joined(weak)).alias("soft"))
-    return both.select("doc_id", F.expr("""array_sort(concat(strong, filter(soft, w ->
+    both = spans.select(*own, F.expr(joined(bases)).alias("strong"), F.expr(joined(weak)).alias("soft"))
+    return both.select(*own, F.expr("""array_sort(concat(strong, filter(soft, w ->
         NOT exists(strong, s -> s.start < w.end AND w.start < s.end))))""").alias("found"))
 
 
@@ -209,13 +213,30 @@ def train(found: DataFrame) -> tuple[list[float], list[float]]:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ``spans``: array of (start, kind, end, base, probability), by start and kind."""
     found = stored(candidates(docs, id_col, text_col), "pii-candidates")
-    weights, bias = train(found)
+    return found.select("doc_id", _kept(*train(found)).alias("spans"))
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with every span of the text replaced by its kind in brackets.
+
+    The classifier is trained on the candidates of all rows; a second pass over the texts
+    finds and replaces the spans in place, so no text is joined or shuffled."""
+    found = stored(candidates(docs, id_col, text_col), "pii-candidates")
+    kept = _kept(*train(found))
+    dropped(found)
+    rows = candidates(docs, id_col, text_col, carry=True).select(
+        "row", F.col("row")[text_col].cast("string").alias("text"), kept.alias("spans"))
+    return rows.select(*[redacted().alias(c) if c == text_col else F.col("row")[c].alias(c)
+                         for c in docs.columns])
+
+
+def _kept(weights: list[float], bias: list[float]) -> Column:
+    """The candidates that stay, with their probability."""
     z = " + ".join([f"element_at(array({', '.join(f'{b!r}D' for b in bias)}), c.kind + 1)"]
                    + [f"c.{v} * {w!r}D" for v, w in zip(LABELERS, weights, strict=True)])
-    scored = F.expr(f"transform(found, c -> struct(c.start AS start, c.kind AS kind, c.end AS end, "
-                    f"c.base AS base, 1D / (1D + exp(-({z}))) AS probability))")
-    return found.select("doc_id", scored.alias("scored")).select(
-        "doc_id", F.expr(f"filter(scored, c -> c.base OR c.probability >= {THRESHOLD})").alias("spans"))
+    return F.expr(f"filter(transform(found, c -> struct(c.start AS start, c.kind AS kind, c.end AS end, "
+                  f"c.base AS base, 1D / (1D + exp(-({z}))) AS probability)), "
+                  f"c -> c.base OR c.probability >= {THRESHOLD})")
 
 
 def redacted() -> Column:

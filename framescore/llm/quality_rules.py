@@ -52,15 +52,18 @@ def _kept_only(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and every measurement the rules use."""
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+            ) -> DataFrame:
+    """doc_id and every measurement the rules use (``carry``: and the whole row as ``row``)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    split = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text",
+    own = ["doc_id", "row"] if carry else ["doc_id"]
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    split = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *row, text.alias("text")).select(
+        *own, "text",
         F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     hashed = split.select(
-        "doc_id", "words",
+        *own, "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _kept_only(F.col("text"), "#*$%&|<>").alias("n_symbols"),
@@ -94,12 +97,13 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                          covered.alias("n_repeat_words"))
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False
+           ) -> DataFrame:
     """Measurements and ``failed``, the bits of the rules a document fails."""
     bits = F.lit(0).cast("long")
     for k, (_, failure) in enumerate(RULES):
         bits = bits + F.expr(f"CASE WHEN {failure} THEN {1 << k}L ELSE 0L END")
-    return measure(docs, id_col, text_col).withColumn("failed", bits)
+    return measure(docs, id_col, text_col, carry).withColumn("failed", bits)
 
 
 def apply_policy(rows: DataFrame, version: str = POLICY) -> DataFrame:
@@ -110,6 +114,12 @@ def apply_policy(rows: DataFrame, version: str = POLICY) -> DataFrame:
                        F.lit(version).alias("policy"))
 
 
+def keep(docs: DataFrame, version: str = POLICY, id_col: str = "doc_id", text_col: str = "text"
+         ) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the policy."""
+    return apply_policy(ledger(docs, id_col, text_col, carry=True), version).filter("kept").select("row.*")
+
+
 def ablation(rows: DataFrame, version: str = POLICY) -> DataFrame:
     """Per rule of the policy: documents that fail it, and those that only it rejects.
 

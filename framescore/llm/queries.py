@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framescore.llm import (bpe_words, hash_forest, hilbert, html_text, ngram_join, packing, pii, quality_cnn,
                             quality_rules, url_filter)
+from framescore.llm.oracles import ORACLE_SQL  # noqa: F401 - read with the queries
 from framescore.llm.tables import table
 
 
@@ -64,4 +65,3 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_quality_cnn, op4_hilbert_shards,
                                    op5_html_text, op6_ngram_join, op7_bpe_words, op8_packing, op9_quality_rules,
                                    op10_hash_forest)}
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": quality_rules.ORACLE}

@@ -24,7 +24,7 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 
 def dropped(df: DataFrame) -> None:
-    """Remove the files of a ``stored`` table that nothing reads any more."""
+    """Remove the files of the ``stored`` tables that ``df`` reads and nothing else needs."""
     spark = df.sparkSession
     for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)

@@ -132,10 +132,11 @@ def test_pii_estimate_orders_reliable_labelers():
 
 
 def test_pii_redaction(spark):
-    df = spark.createDataFrame([(0, "é a@b.cc x +1 (523) 555-1055!"), (1, None)], "doc_id bigint, text string")
-    spans = pii.find(df)
-    out = df.join(spans, "doc_id").select("doc_id", pii.redacted().alias("text"))
-    assert dict(out.collect()) == {0: "é [email] x [phone]!", 1: None}
+    df = spark.createDataFrame([(0, "é a@b.cc x +1 (523) 555-1055!", 5), (1, None, 6), (None, "+1234567890123.1.1.1 z", 7)],
+                               "doc_id bigint, text string, spans int")
+    out = pii.redact(df)
+    assert out.columns == df.columns
+    assert {r["spans"]: r["text"] for r in out.collect()} == {5: "é [email] x [phone]!", 6: None, 7: "[phone] z"}
 
 
 # ---------------------------------------------------------------- 2 url filter
