@@ -74,12 +74,18 @@ def _list_array(values: pa.Array, counts: np.ndarray, valid: np.ndarray) -> pa.A
 
 
 def encode_be_f32_arrow(arr: pa.Array) -> pa.Array:
-    """list<float> -> binary, 4 big-endian bytes per element (null element -> NaN)."""
+    """list<float> -> binary, 4 big-endian bytes per element.  A vector with a null
+    element has no payload (null), so it is rejected instead of scored as a NaN."""
     arr = _combine(arr)
+    holes = arr.flatten().null_count
+    if holes:
+        whole = np.ones(len(arr), dtype=bool)
+        whole[pc.list_parent_indices(arr).filter(pc.is_null(pc.list_flatten(arr))).to_numpy()] = False
+        arr = pc.if_else(pa.array(whole), arr, pa.scalar(None, arr.type))
     n = len(arr)
     counts = pc.list_value_length(arr).fill_null(0).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(arr).cast(pa.float32())
-    vals = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    vals = flat.to_numpy(zero_copy_only=False)
     data = np.ascontiguousarray(vals, dtype=np.float32).astype(WIRE_DTYPE).tobytes()
     offs = np.zeros(n + 1, dtype=np.int32)
     np.cumsum(counts.astype(np.int64) * FLOAT_BYTES, out=offs[1:])
@@ -312,6 +318,38 @@ def send_time_key(ts_col, ntz: bool = False) -> Column:
     return epoch_millis(ts_col, ntz).cast("string").cast("binary")
 
 
-def clock_key() -> Column:
-    """P13 live form: current epoch millis as key text (constant per micro-batch)."""
-    return F.unix_millis(F.current_timestamp()).cast("string").cast("binary")
+def _clock(values: pa.Array) -> pa.Array:
+    """Epoch milliseconds at which each record of the batch is reached, as text."""
+    import time
+    now = [time.time_ns() // 1_000_000 for _ in range(len(values))]
+    return pa.array([str(t).encode() for t in now], pa.binary())
+
+
+def clock_key(record) -> Column:
+    """P13 live form: the wall clock read for each record, as key text.  Evaluated
+    in Python next to the encoder; records sent within a millisecond share a key."""
+    c = F.col(record) if isinstance(record, str) else record
+    return F.arrow_udf(_clock, T.BinaryType()).asNondeterministic()(c)
+
+
+_BYTE_TIMES = T.StructType([T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType()),
+                            T.StructField("first", T.IntegerType())])
+
+
+def _first_byte_timed(values: pa.Array) -> pa.Array:
+    import time
+    start = time.time_ns() // 1_000_000
+    starts, lengths, data, valid = _binary_parts(values)
+    some = valid & (lengths > 0)
+    first = np.zeros(len(lengths), np.int32)
+    first[some] = data[starts[some]].astype(np.int8)
+    n, end = len(lengths), time.time_ns() // 1_000_000
+    return pa.StructArray.from_arrays(
+        [pa.array(np.full(n, start)), pa.array(np.full(n, end)), pa.array(first, mask=~some)],
+        names=["start_ms", "end_ms", "first"])
+
+
+def first_byte_timed(col) -> Column:
+    """P5 with the clock read before and after each batch: (start_ms, end_ms, first)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.arrow_udf(_first_byte_timed, _BYTE_TIMES).asNondeterministic()(c)

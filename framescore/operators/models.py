@@ -1,7 +1,7 @@
 """Scorers: ``predict(float32[n, d]) -> softmax scores [n, k]``.
 
-Models are small picklable objects shipped once to the executors (broadcast)
-and evaluated on whole Arrow batches.  Arithmetic is float64 inside; the
+Models are picklable objects shipped once to the executors as a file, whatever
+their size (``ship_model``), and evaluated on whole Arrow batches.  Arithmetic is float64 inside; the
 scorer emits float32 score vectors like the original graph outputs.
 
 * ``DenseSoftmax``  - one dense layer + softmax (keypoint NN, image NN).
@@ -9,20 +9,18 @@ scorer emits float32 score vectors like the original graph outputs.
 * ``OnnxModel``     - any ONNX file via onnxruntime, session built once per
   Python worker.
 
-``fit_centroids`` builds the dense stand-in model (per-class mean vectors) with
-a Spark aggregation; the result is k x d numbers, checked before it is pulled
-to the driver.
+``fit_centroids`` builds the dense stand-in model (per-class mean vectors) in one
+Arrow pass; the driver receives the k x d numbers of the model.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound of k * d numbers pulled to the driver for a fitted model.
-MAX_MODEL_NUMBERS = 50_000_000
-
 
 def softmax(z: np.ndarray) -> np.ndarray:
     z = np.asarray(z)
@@ -41,13 +39,15 @@ class DenseSoftmax:
     probabilities) or float32 (the original graphs' precision, about twice the
     matmul throughput)."""
 
-    def __init__(self, weights, bias=None, name: str = "dense", dtype=np.float64):
+    def __init__(self, weights, bias=None, name: str = "dense", dtype=np.float64, labels=None):
         self.dtype = np.dtype(dtype)
         self.weights = np.asarray(weights, dtype=self.dtype)
         self.classes, self.width = self.weights.shape
         self.bias = (np.zeros(self.classes, dtype=self.dtype) if bias is None
                      else np.asarray(bias, dtype=self.dtype))
         self.name = name
+        #: the label of each weight row, where that is not its number
+        self.labels = None if labels is None else np.asarray(labels, dtype=np.int64)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.asarray(x, dtype=self.dtype) @ self.weights.T + self.bias
@@ -199,30 +199,102 @@ def byte_weights(width: int, classes: int) -> np.ndarray:
 
 def fit_centroids(df: DataFrame, features: str = "embedding", label: str = "label",
                   name: str = "centroids") -> DenseSoftmax:
-    """Dense stand-in model: weight row k = mean feature vector of class k.
+    """Dense stand-in model: one weight row per distinct label, the mean vector of its rows.
 
-    One pass over the input: a Spark aggregation keyed by (class, position)
-    with map-side partial aggregation.  The k x d result is size-checked on the
-    executors before it is pulled to the driver (persisted meanwhile, so the
-    check and the pull share one computation; lineage is kept).
+    Each task adds its feature vectors into one sum per label it meets and emits
+    those; the sums of a label meet in a second Arrow pass that holds one vector at a
+    time.  The driver receives k x d numbers, the model itself.  Rows without a label
+    or with a null element carry nothing to learn; vectors of a label that differ in
+    length are an error.
     """
-    labelled = df.where(F.col(label).isNotNull())           # unlabelled rows carry no class
-    means = (labelled.select(F.col(label).alias("k"), F.posexplode(features).alias("i", "x"))
-               .groupBy("k", "i").agg(F.avg(F.col("x").cast("double")).alias("w"))
-               .persist())
-    try:
-        dims = means.agg(F.max("k").alias("k"), F.min("k").alias("k0"), F.max("i").alias("i"),
-                         F.count(F.lit(1)).alias("n")).first()
-        if not dims["n"]:
-            raise ValueError("no labelled rows to fit")
-        if dims["k0"] < 0:
-            raise ValueError(f"class labels must be >= 0, found {dims['k0']}")
-        k, d = int(dims["k"]) + 1, int(dims["i"]) + 1
-        if k * d > MAX_MODEL_NUMBERS:
-            raise ValueError(f"model of {k} x {d} is too large to ship to the driver")
-        t = means.toArrow()                 # columnar transfer, no per-row objects
-        w = np.zeros((k, d))
-        w[t.column("k").to_numpy(), t.column("i").to_numpy()] = t.column("w").to_numpy()
-    finally:
-        means.unpersist()
-    return DenseSoftmax(w, name=name)
+    known = df.where(F.col(label).isNotNull() & F.col(features).isNotNull()
+                     & ~F.exists(features, lambda x: x.isNull()))
+    rows = known.select(F.col(label).cast("bigint").alias("k"), F.col(features).cast("array<float>").alias("v"))
+    width = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sums = rows.mapInArrow(_vector_sums, _SUMS).repartition(width, "k").mapInArrow(_merge_sums, _SUMS)
+    got = sorted(sums.collect(), key=lambda r: r["k"])
+    if not got:
+        raise ValueError("no labelled rows to fit")
+    if got[0]["k"] < 0:
+        raise ValueError(f"class labels must be >= 0, found {got[0]['k']}")
+    weights = np.stack([np.frombuffer(bytes(r["v"]), "<f8") / r["n"] for r in got])
+    return DenseSoftmax(weights, name=name, labels=[r["k"] for r in got])
+
+
+_SUMS = "k bigint, n bigint, v binary"
+
+
+def _sum_rows(held: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(held), pa.int64()), pa.array([n for n, _ in held.values()], pa.int64()),
+         pa.array([v.astype("<f8").tobytes() for _, v in held.values()], pa.binary())], names=["k", "n", "v"])
+
+
+def _vector_sums(batches):
+    held: dict = {}
+    for batch in batches:
+        labels = batch.column("k").to_numpy(zero_copy_only=False)
+        column = batch.column("v")
+        lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        begin = np.cumsum(lengths) - lengths
+        for k in np.unique(labels):
+            own = np.flatnonzero(labels == k)
+            d = int(lengths[own[0]])
+            if (lengths[own] != d).any():
+                raise ValueError(f"feature vectors of label {k} differ in length")
+            total = flat[begin[own][:, None] + np.arange(d)].sum(axis=0)
+            n, v = held.get(int(k), (0, 0.0))
+            held[int(k)] = (n + len(own), v + total)
+    if held:
+        yield _sum_rows(held)
+
+
+def _merge_sums(batches):
+    held: dict = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            n, v = held.get(r["k"], (0, 0.0))
+            held[r["k"]] = (n + r["n"], v + np.frombuffer(r["v"], "<f8"))
+    if held:
+        yield _sum_rows(held)
+
+
+def ship_model(spark, model) -> str:
+    """Ship a model of any size as a file to every executor; returns the file's name.
+
+    The name is the content's hash, so a model is shipped once per application."""
+    import atexit
+    import hashlib
+    import os
+    import pickle
+    import shutil
+    import tempfile
+    raw = pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL)
+    name = f"framescore-model-{hashlib.sha256(raw).hexdigest()[:24]}.pickle"
+    sc = spark.sparkContext
+    shipped = sc.__dict__.setdefault("_framescore_models", set())
+    if name not in shipped:
+        folder = tempfile.mkdtemp(prefix="framescore-model-")     # served until the driver ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = os.path.join(folder, name)
+        with open(path, "wb") as f:
+            f.write(raw)
+        sc.addFile(path)
+        shipped.add(name)
+    return name
+
+
+_LOADED: dict = {}
+
+
+def load_model(name: str):
+    """The shipped model, opened once per Python worker (the latest one is kept)."""
+    if name not in _LOADED:
+        import pickle
+
+        from pyspark import SparkFiles
+        _LOADED.clear()
+        with open(SparkFiles.get(name), "rb") as f:
+            _LOADED[name] = pickle.load(f)
+    return _LOADED[name]

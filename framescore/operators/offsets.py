@@ -10,10 +10,10 @@ counts of the earlier ranges of the same ``p``.  The shift table has at most
 
 The numbered rows are written once as a parquet table in the shared
 checkpoint folder, so both uses read the same materialised ids even if an
-executor is lost, and the shift aggregation reads only two narrow columns.  The shift
-table is joined back with the join strategy AQE picks from its runtime size
-(broadcast when under ``spark.sql.adaptive.autoBroadcastJoinThreshold``, else
-a shuffle join), so no extra pass over the data is spent on sizing it.
+executor is lost, and the shift aggregation reads only two narrow columns.  The number
+of ranges follows the size of the input.  The shift table is counted and broadcast, so the
+log is not shuffled a second time; only a table above ``MAX_SHIFT_ROWS`` (far more ranges and
+topic partitions than a cluster has tasks) is joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -24,11 +24,22 @@ from pyspark.sql import functions as F
 from framescore.session import ensure_checkpoint_dir, materialize
 
 
+RANGE_BYTES = 64 << 20
+MAX_SHIFT_ROWS = 1_000_000
+
+
+def ranges_for(df: DataFrame) -> int:
+    """One range per ``RANGE_BYTES`` of the plan's estimated size, a task per core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(-(-size // RANGE_BYTES), MAX_SHIFT_ROWS // 2))
+
+
 def assign_offsets(df: DataFrame, partition_col: str, order_cols: list,
                    offset_col: str = "offset", num_ranges: int | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_ranges or ranges_for(df)
     keys = [partition_col, *order_cols]
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                 .withColumn("_fs_rid", F.monotonically_increasing_id()))
@@ -42,6 +53,9 @@ def assign_offsets(df: DataFrame, partition_col: str, order_cols: list,
                          F.coalesce(F.sum("_fs_n").over(before), F.lit(0)).alias("_fs_base"))
     # null-safe on the partition value, so rows without one are numbered too
     shift = shift.withColumnRenamed(partition_col, "_fs_p").withColumnRenamed("_fs_task", "_fs_t")
+    shift = materialize(shift, "offset-shift")
+    if shift.count() <= MAX_SHIFT_ROWS:
+        shift = F.broadcast(shift)
     out = ranged.join(shift, F.col(partition_col).eqNullSafe(F.col("_fs_p"))
                       & (F.col("_fs_task") == F.col("_fs_t")))
     out = out.withColumn(offset_col,

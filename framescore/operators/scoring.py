@@ -1,6 +1,6 @@
 """Model scoring on the executors, one Arrow batch at a time.
 
-``score`` is one Arrow UDF in a projection: the model is broadcast once, each
+``score`` is one Arrow UDF in a projection: the model is shipped once as a file, each
 Arrow batch of the feature column becomes one [n, d] matrix (no per-row
 Python), the model runs on the whole matrix, and the winning class follows the
 P8 rule.  Only the feature column is sent to the Python worker; the other
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from framescore.functions.argmax import winning_class
 from framescore.functions.codec import (FLOAT_BYTES, WIRE_DTYPE, _binary_parts, _gather)
+from framescore.operators.models import load_model, ship_model
 
 SCORE_FIELDS = [
     T.StructField("scores", T.ArrayType(T.FloatType())),
@@ -85,18 +86,8 @@ def _matrix_from_payload(arr, d: int, kind):
     return x, ok
 
 
-# Largest pickled model shipped by broadcast; bigger artifacts go through
-# ``models.ship_model_file`` (addFile, loaded from local disk on the executors).
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def _broadcast_model(spark, model):
-    import pickle
-    size = len(pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL))
-    if size > MAX_BROADCAST_BYTES:
-        raise ValueError(f"model pickles to {size} bytes (> {MAX_BROADCAST_BYTES}); "
-                         "ship it as a file with models.ship_model_file")
-    return spark.sparkContext.broadcast(model)
+def _fields(timings: bool, with_scores: bool) -> list[T.StructField]:
+    return (SCORE_FIELDS if with_scores else SCORE_FIELDS[1:]) + (TIMING_FIELDS if timings else [])
 
 
 _ARROW_TYPES = {T.IntegerType: pa.int32(), T.LongType: pa.int64(), T.DoubleType: pa.float64()}
@@ -116,14 +107,14 @@ def score_column(model, features, input="floats", timings: bool = True,
     column of the row stays in the JVM."""
     from pyspark.sql import SparkSession
     spark = spark or SparkSession.getActiveSession()
-    bmodel = _broadcast_model(spark, model)
+    shipped = ship_model(spark, model)
     d = int(model.width)
-    fields = SCORE_FIELDS + (TIMING_FIELDS if timings else [])
+    fields = _fields(timings, with_scores)
     out_type = T.StructType(fields)
     arrow_fields = [_arrow_field(f) for f in fields]
 
     def run(col: pa.Array) -> pa.Array:
-        m = bmodel.value
+        m = load_model(shipped)
         n = len(col)
         start_ms = time.time_ns() // 1_000_000
         t0 = time.perf_counter_ns()
@@ -138,16 +129,17 @@ def score_column(model, features, input="floats", timings: bool = True,
         lab = winning_class(s)
         k = s.shape[1] if s.ndim == 2 else 0
         prob = s[np.arange(n), lab] if k else np.full(n, np.nan)
+        if getattr(m, "labels", None) is not None and k:
+            lab = m.labels[lab]
         bad = ~ok
+        cols = []
         if with_scores:
             offs = pa.array(np.arange(n + 1, dtype=np.int32) * k, type=pa.int32())
-            scores = pa.ListArray.from_arrays(
+            cols.append(pa.ListArray.from_arrays(
                 offs, pa.array(np.asarray(s, dtype=np.float32).reshape(-1)),
-                mask=pa.array(bad))
-        else:
-            scores = pa.nulls(n, pa.list_(pa.float32()))
-        cols = [scores, pa.array(lab.astype(np.int32), mask=bad),
-                pa.array(prob.astype(np.float64), mask=bad)]
+                mask=pa.array(bad)))
+        cols += [pa.array(lab.astype(np.int32), mask=bad),
+                 pa.array(prob.astype(np.float64), mask=bad)]
         if timings:
             t3 = time.perf_counter_ns()
             end_ms = time.time_ns() // 1_000_000
@@ -170,9 +162,9 @@ def score_column(model, features, input="floats", timings: bool = True,
 def score(df: DataFrame, model, features: str = "features", keep: list | None = None,
           input="floats", timings: bool = True, with_scores: bool = True) -> DataFrame:
     """Score ``features`` with ``model``; output = ``keep`` columns (default: all
-    but the features) + scores, label, prob (+ stage times)."""
+    but the features) + scores (unless ``with_scores=False``), label, prob (+ stage times)."""
     keep = [c for c in df.columns if c != features] if keep is None else list(keep)
     s = score_column(model, features, input, timings, with_scores, spark=df.sparkSession)
-    names = [f.name for f in SCORE_FIELDS + (TIMING_FIELDS if timings else [])]
+    names = [f.name for f in _fields(timings, with_scores)]
     staged = df.select(*keep, s.alias("_fs_score"))
     return staged.select(*keep, *[F.col("_fs_score")[n].alias(n) for n in names])

@@ -8,17 +8,20 @@ a fresh folder under the shared checkpoint folder.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescore.functions.argmax import argmax_label
 from framescore.functions.codec import (decode_features, first_byte_signed, first_feature,
                                         scaled_sums, send_time)
-from framescore.functions.trace import return_topic
+from framescore.functions.trace import join_fields, return_topic
 from framescore.operators.evaluate import accuracy
 from framescore.operators.models import (DenseSoftmax, LstmSoftmax, byte_weights, fit_centroids,
                                          ship_model_file)
 from framescore.operators.onnx_export import dense_to_onnx
+from framescore.operators.rejects import IMAGE_RECORDS
 from framescore.operators.scoring import score
 from framescore.plans import jobs
 from framescore.session import shared_path, write_bytes
@@ -39,6 +42,7 @@ ICON_SIDE = 8                   # embeddings rendered as 8 x 8 images for IDX fi
 START_OFFSET = 10
 LSTM_PARAMS = dict(steps=8, features=8, hidden=16, classes=10, seed=7)
 FIRST_N = 100
+FRAMES_PER_DOC = 1 << 20        # an offset of the image log is doc_id times this plus the frame
 IDX_FILE_ROWS = 256             # images per IDX file pair
 RECORD_LOG_FILE_ROWS = 250      # several files per record log, so replay takes several batches
 EVENT_LOG_FILE_ROWS = 12500
@@ -95,17 +99,31 @@ def passthrough_timed_q(spark, sf_dir):
     return passthrough_q(spark, sf_dir, timed=True)
 
 
+def _csv_lines(spark, sf_dir, name: str, *extra: str) -> tuple[str, int]:
+    """Embeddings as CSV lines, some of them malformed by a fixed rule on ``vec_id % 50``
+    (7: ten features only, 8: a null element, 9: six columns more), with ``extra`` columns at
+    the end; and the width, the most frequent number of features."""
+    e = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
+    width = e.groupBy(F.size("embedding").alias("w")).count().orderBy(F.desc("count"), "w").first()["w"]
+    odd = F.col("vec_id") % 50
+    none = F.array(F.lit(None).cast("float"))
+    v = (F.when(odd == 7, F.slice("embedding", 1, 10))
+         .when(odd == 8, F.concat(none, F.slice("embedding", 2, width - 1)))
+         .when(odd == 9, F.concat("embedding", F.slice("embedding", 1, 6)))
+         .otherwise(F.col("embedding")))
+    path = shared_path(spark, name)
+    (e.select(render_csv_line(v, *extra).alias("value")).write.mode("overwrite").text(path))
+    return path, width
+
+
 def feature_csv_q(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    path = shared_path(spark, "features-csv")
-    (e.select(render_csv_line("embedding", "label", "vec_id").alias("value"))
-      .write.mode("overwrite").text(path))
-    width = 64
+    """Every feature of every good line, and one row with the reason for a rejected one."""
+    path, width = _csv_lines(spark, sf_dir, "features-csv", "label", "vec_id")
     rows = feature_csv(spark, path, width, keep_fields=True)
-    rows = rows.where(F.col("reject_reason").isNull())
-    vec = F.element_at("_fs_fields", width + 2).cast("bigint").alias("vec_id")
-    d = rows.select(vec, F.posexplode("features").alias("pos", "x"))
-    return d.select("vec_id", F.col("pos").cast("bigint").alias("pos"), _r6(F.col("x")).alias("x"))
+    vec = F.element_at("_fs_fields", -1).cast("bigint").alias("vec_id")
+    d = rows.select(vec, "reject_reason", F.posexplode_outer("features").alias("pos", "x"))
+    return d.select("vec_id", F.col("pos").cast("bigint").alias("pos"), _r6(F.col("x")).alias("x"),
+                    "reject_reason")
 
 
 def first_byte_signed_q(spark, sf_dir):
@@ -168,13 +186,10 @@ def score_onnx_q(spark, sf_dir):
 
 
 def score_csv_q(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    path = shared_path(spark, "score-csv")
-    (e.select(render_csv_line("embedding", "vec_id").alias("value"))
-      .write.mode("overwrite").text(path))
+    path, _ = _csv_lines(spark, sf_dir, "score-csv", "vec_id")
     model = dense_model(spark, sf_dir)
-    out = jobs.csv_labels(spark, path, model, model.width, key_field=model.width + 1)
-    return out.select(F.col("key").cast("bigint").alias("vec_id"), "label")
+    out = jobs.csv_labels(spark, path, model, model.width, key_field=-1)
+    return out.select(F.col("key").cast("bigint").alias("vec_id"), "label", "reject_reason")
 
 
 def accuracy_q(spark, sf_dir):
@@ -190,8 +205,14 @@ def score_lstm_q(spark, sf_dir):
 
 
 def stage_times_q(spark, sf_dir):
-    out = _scored(spark, sf_dir)
-    return out.select(_vec_id(), "start_ms", "tensor_ns", "infer_ns", "post_ns", "end_ms")
+    """What must hold of the measured times of every record."""
+    recs = embedding_records(spark, sf_dir).select(_vec_id(send_time("key")), "value")
+    t = score(recs, dense_model(spark, sf_dir), features="value", keep=["vec_id"], input="f32be",
+              with_scores=False)
+    return t.select("vec_id", (F.col("end_ms") >= F.col("start_ms")).alias("clock_ok"),
+                    ((F.col("tensor_ns") >= 0) & (F.col("infer_ns") >= 0)
+                     & (F.col("post_ns") >= 0)).alias("stages_ok"),
+                    (F.col("batch_rows") >= 1).alias("batch_ok"))
 
 
 def _frames(df: DataFrame, size: int) -> DataFrame:
@@ -251,14 +272,14 @@ def trace_fields_q(spark, sf_dir):
     return out.select(
         _vec_id(), "send_time", return_topic(TOPIC).alias("topic"), "partition", "offset",
         "label", F.size(f).alias("n_fields"),
-        F.concat_ws(" : ", f[0], f[6], f[7], f[8]).alias("line"))
+        join_fields([f[0], f[6], f[7], f[8]], " : ").alias("line"))
 
 
-def stream_replay_q(spark, sf_dir):
+def _stream_scored(spark, sf_dir, model):
     log = _record_log(spark, sf_dir)
     out = shared_path(spark, "stream-out")
     jobs.run_stream(spark, jobs.scored, source="parquet", path=log, topic=TOPIC,
-                    outfile=out, available_now=True, model=dense_model(spark, sf_dir),
+                    outfile=out, available_now=True, model=model,
                     max_files_per_trigger=4, wait_timeout_s=600)
     f = F.split(F.col("value"), " : ")
     lines = spark.read.text(out)
@@ -268,6 +289,89 @@ def stream_replay_q(spark, sf_dir):
         f[8].cast("int").alias("label"))
 
 
+def stream_replay_q(spark, sf_dir):
+    return _stream_scored(spark, sf_dir, dense_model(spark, sf_dir))
+
+
+def stream_lstm_q(spark, sf_dir):
+    """M2 as a stream."""
+    return _stream_scored(spark, sf_dir, LstmSoftmax.seeded(**LSTM_PARAMS)).select("vec_id", "label")
+
+
+def stream_topic_q(spark, sf_dir):
+    """A log that holds two topics, replayed for one of them."""
+    log = shared_path(spark, "two-topics")
+    both = embedding_records(spark, sf_dir, "t1").unionByName(embedding_records(spark, sf_dir, "t2"))
+    write_record_log(both, log, max_records_per_file=RECORD_LOG_FILE_ROWS)
+    out = shared_path(spark, "topic-out")
+    jobs.run_stream(spark, "passthrough", source="parquet", path=log, topic="t1", outfile=out,
+                    available_now=True, max_files_per_trigger=8, wait_timeout_s=600)
+    f = F.split(F.col("value"), " : ")
+    return spark.read.text(out).select(
+        _vec_id(f[0]), f[4].cast("int").alias("partition"), f[5].cast("bigint").alias("offset"))
+
+
+def stream_images_q(spark, sf_dir):
+    """M3 as a stream: every frame of every document as a record without a key; a label per
+    whole image, a reason for what is left of a text."""
+    frames = _frames(document_records(spark, sf_dir).select("doc_id", "value"), IMAGE_BYTES)
+    place = F.col("doc_id") * FRAMES_PER_DOC + F.col("frame")
+    log = shared_path(spark, "frame-log")
+    write_record_log(frames.select(
+        F.lit(None).cast("binary").alias("key"), "value", F.lit("images").alias("topic"),
+        (F.col("doc_id") % 4).cast("int").alias("partition"), place.alias("offset"),
+        F.timestamp_millis(F.lit(KEY_BASE_MS)).alias("timestamp"), F.lit(0).alias("timestampType")), log)
+    model = DenseSoftmax(byte_weights(IMAGE_BYTES, IMAGE_CLASSES), name="image-dense")
+
+    def job(records, m):
+        out = jobs.bare_labels(records, m, STREAM_DIVISOR, keep=["offset"])
+        return out.withColumn("value", F.concat_ws(" ", F.col("offset").cast("string"), "value"))
+
+    out, rej = shared_path(spark, "frame-out"), shared_path(spark, "frame-rejects")
+    jobs.run_stream(spark, job, source="parquet", path=log, topic="images", outfile=out, rejects_path=rej,
+                    available_now=True, model=model, max_files_per_trigger=4, spec=IMAGE_RECORDS,
+                    wait_timeout_s=600)
+    f = F.split("value", " ")
+    told = spark.read.text(out).select(f[0].cast("bigint").alias("offset"), f[1].alias("outcome")).unionByName(
+        spark.read.parquet(rej).select("offset", F.col("reject_reason").alias("outcome")))
+    return told.select(F.expr(f"offset div {FRAMES_PER_DOC}").alias("doc_id"),
+                       (F.col("offset") % FRAMES_PER_DOC).alias("frame"), "outcome")
+
+
+def stream_keyvalue_q(spark, sf_dir):
+    """R4 as a stream over payloads of one to four bytes."""
+    log = shared_path(spark, "short-log")
+    recs = document_records(spark, sf_dir)
+    short = F.expr("substring(value, 1, cast(1 + doc_id % 4 AS int))")
+    write_record_log(recs.withColumn("value", short), log, max_records_per_file=RECORD_LOG_FILE_ROWS)
+    out, rej = shared_path(spark, "short-out"), shared_path(spark, "short-rejects")
+    jobs.run_stream(spark, "keyvalue", source="parquet", path=log, topic="documents", outfile=out,
+                    rejects_path=rej, available_now=True, max_files_per_trigger=4, wait_timeout_s=600)
+    f = F.split(F.col("value"), " ")
+    lines = spark.read.text(out).select(
+        f[0].cast("bigint").alias("doc_id"), f[3].cast("int").alias("first_byte"),
+        F.lit(None).cast("string").alias("reject_reason"),
+        (f[2].cast("bigint") >= f[1].cast("bigint")).alias("clock_ok"))
+    lost = spark.read.parquet(rej).select(
+        (F.col("offset") * 4 + F.col("partition")).alias("doc_id"), F.lit(None).cast("int").alias("first_byte"),
+        "reject_reason", F.lit(None).cast("boolean").alias("clock_ok"))
+    return lines.unionByName(lost)
+
+
+def publish_keys_q(spark, sf_dir):
+    """P13 live: every record has a numeric send time of this run, and the log's
+    partitions are filled evenly."""
+    before = F.lit(int(time.time() * 1000) - 1)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    log = shared_path(spark, "published")
+    write_record_log(jobs.as_replay_log(jobs.publish(e, "embedding", TOPIC), 4), log)
+    sent = F.col("key").cast("string").try_cast("bigint")
+    per = spark.read.parquet(log).groupBy("partition").agg(
+        F.count("*").alias("n"), F.count(F.when(sent.between(before, before + 86_400_000), 1)).alias("timed"))
+    return per.agg(F.sum("n").alias("n"), F.sum("timed").alias("n_timed"), F.count("*").alias("n_partitions"),
+                   (F.max("n") - F.min("n") <= 0.1 * F.max("n")).alias("even"))
+
+
 def event_stream_q(spark, sf_dir):
     """The key/value job on a stream: timed event records replayed from a log,
     4-field lines (send time, clock, clock, signed first byte) to a text sink."""
@@ -283,20 +387,25 @@ def event_stream_q(spark, sf_dir):
 
 
 def stream_rejects_q(spark, sf_dir):
-    """§1.3 + K2: document texts replayed as keypoint payloads into the dense
-    model.  Malformed records go to a rejects table with their reason, the
-    rest are scored; both written per micro-batch by ``foreachBatch``."""
-    log = shared_path(spark, "doc-log")
-    write_record_log(document_records(spark, sf_dir), log,
-                     max_records_per_file=RECORD_LOG_FILE_ROWS)
-    out, rej = shared_path(spark, "doc-out"), shared_path(spark, "doc-rejects")
-    jobs.run_stream(spark, jobs.scored, source="parquet", path=log, outfile=out,
+    """§1.3 + K2: keypoint records, some of them malformed by a fixed rule on ``vec_id % 10``
+    (0: no key, 1: no value, 2: three bytes, 3: half the floats), into the dense model.  One
+    row per record: its class, or the reason why it has none."""
+    log = shared_path(spark, "odd-log")
+    odd = (F.col("offset") * 4 + F.col("partition")) % 10
+    recs = embedding_records(spark, sf_dir)
+    recs = recs.withColumn("value", F.when(odd == 1, F.lit(None)).when(odd == 2, F.expr("substring(value, 1, 3)"))
+                           .when(odd == 3, F.expr("substring(value, 1, length(value) div 2)"))
+                           .otherwise(F.col("value"))).withColumn("key", F.when(odd != 0, F.col("key")))
+    write_record_log(recs, log, max_records_per_file=RECORD_LOG_FILE_ROWS)
+    out, rej = shared_path(spark, "odd-out"), shared_path(spark, "odd-rejects")
+    jobs.run_stream(spark, jobs.scored, source="parquet", path=log, topic=TOPIC, outfile=out,
                     rejects_path=rej, available_now=True, model=dense_model(spark, sf_dir),
-                    wait_timeout_s=600)
-    scored = spark.read.text(out).select(F.lit("scored").alias("outcome"))
-    rejected = spark.read.parquet(rej).select(F.col("reject_reason").alias("outcome"))
-    return (scored.unionByName(rejected).groupBy("outcome")
-            .agg(F.count(F.lit(1)).alias("n")))
+                    max_files_per_trigger=4, wait_timeout_s=600)
+    f = F.split("value", " : ")
+    scored = spark.read.text(out).select(_vec_id(f[0]), f[8].alias("outcome"))
+    rejected = spark.read.parquet(rej).select((F.col("offset") * 4 + F.col("partition")).alias("vec_id"),
+                                              F.col("reject_reason").alias("outcome"))
+    return scored.unionByName(rejected)
 
 
 def start_offset_q(spark, sf_dir):
@@ -337,6 +446,11 @@ QUERIES = {
     "stream_rejects": stream_rejects_q,
     "start_offset": start_offset_q,
     "first_n": first_n_q,
+    "stream_images": stream_images_q,
+    "stream_keyvalue": stream_keyvalue_q,
+    "stream_topic": stream_topic_q,
+    "stream_lstm": stream_lstm_q,
+    "publish_keys": publish_keys_q,
     "score_lstm": score_lstm_q,
     "stage_times": stage_times_q,
 }

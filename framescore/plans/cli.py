@@ -2,15 +2,18 @@
 
     python -m framescore.plans.cli JOB [--topic T] [--outfile P] [--timeout MS] ...
 
-JOB: passthrough | keyvalue | scored | images | publish
-  --topic      source topic (default ``stair``); results go to ``<topic>-return``
-               unless --outfile is given
+JOB: passthrough | keyvalue | scored | images | publish | results
+  --topic      source topic (default ``stair``; on replay: every topic of the log); results
+               go to ``<topic>-return`` unless --outfile is given
+  --rejects    where malformed records go (default: beside the output); --strict fails instead
   --outfile    write result lines as text files instead of the return topic
   --timeout    trigger interval in milliseconds (latency knob); default trigger if unset
   --source     ``kafka`` or ``parquet`` (replayable record log at --path)
   --model      ``centroids:<sf_dir>`` | ``lstm[:seed]`` | ``onnx:<file>:<width>:<classes>``
 publish: --csv <path> --width N writes keyed float32 records to the topic (or --outfile
-         as a parquet record log).
+         as a parquet record log); rejected lines go to --rejects.
+results: the result lines of --topic (or of the text files at --path), written to --outfile.
+A second run of a job goes on where the first stopped; --overwrite starts over.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ import sys
 if __package__ in (None, ""):          # run as a script file (spark-submit .../cli.py)
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
-from framescore.session import get_session  # noqa: E402
+from framescore.operators.rejects import BYTE_RECORDS, FLOAT_RECORDS, IMAGE_RECORDS  # noqa: E402
+from framescore.session import drop_derived, get_session  # noqa: E402
 from framescore.sources.records import DEFAULT_TOPIC  # noqa: E402
 
 
@@ -45,8 +49,8 @@ def _model(spark, spec: str | None):
 
 def main(argv=None):
     ap = argparse.ArgumentParser(prog="framescore")
-    ap.add_argument("job", choices=["passthrough", "keyvalue", "scored", "images", "publish"])
-    ap.add_argument("--topic", default=DEFAULT_TOPIC)
+    ap.add_argument("job", choices=["passthrough", "keyvalue", "scored", "images", "publish", "results"])
+    ap.add_argument("--topic", help=f"default {DEFAULT_TOPIC}; a replayed log is read whole without it")
     ap.add_argument("--outfile")
     ap.add_argument("--timeout", type=int)
     ap.add_argument("--source", default="kafka", choices=["kafka", "parquet"])
@@ -64,6 +68,13 @@ def main(argv=None):
                     help="replace an earlier fresh run's --outfile")
     ap.add_argument("--max-bytes-per-trigger", type=int,
                     help="replay: bound each micro-batch by input bytes")
+    ap.add_argument("--max-files-per-trigger", type=int,
+                    help="replay: bound each micro-batch by files")
+    ap.add_argument("--min-partitions", type=int,
+                    help="kafka: cut hot topic partitions into at least this many read tasks")
+    ap.add_argument("--rejects")
+    ap.add_argument("--strict", action="store_true", help="fail on the first malformed record")
+    ap.add_argument("--limit", type=int, help="results: the first N lines in record order")
     ap.add_argument("--max-offsets-per-trigger", type=int,
                     help="kafka: bound each micro-batch by records")
     ap.add_argument("--float32", action="store_true",
@@ -74,18 +85,34 @@ def main(argv=None):
 
     spark = get_session(app=f"framescore-{a.job}")
     from framescore.plans import jobs
+    from framescore.sinks.results import read_return_topic, write_text
 
     if a.job == "publish":
         from pyspark.sql import functions as F
 
         from framescore.sinks.results import publish_kafka, write_record_log
         from framescore.sources.csv import feature_csv
-        rows = feature_csv(spark, a.csv, a.width).where(F.col("reject_reason").isNull())
-        recs = jobs.publish(rows, "features", a.topic)
+        rows = feature_csv(spark, a.csv, a.width)
+        if a.strict:
+            rows = rows.withColumn("features", F.when(F.col("reject_reason").isNull(), F.col("features"))
+                                   .otherwise(F.raise_error(F.concat(F.lit("bad line: "), "reject_reason"))))
+        else:
+            (rows.where(F.col("reject_reason").isNotNull()).select("value", "reject_reason")
+             .write.mode("overwrite").parquet(a.rejects or (a.outfile or a.csv).rstrip("/") + "-rejects"))
+        recs = jobs.publish(rows.where(F.col("reject_reason").isNull()), "features", a.topic or DEFAULT_TOPIC)
         if a.outfile:
             write_record_log(jobs.as_replay_log(recs, a.partitions), a.outfile)
         else:
-            publish_kafka(recs, a.topic, a.bootstrap)
+            publish_kafka(recs, a.topic or DEFAULT_TOPIC, a.bootstrap)
+        drop_derived(spark)
+        return
+    if a.job == "results":
+        if a.source == "kafka":
+            out = read_return_topic(spark, a.topic or DEFAULT_TOPIC, a.bootstrap, a.limit)
+        else:
+            out = spark.read.text(a.path)
+            out = out if a.limit is None else out.limit(a.limit)
+        write_text(out, a.outfile)
         return
 
     model = _model(spark, a.model)
@@ -102,7 +129,11 @@ def main(argv=None):
                     available_now=a.available_now, checkpoint=a.checkpoint, model=model,
                     starting_offsets="earliest" if a.earliest else None,
                     overwrite=a.overwrite, max_bytes_per_trigger=a.max_bytes_per_trigger,
-                    max_offsets_per_trigger=a.max_offsets_per_trigger)
+                    max_offsets_per_trigger=a.max_offsets_per_trigger,
+                    max_files_per_trigger=a.max_files_per_trigger, min_partitions=a.min_partitions,
+                    rejects_path=a.rejects, strict=a.strict, job_name=a.job,
+                    spec={"keyvalue": BYTE_RECORDS, "images": IMAGE_RECORDS}.get(a.job, FLOAT_RECORDS))
+    drop_derived(spark)
 
 
 if __name__ == "__main__":

@@ -18,28 +18,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescore.functions.codec import (clock_key, decode_timed, encode_features,
-                                        first_byte_signed, first_feature, float_text, send_time)
+                                        first_byte_timed, first_feature, float_text, send_time)
 from framescore.functions.trace import return_topic_name, trace_line
 from framescore.operators.evaluate import accuracy
 from framescore.operators.offsets import assign_offsets
-from framescore.operators.rejects import REASON, tag_rejects
+from framescore.operators.rejects import (BYTE_RECORDS, FLOAT_RECORDS, IMAGE_RECORDS, REASON,
+                                          RejectSpec, tag_rejects)
 from framescore.operators.scoring import score
-from framescore.session import delete_path, path_exists, shared_path
+from framescore.session import delete_path, materialize, path_exists, stable_path
 from framescore.sources.csv import feature_csv
 from framescore.sources.idx import idx_images, idx_labels
 from framescore.sources.records import DEFAULT_TOPIC, publish_records, record_stream
-from framescore.streaming.runner import run_to_end, start_stream, trigger_args
+from framescore.streaming.runner import run_to_end, start_split
 
 
 def _clock_ms():
     return F.unix_millis(F.current_timestamp())
 
 
-def passthrough(records: DataFrame, keep: list | None = None, timed: bool = False) -> DataFrame:
-    """R7 + line.  Default: the first feature is read natively in Catalyst
-    (nothing else is decoded), start/end are the micro-batch clock and no decode
-    time is measured (0).  ``timed=True`` decodes whole payloads in one Arrow
-    pass and reports the measured per-batch decode time, as the original did."""
+def passthrough(records: DataFrame, keep: list | None = None, timed: bool = True) -> DataFrame:
+    """R7 + line: whole payloads are decoded in one Arrow pass, and start, end and decode
+    time are measured per batch, as the original did.  ``timed=False`` reads the first feature
+    natively in Catalyst (nothing else is decoded, so no decode time exists: 0)."""
     if timed:
         t = records.select(*(keep or []), send_time("key").alias("send_time"), "partition",
                            "offset", decode_timed("value").alias("_fs_t"))
@@ -57,11 +57,12 @@ def passthrough(records: DataFrame, keep: list | None = None, timed: bool = Fals
 
 
 def keyvalue(records: DataFrame, keep: list | None = None) -> DataFrame:
-    """R4 + line (single-space layout)."""
-    out = records.select(*(keep or []),
-                         send_time("key").alias("send_time"), _clock_ms().alias("start_ms"),
-                         _clock_ms().alias("end_ms"),
-                         first_byte_signed("value").alias("first_byte"))
+    """R4 + line (single-space layout); both clocks are read on the executor, before and
+    after the batch's first bytes are taken."""
+    t = records.select(*(keep or []), send_time("key").alias("send_time"),
+                       first_byte_timed("value").alias("_fs_t"))
+    out = t.select(*(keep or []), "send_time", F.col("_fs_t.start_ms").alias("start_ms"),
+                   F.col("_fs_t.end_ms").alias("end_ms"), F.col("_fs_t.first").alias("first_byte"))
     return out.withColumn("value", trace_line("keyvalue"))
 
 
@@ -70,7 +71,7 @@ def scored(records: DataFrame, model, keep_extra: list | None = None) -> DataFra
     keep = ["send_time", "partition", "offset", *(keep_extra or [])]
     r = records.select(send_time("key").alias("send_time"), "partition", "offset",
                        *(keep_extra or []), "value")
-    s = score(r, model, features="value", keep=keep, input="f32be")
+    s = score(r, model, features="value", keep=keep, input="f32be", with_scores=False)
     cols = ["send_time", "start_ms", "tensor_ns", "infer_ns", "post_ns", "end_ms",
             "partition", "offset", "label", *(keep_extra or [])]
     return s.select(*cols).withColumn("value", trace_line("scored"))
@@ -87,16 +88,15 @@ def bare_labels(records: DataFrame, model, divisor: float = 225.0,
 
 def csv_labels(spark: SparkSession, path: str, model, width: int,
                key_field: int | None = None) -> DataFrame:
-    """M5 (+S8): feature CSV -> class per row.  ``key_field`` (1-based, past the
-    features) names an extra column to carry along as ``key``; rejected rows
-    (short, non-numeric) are left out here and kept by ``feature_csv``."""
+    """M5 (+S8): feature CSV -> class per row.  ``key_field`` (1-based past the features,
+    or from the end if negative) names an extra column to carry along as ``key``.  Every
+    line gives a row: a rejected one has its ``reject_reason`` and no class."""
     rows = feature_csv(spark, path, width, keep_fields=key_field is not None)
-    good = rows.where(F.col("reject_reason").isNull())
     if key_field is not None:
-        good = good.select(F.element_at("_fs_fields", key_field).alias("key"), "features")
+        rows = rows.select(F.try_element_at("_fs_fields", F.lit(key_field)).alias("key"), "features", REASON)
     else:
-        good = good.select("value", "features")
-    return score(good, model, features="features", timings=False)
+        rows = rows.select("value", "features", REASON)
+    return score(rows, model, features="features", timings=False, with_scores=False)
 
 
 def image_accuracy(spark: SparkSession, path: str, model, divisor: float = 255.0) -> DataFrame:
@@ -110,96 +110,86 @@ def image_accuracy(spark: SparkSession, path: str, model, divisor: float = 255.0
 
 def publish(df: DataFrame, features: str, topic: str, key=None, partition: str | None = None,
             offset: str | None = None, timestamp: str | None = None) -> DataFrame:
-    """Producer: features -> (key = send-time text, value = float32 payload).
-    Partition and offset stay null unless given: a broker assigns them."""
-    key_col = clock_key() if key is None else (F.col(key) if isinstance(key, str) else key)
+    """Producer: features -> (key = send-time text, value = float32 payload).  The send time
+    is read for each record.  Partition and offset stay null unless given: a broker assigns
+    them.  A vector that is null or has a null element has no payload (``value`` is null);
+    the reading jobs reject it as ``null_value``."""
+    key_col = clock_key(features) if key is None else (F.col(key) if isinstance(key, str) else key)
     staged = df.withColumn("_fs_key", key_col).withColumn("_fs_val", encode_features(features))
     return publish_records(staged, "_fs_key", "_fs_val", topic, partition, offset, timestamp)
 
 
 def as_replay_log(records: DataFrame, partitions: int = 4) -> DataFrame:
-    """Assign what a broker would for a replayable log: partition = key hash
-    modulo ``partitions``, offset = dense arrival rank within the partition
-    (arrival = key, then input position)."""
-    staged = (records.withColumn("partition", F.pmod(F.hash("key"), F.lit(partitions)).cast("int"))
-                     .withColumn("_fs_seq", F.monotonically_increasing_id())
-                     .drop("offset"))
-    out = assign_offsets(staged, "partition", ["key", "_fs_seq"])
+    """Assign what a broker would for a replayable log.  Records are dealt round the
+    partitions in arrival order (send times of a burst are equal, so a key's hash would
+    fill one partition); offset = dense arrival rank within the partition.  The log is
+    written once first, because a live send time differs each time it is read."""
+    staged = materialize(records.drop("partition", "offset").withColumn(
+        "_fs_seq", F.monotonically_increasing_id()), "replay-log")
+    dealt = staged.withColumn("partition", F.pmod("_fs_seq", F.lit(partitions)).cast("int"))
+    out = assign_offsets(dealt, "partition", ["key", "_fs_seq"])
     return out.drop("_fs_seq")
 
 
+#: What each job can read of a record; a job that is not named reads keyed float payloads.
 JOBS = {"passthrough": passthrough, "keyvalue": keyvalue}
+SPECS = {passthrough: FLOAT_RECORDS, keyvalue: BYTE_RECORDS, scored: FLOAT_RECORDS,
+         bare_labels: IMAGE_RECORDS}
 
 
 def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str | None = None,
-               topic: str = DEFAULT_TOPIC, bootstrap: str | None = None, outfile: str | None = None,
+               topic: str | None = None, bootstrap: str | None = None, outfile: str | None = None,
                timeout_ms: int | None = None, available_now: bool = False,
-               checkpoint: str | None = None, model=None, sink_format: str = "text",
+               checkpoint: str | None = None, model=None,
                starting_offsets: str | None = None, max_files_per_trigger: int | None = None,
-               rejects_path: str | None = None, overwrite: bool = False,
+               rejects_path: str | None = None, strict: bool = False, overwrite: bool = False,
                max_bytes_per_trigger: int | None = None, max_offsets_per_trigger: int | None = None,
-               wait: bool = True, wait_timeout_s: float | None = None):
+               min_partitions: int | None = None, spec: RejectSpec | None = None,
+               job_name: str | None = None, wait: bool = True, wait_timeout_s: float | None = None):
     """U4 parameters -> a running query.  Results go to ``outfile`` when given,
-    else to the ``<topic>-return`` topic.
-
-    Malformed records (null key or value, payload under 4 bytes, wrong width
-    for the model) never reach the job.  With ``rejects_path`` they are kept:
-    every micro-batch writes its result lines to ``outfile/batch_id=N`` and its
-    rejects ``(partition, offset, reject_reason)`` to ``rejects_path/batch_id=N``,
-    both with overwrite, so a replayed micro-batch replaces its own output.
-
-    A run without ``checkpoint`` is a fresh run.  Its ``outfile`` must not hold
-    the sink log of an earlier run (the file sink would take those batches as
-    done and write nothing); ``overwrite=True`` replaces it, as the original
-    jobs' overwrite mode did."""
-    records = record_stream(spark, source, path=path, topic=topic if source == "kafka" else None,
+    else to the ``<topic>-return`` topic.  A replayed log is read for ``topic``
+    only, if one is given.
+
+    Malformed records (by the job's ``spec``) never reach the job and are never
+    dropped: every micro-batch writes its result lines to ``outfile/batch_id=N``
+    (or the return topic) and its rejects ``(topic, partition, offset,
+    reject_reason)`` to ``rejects_path/batch_id=N``, both with overwrite, so a
+    replayed micro-batch replaces its own output.  Without ``rejects_path`` they go to
+    ``<outfile>-rejects``, or to the progress folder if results go to a topic.  ``strict``
+    fails the query on the first one instead.
+
+    Progress is kept in ``checkpoint``; without one, in a folder named after job,
+    topic, path and outfile below the shared folder, so a second run of the same job
+    goes on where the first stopped.  ``overwrite=True`` starts over: earlier output,
+    rejects and progress of that name go."""
+    name = job_name or (job if isinstance(job, str) else getattr(job, "__name__", "job"))
+    fn = JOBS.get(job, job) if isinstance(job, str) else job
+    progress = checkpoint or stable_path(spark, name, topic or "", path or bootstrap or "", outfile or "")
+    if rejects_path is None:
+        rejects_path = (outfile.rstrip("/") + "-rejects") if outfile else progress + "-rejects"
+    if overwrite:
+        for old in (outfile, rejects_path, progress):
+            if old:
+                delete_path(spark, old)
+    elif outfile and path_exists(spark, outfile) and not path_exists(spark, progress):
+        raise FileExistsError(f"{outfile} holds another run's output; pass overwrite=True or "
+                              "that run's checkpoint")
+    records = record_stream(spark, source, path=path,
+                            topic=(topic or DEFAULT_TOPIC) if source == "kafka" else topic,
                             bootstrap=bootstrap, starting_offsets=starting_offsets,
                             max_files_per_trigger=max_files_per_trigger,
                             max_bytes_per_trigger=max_bytes_per_trigger,
-                            max_offsets_per_trigger=max_offsets_per_trigger, projection="all")
-    width = getattr(model, "width", None) if model is not None else None
-    tagged = tag_rejects(records, width=width)
-    fn = JOBS.get(job, job) if isinstance(job, str) else job
+                            max_offsets_per_trigger=max_offsets_per_trigger,
+                            min_partitions=min_partitions, projection="all")
+    spec = (spec or SPECS.get(fn, FLOAT_RECORDS)).for_model(model)
+    tagged = tag_rejects(records, strict=strict, spec=spec)
 
     def apply(df):
         good = df.where(F.col(REASON).isNull()).drop(REASON)
         return fn(good, model) if model is not None else fn(good)
 
-    if checkpoint is None:
-        for out_path in (outfile, rejects_path):
-            if out_path and path_exists(spark, out_path):
-                if not overwrite:
-                    raise FileExistsError(f"{out_path} holds an earlier run's output; pass "
-                                          "overwrite=True or that run's checkpoint")
-                delete_path(spark, out_path)
-    checkpoint = checkpoint or shared_path(spark, f"ckpt-{topic}")
-    trig = trigger_args(timeout_ms, available_now)
-    if rejects_path:
-        if not outfile:
-            raise ValueError("rejects_path needs outfile")
-
-        def per_batch(batch: DataFrame, batch_id: int):
-            batch.persist()
-            try:
-                (apply(batch).select("value").write.mode("overwrite")
-                    .text(f"{outfile.rstrip('/')}/batch_id={batch_id}"))
-                (batch.where(F.col(REASON).isNotNull())
-                      .select("topic", "partition", "offset", REASON)
-                      .write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch_id={batch_id}"))
-            finally:
-                batch.unpersist()
-
-        w = tagged.writeStream.option("checkpointLocation", checkpoint)
-        if trig:
-            w = w.trigger(**trig)
-        q = w.foreachBatch(per_batch).start()
-    elif outfile:
-        out = apply(tagged)
-        fmt = "text" if sink_format == "text" else sink_format
-        data = out.select("value") if fmt == "text" else out
-        q = start_stream(data, fmt, checkpoint, path=outfile, timeout_ms=timeout_ms,
-                         available_now=available_now)
-    else:
-        q = start_stream(apply(tagged), "kafka", checkpoint, topic=return_topic_name(topic),
-                         bootstrap=bootstrap, timeout_ms=timeout_ms, available_now=available_now)
+    target = {"path": outfile} if outfile else {"topic": return_topic_name(topic or DEFAULT_TOPIC),
+                                                "bootstrap": bootstrap}
+    q = start_split(tagged, apply, REASON, progress, rejects_path, **target, timeout_ms=timeout_ms,
+                    available_now=available_now)
     return run_to_end(q, wait_timeout_s) if wait else q

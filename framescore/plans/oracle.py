@@ -102,8 +102,11 @@ SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS "partition", CAST(vec_id // 4 AS B
 FROM embeddings
 """,
     "feature_csv": """
-SELECT vec_id, CAST(i AS BIGINT) AS pos, round(x::DOUBLE, 6) AS x
-FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)
+WITH g AS (SELECT vec_id, embedding, CASE vec_id % 50 WHEN 7 THEN 'short_row' WHEN 8 THEN 'bad_number' END AS r
+           FROM embeddings)
+SELECT vec_id, CAST(i AS BIGINT) AS pos, round(x::DOUBLE, 6) AS x, r AS reject_reason
+FROM (SELECT vec_id, r, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM g WHERE r IS NULL)
+UNION ALL SELECT vec_id, NULL, NULL, r FROM g WHERE r IS NOT NULL
 """,
     "first_byte_signed": """
 SELECT doc_id, CASE WHEN u > 127 THEN u - 256 ELSE u END AS b
@@ -140,7 +143,11 @@ SELECT top.vec_id, CAST(top.label AS INTEGER) AS label, round(p.p, 5) AS prob, t
 FROM top JOIN p ON top.vec_id = p.vec_id AND top.label = p.k
 WHERE top.rn = 1
 """,
-    "score_csv": _DENSE_LABELS,
+    "score_csv": f"""
+SELECT vec_id, CASE WHEN vec_id % 50 NOT IN (7, 8) THEN label END AS label,
+       CASE vec_id % 50 WHEN 7 THEN 'short_row' WHEN 8 THEN 'bad_number' END AS reject_reason
+FROM ({_DENSE_LABELS})
+""",
     "score_onnx": _DENSE_LABELS,
     "accuracy": f"""
 WITH pred AS ({_DENSE_LABELS})
@@ -202,14 +209,30 @@ SELECT epoch_us(ts) // 1000 AS send_time,
        4 AS n_fields
 FROM (SELECT ts, ('0x' || substr(hex(value::FLOAT::BIT::BLOB), 1, 2))::INTEGER AS u FROM events)
 """,
-    "stream_rejects": """
-SELECT outcome, count(*) AS n
-FROM (SELECT CASE WHEN text IS NULL THEN 'null_value'
-                  WHEN octet_length(encode(text)) < 4 THEN 'short_value'
-                  WHEN octet_length(encode(text)) // 4 <> 64 THEN 'bad_width'
-                  ELSE 'scored' END AS outcome
+    "stream_rejects": f"""
+SELECT vec_id, CASE vec_id % 10 WHEN 0 THEN 'null_key' WHEN 1 THEN 'null_value' WHEN 2 THEN 'short_value'
+                    WHEN 3 THEN 'bad_width' ELSE CAST(label AS VARCHAR) END AS outcome
+FROM ({_DENSE_LABELS})
+""",
+    "stream_topic": """
+SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS "partition", CAST(vec_id // 4 AS BIGINT) AS "offset"
+FROM embeddings
+""",
+    "stream_keyvalue": """
+SELECT doc_id, CASE WHEN u > 127 THEN u - 256 ELSE u END AS first_byte,
+       CASE WHEN text IS NULL THEN 'null_value' WHEN u IS NULL THEN 'short_value' END AS reject_reason,
+       CASE WHEN u IS NOT NULL THEN true END AS clock_ok
+FROM (SELECT doc_id, text,
+             CASE WHEN octet_length(encode(text)) > 0
+                  THEN ('0x' || substr(hex(encode(text)), 1, 2))::INTEGER END AS u
       FROM documents)
-GROUP BY outcome
+""",
+    "publish_keys": """
+SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_timed, 4::BIGINT AS n_partitions, true AS even
+FROM embeddings
+""",
+    "stage_times": """
+SELECT vec_id, true AS clock_ok, true AS stages_ok, true AS batch_ok FROM embeddings
 """,
     "start_offset": """
 SELECT CAST(vec_id % 4 AS INTEGER) AS "partition", count(*) AS n
@@ -228,6 +251,9 @@ def _with_lstm():
     from framescore.operators.models import LstmSoftmax
     from framescore.plans.catalog import LSTM_PARAMS
     ORACLE_SQL["score_lstm"] = lstm_sql(LstmSoftmax.seeded(**LSTM_PARAMS))
+    ORACLE_SQL["stream_lstm"] = ORACLE_SQL["score_lstm"]
+    ORACLE_SQL["stream_images"] = (f"SELECT doc_id, frame, value AS outcome "
+                                   f"FROM ({ORACLE_SQL['score_images']})")
 
 
 _with_lstm()

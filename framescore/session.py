@@ -3,14 +3,20 @@
 Derived files (record logs, CSV renderings, IDX files, stream checkpoints) are
 written below the folder the cluster names in ``spark.checkpoint.dir`` so that
 every executor sees them and a lost executor never takes them along.  A folder
-of our own is only chosen when the session has none (local tests).
+of our own is only chosen by a ``local`` session that names none; on a cluster that is an
+error.  ``drop_derived`` removes what a session derived; the launcher and the bench call it.
 """
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import re
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -44,6 +50,7 @@ def get_session(master: str | None = None, app: str = "framescore",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -56,7 +63,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local tests: no cluster-wide folder exists.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all "
+                               f"executors share; {sc.master} has no such folder by itself")
         configured = tempfile.mkdtemp(prefix="framescore-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -64,9 +73,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    base = base.rstrip("/")
-    return f"{base}/framescore/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_derived_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _derived_root(spark: SparkSession) -> str:
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/framescore"
+
+
+def drop_derived(spark: SparkSession) -> None:
+    """Remove every derived folder of this session (its results must have been read)."""
+    delete_path(spark, _derived_root(spark))
+
+
+def stable_path(spark: SparkSession, *parts: str) -> str:
+    """A folder that later runs with the same parts find again (stream progress).
+
+    Below the shared folder itself, not below this application's part of it."""
+    sc = spark.sparkContext
+    configured = (spark.conf.get("spark.checkpoint.dir", None)
+                  or sc.getConf().get("spark.checkpoint.dir", None))
+    base = (configured or os.path.dirname(ensure_checkpoint_dir(spark))).rstrip("/")
+    key = hashlib.sha256("\0".join(parts).encode()).hexdigest()[:16]
+    return f"{base}/framescore-progress/{parts[0]}-{key}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that Python workers import it whatever
+    their working folder and path (once per application)."""
+    sc = spark.sparkContext
+    if sc.__dict__.setdefault("_framescore_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="framescore-ship-")          # served until the driver ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "framescore-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, names in sorted(os.walk(root)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.join("framescore", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc.__dict__["_framescore_shipped"] = True
 
 
 def materialize(df, name: str):

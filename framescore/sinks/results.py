@@ -63,7 +63,7 @@ def read_results(spark: SparkSession, path: str, fmt: str = "parquet", limit: in
                  order_by=("offset", "partition")) -> DataFrame:
     """K5: read a result output back, first ``limit`` rows in record order."""
     df = spark.read.format(fmt).load(path)
-    return first_n(df, limit, list(order_by)) if limit else df
+    return df if limit is None else first_n(df, limit, list(order_by))
 
 
 def return_topic_reader_options(topic: str, bootstrap: str) -> dict:
@@ -80,4 +80,4 @@ def read_return_topic(spark: SparkSession, topic: str, bootstrap: str,
     df = (spark.read.format("kafka").options(**return_topic_reader_options(topic, bootstrap))
           .load().select("partition", "offset", "timestamp",
                          F.col("value").cast("string").alias("value")))
-    return first_n(df, limit, ["offset", "partition"]) if limit else df
+    return df if limit is None else first_n(df, limit, ["offset", "partition"])

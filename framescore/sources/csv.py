@@ -47,10 +47,13 @@ def feature_csv(spark: SparkSession, path: str, width: int = 500,
 
 
 def render_csv_line(features, *extra) -> Column:
-    """Features (+ trailing extra columns) as one CSV line, floats in JVM text."""
+    """Features (+ trailing extra columns) as one CSV line, floats in JVM text.
+
+    A null element or extra column is an empty field, so it keeps its place (and
+    an empty feature field is then a ``bad_number``); null features have no line."""
     f = F.col(features) if isinstance(features, str) else features
-    parts = [F.concat_ws(",", f.cast("array<string>"))]
+    parts = [F.array_join(f.cast("array<string>"), ",", "")]
     for e in extra:
         parts.append(F.lit(","))
-        parts.append((F.col(e) if isinstance(e, str) else e).cast("string"))
+        parts.append(F.coalesce((F.col(e) if isinstance(e, str) else e).cast("string"), F.lit("")))
     return F.concat(*parts)

@@ -20,7 +20,6 @@ by (partition, chunk), so a retried task rewrites the same files atomically.
 from __future__ import annotations
 
 import gzip
-import io
 import os
 import re
 import struct
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framescore.functions.codec import _binary_parts, _gather
 from framescore.session import write_bytes
 
 IMAGE_SCHEMA = T.StructType([
@@ -137,20 +137,14 @@ def idx_labels(spark: SparkSession, path: str, glob: str = "*labels-idx1-ubyte.g
     return df.repartition(repartition) if repartition else df
 
 
-def encode_idx(pixels: list, labels: list | None, h: int, w: int):
+def encode_idx(pixels: bytes, labels: bytes | None, count: int, h: int, w: int):
     """Bytes of an IDX image file and (optionally) a label file, gzip-compressed."""
-    img = io.BytesIO()
-    img.write(struct.pack(">iiii", IMAGE_MAGIC, len(pixels), h, w))
-    for p in pixels:
-        if len(p) != h * w:
-            raise ValueError(f"image of {len(p)} bytes, expected {h * w}")
-        img.write(p)
-    out_img = gzip.compress(img.getvalue())
-    out_lab = None
-    if labels is not None:
-        lab = struct.pack(">ii", LABEL_MAGIC, len(labels)) + bytes(int(x) for x in labels)
-        out_lab = gzip.compress(lab)
-    return out_img, out_lab
+    if len(pixels) != count * h * w:
+        raise ValueError(f"{count} images of {len(pixels)} bytes, expected {h * w} bytes each")
+    img = gzip.compress(struct.pack(">iiii", IMAGE_MAGIC, count, h, w) + pixels)
+    if labels is None:
+        return img, None
+    return img, gzip.compress(struct.pack(">ii", LABEL_MAGIC, count) + labels)
 
 
 def write_idx_pair(df: DataFrame, path: str, pixels: str, label: str, h: int, w: int,
@@ -167,36 +161,42 @@ def write_idx_pair(df: DataFrame, path: str, pixels: str, label: str, h: int, w:
     from pyspark import TaskContext
 
     base = path.rstrip("/")
+    whole = F.col(pixels).isNotNull() & F.col(label).between(0, 255)
+    bad = df.where(~F.coalesce(whole, F.lit(False))).limit(1).count()
+    if bad:
+        raise ValueError("an IDX file holds images with labels 0-255; drop or map the other rows first")
     staged = df.select(F.col(pixels).alias("pixels"), F.col(label).cast("int").alias("label"),
                        *([F.col(order_by).alias("_fs_order")] if order_by else []))
     if order_by:
         staged = staged.sortWithinPartitions("_fs_order")
 
     def write(batches):
-        pid = TaskContext.get().partitionId()
-        pix, lab, chunk = [], [], 0
+        pid, chunk = TaskContext.get().partitionId(), 0
+        pix, lab, held = [], [], 0
 
         def flush():
             src = f"part-{pid:05d}-{chunk:05d}"
-            img, labs = encode_idx(pix, lab, h, w)
+            img, labs = encode_idx(b"".join(pix), b"".join(lab), held, h, w)
             write_bytes(f"{base}/{src}{IMAGE_SUFFIX}", img)
             write_bytes(f"{base}/{src}{LABEL_SUFFIX}", labs)
-            return pa.RecordBatch.from_arrays([pa.array([src]), pa.array([len(pix)], pa.int64())],
+            return pa.RecordBatch.from_arrays([pa.array([src]), pa.array([held], pa.int64())],
                                               names=["source", "n"])
 
         for rb in batches:
-            p_col, l_col = rb.column("pixels").to_pylist(), rb.column("label").to_pylist()
             j = 0
-            while j < len(p_col):
-                take = min(rows_per_file - len(pix), len(p_col) - j)
-                pix.extend(p_col[j:j + take])
-                lab.extend(l_col[j:j + take])
-                j += take
-                if len(pix) == rows_per_file:
+            while j < rb.num_rows:
+                part = rb.slice(j, min(rows_per_file - held, rb.num_rows - j))
+                starts, lengths, data, _ = _binary_parts(part.column("pixels"))
+                if (lengths != h * w).any():
+                    raise ValueError(f"an image is not {h * w} bytes long")
+                pix.append(_gather(starts, lengths, data).tobytes())
+                lab.append(part.column("label").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
+                held, j = held + part.num_rows, j + part.num_rows
+                if held == rows_per_file:
                     yield flush()
                     chunk += 1
-                    pix, lab = [], []
-        if pix:
+                    pix, lab, held = [], [], 0
+        if held:
             yield flush()
 
     manifest = staged.mapInArrow(write, "source string, n bigint")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framescore.functions.codec import send_time
+
 # Spark's Kafka source schema; the parquet record log uses the same columns.
 RECORD_SCHEMA = T.StructType([
     T.StructField("key", T.BinaryType()),
@@ -90,8 +92,8 @@ def record_stream(spark: SparkSession, source: str = "parquet", *, path: str | N
         df = r.load(path)
         if topic is not None:
             df = df.where(F.col("topic") == F.lit(topic))
-    if projection == "text":                             # S4
-        return df.select(F.col("value").cast("string").alias("value"))
+    if projection == "text":                             # S4: bad bytes are replaced as in P7
+        return df.select(send_time("value").alias("value"))
     if projection == "all":
         return df
     return df.select(*PROJECTIONS[projection])

@@ -8,13 +8,14 @@
 * T5 ``start()`` + ``awaitTermination``.
 
 Sinks: ``kafka`` (K1), ``parquet``/``text`` file sinks (append, exactly-once
-through the sink's own log), ``memory`` for tests, and ``overwrite-text``
-(K2 under streaming) via ``foreachBatch``.
+through the sink's own log), ``memory`` for tests, ``overwrite-text`` (K2 under
+streaming) via ``foreachBatch``, and ``start_split``, which keeps rejects as well.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from framescore.sinks.results import kafka_sink_options
@@ -61,6 +62,41 @@ def start_stream(df: DataFrame, sink: str, checkpoint: str, *, path: str | None
     return w.format(sink).outputMode("append").option("path", path).start()
 
 
+def start_split(tagged: DataFrame, apply, reason: str, checkpoint: str, rejects_path: str, *,
+                path: str | None = None, topic: str | None = None, bootstrap: str | None = None,
+                timeout_ms: int | None = None, available_now: bool = False) -> StreamingQuery:
+    """Result lines and rejects of every micro-batch to their own places.
+
+    ``tagged`` holds the records with their reject reason; each branch is one pass over
+    the batch, so nothing is held in memory between them.  Lines go below ``path`` or to
+    the broker; the rejects are written first, so a batch that counts as done has both."""
+    if topic is not None:
+        _broker_or_hint(tagged, topic, bootstrap, checkpoint)
+
+    def per_batch(batch: DataFrame, batch_id: int):
+        (batch.where(F.col(reason).isNotNull()).select("topic", "partition", "offset", reason)
+              .write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch_id={batch_id}"))
+        lines = apply(batch).select("value")
+        if path is not None:
+            lines.write.mode("overwrite").text(f"{path.rstrip('/')}/batch_id={batch_id}")
+        else:
+            lines.write.format("kafka").options(**kafka_sink_options(topic, bootstrap)).save()
+
+    w = tagged.writeStream.option("checkpointLocation", checkpoint)
+    trig = trigger_args(timeout_ms, available_now)
+    return (w.trigger(**trig) if trig else w).foreachBatch(per_batch).start()
+
+
+def _broker_or_hint(df: DataFrame, topic: str, bootstrap: str, checkpoint: str) -> None:
+    """Fail before the stream starts if there is no connector for its sink."""
+    try:
+        df.sparkSession._jvm.java.lang.Class.forName(
+            "org.apache.spark.sql.kafka010.KafkaSourceProvider", False,
+            df.sparkSession._jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    except Exception as e:  # noqa: BLE001 - re-raised with the fix
+        raise RuntimeError(KAFKA_HINT.format(version=df.sparkSession.version)) from e
+
+
 def run_to_end(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
     """T5 for bounded replay: wait until the query stops (availableNow)."""
     if timeout_s is None:

@@ -139,8 +139,10 @@ def test_fresh_run_into_old_output_needs_overwrite(spark, scratch):
     kw = dict(source="parquet", path=log, outfile=out, available_now=True, model=m,
               wait_timeout_s=300)
     jobs.run_stream(spark, jobs.scored, **kw)
-    with pytest.raises(FileExistsError):
-        jobs.run_stream(spark, jobs.scored, **kw)
+    jobs.run_stream(spark, jobs.scored, **kw)              # the same job goes on: nothing new
+    assert spark.read.text(out).count() == 500
+    with pytest.raises(FileExistsError):                   # another job into the same place
+        jobs.run_stream(spark, "keyvalue", **{**kw, "model": None})
     jobs.run_stream(spark, jobs.scored, overwrite=True, **kw)
     assert spark.read.text(out).count() == 500
 
@@ -162,3 +164,36 @@ def test_assign_offsets_keeps_null_partition_rows(spark):
                                "event_id long, p int")
     got = {r["event_id"]: r["offset"] for r in assign_offsets(df, "p", ["event_id"], num_ranges=3).collect()}
     assert got == {1: 0, 3: 1, 2: 0, 4: 1, 5: 0}
+
+
+def test_offsets_do_not_shuffle_the_log_twice(spark):
+    """With the smallest broadcast threshold the shift table is still broadcast: the only
+    exchange of the log is the range one, which is written before."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        ev = table(spark, SF, "events").withColumn("p", (F.col("user_id") % 4).cast("int"))
+        out = assign_offsets(ev, "p", ["event_id"], num_ranges=6)
+        n = out.count()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert n == ev.count() and "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_rejects_are_kept_by_default_and_strict_fails(spark, scratch):
+    import pytest
+    log = os.path.join(scratch, "log8")
+    rows = [(b"1", b"\x01", 0, 0), (b"2", b"", 0, 1), (None, b"\x02\x03", 0, 2), (b"3", b"\xff\x00\x01", 0, 3)]
+    df = spark.createDataFrame(rows, "key binary, value binary, partition int, offset long").selectExpr(
+        "key", "value", "'t' AS topic", "partition", "offset", "current_timestamp() AS timestamp",
+        "0 AS timestampType")
+    write_record_log(df, log)
+    out = os.path.join(scratch, "out8")
+    kw = dict(source="parquet", path=log, available_now=True, wait_timeout_s=300)
+    jobs.run_stream(spark, "keyvalue", outfile=out, **kw)
+    assert sorted(r[0].split(" ")[3] for r in spark.read.text(out).collect()) == ["-1", "1"]
+    kept = {r["offset"]: r["reject_reason"] for r in spark.read.parquet(out + "-rejects").collect()}
+    assert kept == {1: "short_value", 2: "null_key"}
+    with pytest.raises(Exception, match="bad record"):
+        jobs.run_stream(spark, "keyvalue", outfile=os.path.join(scratch, "out9"), strict=True, **kw)

@@ -170,3 +170,72 @@ def test_missing_kafka_connector_message_on_sinks(spark, scratch):
     with pytest.raises(RuntimeError, match="spark-sql-kafka"):
         start_stream(stream, "kafka", os.path.join(scratch, "ck"), topic="t",
                      bootstrap="localhost:9092")
+
+
+def test_null_elements_keep_their_place_and_are_rejected(spark, scratch):
+    from framescore.functions.codec import encode_features
+    from framescore.sources.csv import render_csv_line
+    df = spark.createDataFrame([([1.0, None, 3.0], 9), ([1.0, 2.0, 3.0], None), (None, 1)],
+                               "f array<float>, id int").coalesce(1)
+    lines = [r[0] for r in df.select(render_csv_line("f", "id")).collect()]
+    assert lines == ["1.0,,3.0,9", "1.0,2.0,3.0,", None]
+    got = parse_features(spark.createDataFrame([(x,) for x in lines], "value string"), 3).collect()
+    assert [r["reject_reason"] for r in got] == ["bad_number", None, "null_row"]
+    sent = [r[0] for r in df.select(encode_features("f")).collect()]
+    assert sent[0] is None and sent[1] == struct.pack(">3f", 1, 2, 3) and sent[2] is None
+
+
+def test_idx_writer_names_what_it_cannot_hold(spark, scratch):
+    import pytest
+    df = spark.createDataFrame([(1, b"\x00" * 4, 256)], "k int, px binary, y int")
+    with pytest.raises(ValueError, match="labels 0-255"):
+        write_idx_pair(df, os.path.join(scratch, "idx"), "px", "y", 2, 2)
+
+
+def test_limit_zero_is_no_rows(spark, scratch):
+    from framescore.sinks.results import read_results
+    path = os.path.join(scratch, "t")
+    spark.range(3).selectExpr("id AS offset", "0 AS partition").write.parquet(path)
+    assert read_results(spark, path, limit=0).count() == 0
+    assert read_results(spark, path).count() == 3
+
+
+def test_shared_folder_is_required_off_local():
+    import pytest
+
+    from framescore.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
+
+
+def test_workers_find_the_package_from_any_folder(scratch):
+    """Only the driver's path names the package; the workers get it by addPyFile."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from framescore.session import get_session\n"
+            "s = get_session('local[2]', shuffle_partitions=2)\n"
+            "import __spark_entry__ as e\n"
+            "print('ROWS', e.queries()['score_dense'](s, '/root/testdata/sf0.001').count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    r = subprocess.run([sys.executable, "-c", code], cwd=scratch, env=env, capture_output=True, text=True,
+                       timeout=300)
+    assert "ROWS 500" in r.stdout, r.stderr[-2000:]
