@@ -301,18 +301,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, per_task: int = 4096) -> DataFrame:
-    """Those of the pairs (x, y) that link, as edges (a, b).  A class with very many
-    partners is dealt over tasks of about ``per_task`` partners."""
+    """Those of the pairs (x, rep_x, y, rep_y) that link, as edges (a, b).  A class with very
+    many partners is dealt over tasks of about ``per_task`` partners.
+
+    The wanted sets, for either role, are one small table, so the sets are read and sent once."""
     width = shuffle_width(pairs.sparkSession)
-    tasks = pairs.groupBy("y").agg((F.floor(F.count("*") / per_task) + 1).alias("tasks"))
-    asked = pairs.join(tasks, "y").select("x", "y", F.pmod(F.xxhash64("x"), F.col("tasks")).alias("salt"))
-    left = asked.join(tokens, "x").select("y", "salt", "x", "tokens")
-    right = (tasks.join(tokens.withColumnRenamed("x", "y"), "y")
-             .select("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"),
-                     F.lit(None).cast("bigint").alias("x"), "tokens"))
-    met = (right.unionByName(left).repartition(width, "y", "salt")
-           .sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first()))
-    return met.mapInArrow(_compare, "a bigint, b bigint")
+    tasks = pairs.groupBy("y", "rep_y").agg((F.floor(F.count("*") / per_task) + 1).alias("tasks"))
+    salt = F.pmod(F.xxhash64("x"), F.col("tasks")).alias("salt")
+    asked = pairs.join(tasks.select("y", "tasks"), "y").select(
+        F.col("x").alias("id"), F.col("rep_x").alias("rep"), "y", salt, "x")
+    held = tasks.select(F.col("y").alias("id"), F.col("rep_y").alias("rep"), "y", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("x"))
+    wanted = stored(asked.unionByName(held), "ngram-wanted")
+    met = (tokens.join(wanted, ["id", "rep"]).select("y", "salt", "x", "tokens")
+           .repartition(width, "y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first()))
+    return met.mapInArrow(_compare, "a bigint, b bigint").distinct()
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -370,8 +373,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
     reps = stored(reps, "ngram-reps")
     bits = spark.sparkContext.broadcast(_bitmap(reps.select("rep")))   # 1 << BITMAP_BITS bits
     sets = texts.mapInArrow(_tokens_of(bits), "doc_id bigint, x bigint, tokens binary")
-    tokens = stored(sets.join(reps, (sets.doc_id == reps.rep) & (sets.x == reps.h1)).select("x", "tokens")
-                    .dropDuplicates(["x"]), "ngram-sets")
+    # a class's set is asked for by its representative's id, so sets of other copies never join
+    tokens = stored(sets.select(F.col("x").alias("id"), F.col("doc_id").alias("rep"), "tokens"), "ngram-sets")
     edges = spark.createDataFrame([], "a bigint, b bigint")
     groups = spark.createDataFrame([], "node bigint, comp bigint")
     tried = spark.createDataFrame([], "x bigint, y bigint")
@@ -396,7 +399,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
             pairs = fit.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
         else:
             pairs = _opened(named, ratio)
-        pairs = stored(pairs.join(tried, ["x", "y"], "left_anti"), "ngram-pairs")
+        fresh = pairs.join(tried, ["x", "y"], "left_anti")
+        for end in ("x", "y"):
+            fresh = fresh.join(reps.select(F.col("h1").alias(end), F.col("rep").alias(f"rep_{end}")), end)
+        pairs = stored(fresh, "ngram-pairs")
         tried = tried.unionByName(pairs.select("x", "y")).unionByName(
             pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
         edges = edges.unionByName(stored(verified(pairs, tokens), "ngram-edges"))
