@@ -308,6 +308,32 @@ def test_html_text(spark):
     assert _rows(html_text.contract(html_text.extract(empty, html_text.train(empty)))) == []
 
 
+def test_html_text_in_unseen_markup():
+    """Pages in varied markup, made with another seed than those the trees learn from."""
+    rng = random.Random(9)
+    paragraphs = [" ".join(rng.choice(["river", "stone", "under,", "walked.", "evening", "of", "the", "quiet"])
+                           for _ in range(rng.randint(6, 90))).capitalize() + "." for _ in range(80)]
+
+    def rows(seed, count):
+        for source in html_text.made_pages(paragraphs, count, seed):
+            page = html_text.Page(source)
+            marked, label = html_text._made_labels(source)
+            keep = np.array(["zmain" not in w for w in marked.names])
+            assert keep.sum() == len(page.tag)
+            yield page, label[keep]
+
+    train = list(rows(3, 300))
+    model = html_text.Boosted().fit(np.concatenate([p.features() for p, _ in train]),
+                                    np.concatenate([y for _, y in train]).astype(float))
+    hit = found = true = 0
+    for page, label in rows(77, 150):
+        got = page.text(page.decode(model.probability(page.features()))).split("\n")
+        want = page.text(label).split("\n")
+        hit += sum(min(got.count(x), want.count(x)) for x in set(want))
+        found, true = found + len(got), true + len(want)
+    assert hit / found > 0.95 and hit / true > 0.95, (hit, found, true)
+
+
 def test_html_parser_survives_broken_markup():
     rng = random.Random(6)
     bits = ["<p>", "</p>", "<div class='a\"", "<a href=x>", "</a>", "<!-- ", "-->", "<script>", "</script>", "text ", "<", ">", "&amp",
