@@ -43,7 +43,7 @@ START_OFFSET = 10
 LSTM_PARAMS = dict(steps=8, features=8, hidden=16, classes=10, seed=7)
 FIRST_N = 100
 FRAMES_PER_DOC = 1 << 20        # an offset of the image log is doc_id times this plus the frame
-IDX_FILE_ROWS = 256             # images per IDX file pair
+IDX_FILE_ROWS = 8192            # images per IDX file pair
 RECORD_LOG_FILE_ROWS = 250      # several files per record log, so replay takes several batches
 EVENT_LOG_FILE_ROWS = 12500
 
