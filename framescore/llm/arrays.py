@@ -96,13 +96,20 @@ def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
     top = int(lens.max())
     gap = bool((starts[1:] != ends[:-1]).any()) or starts[0] != 0 or ends[-1] != len(data)
     before = np.cumsum(lens) - lens
-    pos = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(before, lens)
-    taken = data[pos + np.repeat(starts, lens)] if gap else data
+    whole = np.int32 if len(data) < 1 << 31 else np.int64            # small arrays: these are the largest
+    pos = np.arange(int(lens.sum()), dtype=whole)
+    pos -= np.repeat(before.astype(whole), lens)
+    if gap:
+        at = np.repeat(starts.astype(whole), lens)
+        at += pos
+        terms = byte[data[at]]
+        del at
+    else:
+        terms = byte[data]
     if top > len(weight):
-        w = weight[pos % len(weight)] + (pos // len(weight)).astype(np.uint64) * np.uint64(2)
+        terms *= weight[pos % len(weight)] + (pos // len(weight)).astype(np.uint64) * np.uint64(2)
     else:
-        w = weight[pos]
-    terms = byte[taken] * w
+        terms *= weight[pos]
     return mix(np.add.reduceat(terms, before) + lens.astype(np.uint64) * weight[7])
 
 

@@ -54,7 +54,9 @@ BITMAP_BITS = 24
 POSTINGS_PER_BUCKET = 1 << 20
 LIST_LIMIT = 1 << 18
 ROUNDS = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Wanted sets (id, partner, salt: some 40 bytes a row) up to which their table is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def needed(n):
@@ -313,6 +315,8 @@ def verified(pairs: DataFrame, tokens: DataFrame, per_task: int = 4096) -> DataF
     held = tasks.select(F.col("y").alias("id"), F.col("rep_y").alias("rep"), "y", F.explode(
         F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("x"))
     wanted = stored(asked.unionByName(held), "ngram-wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     met = (tokens.join(wanted, ["id", "rep"]).select("y", "salt", "x", "tokens")
            .repartition(width, "y", "salt").sortWithinPartitions("y", "salt", F.col("x").asc_nulls_first()))
     return met.mapInArrow(_compare, "a bigint, b bigint").distinct()
