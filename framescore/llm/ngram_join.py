@@ -9,10 +9,14 @@ A document's tokens are its distinct five-word shingles.  Equal sets are one *cl
    share at least ``k`` tokens of their prefixes (k = 4, or all that must be shared if
    fewer).  Postings travel as packed arrays by token bucket; a bucket keeps the classes of
    each token that several hold.  Very long lists are dealt into salted parts.
+   A class whose tokens from its first listed one on are too few for any overlap that links
+   leaves the lists at once, so heavily edited copies of a large group form no pairs.
 3. *Groups.*  Similar classes are partitioned into groups: in each round a class is
    compared with one partner, the leading class of the lists they share most of, and linked
    classes become one group.
-4. *Matrix.*  The token-group matrix holds which groups hold which posted token (the union
+   The classes that chose one leading class are a *family*; within it, the classes outside the
+   largest group meet all others in blocks, as products of 0/1 token matrices in one task.
+4. *Matrix.*  Across families, the token-group matrix holds which groups hold which posted token (the union
    over the members).  For a class outside a group, the tokens of its prefix in the
    group's union bound the overlap with every member; only groups that reach k are opened,
    and within them only the members that reach k themselves are compared, on whole sets.
@@ -53,7 +57,10 @@ SLOT_CHUNKS = 64
 BITMAP_BITS = 24
 POSTINGS_PER_BUCKET = 1 << 20
 LIST_LIMIT = 1 << 18
-ROUNDS = 2
+ROUNDS = 1
+#: Classes of a family in a block; a family is compared block by block.
+BLOCK_CLASSES = 1024
+BLOCK_TOKENS = 4096
 BLOCK_BYTES = 2 << 20
 #: Wanted sets (id, partner, salt: some 40 bytes a row) up to which their table is broadcast.
 BROADCAST_ROWS = 200_000
@@ -165,7 +172,7 @@ def level_table(stats: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-_POSTED = "bucket int, salt int, tokens binary, classes binary, sizes binary"
+_POSTED = "bucket int, salt int, tokens binary, classes binary, sizes binary, reaches binary"
 
 
 def _post(levels, buckets: int, list_limit: int):
@@ -176,7 +183,7 @@ def _post(levels, buckets: int, list_limit: int):
         # expected length of a slot's lists; longer ones are dealt into parts
         parts = np.ceil((2.0 ** (np.arange(256) / 4)) / list_limit).astype(np.int64)
         for _, data, off in arrays.blocks(batches, "text", BLOCK_BYTES):
-            tokens, classes, sizes = [], [], []
+            tokens, classes, sizes, reaches = [], [], [], []
             for own in sets_of(data, off):
                 who = identity(own)
                 if not len(own) or who in seen:
@@ -184,6 +191,7 @@ def _post(levels, buckets: int, list_limit: int):
                 seen.add(who)
                 order = np.lexsort((own, table[_slots(own)]))[:prefix_length(len(own))]
                 tokens.append(own[order])
+                reaches.append(len(own) - np.arange(len(order)))     # tokens from this one on
                 classes.append(who[0])
                 sizes.append(len(own))
             if not tokens:
@@ -192,35 +200,37 @@ def _post(levels, buckets: int, list_limit: int):
             t = np.concatenate(tokens)
             c = np.repeat(np.array(classes, np.int64), width)
             n = np.repeat(np.array(sizes, np.int64), width)
+            r = np.concatenate(reaches)
             salts = parts[table[_slots(t)]]
             salt = np.where(salts > 1, 1 + arrays.mix(c.view(np.uint64)) % np.maximum(salts, 1).astype(np.uint64),
                             0).astype(np.int64)
             bucket = (t % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((salt, bucket))
-            t, c, n, salt, bucket = t[order], c[order], n[order], salt[order], bucket[order]
+            t, c, n, r, salt, bucket = (a[order] for a in (t, c, n, r, salt, bucket))
             edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])]))
             cut = np.append(edge, len(t))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[edge].astype(np.int32)), pa.array(salt[edge].astype(np.int32)),
-                 *[arrays.binary_array(a, cut).cast(pa.binary()) for a in (t, c, n.astype("<u4"))]],
-                names=["bucket", "salt", "tokens", "classes", "sizes"])
+                 *[arrays.binary_array(a, cut).cast(pa.binary()) for a in (t, c, n.astype("<u4"), r.astype("<u4"))]],
+                names=["bucket", "salt", "tokens", "classes", "sizes", "reaches"])
     return run
 
 
-_LISTS = "token bigint, salt int, weight int, members array<bigint>, sizes array<int>"
+_LISTS = "token bigint, weight int, x bigint, n int, reach int"
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of the classes that hold the same tokens, from one bucket's postings.
+    """The classes that hold the same token, from one bucket's postings: a row per member.
 
-    Tokens of a bucket with the same members are one list of that weight."""
+    Tokens of a bucket with the same members are one list of that weight; a member's reach
+    is then the largest of its reaches."""
     def out(salt: int, held: list) -> pa.RecordBatch | None:
-        t, c, n = (np.concatenate([np.frombuffer(x[k], d) for x in held])
-                   for k, d in (("tokens", "<u8"), ("classes", "<i8"), ("sizes", "<u4")))
+        t, c, n, r = (np.concatenate([np.frombuffer(x[k], d) for x in held]) for k, d in (
+            ("tokens", "<u8"), ("classes", "<i8"), ("sizes", "<u4"), ("reaches", "<u4")))
         order = np.lexsort((c, t))
-        t, c, n = t[order], c[order], n[order]
+        t, c, n, r = (a[order] for a in (t, c, n, r))
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
-        t, c, n = t[new], c[new], n[new]
+        t, c, n, r = (a[new] for a in (t, c, n, r))
         edge = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
         size = np.diff(np.append(edge, len(t)))
         full = np.flatnonzero(size >= (1 if salt else 2))
@@ -228,19 +238,21 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return None
         at, size = edge[full], size[full]
         if salt:
-            key, weight = t[at].view(np.int64), np.ones(len(at), np.int64)
+            key = t[at].view(np.int64)
         else:
             total = np.add.reduceat(arrays.mix(c.view(np.uint64)), edge)[full]
             key = arrays.mix(total + size.astype(np.uint64)).view(np.int64)
-            key, first, weight = np.unique(key, return_index=True, return_counts=True)
-            at, size = at[first], size[first]
-        offsets = np.concatenate([[0], np.cumsum(size)])
+        _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        k, c, n, r = np.repeat(key, size), *(arrays.gather(a, at, size) for a in (c, n, r))
+        weight = np.repeat(counts[inverse], size)
+        order = np.lexsort((c, k))
+        k, c, n, r, weight = (a[order] for a in (k, c, n, r, weight))
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(key), pa.array(np.full(len(at), salt, np.int32)), pa.array(weight.astype(np.int32)),
-             pa.LargeListArray.from_arrays(offsets, pa.array(arrays.gather(c, at, size))).cast(pa.list_(pa.int64())),
-             pa.LargeListArray.from_arrays(offsets, pa.array(arrays.gather(n, at, size).astype(np.int32))
-                                           ).cast(pa.list_(pa.int32()))],
-            names=["token", "salt", "weight", "members", "sizes"])
+            [pa.array(k[edge]), pa.array(weight[edge].astype(np.int32)), pa.array(c[edge]),
+             pa.array(n[edge].astype(np.int32)),
+             pa.array(np.maximum.reduceat(r, edge).astype(np.int32))],
+            names=["token", "weight", "x", "n", "reach"])
 
     key, held = None, []
     for batch in batches:
@@ -254,6 +266,24 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made
 
 
+def _linkable(posts: DataFrame) -> DataFrame:
+    """Posts of the classes that can link at all, with ``r``, the bound of their overlaps.
+
+    The first token that two linking classes share stands in both prefixes, so an overlap
+    is at most what a class holds from its first listed token on, its reach; and it must be
+    3/7 of both sizes together.  Classes with too many tokens of their own go, as askers and
+    as partners, before any pair is formed.  Lists that lose their members can shorten other
+    classes' reach, hence a second pass."""
+    for _ in range(2):
+        alive = posts.groupBy("token").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1")
+        near = posts.join(alive.select("token", "least"), "token")
+        bound = near.groupBy("x").agg(F.max("reach").alias("r"), F.min("least").alias("least"),
+                                      F.first("n").alias("size"))
+        fit = bound.filter(f"{100 + PERCENT} * r >= {PERCENT} * (size + least)").select("x", "r")
+        posts = stored(near.select("token", "weight", "x", "n", "reach").join(fit, "x"), "ngram-lists")
+    return posts
+
+
 def _tokens_of(bitmap):
     """Whole sets of the rows whose id is in the bitmap, 48 bits a token."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,14 +394,10 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
     levels = spark.sparkContext.broadcast(level_table(stats))          # 1 << SLOT_BITS bytes
     packed = (texts.filter("doc_id IS NOT NULL").mapInArrow(_post(levels, buckets, list_limit), _POSTED)
               .repartition(buckets, "bucket", "salt").sortWithinPartitions("bucket", "salt"))
-    lists = packed.mapInArrow(_lists, _LISTS)
     # the same members in several buckets are one list, too
-    lists = lists.groupBy("token", "salt").agg(F.sum("weight").cast("int").alias("weight"),
-                                               F.first("members").alias("members"),
-                                               F.first("sizes").alias("sizes"))
-    exploded = lists.select("token", "weight", F.explode(F.arrays_zip("members", "sizes")).alias("m"))
-    posts = stored(exploded.select("token", "weight", F.col("m.members").alias("x"),
-                                   F.col("m.sizes").alias("n")), "ngram-lists")
+    listed = packed.mapInArrow(_lists, _LISTS).groupBy("token", "x").agg(
+        F.sum("weight").cast("int").alias("weight"), F.max("n").alias("n"), F.max("reach").alias("reach"))
+    posts = _linkable(stored(listed, "ngram-lists")).select("token", "weight", "x", "n", "r")
     # whole sets of the classes that stand in a list
     reps = classes.join(posts.select(F.col("x").alias("h1")).distinct(), "h1").select("rep", "h1")
     reps = stored(reps, "ngram-reps")
@@ -382,34 +408,49 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
     edges = spark.createDataFrame([], "a bigint, b bigint")
     groups = spark.createDataFrame([], "node bigint, comp bigint")
     tried = spark.createDataFrame([], "x bigint, y bigint")
+    chosen = spark.createDataFrame([], "x bigint, f bigint")
     alive = posts
-    ratio = "100 * least(n, n_y) >= {0} * greatest(n, n_y)".format(PERCENT)
+    ratio = (f"100 * least(n, n_y) >= {PERCENT} * greatest(n, n_y) AND "
+             f"{100 + PERCENT} * least(r, r_y) >= {PERCENT} * (n + n_y)")
     for turn in range(rounds + 1):
         named = alive.join(groups, alive.x == groups.node, "left").select(
-            "token", "weight", "x", "n", F.coalesce("comp", "x").alias("g"))
+            "token", "weight", "x", "n", "r", F.coalesce("comp", "x").alias("g"))
         # lists within one group are settled
         split = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi")
         named = stored(named.join(split.select("token"), "token", "left_semi"), "ngram-matrix")
-        alive = named.select("token", "weight", "x", "n")
+        alive = named.select("token", "weight", "x", "n", "r")
+        found = None
         if turn < rounds:
-            # one partner a class: the leading class of the lists it shares most of
-            lead = named.groupBy("token").agg(F.min_by(
-                F.struct("x", "n", "g"), F.xxhash64(F.lit(turn), F.col("x"))).alias("lead"))
+            # one partner a class: the leading class of the lists it shares most of, at first
+            # the one with the fewest tokens of its own, which is nearest to all others
+            order = F.struct((F.col("r") / F.col("n") if turn == 0 else F.lit(0.0)).alias("common"),
+                             F.xxhash64(F.lit(turn), F.col("x")).alias("chance"))
+            lead = named.groupBy("token").agg(F.max_by(F.struct("x", "n", "r", "g"), order).alias("lead"))
             meet = named.join(lead, "token").select(
-                "x", "n", "g", "weight", F.col("lead.x").alias("y"), F.col("lead.n").alias("n_y"),
-                F.col("lead.g").alias("g_y")).filter("g <> g_y").filter(ratio)
+                "x", "n", "r", "g", "weight", F.col("lead.x").alias("y"), F.col("lead.n").alias("n_y"),
+                F.col("lead.r").alias("r_y"), F.col("lead.g").alias("g_y")).filter("g <> g_y").filter(ratio)
             counted = meet.groupBy("x", "n", "y").agg(F.sum("weight").alias("shared"))
             fit = counted.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)))
             pairs = fit.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
         else:
-            pairs = _opened(named, ratio)
+            # families: the classes that chose one leading class.  Within one, blocks; across, pairs
+            named = stored(named.join(chosen, "x", "left").select(
+                "token", "weight", "x", "n", "r", "g", F.coalesce("f", "x").alias("f")), "ngram-families")
+            found = stored(_within(named, reps, tokens), "ngram-edges")
+            several = named.groupBy("token").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo <> hi")
+            pairs = _opened(stored(named.join(several.select("token"), "token", "left_semi"), "ngram-matrix"), ratio)
         fresh = pairs.join(tried, ["x", "y"], "left_anti")
         for end in ("x", "y"):
             fresh = fresh.join(reps.select(F.col("h1").alias(end), F.col("rep").alias(f"rep_{end}")), end)
         pairs = stored(fresh, "ngram-pairs")
         tried = tried.unionByName(pairs.select("x", "y")).unionByName(
             pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        if turn == 0 and rounds:
+            leads = pairs.select(F.col("y").alias("x")).distinct()
+            chosen = stored(pairs.select("x", F.col("y").alias("f")).join(leads, "x", "left_anti"), "ngram-chosen")
         edges = edges.unionByName(stored(verified(pairs, tokens), "ngram-edges"))
+        if found is not None:
+            edges = edges.unionByName(found)
         groups = stored(components(edges), "ngram-groups")
     for done in (posts, reps, tokens, tried, edges):
         dropped(done)
@@ -417,7 +458,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
 
 
 def _opened(named: DataFrame, ratio: str) -> DataFrame:
-    """Pairs of classes in different groups that can link: groups first, members then.
+    """Pairs of classes in different groups and families that can link: groups first, members
+    then.
 
     In each list the classes outside its largest group ask; a class of the largest group
     is asked only.  The token-group matrix is the lists' (token, group) cells."""
@@ -432,14 +474,95 @@ def _opened(named: DataFrame, ratio: str) -> DataFrame:
     bound = (named.join(cells, "token").filter("g <> g_y").join(asks, ["x", "g_y"], "left_semi")
              .groupBy("x", "n", "g_y").agg(F.sum("weight").alias("shared")).filter(F.col("shared") >= k))
     qualified = bound.select("x", "n", "g_y")
-    mine = named.select("token", "weight", "x").join(qualified, "x")
-    members = named.select("token", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("g").alias("g_y"))
-    pairs = (mine.join(members, ["token", "g_y"]).filter(ratio).groupBy("x", "n", "y", "n_y")
+    mine = named.select("token", "weight", "x", "r", "f").join(qualified, "x")
+    members = named.select("token", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("r").alias("r_y"),
+                           F.col("f").alias("f_y"), F.col("g").alias("g_y"))
+    pairs = (mine.join(members, ["token", "g_y"]).filter(ratio).filter("f <> f_y").groupBy("x", "n", "y", "n_y")
              .agg(F.sum("weight").alias("shared"))
              .filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.least("n", "n_y") * PERCENT / 100))))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+def _within(named: DataFrame, reps: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links between the groups of one family, block by block on whole sets.
+
+    The classes outside the family's largest group meet all its classes.  A block holds some
+    ``BLOCK_CLASSES`` of either side, so a family of any size is many small tasks, and only
+    links leave them, at most one for each class and group of a block."""
+    width = shuffle_width(named.sparkSession)
+    members = named.groupBy("x").agg(F.first("f").alias("f"), F.first("g").alias("g"))
+    sizes = members.groupBy("f", "g").agg(F.count("*").alias("size")).groupBy("f").agg(
+        F.max_by("g", F.struct("size", "g")).alias("top"), F.sum("size").alias("all"),
+        (F.sum("size") - F.max("size")).alias("rest")).filter("rest > 0")
+    own = (members.join(sizes, "f").join(reps.select(F.col("h1").alias("x"), "rep"), "x")
+           .withColumn("nb", F.floor(F.col("all") / BLOCK_CLASSES) + 1)
+           .withColumn("na", F.floor(F.col("rest") / BLOCK_CLASSES) + 1))
+    hashed = F.xxhash64("x")
+
+    def side(rows: DataFrame, role: int) -> DataFrame:
+        mine, other = ("na", "nb") if role == 0 else ("nb", "na")
+        block = F.pmod(hashed, F.col(mine))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("other")
+        out = rows.select("x", "rep", "f", "g", block.alias("mine"), every)
+        a, b = ("mine", "other") if role == 0 else ("other", "mine")
+        return out.select(F.col("x").alias("id"), "rep", "f", F.col(a).alias("a"), F.col(b).alias("b"),
+                          F.lit(role).alias("role"), "g")
+
+    wanted = stored(side(own.filter("g <> top"), 0).unionByName(side(own, 1)), "ngram-blocks")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    met = (tokens.join(wanted, ["id", "rep"]).select("f", "a", "b", "role", "g", "id", "tokens")
+           .repartition(width, "f", "a", "b").sortWithinPartitions("f", "a", "b", "role", "id"))
+    return met.mapInArrow(_compare_blocks, "a bigint, b bigint").distinct()
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices."""
+    lt, rt = np.concatenate(left), np.concatenate(right)
+    lo = np.repeat(np.arange(len(left)), [len(x) for x in left])
+    ro = np.repeat(np.arange(len(right)), [len(x) for x in right])
+    common = np.intersect1d(lt, rt)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(common), BLOCK_TOKENS):
+        part = common[at:at + BLOCK_TOKENS]
+        both = []
+        for t, o, n in ((lt, lo, len(left)), (rt, ro, len(right))):
+            column = np.minimum(np.searchsorted(part, t), len(part) - 1)
+            inside = part[column] == t
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[o[inside], column[inside]] = 1
+            both.append(matrix)
+        out += both[0] @ both[1].T
+    return out
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(held: list) -> pa.RecordBatch:
+        asks, asked = ([r for r in held if r["role"] == k] for k in (0, 1))
+        a, b = [], []
+        if asks and asked:
+            left, right = ([_unpack48(r["tokens"]) for r in side] for side in (asks, asked))
+            both = _overlaps(left, right).astype(np.int64)
+            union = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right]) - both
+            group = np.array([r["g"] for r in asked])
+            far = np.array([r["g"] for r in asks])[:, None] != group
+            x, y = np.nonzero((100 * both >= PERCENT * union) & far)
+            _, first = np.unique(np.stack([x, group[y]]), axis=1, return_index=True)
+            a, b = [asks[k]["id"] for k in x[first]], [asked[k]["id"] for k in y[first]]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    key, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["f"], row["a"], row["b"]) != key:
+                if held:
+                    yield out(held)
+                key, held = (row["f"], row["a"], row["b"]), []
+            held.append(row)
+    if held:
+        yield out(held)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     list_limit: int = LIST_LIMIT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of ``docs``."""

@@ -379,6 +379,15 @@ def _brute_components(rows):
     return {d: (len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)}
 
 
+def test_block_overlaps(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 37)
+    rng = np.random.default_rng(0)
+    left, right = ([np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64)) for _ in range(n)]
+                   for n in (20, 30))
+    got = ngram_join._overlaps(left, right)
+    assert all(got[i, j] == len(np.intersect1d(left[i], right[j])) for i in range(20) for j in range(30))
+
+
 def _near_copies(seed, families=25, size=14):
     rng = random.Random(seed)
     passage = [f"p{rng.randint(0, 9999)}" for _ in range(40)]
@@ -397,8 +406,9 @@ def _near_copies(seed, families=25, size=14):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,limit,rounds", [(1, ngram_join.LIST_LIMIT, 2), (2, 1, 0), (3, 8, 1)])
-def test_near_duplicates_equal_all_pairs(spark, seed, limit, rounds):
+@pytest.mark.parametrize("seed,limit,rounds,block", [(1, ngram_join.LIST_LIMIT, 1, 1024), (2, 1, 0, 3), (3, 8, 2, 4)])
+def test_near_duplicates_equal_all_pairs(spark, monkeypatch, seed, limit, rounds, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", block)
     rows = _near_copies(seed)
     df = spark.createDataFrame([(d, t, 0, 0) for d, t in rows], "doc_id bigint, text string, x int, comp int").repartition(4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
