@@ -132,7 +132,7 @@ def test_pii_estimate_orders_reliable_labelers():
 
 
 def test_pii_redaction(spark):
-    df = spark.createDataFrame([(0, "é a@b.cc x +1 (523) 555-1055!", 5), (1, None, 6), (None, "+1234567890123.1.1.1 z", 7)],
+    df = spark.createDataFrame([(0, "é a@b.cc x +1 (523) 555-1055!", 5), (1, None, 6), (None, "+49.30.123.45 678 z", 7)],
                                "doc_id bigint, text string, spans int")
     out = pii.redact(df)
     assert out.columns == df.columns
