@@ -14,7 +14,7 @@ A document's tokens are its distinct five-word shingles.  Equal sets are one *cl
 3. *Groups.*  Similar classes are partitioned into groups: in each round a class is
    compared with one partner, the leading class of the lists they share most of, and linked
    classes become one group.
-   The classes that chose one leading class are a *family*; within it, the classes outside the
+   Classes that are joined by the leading class they share most with are a *family*; within it, the classes outside the
    largest group meet all others in blocks, as products of 0/1 token matrices in one task.
 4. *Matrix.*  Across families, the token-group matrix holds which groups hold which posted token (the union
    over the members).  For a class outside a group, the tokens of its prefix in the
@@ -433,7 +433,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
             fit = counted.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)))
             pairs = fit.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
         else:
-            # families: the classes that chose one leading class.  Within one, blocks; across, pairs
+            # families: classes and the leading classes they chose.  Within one, blocks; across, pairs
             named = stored(named.join(chosen, "x", "left").select(
                 "token", "weight", "x", "n", "r", "g", F.coalesce("f", "x").alias("f")), "ngram-families")
             found = stored(_within(named, reps, tokens), "ngram-edges")
@@ -446,8 +446,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
         tried = tried.unionByName(pairs.select("x", "y")).unionByName(
             pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
         if turn == 0 and rounds:
-            leads = pairs.select(F.col("y").alias("x")).distinct()
-            chosen = stored(pairs.select("x", F.col("y").alias("f")).join(leads, "x", "left_anti"), "ngram-chosen")
+            best = (named.join(lead, "token").select("x", "weight", F.col("lead.x").alias("y")).filter("x <> y")
+                    .groupBy("x", "y").agg(F.sum("weight").alias("shared")).groupBy("x")
+                    .agg(F.max_by("y", F.struct("shared", "y")).alias("y")))
+            near = components(best.select(F.col("x").alias("a"), F.col("y").alias("b")))
+            chosen = stored(near.select(F.col("node").alias("x"), F.col("comp").alias("f")), "ngram-chosen")
         edges = edges.unionByName(stored(verified(pairs, tokens), "ngram-edges"))
         if found is not None:
             edges = edges.unionByName(found)
