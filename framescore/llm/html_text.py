@@ -7,11 +7,13 @@ decoding then takes the most probable set of kept elements in which no kept elem
 has a dropped ancestor; scripts, styles, forms and the like are never text.
 
 There are no labelled pages, so the trees learn from weak labels: in at most about
-``TRAIN_PAGES`` pages of the table, chosen by hash, what stands in ``article``/``main``
+``TRAIN_PAGES`` distinct pages of the table, those of the least hashes, what stands in ``article``/``main``
 (or nothing but plain blocks) is text, and what stands in ``nav``, ``footer``, ``aside``,
 forms or blocks named as boilerplate is not; and in generated pages that hold the same
-paragraphs in varied markup, with notices, adverts, side columns and comments.  The
-driver holds that bounded sample only.
+paragraphs in varied markup, with notices, adverts, side columns and comments.  Pages of
+more than ``TRAIN_PAGE_CHARS`` characters are extracted, but not learnt from; the generated
+pages need no sample, so only an empty table has no trees.  The driver holds that bounded
+sample only.
 
 Pages are independent: extraction is a map, without a shuffle.
 
@@ -409,13 +411,15 @@ def _made_labels(source: str) -> tuple[Page, np.ndarray]:
 
 
 def train(pages: DataFrame, bound: int = TRAIN_PAGES, html_col: str = "html") -> Boosted | None:
-    """Trees from a bounded sample of pages and from made ones; None without pages."""
+    """Trees from a bounded sample of pages and from made ones; None for an empty table."""
+    if pages.isEmpty():
+        return None
     source = F.col(html_col).cast("string")
     usable = pages.select(source.alias("html")).filter(
-        F.length("html").between(1, TRAIN_PAGE_CHARS))
-    share = min(1.0, bound / max(1, usable.count()))
-    chosen = sorted(r["html"] for r in usable.filter(
-        F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates().collect())
+        F.length("html").between(1, TRAIN_PAGE_CHARS)).withColumn("hash", F.xxhash64("html"))
+    least = [r["hash"] for r in usable.select("hash").distinct().orderBy("hash").limit(bound).collect()]
+    chosen = sorted(r["html"] for r in usable.filter(F.col("hash").isin(least)).select("html")
+                    .dropDuplicates().collect()) if least else []
     rows, labels, paragraphs = [], [], []
     for source in chosen:
         page = Page(source)
@@ -433,7 +437,7 @@ def train(pages: DataFrame, bound: int = TRAIN_PAGES, html_col: str = "html") ->
         if keep.sum() == len(plain.tag):               # the marks changed nothing else
             rows.append(plain.features())
             labels.append(label[keep])
-    return Boosted().fit(np.concatenate(rows), np.concatenate(labels).astype(float)) if chosen else None
+    return Boosted().fit(np.concatenate(rows), np.concatenate(labels).astype(float))
 
 
 def extract_pages(model: Boosted, sources: list[str | None]) -> list[str]:

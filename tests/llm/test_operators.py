@@ -308,6 +308,34 @@ def test_html_text(spark):
     assert _rows(html_text.contract(html_text.extract(empty, html_text.train(empty)))) == []
 
 
+def _plain_page(k, count=4):
+    body = "".join(f"<p>{k} {j} A sentence with several ordinary words in it, and a comma. It goes on for a while.</p>"
+                   for j in range(count))
+    return f"<html><body><nav><ul><li><a href=/1>one</a></li></ul></nav><article>{body}</article></body></html>"
+
+
+@pytest.mark.parametrize("copies,distinct,count", [(1000, 1, 4), (300, 8, 4), (1, 3, 3000)])
+def test_html_text_of_copies_and_of_long_pages_only(spark, copies, distinct, count):
+    sources = [_plain_page(k, count) for k in range(distinct)]
+    assert count == 4 or min(map(len, sources)) > html_text.TRAIN_PAGE_CHARS
+    df = spark.createDataFrame([(k, "u", sources[k]) for k in range(distinct)], "page_id bigint, url string, html string"
+                               ).crossJoin(spark.range(copies).select()).repartition(4)
+    got = _rows(html_text.contract(html_text.extract(df, html_text.train(df, 5))))
+    assert len(got) == copies * distinct
+    want = {k: "\n".join(re.findall(r"<p>(.*?)</p>", source)) for k, source in enumerate(sources)}
+    assert all(r["text"] == want[r["page_id"]] for r in got)
+
+
+def test_html_text_sample_is_of_distinct_pages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(html_text, "weak_labels", lambda page, f=html_text.weak_labels: seen.append(page) or f(page))
+    for copies in (1, 700):
+        df = spark.createDataFrame([(_plain_page(k),) for k in range(9) for _ in range(copies if k else 1)], "html string")
+        seen.clear()
+        html_text.train(df, 6)
+        assert len(seen) == 6
+
+
 def test_html_text_in_unseen_markup():
     """Pages in varied markup, made with another seed than those the trees learn from."""
     rng = random.Random(9)
