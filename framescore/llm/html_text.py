@@ -4,7 +4,8 @@ A page is parsed into elements; every element is a row of features (size and den
 its subtree, words in its class, id and role, depth, siblings, links, punctuation).
 Gradient-boosted trees give each element the probability that it holds main text.  Hierarchical
 decoding then takes the most probable set of kept elements in which no kept element
-has a dropped ancestor; scripts, styles, forms and the like are never text.
+has a dropped ancestor; scripts, styles, forms and the like, and elements with the ``hidden``
+attribute, are never text; "hidden" in a class or id is a feature as other words are.
 
 There are no labelled pages, so the trees learn from weak labels: in at most about
 ``TRAIN_PAGES`` distinct pages of the table, those of the least hashes, what stands in ``article``/``main``
@@ -57,6 +58,8 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:"[^"]*"|'[^']*'|[^'">])*+)>|<[!?][^>]*>""",
                  re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: The name of an attribute, with its value: words within values are no names.
+ATTRIBUTE_NAME = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[a-z]+")
 
 TAGS = ("body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "nav",
@@ -70,7 +73,7 @@ GOOD_WORDS = frozenset("article content main post entry body text story page hen
 NUMBERS = ("depth", "chars", "words", "tags", "density", "link_share", "punctuation", "long_blocks",
            "paragraphs", "list_items", "siblings", "place", "same_tag", "sibling_chars", "page_share",
            "before", "bad", "good", "bad_above", "good_above", "depth_below", "mean_block", "digits",
-           "links", "marks")
+           "links", "marks", "hidden_word", "hidden_word_above")
 
 
 class Page:
@@ -78,6 +81,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.names = ["#page"], [-1], [frozenset()]
+        self.hidden = [False]                         # has it the attribute of that name
         self.blocks: list[tuple[int, str]] = []       # (element the text stands in, raw text)
         self.breaks: list[bool] = []                  # does a new block begin here
         self._parse(source)
@@ -135,16 +139,17 @@ class Page:
                         del open_[k:]
                         if name not in ("tr", "tbody", "tfoot"):
                             break
-            words = frozenset()
+            words, hidden = frozenset(), False
             if m.group(3):
                 found = ATTRIBUTE.findall(m.group(3))
                 if found:
                     words = frozenset(w for _, v in found for w in WORD.findall(v.lower()))
-                if re.search(r"(?:^|\s)hidden(?:\s|=|$)", m.group(3), re.I):
-                    words |= {"hidden"}
+                attributes = m.group(3).lower()
+                hidden = "hidden" in attributes and "hidden" in ATTRIBUTE_NAME.findall(attributes)
             self.tag.append(name)
             self.parent.append(open_[-1])
             self.names.append(words)
+            self.hidden.append(hidden)
             if name in RAW:
                 if lower is None:
                     lower = source.lower()
@@ -162,7 +167,7 @@ class Page:
         """Elements that hold no text whatever the trees say, with all below them."""
         out = np.zeros(len(self.tag), bool)
         for e in range(1, len(self.tag)):
-            out[e] = out[self.parent[e]] or self.tag[e] in NEVER or "hidden" in self.names[e]
+            out[e] = out[self.parent[e]] or self.tag[e] in NEVER or self.hidden[e]
         return out
 
     def features(self) -> np.ndarray:
@@ -191,6 +196,7 @@ class Page:
         tags, paragraphs, items, anchors = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n)
         below, bad, good = np.zeros(n), np.zeros(n), np.zeros(n)
         above_bad, above_good = np.zeros(n), np.zeros(n)
+        veiled, above_veiled = np.zeros(n), np.zeros(n)
         kids: list[list[int]] = [[] for _ in range(n)]
         for e in range(1, n):
             kids[parent[e]].append(e)
@@ -198,6 +204,8 @@ class Page:
             good[e] = len(self.names[e] & GOOD_WORDS) + (self.tag[e] in GOOD_WORDS and self.tag[e] != "body")
             above_bad[e] = above_bad[parent[e]] + bad[e]
             above_good[e] = above_good[parent[e]] + good[e]
+            veiled[e] = "hidden" in self.names[e]
+            above_veiled[e] = above_veiled[parent[e]] + veiled[e]
             paragraphs[e], items[e], anchors[e] = self.tag[e] == "p", self.tag[e] == "li", self.tag[e] == "a"
         for e in range(n - 1, 0, -1):
             p = parent[e]
@@ -229,7 +237,8 @@ class Page:
             "before": np.maximum(before, 0) / whole, "bad": bad, "good": good, "bad_above": above_bad,
             "good_above": above_good, "depth_below": below,
             "mean_block": np.log1p(chars / np.maximum(blocks, 1)), "digits": digits,
-            "links": np.log1p(anchors), "marks": np.log1p(marks)}
+            "links": np.log1p(anchors), "marks": np.log1p(marks), "hidden_word": veiled,
+            "hidden_word_above": above_veiled}
         kind = np.zeros((n, 2 * len(TAGS)))
         for e in range(n):
             if self.tag[e] in TAGS:

@@ -336,6 +336,25 @@ def test_html_text_sample_is_of_distinct_pages(spark, monkeypatch):
         assert len(seen) == 6
 
 
+HIDDEN_WORDS = ["overflow-hidden", "overflow-x-hidden", "hidden-print", "md:hidden", "lg:flex hidden xl:block"]
+
+
+@pytest.mark.parametrize("attribute,text", [(f'class="{c}"', True) for c in HIDDEN_WORDS] + [
+    ("id='x-hidden'", True), ('aria-hidden="false"', True), ('title="a hidden b"', True), ("data-x=hidden", True),
+    ("hidden", False), ('class="a" HIDDEN', False), ("hidden=hidden", False), ('class="a"hidden id=b', False)])
+def test_only_the_hidden_attribute_excludes(attribute, text):
+    page = html_text.Page(f"<body><div {attribute}><p>shown</p></div></body>")
+    assert page.never().tolist() == [False, False, not text, not text]
+
+
+@pytest.mark.parametrize("where", ["body", "article"])
+def test_html_text_with_hidden_in_class_names(spark, where):
+    sources = [_plain_page(k).replace(f"<{where}>", f'<{where} class="{HIDDEN_WORDS[k % 5]}">') for k in range(20)]
+    df = spark.createDataFrame([(k, "u", s) for k, s in enumerate(sources)], "page_id bigint, url string, html string")
+    for r in _rows(html_text.extract(df, html_text.train(df))):
+        assert r["text"] == "\n".join(re.findall(r"<p>(.*?)</p>", sources[r["page_id"]]))
+
+
 def test_html_text_in_unseen_markup():
     """Pages in varied markup, made with another seed than those the trees learn from."""
     rng = random.Random(9)
