@@ -6,7 +6,9 @@ response is the chunk's feature.  The mean and the maximum of those features ove
 chunks of a document are combined into one probability.
 
 Training uses at most about ``TRAIN_DOCS`` labelled documents, chosen by a hash of the
-id, with at most ``TRAIN_CHUNKS`` chunks of each (bounded, documented); rows whose
+id, and all chunks of each, so that the maximum is learnt over as many chunks as it is
+applied to; if their texts have more than ``TRAIN_BYTES`` together, fewer documents are
+taken, in the order of the hash (and none that is longer by itself).  Rows whose
 crc32(doc_id) mod 3 is 1 are never among them.  The driver holds only that sample and
 the weights (a few kB).  Scoring is a map over every document and every byte.
 
@@ -26,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescore.llm import arrays
+from framescore.llm.tables import stored
 
 CHUNK, STEP = 512, 384
 WIDTH, STRIDE = 8, 4
 DIMS, FILTERS = 8, 32
 PAD = 256
-TRAIN_DOCS, TRAIN_CHUNKS = 3000, 4
+TRAIN_DOCS, TRAIN_BYTES = 3000, 64 << 20
 EPOCHS, BATCH, RATE = 10, 64, 4e-3
 BLOCK_BYTES = 4 << 20
 GROUP = 64
@@ -46,6 +49,21 @@ def chunks_of(lengths: np.ndarray) -> np.ndarray:
     return np.maximum(1, -(-(lengths - (CHUNK - STEP)) // STEP))
 
 
+def chunk_bounds(off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts between ``off``: each one's first chunk, each chunk's start and its text's end."""
+    counts = chunks_of(np.diff(off))
+    doc = np.repeat(np.arange(len(counts)), counts)
+    first = np.cumsum(counts) - counts
+    return first, off[doc] + (np.arange(len(doc)) - first[doc]) * STEP, off[doc + 1]
+
+
+def codes_of(padded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bytes of the chunks, ``PAD`` behind their texts' ends; ``padded`` has a byte more than the texts."""
+    at = start[:, None] + np.arange(CHUNK)
+    inside = at < end[:, None]
+    return np.where(inside, padded[np.where(inside, at, 0)], np.int16(PAD))
+
+
 class ByteCnn:
     """Weights and both passes; all arrays are float32."""
 
@@ -68,7 +86,7 @@ class ByteCnn:
             return np.maximum(z.max(axis=1) + self.p["bias"], 0)
         at = z.argmax(axis=1)
         top = np.take_along_axis(z, at[:, None, :], axis=1)[:, 0] + self.p["bias"]
-        return np.maximum(top, 0), at, x
+        return np.maximum(top, 0), at
 
     def combine(self, pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Probability of each document from its chunks' features (first chunk of each)."""
@@ -79,7 +97,8 @@ class ByteCnn:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
     def gradients(self, codes: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict:
-        pooled, at, x = self.pooled(codes, where=True)
+        parts = [self.pooled(codes[lo:lo + GROUP], where=True) for lo in range(0, len(codes), GROUP)]
+        pooled, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         counts = np.diff(np.append(first, len(pooled)))
         doc = np.repeat(np.arange(len(first)), counts)
         miss = ((self.combine(pooled, first) - labels) / len(labels)).astype(np.float32)
@@ -91,21 +110,22 @@ class ByteCnn:
         dp = miss[doc][:, None] * (self.p["mean"] / counts[doc][:, None] + self.p["max"] * share)
         dp = (dp * (pooled > 0)).astype(np.float32)
         grad["bias"] = dp.sum(axis=0)
-        chunk, filt = np.nonzero(dp)
-        g, t = dp[chunk, filt], at[chunk, filt]
-        window = np.concatenate([x[chunk, t], x[chunk, t + 1]], axis=1)
-        conv = np.zeros((FILTERS, WIDTH * DIMS), np.float32)
-        np.add.at(conv, filt, window * g[:, None])
+        weights = self.p["conv"].T
+        conv, emb = np.zeros_like(weights), np.zeros_like(self.p["emb"])
+        for lo in range(0, len(codes), GROUP):
+            own, g = codes[lo:lo + GROUP], dp[lo:lo + GROUP]
+            byte = own[np.arange(len(own))[:, None, None],
+                       at[lo:lo + GROUP, :, None] * STRIDE + np.arange(WIDTH)]
+            conv += np.einsum("gf,gfk->fk", g, self.p["emb"][byte].reshape(*g.shape, -1))
+            back = (weights * g[:, :, None]).reshape(-1, DIMS)
+            for k in range(DIMS):
+                emb[:, k] += np.bincount(byte.ravel(), back[:, k], PAD + 1)
         grad["conv"] = conv.T
-        back = (self.p["conv"].T[filt] * g[:, None]).reshape(-1, WIDTH, DIMS)
-        emb = np.zeros_like(self.p["emb"])
-        byte = codes[chunk[:, None], t[:, None] * STRIDE + np.arange(WIDTH)]
-        np.add.at(emb, byte.ravel(), back.reshape(-1, DIMS))
         emb[PAD] = 0
         return grad | {"emb": emb}
 
-    def fit(self, chunks: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> ByteCnn:
-        """Adam over documents; ``chunks`` holds each document's chunks."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS) -> ByteCnn:
+        """Adam over documents, all chunks of each."""
         self.p["emb"][PAD] = 0
         rng = np.random.default_rng(11)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -113,12 +133,13 @@ class ByteCnn:
         step = 0
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
-            order = rng.permutation(len(chunks))
+            order = rng.permutation(len(texts))
             for lo in range(0, len(order), BATCH):
                 own = order[lo:lo + BATCH]
-                counts = [len(chunks[i]) for i in own]
-                first = np.cumsum([0, *counts[:-1]])
-                grad = self.gradients(np.concatenate([chunks[i] for i in own]), first, labels[own])
+                off = np.cumsum([0, *[len(texts[i]) for i in own]])
+                padded = np.frombuffer(b"".join([texts[i] for i in own]) + b"\0", np.uint8)
+                first, start, end = chunk_bounds(off)
+                grad = self.gradients(codes_of(padded, start, end), first, labels[own])
                 step += 1
                 for k, g in grad.items():
                     m[k] = 0.9 * m[k] + 0.1 * g
@@ -129,55 +150,41 @@ class ByteCnn:
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Probability of each text of a block, over all its bytes."""
-        counts = chunks_of(np.diff(off))
-        doc = np.repeat(np.arange(len(counts)), counts)
-        first = np.cumsum(counts) - counts
-        start = off[doc] + (np.arange(len(doc)) - first[doc]) * STEP
-        end = off[doc + 1]
+        first, start, end = chunk_bounds(off)
         padded = np.append(data, np.uint8(0))
-        pooled = np.empty((len(doc), FILTERS), np.float32)
-        reach = np.arange(CHUNK)
-        for lo in range(0, len(doc), GROUP):
-            at = start[lo:lo + GROUP, None] + reach
-            inside = at < end[lo:lo + GROUP, None]
-            codes = np.where(inside, padded[np.where(inside, at, 0)], PAD)
-            pooled[lo:lo + GROUP] = self.pooled(codes)
+        pooled = np.empty((len(start), FILTERS), np.float32)
+        for lo in range(0, len(start), GROUP):
+            pooled[lo:lo + GROUP] = self.pooled(codes_of(padded, start[lo:lo + GROUP], end[lo:lo + GROUP]))
         return self.combine(pooled, first)
 
 
-def sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Chunks and labels of at most about ``bound`` training documents."""
+def sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts and labels of at most about ``bound`` training documents."""
     known = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-             .agg(F.max("quality").cast("int").alias("quality")))
+             .agg(F.max("quality").cast("int").alias("quality"))
+             .withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))))
     share = min(1.0, bound / max(1, known.count()))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = known.filter(F.col("place") < int(share * (1 << 30)))
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     bytes_of = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), raw.alias("raw"))
-    n, last = F.octet_length("raw"), TRAIN_CHUNKS - 1
-    parts = [F.substring("raw", (F.floor((n - CHUNK) * k / last) if k else F.lit(0)).cast("int") + 1, CHUNK)
-             for k in range(TRAIN_CHUNKS)]
-    rows = (bytes_of.join(F.broadcast(chosen), "doc_id")          # about TRAIN_DOCS rows
-            .select("doc_id", "quality", F.when(n <= CHUNK, F.array(F.col("raw"))).otherwise(
-                F.array(*parts)).alias("parts"))
-            .dropDuplicates(["doc_id"]).collect())
-    rows.sort(key=lambda r: r["doc_id"])
-    chunks = []
-    for r in rows:
-        codes = np.full((len(r["parts"]), CHUNK), PAD, np.int64)
-        for k, part in enumerate(r["parts"]):
-            codes[k, :len(part)] = np.frombuffer(bytes(part), np.uint8)
-        chunks.append(codes)
-    return chunks, np.array([r["quality"] for r in rows], np.float64)
+    rows = stored(bytes_of.join(F.broadcast(chosen), "doc_id")    # about TRAIN_DOCS rows
+                  .filter(F.octet_length("raw") <= TRAIN_BYTES).dropDuplicates(["doc_id"]), "cnn-sample")
+    sizes = sorted(rows.select("place", "doc_id", F.octet_length("raw")).collect())
+    fit = np.cumsum([n for *_, n in sizes]) <= TRAIN_BYTES
+    if not fit.all():
+        rows = rows.filter(F.col("doc_id").isin([d for (_, d, _), own in zip(sizes, fit, strict=True) if own]))
+    found = sorted((r["doc_id"], r["quality"], bytes(r["raw"])) for r in rows.collect())
+    return [text for *_, text in found], np.array([y for _, y, _ in found], np.float64)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCS) -> ByteCnn | float:
     """The fitted network, or the labels' mean where there is only one kind of them."""
-    chunks, y = sample(docs, labels, bound)
+    texts, y = sample(docs, labels, bound)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
     epochs = min(60, EPOCHS * max(1, round(TRAIN_DOCS / len(y))))      # as many steps on few labels
-    return ByteCnn().fit(chunks, y, epochs)
+    return ByteCnn().fit(texts, y, epochs)
 
 
 def _score(model: ByteCnn | float):

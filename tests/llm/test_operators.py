@@ -226,6 +226,22 @@ def test_cnn_learns_and_covers_whole_texts(spark, docs):
     assert none == 0.5 and _rows(quality_cnn.score(_empty(spark, docs), none)) == []
 
 
+def test_cnn_trains_on_whole_texts(spark, monkeypatch):
+    """What tells the labels apart stands where four spread chunks of 512 bytes do not reach."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["lorem ", "ipsum ", "dolor "]) for _ in range(500)) for _ in range(300)]
+    texts = [t if i % 2 else t[:1380] + "###***!!" * 30 + t[1620:] for i, t in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    held = [r for r in _rows(quality_cnn.score(df, quality_cnn.train(df, labels))) if r["held_out"]]
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in held]) > 0.95
+    sample, y = quality_cnn.sample(df, labels, 3000)
+    assert sorted(sample) == sorted(t.encode() for i, t in enumerate(texts) if zlib.crc32(b"%d" % i) % 3 != 1)
+    monkeypatch.setattr(quality_cnn, "TRAIN_BYTES", 100_000)           # fewer documents, each of them whole
+    fewer, y = quality_cnn.sample(df, labels, 3000)
+    assert len(fewer) == len(y) and set(fewer) <= set(sample) and 95_000 < sum(map(len, fewer)) <= 100_000
+
+
 def test_chunks_cover():
     for n in (0, 1, 511, 512, 513, 896, 897, 5000):
         k = int(quality_cnn.chunks_of(np.array([n]))[0])
