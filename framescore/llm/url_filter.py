@@ -2,13 +2,16 @@
 trees over lexical features decide the rest.
 
 Native: host, path, rules and features are SQL expressions; the trees are Spark's
-own ``GBTClassifier``, trained on at most ``TRAIN_BOUND`` labelled URLs, chosen by hash.  A URL is
+own ``GBTClassifier``, trained on about ``TRAIN_BOUND`` labelled URLs, chosen by hash of URL and id; of the
+rarer kind of label it has half as many, or all, so that both kinds are there at every size.  Weights bring the
+kinds back to the table's shares, but not below one in ``LEAST_SHARE``: the trees could not tell a kind of
+less weight, and ``block_probability`` is relative to that share.  A URL is
 labelled by the rule that fits it; where none fits, as "block" if its host has a known bad
 word (``BAD_WORDS``) and as presumed "allow" if not.  Suffix statistics are the smoothed log-odds of "block" per host
 suffix among the training URLs; unseen suffixes have the prior's.
 
-Only the bounded suffix table (a row per suffix of a training URL, so at most twice
-TRAIN_BOUND rows) is broadcast.  Scoring is a map over the rows.
+Only the bounded suffix table (a row per suffix of a training URL, so about twice
+TRAIN_BOUND rows at most) is broadcast.  Scoring is a map over the rows.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and is
 judged by the trees on those; labels of one kind give that one verdict; repeated rows and null ids are rows of their own; an
@@ -30,6 +33,8 @@ RULES: list[tuple[str, str]] = [("net/", "block"), ("example.net/en/", "allow"),
 BAD_WORDS = ("ads", "adserver", "track", "tracker", "tracking", "adult", "porn", "xxx", "casino", "betting",
              "spam", "malware", "phishing", "pills", "viagra", "payday")
 TRAIN_BOUND = 20_000
+#: A kind of label weighs in training as TRAIN_BOUND / this rows at least, or as all its own.
+LEAST_SHARE = 20
 TREES, DEPTH = 12, 4
 SMOOTHING = 5.0
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio",
@@ -102,7 +107,7 @@ def with_suffixes(rows: DataFrame, stats: DataFrame) -> DataFrame:
     for k in (1, 2):
         own = stats.filter(F.col("labels_used") == k).select(F.col("suffix").alias(f"last_{k}"),
                                                              F.col("log_odds").alias(f"suffix_{k}"))
-        rows = rows.join(F.broadcast(own), f"last_{k}", "left").withColumn(      # <= TRAIN_BOUND rows
+        rows = rows.join(F.broadcast(own), f"last_{k}", "left").withColumn(      # about TRAIN_BOUND rows
             f"suffix_{k}", F.coalesce(F.col(f"suffix_{k}"), F.lit(0.0)))
     return rows
 
@@ -111,25 +116,33 @@ def train(rows: DataFrame, bound: int = TRAIN_BOUND):
     """(model, suffix table, None) or (None, None, the only verdict) from labelled rows."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    n = rows.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
-    if not n["n"] or n["p"] in (0.0, 1.0):
-        return None, None, "block" if n["p"] == 1.0 else "allow"
-    share = min(1.0, bound / n["n"])
-    chosen = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = stored(rows.filter(chosen).coalesce(4), "url-sample")
-    prior = sample.agg(F.count("*").alias("n"), F.sum("label").alias("b")).first()
-    if not prior["n"] or prior["b"] in (0.0, prior["n"]):
-        return None, None, "block" if n["p"] >= 0.5 else "allow"
-    odds = float(prior["b"]) / (prior["n"] - prior["b"])
+    place = F.xxhash64("url", "page_id")
+    kinds = {r["label"]: r for r in rows.groupBy("label").agg(
+        F.count("*").alias("n"), F.approx_count_distinct(place).alias("distinct")).collect()}
+    if len(kinds) < 2:
+        return None, None, "block" if 1.0 in kinds else "allow"
+    n = sum(r["n"] for r in kinds.values())
+    share = {k: min(1.0, max(bound / n, bound / 2 / r["distinct"])) for k, r in kinds.items()}
+    chosen = F.pmod(place, F.lit(1 << 30)) < F.when(F.col("label") == 1.0, int(share[1.0] * (1 << 30))).otherwise(
+        int(share[0.0] * (1 << 30)))
+    kept = ["label", "last_1", "last_2", *FEATURES[:-2]]
+    sample = stored(rows.filter(chosen).groupBy("url", "page_id").agg(
+        F.count("*").alias("copies"), *[F.first(c).alias(c) for c in kept]
+        ).coalesce(1).sortWithinPartitions("page_id", "url"), "url-sample")
+    drawn = {r["label"]: r["copies"] for r in sample.groupBy("label").agg(F.sum("copies").alias("copies")).collect()}
+    weight = {k: max(r["n"] * min(1.0, bound / n), min(bound / LEAST_SHARE, r["n"])) / drawn[k] for k, r in kinds.items()}
+    sample = sample.withColumn("weight", F.col("copies") * F.when(F.col("label") == 1.0, weight[1.0]).otherwise(
+        weight[0.0]))
+    odds = weight[1.0] * drawn[1.0] / (weight[0.0] * drawn[0.0])
     suffixes = F.explode(F.array(*[F.struct(F.lit(k).alias("labels_used"), F.col(f"last_{k}").alias("suffix"))
                                    for k in (1, 2)])).alias("s")
-    block = F.sum("label") + SMOOTHING * odds / (1 + odds)
-    allow = F.sum(1 - F.col("label")) + SMOOTHING / (1 + odds)
-    stats = stored(sample.select("label", suffixes).groupBy("s.labels_used", "s.suffix").agg(
+    block = F.sum(F.col("weight") * F.col("label")) + SMOOTHING * odds / (1 + odds)
+    allow = F.sum(F.col("weight") * (1 - F.col("label"))) + SMOOTHING / (1 + odds)
+    stats = stored(sample.select("label", "weight", suffixes).groupBy("s.labels_used", "s.suffix").agg(
         (F.log(block / allow) - F.log(F.lit(odds))).alias("log_odds")).coalesce(1), "url-suffixes")
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    ready = vectors.transform(with_suffixes(sample, stats)).select("features", "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7,
+    ready = vectors.transform(with_suffixes(sample, stats)).select("features", "label", "weight")
+    model = GBTClassifier(weightCol="weight", maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=7,
                           subsamplingRate=1.0).fit(stored(ready.coalesce(1), "url-vectors"))
     return (vectors, model), stats, None
 

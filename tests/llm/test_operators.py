@@ -179,6 +179,18 @@ def test_url_filter(spark):
     assert _rows(url_filter.judge(unlabelled))[0]["verdict"] == "allow"
 
 
+@pytest.mark.parametrize("bad,copies", [(6, 1), (1, 5), (3, 400)])
+def test_url_filter_rare_kind(spark, bad, copies):
+    """A kind of label that a uniform sample of the bound would miss, also as copies of few URLs."""
+    urls = [(i, f"https://www.site{i % 50 + 10}.org/en/{i + 1000}") for i in range(4000)]
+    urls += [(9000 + k, f"http://casino-{k}.spam{k}.biz/{k}?a=1") for k in range(bad) for _ in range(copies)]
+    df = spark.createDataFrame(urls, "page_id bigint, url string").repartition(3)
+    got = _rows(url_filter.judge(df, bound=100))
+    assert len(got) == len(urls)
+    assert all((r["verdict"] == "block") == (r["page_id"] >= 9000) for r in got)
+    assert 0 < min(r["block_probability"] for r in got)                # the trees' own
+
+
 # ---------------------------------------------------------------- 3 quality classifier
 
 def test_cnn_gradients_match_differences():
