@@ -44,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framescore.llm import arrays
 from framescore.llm.components import components
@@ -566,12 +567,17 @@ def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield out(held)
 
 
+def _owned(docs: DataFrame, id_col: str, text_col: str, list_limit: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(rows doc_id, n, h1, h2; classes n, h1, h2, rep with ``comp``, the group that each is in)."""
+    rows, classes, groups = links(docs, id_col, text_col, list_limit, rounds)
+    return rows, classes.join(groups, classes.h1 == groups.node, "left").select(
+        "n", "h1", "h2", "rep", F.coalesce("comp", "h1").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     list_limit: int = LIST_LIMIT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per row of ``docs``."""
-    rows, classes, groups = links(docs, id_col, text_col, list_limit, rounds)
-    owned = classes.join(groups, classes.h1 == groups.node, "left").select(
-        "n", "h1", "h2", "rep", F.coalesce("comp", "h1").alias("comp"))
+    rows, owned = _owned(docs, id_col, text_col, list_limit, rounds)
     least = owned.groupBy("comp").agg(F.min("rep").alias("component"))
     owner = owned.join(least, "comp").select("n", "h1", "h2", "component")
     joined = rows.join(owner, ["n", "h1", "h2"], "left")
@@ -579,10 +585,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def _with_class(text_col: str):
+    """Adds the class key of each row's text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, off in arrays.blocks(batches, text_col, BLOCK_BYTES):
+            keys = [(len(tokens), *identity(tokens)) for tokens in sets_of(data, off)]
+            own = [pa.array([k[i] for k in keys], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *own], names=[*rows.schema.names, "_n", "_h1", "_h2"])
+    return run
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is its component's least; of rows that repeat id
-    and text one stays, and rows with a null id, which link with nothing, all stay."""
-    least = (near_duplicates(docs, id_col, text_col).filter("component_id = doc_id")
-             .select(F.col("doc_id").alias(id_col)).distinct())
-    kept = docs.join(least, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    """The rows of ``docs``, all columns, that stand for their component: one row of each, of the least
+    id, and of that id's texts the one of the least class key.  Rows without shingles link with nothing:
+    of those that repeat id and text one stays; rows with a null id all stay."""
+    rows, owned = _owned(docs, id_col, text_col, LIST_LIMIT, ROUNDS)
+    least = owned.groupBy("comp").agg(F.min(F.struct("rep", "n", "h1", "h2")).alias("least")).select("least.*")
+    alone = rows.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id", "n", "h1", "h2").distinct()
+    key = ["_id", "_n", "_h1", "_h2"]
+    chosen = stored(least.union(alone).toDF(*key).select("_id", *[F.col(c).cast("bigint").alias(c) for c in key[1:]]),
+                    "ngram-chosen")
+    named = docs.withColumn("_id", F.col(id_col).cast("bigint")).join(
+        chosen.select("_id").distinct(), "_id", "left_semi")
+    kept = (named.mapInArrow(_with_class(text_col), T.StructType(
+                [*named.schema.fields, *[T.StructField(c, T.LongType()) for c in key[1:]]]))
+            .join(chosen, key, "left_semi").withColumn("_text", F.when(F.col("_n") == 0, F.col(text_col)))
+            .dropDuplicates([*key, "_text"]).select(docs.columns))
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

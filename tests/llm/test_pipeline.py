@@ -95,6 +95,21 @@ def test_representatives_keep_null_ids(spark):
     assert pii.redact(df).count() == 5
 
 
+def test_representatives_of_repeated_ids(spark):
+    """One row a group also where an id has several texts: linked ones, or one of them in another group."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (2, long + " end"), (2, "alone in its own group of words"),   # of id 2 only the lone text stays
+            (7, "x y z u v w " + long[::-1]), (7, "x y z u v w " + long[::-1] + " end"), (7, "q r s t u v w"),
+            (8, "Same words in a row"), (8, "same  words in a row"), (9, ""), (9, " "), (9, ""), (9, None), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in ngram_join.representatives(df).collect()]
+    assert len(got) == 9 and (None, long) in got and (1, long) in got
+    assert [t for d, t in got if d == 2] == ["alone in its own group of words"]
+    assert sorted(t[0] for d, t in got if d == 7) == ["q", "x"]
+    assert sum(d == 8 for d, _ in got) == 1
+    assert {t for d, t in got if d == 9} == {"", " ", None}
+
+
 @pytest.mark.parametrize("name", sorted(set(oracle_sql()) & set(QUERIES)))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
