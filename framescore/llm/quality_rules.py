@@ -116,8 +116,13 @@ def apply_policy(rows: DataFrame, version: str = POLICY) -> DataFrame:
 
 def keep(docs: DataFrame, version: str = POLICY, id_col: str = "doc_id", text_col: str = "text"
          ) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass the policy."""
-    return apply_policy(ledger(docs, id_col, text_col, carry=True), version).filter("kept").select("row.*")
+    """The rows of ``docs``, all columns, that pass the policy.
+
+    A generator gives a row that passes and nothing for one that fails.  A filter would not do:
+    the optimiser pushes it below the ledger's projections and puts each alias in its place, so
+    that a text is split again for every element of its nested lambdas."""
+    judged = apply_policy(ledger(docs, id_col, text_col, carry=True), version)
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("row"))))
 
 
 def ablation(rows: DataFrame, version: str = POLICY) -> DataFrame:

@@ -646,3 +646,14 @@ def test_nearest(spark):
     few = df.filter("vec_id < 4")
     assert len(_rows(hash_forest.nearest(few, few))) == 12
     assert _rows(hash_forest.nearest(_empty(spark, df), df)) == []
+
+
+def test_policy_does_not_reach_the_scan(spark, docs):
+    """The policy stands above the ledger: below its projections no filter splits a text again."""
+    kept = quality_rules.keep(docs)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("split(")
+    assert not any("split(" in line or "transform(" in line for line in plan.splitlines() if "Filter " in line)
+    verdict = quality_rules.apply_policy(quality_rules.ledger(docs, carry=True))
+    want = [r["row"]["text"] for r in verdict.collect() if r["kept"]]
+    assert sorted(r["text"] or "" for r in kept.collect()) == sorted(t or "" for t in want) and kept.schema == docs.schema
