@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from framescore.llm import quality_rules
+from framescore.llm import quality_rules, warc
 
 #: Shingle sets, their pairs by shared shingles, the links, and what each document reaches.
 NGRAM_JOIN = f"""
@@ -25,4 +25,5 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m.y, s.
 FROM s LEFT JOIN m ON m.x = s.doc_id
 """
 
-ORACLE_SQL = {"op6_ngram_join": NGRAM_JOIN, "op9_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL = {"op6_ngram_join": NGRAM_JOIN, "op9_quality_rules": quality_rules.ORACLE,
+              "op11_warc": warc.ORACLE}

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: production parameters, whole tables."""
+"""The registered queries of the thirteen operators: production parameters, whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescore.llm import (bpe_words, hash_forest, hilbert, html_text, ngram_join, packing, pii, quality_cnn,
-                            quality_rules, url_filter)
+                            quality_rules, url_filter, warc)
 from framescore.llm.oracles import ORACLE_SQL  # noqa: F401 - read with the queries
 from framescore.llm.tables import table
 
@@ -62,6 +62,10 @@ def op10_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_forest.nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_quality_cnn, op4_hilbert_shards,
                                    op5_html_text, op6_ngram_join, op7_bpe_words, op8_packing, op9_quality_rules,
-                                   op10_hash_forest)}
+                                   op10_hash_forest, op11_warc)}

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.session import ensure_checkpoint_dir
+from framescore.session import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +16,7 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts lineage, survives
     lost executors, and lets later readers load only the columns they use."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, f"llm-{name}")                 # ``session.drop_derived`` removes it
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
