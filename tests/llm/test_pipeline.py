@@ -113,7 +113,7 @@ def test_representatives_of_repeated_ids(spark):
 @pytest.mark.parametrize("name", sorted(set(oracle_sql()) & set(QUERIES)))
 def test_query_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(oracle_sql()[name])
     cols = [d[0] for d in cur.description]
