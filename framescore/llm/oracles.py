@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from framescore.llm import quality_rules, turn_repair, warc
+from framescore.llm import multi_index, quality_rules, turn_repair, warc
 
 #: Shingle sets, their pairs by shared shingles, the links, and what each document reaches.
 NGRAM_JOIN = f"""
@@ -26,4 +26,5 @@ FROM s LEFT JOIN m ON m.x = s.doc_id
 """
 
 ORACLE_SQL = {"op6_ngram_join": NGRAM_JOIN, "op9_quality_rules": quality_rules.ORACLE,
-              "op11_warc": warc.ORACLE, "op13_turn_repair": turn_repair.ORACLE}
+              "op11_warc": warc.ORACLE, "op12_multi_index": multi_index.ORACLE,
+              "op13_turn_repair": turn_repair.ORACLE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm import (bpe_words, hash_forest, hilbert, html_text, ngram_join, packing, pii, quality_cnn,
+from framescore.llm import (bpe_words, hash_forest, hilbert, html_text, multi_index, ngram_join, packing, pii, quality_cnn,
                             quality_rules, turn_repair, url_filter, warc)
 from framescore.llm.oracles import ORACLE_SQL  # noqa: F401 - read with the queries
 from framescore.llm.tables import table
@@ -66,10 +66,14 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op12_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.hard_negatives(multi_index.quantised(table(spark, sf_dir, "embeddings")))
+
+
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.contract(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_url_filter, op3_quality_cnn, op4_hilbert_shards,
                                    op5_html_text, op6_ngram_join, op7_bpe_words, op8_packing, op9_quality_rules,
-                                   op10_hash_forest, op11_warc, op13_turn_repair)}
+                                   op10_hash_forest, op11_warc, op12_multi_index, op13_turn_repair)}
