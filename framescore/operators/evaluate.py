@@ -33,3 +33,15 @@ def accuracy_of(df: DataFrame, pred_col: str, truth_col: str) -> DataFrame:
     agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(hit).cast("bigint").alias("n_correct"))
     return agg.select("n", F.coalesce("n_correct", F.lit(0)).cast("bigint").alias("n_correct"),
                       (F.col("n_correct") / F.col("n")).cast("double").alias("accuracy"))
+
+
+def positional_accuracy(zipped: DataFrame, pred: str = "left.label", truth: str = "right.label") -> DataFrame:
+    """``(n, n_correct, accuracy, only_left, only_right)`` of rows zipped by position: pairs count, and rows of
+    the longer input are reported, not dropped.  A pair without a prediction counts as wrong."""
+    pair = F.col("left").isNotNull() & F.col("right").isNotNull()
+    hit = F.when(pair & (F.col(pred).cast("int") == F.col(truth).cast("int")), 1)
+    agg = zipped.agg(F.count(F.when(pair, 1)).alias("n"), F.count(hit).alias("n_correct"),
+                     F.count(F.when(F.col("right").isNull(), 1)).alias("only_left"),
+                     F.count(F.when(F.col("left").isNull(), 1)).alias("only_right"))
+    return agg.select("n", "n_correct", (F.col("n_correct") / F.nullif("n", F.lit(0))).cast("double").alias("accuracy"),
+                      "only_left", "only_right")

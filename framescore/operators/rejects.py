@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from framescore.functions.codec import FLOAT_BYTES
 
 REASON = "reject_reason"
+#: Every reason that ``reject_reason`` gives.
+REASONS = ("null_key", "null_value", "short_value", "bad_width")
 
 
 @dataclass(frozen=True)

@@ -16,6 +16,10 @@ Input forms (``input=``):
 Rows whose width is not the model's get null scores and a null label (split
 them off with ``operators.rejects`` first to keep a reason).
 
+U1 lifecycle: a model that has ``open()`` is opened once per task, and what that returns (a session
+with ``predict``) does the scoring; if it has ``close()``, it is closed when the task ends, also on
+failure.  The model file itself is loaded once per Python worker.
+
 Stage times (P12) are measured per Arrow batch and apportioned per row
 (``batch ns / rows``); ``batch_rows`` says how many rows shared the batch.
 """
@@ -23,6 +27,7 @@ Stage times (P12) are measured per Arrow batch and apportioned per row
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,8 +118,7 @@ def score_column(model, features, input="floats", timings: bool = True,
     out_type = T.StructType(fields)
     arrow_fields = [_arrow_field(f) for f in fields]
 
-    def run(col: pa.Array) -> pa.Array:
-        m = load_model(shipped)
+    def scored(m, col: pa.Array) -> pa.Array:
         n = len(col)
         start_ms = time.time_ns() // 1_000_000
         t0 = time.perf_counter_ns()
@@ -152,6 +156,16 @@ def score_column(model, features, input="floats", timings: bool = True,
                      pa.array(np.full(n, n, dtype=np.int32))]
         return pa.StructArray.from_arrays(cols, fields=arrow_fields)
 
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = load_model(shipped)
+        session = m.open() if hasattr(m, "open") else m
+        try:
+            for col in batches:
+                yield scored(session, col)
+        finally:                                    # also where the task fails or is cancelled
+            if hasattr(session, "close"):
+                session.close()
+
     udf = F.arrow_udf(run, out_type)
     if timings:
         udf = udf.asNondeterministic()      # reads clocks: never evaluate twice

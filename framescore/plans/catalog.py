@@ -17,7 +17,7 @@ from framescore.functions.argmax import argmax_label
 from framescore.functions.codec import (decode_features, first_byte_signed, first_feature,
                                         scaled_sums, send_time)
 from framescore.functions.trace import join_fields, return_topic
-from framescore.operators.evaluate import accuracy
+from framescore.operators.evaluate import accuracy, positional_accuracy
 from framescore.operators.models import (DenseSoftmax, LstmSoftmax, byte_weights, fit_centroids,
                                          ship_model_file)
 from framescore.operators.onnx_export import dense_to_onnx
@@ -26,11 +26,14 @@ from framescore.operators.scoring import score
 from framescore.plans import jobs
 from framescore.session import shared_path, write_bytes
 from framescore.sinks.results import read_results, write_record_log
-from framescore.sources.csv import feature_csv, render_csv_line
+from framescore.sources.csv import feature_csv, parse_features, render_csv_line
 from framescore.sources.idx import idx_images, idx_labels, quantize_pixels, write_idx_pair
+from framescore.sources.lines import first_lines, line_positions, zip_lines
+from framescore.sources.record_log import read_log, write_log
 from framescore.sources.records import from_offsets, record_stream
 from framescore.sources.tables import (KEY_BASE_MS, TOPIC, document_records,
                                        embedding_records, event_records, table)
+from framescore.streaming.commits import batches, committed_lines, committed_rejects
 
 # Fixed parameters of the stand-in workloads (see FIXTURES.md).
 IMAGE_SIDE = 28                 # 28 x 28 = 784-byte image frames
@@ -46,6 +49,11 @@ FRAMES_PER_DOC = 1 << 20        # an offset of the image log is doc_id times thi
 IDX_FILE_ROWS = 8192            # images per IDX file pair
 RECORD_LOG_FILE_ROWS = 250      # several files per record log, so replay takes several batches
 EVENT_LOG_FILE_ROWS = 12500
+LOG_START = {0: 10, 1: 0, 2: 40}        # partition 3 is not named: it starts at 0
+LOG_BATCH = 500                 # records per micro-batch of a committed log
+FIRST_LINES = 10_000
+LINE_FILE_ROWS = 1_500
+ZIP_MISSING = 7                 # rows that the label file lacks
 
 
 def _vec_id(send_time_col="send_time"):
@@ -325,7 +333,7 @@ def stream_images_q(spark, sf_dir):
 
     def job(records, m):
         out = jobs.bare_labels(records, m, STREAM_DIVISOR, keep=["offset"])
-        return out.withColumn("value", F.concat_ws(" ", F.col("offset").cast("string"), "value"))
+        return out.withColumn("value", join_fields([F.col("offset").cast("string"), F.col("value")], " "))
 
     out, rej = shared_path(spark, "frame-out"), shared_path(spark, "frame-rejects")
     jobs.run_stream(spark, job, source="parquet", path=log, topic="images", outfile=out, rejects_path=rej,
@@ -390,13 +398,7 @@ def stream_rejects_q(spark, sf_dir):
     """§1.3 + K2: keypoint records, some of them malformed by a fixed rule on ``vec_id % 10``
     (0: no key, 1: no value, 2: three bytes, 3: half the floats), into the dense model.  One
     row per record: its class, or the reason why it has none."""
-    log = shared_path(spark, "odd-log")
-    odd = (F.col("offset") * 4 + F.col("partition")) % 10
-    recs = embedding_records(spark, sf_dir)
-    recs = recs.withColumn("value", F.when(odd == 1, F.lit(None)).when(odd == 2, F.expr("substring(value, 1, 3)"))
-                           .when(odd == 3, F.expr("substring(value, 1, length(value) div 2)"))
-                           .otherwise(F.col("value"))).withColumn("key", F.when(odd != 0, F.col("key")))
-    write_record_log(recs, log, max_records_per_file=RECORD_LOG_FILE_ROWS)
+    log = _odd_log(spark, sf_dir)
     out, rej = shared_path(spark, "odd-out"), shared_path(spark, "odd-rejects")
     jobs.run_stream(spark, jobs.scored, source="parquet", path=log, topic=TOPIC, outfile=out,
                     rejects_path=rej, available_now=True, model=dense_model(spark, sf_dir),
@@ -408,6 +410,93 @@ def stream_rejects_q(spark, sf_dir):
     return scored.unionByName(rejected)
 
 
+def _committed_log(spark, sf_dir) -> str:
+    """Keypoint records in a committed log, in the order of their ids: offset = vec_id div 4."""
+    log = shared_path(spark, "committed-log")
+    write_log(embedding_records(spark, sf_dir).drop("offset").orderBy("timestamp"), log)
+    return log
+
+
+def log_offsets_q(spark, sf_dir):
+    """A committed log replayed as a stream from its own offset in each partition, in bounded
+    micro-batches of several slices each."""
+    out = shared_path(spark, "offset-out")
+    jobs.run_stream(spark, "passthrough", source="log", path=_committed_log(spark, sf_dir), outfile=out,
+                    available_now=True, starting_offsets=LOG_START, max_offsets_per_trigger=LOG_BATCH, min_partitions=8)
+    f = F.split(F.col("value"), " : ")
+    return committed_lines(spark, out + "-commits").select(
+        _vec_id(f[0]), f[4].cast("int").alias("partition"), f[5].cast("bigint").alias("offset"))
+
+
+def log_return_q(spark, sf_dir):
+    """K1/K3/K5: scored lines committed to a return log, batch by batch, and read back by offsets; every
+    partition's offsets are dense."""
+    back = shared_path(spark, "return-log")
+    jobs.run_stream(spark, "scored", source="log", path=_committed_log(spark, sf_dir), outlog=back, available_now=True,
+                    starting_offsets="earliest", max_offsets_per_trigger=LOG_BATCH, model=dense_model(spark, sf_dir))
+    lines = read_log(spark, back, starting_offsets="earliest")
+    dense = lines.groupBy("partition").agg((F.max("offset") - F.min("offset") + 1 == F.count("offset")).alias("dense"),
+                                           F.countDistinct("offset").alias("_n"), F.count("offset").alias("_m"))
+    f = F.split(F.col("value").cast("string"), " : ")
+    return lines.join(dense, "partition").select(_vec_id(f[0]), f[8].cast("int").alias("label"),
+                                                 (F.col("dense") & (F.col("_n") == F.col("_m"))).alias("dense"))
+
+
+def _odd_log(spark, sf_dir) -> str:
+    """Keypoint records, some of them malformed by a fixed rule on ``vec_id % 10`` (0: no key, 1: no value,
+    2: three bytes, 3: half the floats)."""
+    log = shared_path(spark, "odd-log")
+    odd = (F.col("offset") * 4 + F.col("partition")) % 10
+    recs = embedding_records(spark, sf_dir)
+    recs = recs.withColumn("value", F.when(odd == 1, F.lit(None)).when(odd == 2, F.expr("substring(value, 1, 3)"))
+                           .when(odd == 3, F.expr("substring(value, 1, length(value) div 2)"))
+                           .otherwise(F.col("value"))).withColumn("key", F.when(odd != 0, F.col("key")))
+    write_record_log(recs, log, max_records_per_file=RECORD_LOG_FILE_ROWS)
+    return log
+
+
+def stream_commits_q(spark, sf_dir):
+    """What the manifests of a stream's micro-batches counted while they were written, by outcome,
+    and the bytes that its rejects kept."""
+    out = shared_path(spark, "commits-out")
+    jobs.run_stream(spark, "scored", source="parquet", path=_odd_log(spark, sf_dir), topic=TOPIC, outfile=out,
+                    available_now=True, model=dense_model(spark, sf_dir), max_files_per_trigger=4,
+                    measures={"label_sum": F.sum("label")}, wait_timeout_s=600)
+    done = batches(spark, out + "-commits")
+    told = done.select(F.explode(F.map_concat("rejects", F.map_from_arrays(
+        F.array(F.lit("line"), F.lit("record"), F.lit("label_sum")),
+        F.array("lines", "records", F.col("measures")["label_sum"].cast("bigint"))))).alias("outcome", "n"))
+    kept = committed_rejects(spark, out + "-commits").select(
+        F.lit("reject_bytes").alias("outcome"), F.coalesce(F.length("value"), F.lit(0)).cast("bigint").alias("n"))
+    return told.unionByName(kept).groupBy("outcome").agg(F.sum("n").alias("n"))
+
+
+def first_lines_q(spark, sf_dir):
+    """L1 on text: the first lines of many files, in input order."""
+    path = shared_path(spark, "ordered-lines")
+    (table(spark, sf_dir, "lineitem").orderBy("l_orderkey", "l_linenumber")
+        .select(F.concat_ws(",", "l_orderkey", "l_linenumber").alias("value"))
+        .write.option("maxRecordsPerFile", LINE_FILE_ROWS).text(path))
+    f = F.split("value", ",")
+    return first_lines(spark, path, FIRST_LINES).select(
+        "pos", f[0].cast("bigint").alias("l_orderkey"), f[1].cast("bigint").alias("l_linenumber"))
+
+
+def zip_accuracy_q(spark, sf_dir):
+    """J1 without keys + A1: a feature CSV and a label file zipped by row; the label file lacks the last
+    rows, which are reported."""
+    e = table(spark, sf_dir, "embeddings").orderBy("vec_id")
+    csv, truth = shared_path(spark, "zip-csv"), shared_path(spark, "zip-labels")
+    e.select(render_csv_line("embedding").alias("value")).write.option("maxRecordsPerFile", 170).text(csv)
+    last = e.agg(F.max("vec_id")).first()[0]
+    (e.where(F.col("vec_id") <= last - ZIP_MISSING).select(F.col("label").cast("string").alias("value"))
+        .write.option("maxRecordsPerFile", 90).text(truth))
+    preds = score(parse_features(line_positions(spark, csv), 64), dense_model(spark, sf_dir), features="features",
+                  keep=["pos"], timings=False, with_scores=False).select("pos", "label")
+    labels = line_positions(spark, truth).select("pos", F.col("value").try_cast("int").alias("label"))
+    return positional_accuracy(zip_lines(preds, labels))
+
+
 def start_offset_q(spark, sf_dir):
     log = _record_log(spark, sf_dir)
     recs = record_stream(spark, "parquet", path=log, streaming=False)
@@ -453,4 +542,9 @@ QUERIES = {
     "publish_keys": publish_keys_q,
     "score_lstm": score_lstm_q,
     "stage_times": stage_times_q,
+    "log_offsets": log_offsets_q,
+    "log_return": log_return_q,
+    "stream_commits": stream_commits_q,
+    "first_lines": first_lines_q,
+    "zip_accuracy": zip_accuracy_q,
 }

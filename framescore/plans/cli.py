@@ -8,7 +8,9 @@ JOB: passthrough | keyvalue | scored | images | publish | results
   --rejects    where malformed records go (default: beside the output); --strict fails instead
   --outfile    write result lines as text files instead of the return topic
   --timeout    trigger interval in milliseconds (latency knob); default trigger if unset
-  --source     ``kafka`` or ``parquet`` (replayable record log at --path)
+  --source     ``kafka``, ``parquet`` (replayed record files at --path) or ``log`` (a committed record
+               log at --path, read by offsets: --starting-offsets, --group, --max-offsets-per-trigger)
+  --outlog     write result lines (publish: records) as a committed record log
   --model      ``centroids:<sf_dir>`` | ``lstm[:seed]`` | ``onnx:<file>:<width>:<classes>``
 publish: --csv <path> --width N writes keyed float32 records to the topic (or --outfile
          as a parquet record log); rejected lines go to --rejects.
@@ -53,7 +55,10 @@ def main(argv=None):
     ap.add_argument("--topic", help=f"default {DEFAULT_TOPIC}; a replayed log is read whole without it")
     ap.add_argument("--outfile")
     ap.add_argument("--timeout", type=int)
-    ap.add_argument("--source", default="kafka", choices=["kafka", "parquet"])
+    ap.add_argument("--source", default="kafka", choices=["kafka", "parquet", "log"])
+    ap.add_argument("--outlog", help="a committed record log for the results, or for published records")
+    ap.add_argument("--starting-offsets", help="earliest, latest or JSON {partition: offset}")
+    ap.add_argument("--group", help="log: consumer group whose progress is kept (default: the topic)")
     ap.add_argument("--path")
     ap.add_argument("--bootstrap", default="localhost:9092")
     ap.add_argument("--checkpoint")
@@ -71,15 +76,15 @@ def main(argv=None):
     ap.add_argument("--max-files-per-trigger", type=int,
                     help="replay: bound each micro-batch by files")
     ap.add_argument("--min-partitions", type=int,
-                    help="kafka: cut hot topic partitions into at least this many read tasks")
+                    help="kafka, log: cut hot topic partitions into at least this many read tasks")
     ap.add_argument("--rejects")
     ap.add_argument("--strict", action="store_true", help="fail on the first malformed record")
-    ap.add_argument("--limit", type=int, help="results: the first N lines in record order")
+    ap.add_argument("--limit", type=int, help="results: the first N lines, in the order of files and lines")
     ap.add_argument("--max-offsets-per-trigger", type=int,
-                    help="kafka: bound each micro-batch by records")
+                    help="kafka, log: bound each micro-batch by records")
     ap.add_argument("--float32", action="store_true",
                     help="dense models: float32 arithmetic (original precision, faster)")
-    ap.add_argument("--timed", action="store_true",
+    ap.add_argument("--timed", action=argparse.BooleanOptionalAction, default=True,
                     help="passthrough: decode whole payloads and measure decode time")
     a = ap.parse_args(argv)
 
@@ -92,26 +97,29 @@ def main(argv=None):
 
         from framescore.sinks.results import publish_kafka, write_record_log
         from framescore.sources.csv import feature_csv
+        from framescore.sources.record_log import write_log
         rows = feature_csv(spark, a.csv, a.width)
         if a.strict:
             rows = rows.withColumn("features", F.when(F.col("reject_reason").isNull(), F.col("features"))
                                    .otherwise(F.raise_error(F.concat(F.lit("bad line: "), "reject_reason"))))
         else:
             (rows.where(F.col("reject_reason").isNotNull()).select("value", "reject_reason")
-             .write.mode("overwrite").parquet(a.rejects or (a.outfile or a.csv).rstrip("/") + "-rejects"))
+             .write.mode("overwrite").parquet(a.rejects or (a.outfile or a.outlog or a.csv).rstrip("/") + "-rejects"))
         recs = jobs.publish(rows.where(F.col("reject_reason").isNull()), "features", a.topic or DEFAULT_TOPIC)
-        if a.outfile:
+        if a.outlog:
+            write_log(recs, a.outlog, partitions=a.partitions)
+        elif a.outfile:
             write_record_log(jobs.as_replay_log(recs, a.partitions), a.outfile)
         else:
             publish_kafka(recs, a.topic or DEFAULT_TOPIC, a.bootstrap)
         drop_derived(spark)
         return
     if a.job == "results":
+        from framescore.sources.lines import first_lines
         if a.source == "kafka":
             out = read_return_topic(spark, a.topic or DEFAULT_TOPIC, a.bootstrap, a.limit)
         else:
-            out = spark.read.text(a.path)
-            out = out if a.limit is None else out.limit(a.limit)
+            out = spark.read.text(a.path) if a.limit is None else first_lines(spark, a.path, a.limit).sort("pos")
         write_text(out, a.outfile)
         return
 
@@ -120,14 +128,15 @@ def main(argv=None):
         import numpy as np
 
         from framescore.operators.models import DenseSoftmax
-        model = DenseSoftmax(model.weights, model.bias, name=model.name, dtype=np.float32)
+        model = DenseSoftmax(model.weights, model.bias, name=model.name, dtype=np.float32,
+                             labels=model.labels)
     job = {"passthrough": lambda r: jobs.passthrough(r, timed=a.timed),
            "keyvalue": jobs.keyvalue, "scored": jobs.scored,
            "images": lambda r, m: jobs.bare_labels(r, m, a.divisor)}[a.job]
     jobs.run_stream(spark, job, source=a.source, path=a.path, topic=a.topic,
-                    bootstrap=a.bootstrap, outfile=a.outfile, timeout_ms=a.timeout,
+                    bootstrap=a.bootstrap, outfile=a.outfile, outlog=a.outlog, group=a.group, timeout_ms=a.timeout,
                     available_now=a.available_now, checkpoint=a.checkpoint, model=model,
-                    starting_offsets="earliest" if a.earliest else None,
+                    starting_offsets=a.starting_offsets or ("earliest" if a.earliest else None),
                     overwrite=a.overwrite, max_bytes_per_trigger=a.max_bytes_per_trigger,
                     max_offsets_per_trigger=a.max_offsets_per_trigger,
                     max_files_per_trigger=a.max_files_per_trigger, min_partitions=a.min_partitions,

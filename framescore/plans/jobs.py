@@ -28,8 +28,9 @@ from framescore.operators.scoring import score
 from framescore.session import delete_path, materialize, path_exists, stable_path
 from framescore.sources.csv import feature_csv
 from framescore.sources.idx import idx_images, idx_labels
+from framescore.sources.record_log import latest_offsets
 from framescore.sources.records import DEFAULT_TOPIC, publish_records, record_stream
-from framescore.streaming.runner import run_to_end, start_split
+from framescore.streaming.runner import drain, run_to_end, start_split
 
 
 def _clock_ms():
@@ -132,55 +133,63 @@ def as_replay_log(records: DataFrame, partitions: int = 4) -> DataFrame:
 
 
 #: What each job can read of a record; a job that is not named reads keyed float payloads.
-JOBS = {"passthrough": passthrough, "keyvalue": keyvalue}
+JOBS = {"passthrough": passthrough, "keyvalue": keyvalue, "scored": scored}
 SPECS = {passthrough: FLOAT_RECORDS, keyvalue: BYTE_RECORDS, scored: FLOAT_RECORDS,
          bare_labels: IMAGE_RECORDS}
 
 
 def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str | None = None,
                topic: str | None = None, bootstrap: str | None = None, outfile: str | None = None,
-               timeout_ms: int | None = None, available_now: bool = False,
+               outlog: str | None = None, timeout_ms: int | None = None, available_now: bool = False,
                checkpoint: str | None = None, model=None,
-               starting_offsets: str | None = None, max_files_per_trigger: int | None = None,
+               starting_offsets=None, max_files_per_trigger: int | None = None,
                rejects_path: str | None = None, strict: bool = False, overwrite: bool = False,
                max_bytes_per_trigger: int | None = None, max_offsets_per_trigger: int | None = None,
-               min_partitions: int | None = None, spec: RejectSpec | None = None,
+               min_partitions: int | None = None, group: str | None = None, spec: RejectSpec | None = None,
+               measures: dict | None = None, commits: str | None = None,
                job_name: str | None = None, wait: bool = True, wait_timeout_s: float | None = None):
-    """U4 parameters -> a running query.  Results go to ``outfile`` when given,
-    else to the ``<topic>-return`` topic.  A replayed log is read for ``topic``
-    only, if one is given.
+    """U4 parameters -> a running query.  Results go to ``outfile`` when given, else to the record
+    log ``outlog``, else to the ``<topic>-return`` topic.  A replayed log is read for ``topic``
+    only, if one is given.  ``source="log"`` reads a committed record log by offsets: from
+    ``starting_offsets``, or where ``group`` (default: the topic) left off; with ``available_now``
+    up to the offsets that it has now, in micro-batches of ``max_offsets_per_trigger``.
 
     Malformed records (by the job's ``spec``) never reach the job and are never
     dropped: every micro-batch writes its result lines to ``outfile/batch_id=N``
-    (or the return topic) and its rejects ``(topic, partition, offset,
-    reject_reason)`` to ``rejects_path/batch_id=N``, both with overwrite, so a
-    replayed micro-batch replaces its own output.  Without ``rejects_path`` they go to
-    ``<outfile>-rejects``, or to the progress folder if results go to a topic.  ``strict``
-    fails the query on the first one instead.
+    (or the return topic) and its rejects, whole records with their reason, to
+    ``rejects_path/batch_id=N``, and then commits both with its counts in ``commits`` (see
+    ``streaming.commits``).  Without ``rejects_path`` they go to
+    ``<outfile>-rejects``, or to the progress folder if results go to a topic; without ``commits``
+    the manifests go to ``<outfile>-commits`` in the same way.  ``strict``
+    fails the query on the first malformed record instead.
 
     Progress is kept in ``checkpoint``; without one, in a folder named after job,
     topic, path and outfile below the shared folder, so a second run of the same job
     goes on where the first stopped.  ``overwrite=True`` starts over: earlier output,
-    rejects and progress of that name go."""
+    rejects, commits and progress of that name go."""
     name = job_name or (job if isinstance(job, str) else getattr(job, "__name__", "job"))
     fn = JOBS.get(job, job) if isinstance(job, str) else job
-    progress = checkpoint or stable_path(spark, name, topic or "", path or bootstrap or "", outfile or "")
-    if rejects_path is None:
-        rejects_path = (outfile.rstrip("/") + "-rejects") if outfile else progress + "-rejects"
+    progress = checkpoint or stable_path(spark, name, topic or "", path or bootstrap or "", outfile or outlog or "")
+    beside = outfile.rstrip("/") if outfile else progress
+    rejects_path, commits = rejects_path or beside + "-rejects", commits or beside + "-commits"
+    planned = progress + "-source"
     if overwrite:
-        for old in (outfile, rejects_path, progress):
+        for old in (outfile, rejects_path, commits, progress, planned):
             if old:
                 delete_path(spark, old)
     elif outfile and path_exists(spark, outfile) and not path_exists(spark, progress):
         raise FileExistsError(f"{outfile} holds another run's output; pass overwrite=True or "
                               "that run's checkpoint")
+    by_offsets = source == "log"
+    replay = {"ending_offsets": latest_offsets(path) if available_now else None,
+              "group": group or topic or DEFAULT_TOPIC, "progress": planned} if by_offsets else {}
     records = record_stream(spark, source, path=path,
                             topic=(topic or DEFAULT_TOPIC) if source == "kafka" else topic,
                             bootstrap=bootstrap, starting_offsets=starting_offsets,
                             max_files_per_trigger=max_files_per_trigger,
                             max_bytes_per_trigger=max_bytes_per_trigger,
                             max_offsets_per_trigger=max_offsets_per_trigger,
-                            min_partitions=min_partitions, projection="all")
+                            min_partitions=min_partitions, projection="all", **replay)
     spec = (spec or SPECS.get(fn, FLOAT_RECORDS)).for_model(model)
     tagged = tag_rejects(records, strict=strict, spec=spec)
 
@@ -188,8 +197,11 @@ def run_stream(spark: SparkSession, job, *, source: str = "parquet", path: str |
         good = df.where(F.col(REASON).isNull()).drop(REASON)
         return fn(good, model) if model is not None else fn(good)
 
-    target = {"path": outfile} if outfile else {"topic": return_topic_name(topic or DEFAULT_TOPIC),
-                                                "bootstrap": bootstrap}
-    q = start_split(tagged, apply, REASON, progress, rejects_path, **target, timeout_ms=timeout_ms,
-                    available_now=available_now)
-    return run_to_end(q, wait_timeout_s) if wait else q
+    target = ({"path": outfile} if outfile else {"log": outlog} if outlog else
+              {"topic": return_topic_name(topic or DEFAULT_TOPIC), "bootstrap": bootstrap})
+    bounded = by_offsets and available_now                  # the source itself ends the replay
+    q = start_split(tagged, apply, REASON, progress, rejects_path, commits=commits, **target, timeout_ms=timeout_ms,
+                    available_now=available_now and not bounded, measures=measures)
+    if not wait:
+        return q
+    return drain(q) if bounded else run_to_end(q, wait_timeout_s)

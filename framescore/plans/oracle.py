@@ -237,6 +237,38 @@ SELECT vec_id, true AS clock_ok, true AS stages_ok, true AS batch_ok FROM embedd
     "start_offset": """
 SELECT CAST(vec_id % 4 AS INTEGER) AS "partition", count(*) AS n
 FROM embeddings WHERE vec_id // 4 >= 10 GROUP BY 1
+""",
+    "log_offsets": """
+SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS "partition", CAST(vec_id // 4 AS BIGINT) AS "offset"
+FROM embeddings WHERE vec_id // 4 >= CASE vec_id % 4 WHEN 0 THEN 10 WHEN 2 THEN 40 ELSE 0 END
+""",
+    "log_return": f"""
+SELECT vec_id, label, true AS dense FROM ({_DENSE_LABELS})
+""",
+    "stream_commits": f"""
+WITH t AS (SELECT vec_id % 10 AS k, len(embedding) AS width, label FROM ({_DENSE_LABELS}) JOIN
+             (SELECT vec_id, embedding FROM embeddings) USING (vec_id))
+SELECT 'record' AS outcome, count(*)::BIGINT AS n FROM t
+UNION ALL SELECT 'line', count(*)::BIGINT FROM t WHERE k > 3
+UNION ALL SELECT 'label_sum', sum(label)::BIGINT FROM t WHERE k > 3
+UNION ALL SELECT CASE k WHEN 0 THEN 'null_key' WHEN 1 THEN 'null_value' WHEN 2 THEN 'short_value' ELSE 'bad_width' END,
+                 count(*)::BIGINT FROM t WHERE k <= 3 GROUP BY 1
+UNION ALL SELECT 'reject_bytes', sum(CASE k WHEN 0 THEN 4 * width WHEN 1 THEN 0 WHEN 2 THEN 3 ELSE 2 * width END)::BIGINT
+          FROM t WHERE k <= 3
+""",
+    "first_lines": """
+SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS BIGINT) AS pos,
+       CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber
+FROM lineitem QUALIFY pos < 10000
+""",
+    "zip_accuracy": f"""
+WITH p AS (SELECT d.label AS pred, e.label AS truth, row_number() OVER (ORDER BY vec_id) AS i,
+             vec_id <= (SELECT max(vec_id) FROM embeddings) - 7 AS paired
+           FROM ({_DENSE_LABELS}) d JOIN embeddings e USING (vec_id))
+SELECT count(*) FILTER (paired) AS n, count(*) FILTER (paired AND pred = truth) AS n_correct,
+       (count(*) FILTER (paired AND pred = truth) / (count(*) FILTER (paired)))::DOUBLE AS accuracy,
+       count(*) FILTER (NOT paired) AS only_left, 0::BIGINT AS only_right
+FROM p
 """,
     "first_n": f"""
 WITH pred AS ({_DENSE_LABELS})

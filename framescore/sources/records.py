@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescore.functions.codec import send_time
+from framescore.sources.record_log import read_log
 
 # Spark's Kafka source schema; the parquet record log uses the same columns.
 RECORD_SCHEMA = T.StructType([
@@ -67,12 +68,14 @@ def kafka_options(topic: str, bootstrap: str, starting_offsets: str | None = Non
 
 def record_stream(spark: SparkSession, source: str = "parquet", *, path: str | None = None,
                   topic: str | None = None, bootstrap: str | None = None,
-                  starting_offsets: str | None = None, projection: str = "meta",
+                  starting_offsets=None, projection: str = "meta",
                   streaming: bool = True, max_files_per_trigger: int | None = None,
                   max_offsets_per_trigger: int | None = None,
                   min_partitions: int | None = None,
-                  max_bytes_per_trigger: int | None = None) -> DataFrame:
-    """Open a record source and project the decoder's columns."""
+                  max_bytes_per_trigger: int | None = None, ending_offsets=None,
+                  group: str | None = None, progress: str | None = None) -> DataFrame:
+    """Open a record source and project the decoder's columns.  ``log`` is a committed record
+    log read by offsets (``record_log``); offsets, group and progress are options of that."""
     reader = spark.readStream if streaming else spark.read
     if source == "kafka":
         try:
@@ -83,6 +86,12 @@ def record_stream(spark: SparkSession, source: str = "parquet", *, path: str | N
             if "Failed to find data source" in str(e):
                 raise RuntimeError(KAFKA_HINT.format(version=spark.version)) from e
             raise
+    elif source == "log":
+        df = read_log(spark, path, streaming, starting_offsets=starting_offsets, ending_offsets=ending_offsets,
+                      group=group, progress=progress, max_offsets_per_trigger=max_offsets_per_trigger,
+                      min_partitions=min_partitions)
+        if topic is not None:
+            df = df.where(F.col("topic") == F.lit(topic))
     else:
         r = reader.schema(RECORD_SCHEMA).format(source)
         if streaming and max_files_per_trigger:

@@ -14,12 +14,15 @@ streaming) via ``foreachBatch``, and ``start_split``, which keeps rejects as wel
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from framescore.operators.rejects import REASONS
 from framescore.sinks.results import kafka_sink_options
+from framescore.sources.record_log import write_log
 from framescore.sources.records import KAFKA_HINT
+from framescore.streaming.commits import REJECT_SCHEMA, commit, is_committed
 
 
 def trigger_args(timeout_ms: int | None = None, available_now: bool = False,
@@ -63,24 +66,41 @@ def start_stream(df: DataFrame, sink: str, checkpoint: str, *, path: str | None
 
 
 def start_split(tagged: DataFrame, apply, reason: str, checkpoint: str, rejects_path: str, *,
-                path: str | None = None, topic: str | None = None, bootstrap: str | None = None,
-                timeout_ms: int | None = None, available_now: bool = False) -> StreamingQuery:
-    """Result lines and rejects of every micro-batch to their own places.
-
-    ``tagged`` holds the records with their reject reason; each branch is one pass over
-    the batch, so nothing is held in memory between them.  Lines go below ``path`` or to
-    the broker; the rejects are written first, so a batch that counts as done has both."""
+                commits: str, path: str | None = None, topic: str | None = None, bootstrap: str | None = None,
+                log: str | None = None, timeout_ms: int | None = None, available_now: bool = False,
+                measures: dict | None = None) -> StreamingQuery:
+    """Result lines and rejects of every micro-batch to their own places, under one commit.
+
+    ``tagged`` holds the records with their reject reason.  Lines go below ``path``, to the record
+    log ``log``, or to the broker.  Records, reasons and ``measures`` (aggregates of the job's output,
+    by name) are observed while the lines are written; only a batch that has rejects is read again
+    for them.  The manifest in ``commits`` comes last (see ``commits``)."""
     if topic is not None:
         _broker_or_hint(tagged, topic, bootstrap, checkpoint)
 
     def per_batch(batch: DataFrame, batch_id: int):
-        (batch.where(F.col(reason).isNotNull()).select("topic", "partition", "offset", reason)
-              .write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch_id={batch_id}"))
-        lines = apply(batch).select("value")
+        if is_committed(commits, batch_id):               # it ended after its commit: nothing to write
+            return
+        seen, told = Observation(), Observation()
+        counts = [F.count(F.when(F.col(reason) == r, 1)).alias(r) for r in REASONS]
+        out = apply(batch.observe(seen, F.count(F.lit(1)).alias("records"), *counts))
+        exprs = [m.cast("double").alias(f"m_{name}") for name, m in (measures or {}).items()]
+        lines = out.observe(told, F.count(F.lit(1)).alias("lines"), *exprs).select("value")
+        place = f"batch_id={batch_id}"
         if path is not None:
-            lines.write.mode("overwrite").text(f"{path.rstrip('/')}/batch_id={batch_id}")
+            lines.write.mode("overwrite").text(f"{path.rstrip('/')}/{place}")
+        elif log is not None:
+            write_log(lines.select(F.encode("value", "UTF-8").alias("value")), log, writer=checkpoint, batch=batch_id)
         else:
             lines.write.format("kafka").options(**kafka_sink_options(topic, bootstrap)).save()
+        rejects = {r: n for r, n in seen.get.items() if r != "records" and n}
+        if rejects or batch_id == 0:                      # the first writes them anyway, so that they can be read
+            (batch.where(F.col(reason).isNotNull()).select(*[F.col(f.name).cast(f.dataType) for f in REJECT_SCHEMA.fields])
+                  .write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/{place}"))
+        commit(commits, batch_id, records=seen.get["records"], lines=told.get["lines"], rejects=rejects,
+               measures={name: told.get[f"m_{name}"] for name in measures or {}},
+               lines_path=path and f"{path.rstrip('/')}/{place}",
+               rejects_path=f"{rejects_path.rstrip('/')}/{place}" if rejects else None)
 
     w = tagged.writeStream.option("checkpointLocation", checkpoint)
     trig = trigger_args(timeout_ms, available_now)
@@ -97,6 +117,15 @@ def _broker_or_hint(df: DataFrame, topic: str, bootstrap: str, checkpoint: str)
         raise RuntimeError(KAFKA_HINT.format(version=df.sparkSession.version)) from e
 
 
+def drain(q: StreamingQuery) -> StreamingQuery:
+    """T5 for a replay that its source bounds: every micro-batch up to the source's end, then stop."""
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return q
+
+
 def run_to_end(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
     """T5 for bounded replay: wait until the query stops (availableNow)."""
     if timeout_s is None:
