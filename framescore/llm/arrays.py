@@ -26,6 +26,7 @@ UNICODE_SPACES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, 0x2000
                   0x202F, 0x205F, 0x3000)
 
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
+_HASH_BYTES = 1 << 17
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,20 +94,27 @@ def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
         byte = byte.copy()
         byte[65:91] = byte[97:123]
     lens = ends - starts
-    top = int(lens.max())
-    gap = bool((starts[1:] != ends[:-1]).any()) or starts[0] != 0 or ends[-1] != len(data)
+    total = np.cumsum(lens)
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):                                # runs of slices whose arrays stay in the cache
+        hi = int(np.searchsorted(total, total[lo] - lens[lo] + _HASH_BYTES, side="right"))
+        hi = max(hi, lo + 1)
+        out[lo:hi] = _hash_run(data, starts[lo:hi], ends[lo:hi], lens[lo:hi], byte, weight)
+        lo = hi
+    return out
+
+
+def _hash_run(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lens: np.ndarray, byte: np.ndarray,
+              weight: np.ndarray) -> np.ndarray:
     before = np.cumsum(lens) - lens
-    whole = np.int32 if len(data) < 1 << 31 else np.int64            # small arrays: these are the largest
-    pos = np.arange(int(lens.sum()), dtype=whole)
-    pos -= np.repeat(before.astype(whole), lens)
-    if gap:
-        at = np.repeat(starts.astype(whole), lens)
-        at += pos
-        terms = byte[data[at]]
-        del at
+    pos = np.arange(int(lens.sum()), dtype=np.int32 if lens.sum() < 1 << 31 else np.int64)
+    pos -= np.repeat(before.astype(pos.dtype), lens)
+    if (starts[1:] == ends[:-1]).all():
+        terms = byte[data[starts[0]:ends[-1]]]
     else:
-        terms = byte[data]
-    if top > len(weight):
+        terms = byte[data[np.repeat(starts, lens) + pos]]
+    if int(lens.max()) > len(weight):
         terms *= weight[pos % len(weight)] + (pos // len(weight)).astype(np.uint64) * np.uint64(2)
     else:
         terms *= weight[pos]

@@ -34,48 +34,97 @@ CAPACITY = 2048
 END_ID = 1
 BLOCK_BYTES = 8 << 20
 #: Words a worker remembers between blocks (bounds its memory, not the result).
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 PIECES = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, sequence_length bigint, cost double")
 
 
+class Words:
+    """Ids of the words a worker remembers: sorted hashes, and where each word's ids lie."""
+
+    def __init__(self):
+        self.hashes, self.starts, self.lens = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it known, its place)."""
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        return (self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)), at
+
+    def keep(self, hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.lens = hashes[order], lens[order]
+        self.flat = arrays.gather(flat, starts[order], self.lens)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
-    return tok, {}
+    newline = tok.encode("\n", add_special_tokens=False).ids
+    return tok, newline[0] if len(newline) == 1 else None, Words()
+
+
+def encode_words(path: str, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the words, how many each has).  Words are encoded many at a time, a line each: a newline
+    is a word and an id of its own, and no word but white space holds one."""
+    tok, newline, _ = _tokenizer(path)
+    joined = np.full(int(lens.sum()) + len(lens), 0x0A, np.uint8)
+    joined[np.arange(int(lens.sum())) + np.repeat(np.arange(len(lens)), lens)] = arrays.gather(data, starts, lens)
+    ends = np.cumsum(lens + 1)
+    cls, _ = arrays.byte_classes(joined)
+    lone = cls[ends - 2] == arrays.SPACE                 # white space: encoded by itself
+    if newline is None:
+        lone[:] = True
+    raw, begins = joined.tobytes(), ends - lens - 1
+    plain = np.flatnonzero(~lone)
+    parts, counts = [], np.zeros(len(lens), np.int64)
+    for lo in range(0, len(plain), 4096):
+        which = plain[lo:lo + 4096]
+        text = arrays.gather(joined, begins[which], lens[which] + 1).tobytes().decode()
+        ids = np.asarray(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        line = np.flatnonzero(ids == newline)
+        counts[which] = np.diff(line, prepend=-1) - 1
+        parts.append(ids[ids != newline])
+    for k in np.flatnonzero(lone).tolist():
+        ids = tok.encode(raw[begins[k]:begins[k] + lens[k]].decode(), add_special_tokens=False).ids
+        counts[k] = len(ids)
+        parts.append(np.asarray(ids, np.uint32))
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    order = np.concatenate([plain, np.flatnonzero(lone)])  # as encoded; back to the order given
+    at = np.empty(len(lens), np.int64)
+    at[order] = np.cumsum(counts[order]) - counts[order]
+    return arrays.gather(flat, at, counts), counts
 
 
 def encode_block(path: str, data: np.ndarray, off: np.ndarray, end_id: int | None
                  ) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts of the block, each with ``end_id`` after it; offsets)."""
-    tok, known = _tokenizer(path)
+    known = _tokenizer(path)[2]
     starts = arrays.pretokens(data, off)
     ends = np.append(starts[1:], len(data))
-    at, rank = arrays.distinct(arrays.hash_slices(data, starts, ends))
-    raw = data.tobytes()
-    words = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = words
-    got = {}
-    for lo in range(0, len(new), 4096):
-        part = new[lo:lo + 4096]
-        for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part],
-                                                    add_special_tokens=False), strict=True):
-            got[w] = np.asarray(e.ids, np.uint32).tobytes()
-    pieces = [got.get(w) or known[w] for w in words]
-    for w in new[:REMEMBERED]:
-        known[w] = got[w]
-    lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-    flat = np.frombuffer(b"".join(pieces), np.uint32)
+    hashes = arrays.hash_slices(data, starts, ends)
+    at, rank = arrays.distinct(hashes)
+    hashes = hashes[at]
+    hit, place = known.find(hashes)
+    new = np.flatnonzero(~hit)
+    fresh, counts = encode_words(path, data, starts[at[new]], (ends - starts)[at[new]])
+    lens, begin = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    lens[hit], begin[hit] = known.lens[place[hit]], known.starts[place[hit]]
+    lens[new], begin[new] = counts, len(known.flat) + np.cumsum(counts) - counts
+    flat = np.concatenate([known.flat, fresh])
     first = np.searchsorted(starts, off)
     n_words = lens[rank]
-    ids = arrays.gather(flat, (np.cumsum(lens) - lens)[rank], n_words)
+    ids = arrays.gather(flat, begin[rank], n_words)
     at_id = np.concatenate([[0], np.cumsum(n_words)])[first]
+    if len(known.hashes) + len(new) > REMEMBERED:        # full: this block's words stay, frequent ones first
+        known.keep(hashes[:REMEMBERED], flat, begin[:REMEMBERED], lens[:REMEMBERED])
+    elif len(new):
+        known.keep(np.concatenate([known.hashes, hashes[new]]), flat, np.concatenate([known.starts, begin[new]]),
+                   np.concatenate([known.lens, lens[new]]))
     if end_id is None:
         return ids, at_id
     ids = np.insert(ids, at_id[1:], np.uint32(end_id))

@@ -657,3 +657,22 @@ def test_policy_does_not_reach_the_scan(spark, docs):
     verdict = quality_rules.apply_policy(quality_rules.ledger(docs, carry=True))
     want = [r["row"]["text"] for r in verdict.collect() if r["kept"]]
     assert sorted(r["text"] or "" for r in kept.collect()) == sorted(t or "" for t in want) and kept.schema == docs.schema
+
+
+def test_words_encoded_in_lines_equal_single_words(monkeypatch):
+    """Also when the memory of words overflows between blocks."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+    path = tokenizer_path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    rng = random.Random(3)
+    alpha = [*"ab'  \n\t.!19éß中𝒳 \xa0\r\x1c\x85\x0b", "'s", "'re", " '", "<|endoftext|>", "\n\n"]
+    texts = ["".join(rng.choice(alpha) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    for size in (10, packing.REMEMBERED):
+        monkeypatch.setattr(packing, "REMEMBERED", size)
+        for lo in (0, 1000, 2000):
+            data, off = arrays.text_bytes(pa.array(texts[lo:lo + 1000]))
+            ids, at = packing.encode_block(path, data, off, None)
+            want = tok.encode_batch(texts[lo:lo + 1000], add_special_tokens=False)
+            assert all(ids[at[k]:at[k + 1]].tolist() == w.ids for k, w in enumerate(want))
