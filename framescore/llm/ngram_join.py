@@ -14,19 +14,19 @@ A document's tokens are its distinct five-word shingles.  Equal sets are one *cl
 3. *Groups.*  Similar classes are partitioned into groups: in each round a class is
    compared with one partner, the leading class of the lists they share most of, and linked
    classes become one group.
-   Classes that are joined by the leading class they share most with are a *family*; within it, the classes outside the
-   largest group meet all others in blocks, as products of 0/1 token matrices in one task.
-4. *Matrix.*  Across families, the token-group matrix holds which groups hold which posted token (the union
-   over the members).  For a class outside a group, the tokens of its prefix in the
-   group's union bound the overlap with every member; only groups that reach k are opened,
-   and within them only the members that reach k themselves are compared, on whole sets.
-   Classes of one group are connected already, so pairs inside a group are never formed.
+   Groups and classes that are joined by the leading class they share most with are one *family*
+   of similar documents.
+4. *Matrix.*  The token-group matrix holds which families hold which posted token (the union
+   over the members).  The tokens of a class's prefix in another family's union bound its overlap
+   with every member; only families that reach k are opened.  An opened family's classes, and its own
+   outside the largest group, are compared in blocks, as products of 0/1 token matrices of whole
+   sets; only links leave a block, so pairs are never rows.
 5. Links between groups and the groups themselves give the connected components.
 
 Comparisons are exact on the whole sets: 100 * intersection >= 75 * union.  Tokens are
 64-bit hashes (48 bits in comparisons of two sets); class ids are 64-bit.
 
-Skew: copies are one class before anything is compared, and are posted once per task; a group
+Skew: a token's list meets the matrix in salted parts; copies are one class before anything is compared, and are posted once per task; a group
 that holds a third of all rows costs one comparison per class and round, dealt over salted
 tasks.  The driver sees counts, the level table (``SLOTS`` bytes) and a bitmap of fixed size.
 
@@ -65,6 +65,8 @@ BLOCK_TOKENS = 4096
 BLOCK_BYTES = 2 << 20
 #: Wanted sets (id, partner, salt: some 40 bytes a row) up to which their table is broadcast.
 BROADCAST_ROWS = 200_000
+#: Parts of a token's list that meet the matrix apart.
+SALTS = 16
 
 
 def needed(n):
@@ -408,7 +410,6 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
     tokens = stored(sets.select(F.col("x").alias("id"), F.col("doc_id").alias("rep"), "tokens"), "ngram-sets")
     edges = spark.createDataFrame([], "a bigint, b bigint")
     groups = spark.createDataFrame([], "node bigint, comp bigint")
-    tried = spark.createDataFrame([], "x bigint, y bigint")
     chosen = spark.createDataFrame([], "x bigint, f bigint")
     alive = posts
     ratio = (f"100 * least(n, n_y) >= {PERCENT} * greatest(n, n_y) AND "
@@ -420,7 +421,6 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
         split = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi")
         named = stored(named.join(split.select("token"), "token", "left_semi"), "ngram-matrix")
         alive = named.select("token", "weight", "x", "n", "r")
-        found = None
         if turn < rounds:
             # one partner a class: the leading class of the lists it shares most of, at first
             # the one with the fewest tokens of its own, which is nearest to all others
@@ -434,18 +434,17 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
             fit = counted.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)))
             pairs = fit.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
         else:
-            # families: classes and the leading classes they chose.  Within one, blocks; across, pairs
-            named = stored(named.join(chosen, "x", "left").select(
+            # families: classes and the leading classes they chose
+            named = stored(_reaching(named).join(chosen, "x", "left").select(
                 "token", "weight", "x", "n", "r", "g", F.coalesce("f", "x").alias("f")), "ngram-families")
-            found = stored(_within(named, reps, tokens), "ngram-edges")
-            several = named.groupBy("token").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo <> hi")
-            pairs = _opened(stored(named.join(several.select("token"), "token", "left_semi"), "ngram-matrix"), ratio)
-        fresh = pairs.join(tried, ["x", "y"], "left_anti")
+            found = stored(_within(named, _asking(named), reps, tokens), "ngram-edges")
+            edges = edges.unionByName(found)
+            groups = stored(components(edges), "ngram-groups")
+            break
+        fresh = pairs
         for end in ("x", "y"):
             fresh = fresh.join(reps.select(F.col("h1").alias(end), F.col("rep").alias(f"rep_{end}")), end)
         pairs = stored(fresh, "ngram-pairs")
-        tried = tried.unionByName(pairs.select("x", "y")).unionByName(
-            pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
         if turn == 0 and rounds:
             best = (named.join(lead, "token").select("x", "weight", F.col("lead.x").alias("y")).filter("x <> y")
                     .groupBy("x", "y").agg(F.sum("weight").alias("shared")).groupBy("x")
@@ -453,54 +452,65 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
             near = components(best.select(F.col("x").alias("a"), F.col("y").alias("b")))
             chosen = stored(near.select(F.col("node").alias("x"), F.col("comp").alias("f")), "ngram-chosen")
         edges = edges.unionByName(stored(verified(pairs, tokens), "ngram-edges"))
-        if found is not None:
-            edges = edges.unionByName(found)
         groups = stored(components(edges), "ngram-groups")
-    for done in (posts, reps, tokens, tried, edges):
+    for done in (posts, reps, tokens, edges):
         dropped(done)
     return rows, classes, groups
 
 
-def _opened(named: DataFrame, ratio: str) -> DataFrame:
-    """Pairs of classes in different groups and families that can link: groups first, members
-    then.
-
-    In each list the classes outside its largest group ask; a class of the largest group
-    is asked only.  The token-group matrix is the lists' (token, group) cells."""
-    matrix = named.groupBy("token", "g").agg(F.count("*").alias("size"), F.first("weight").alias("weight"))
-    largest = matrix.groupBy("token").agg(F.max_by("g", F.struct("size", "g")).alias("top"))
-    asking = named.join(largest, "token").filter("g <> top").drop("top")
-    # a member may be smaller than the class that asks: the least k of any that can link to it
-    k = F.least(F.lit(SHARED), F.ceil(F.ceil(F.col("n") * PERCENT / 100) * PERCENT / 100))
-    cells = matrix.select("token", F.col("g").alias("g_y"))
-    # how often a class asks depends on the list, so its bound counts all lists it shares with the group
-    asks = asking.join(cells, "token").filter("g <> g_y").select("x", "g_y").distinct()
-    bound = (named.join(cells, "token").filter("g <> g_y").join(asks, ["x", "g_y"], "left_semi")
-             .groupBy("x", "n", "g_y").agg(F.sum("weight").alias("shared")).filter(F.col("shared") >= k))
-    qualified = bound.select("x", "n", "g_y")
-    mine = named.select("token", "weight", "x", "r", "f").join(qualified, "x")
-    members = named.select("token", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("r").alias("r_y"),
-                           F.col("f").alias("f_y"), F.col("g").alias("g_y"))
-    pairs = (mine.join(members, ["token", "g_y"]).filter(ratio).filter("f <> f_y").groupBy("x", "n", "y", "n_y")
-             .agg(F.sum("weight").alias("shared"))
-             .filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.least("n", "n_y") * PERCENT / 100))))
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
-
-def _within(named: DataFrame, reps: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Links between the groups of one family, block by block on whole sets.
-
-    The classes outside the family's largest group meet all its classes.  A block holds some
-    ``BLOCK_CLASSES`` of either side, so a family of any size is many small tasks, and only
-    links leave them, at most one for each class and group of a block."""
+def _least_shared(n: str = "n"):
+    """The least number of listed tokens that a class shares with any that links to it, larger or smaller."""
+    return F.least(F.lit(SHARED), F.ceil(F.ceil(F.col(n) * PERCENT / 100) * PERCENT / 100))
+
+
+def _reaching(named: DataFrame) -> DataFrame:
+    """The list rows of classes that can still link outside their group: every list that is left holds
+    several groups, and two classes that link share ``_least_shared`` of them."""
+    for _ in range(2):
+        strong = named.groupBy("x").agg(F.sum("weight").alias("s"), F.first("n").alias("n")).filter(
+            F.col("s") >= _least_shared()).select("x")
+        named = named.join(strong, "x", "left_semi")
+        split = named.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi")
+        named = stored(named.join(split.select("token"), "token", "left_semi"), "ngram-matrix")
+    return named
+
+
+def _asking(named: DataFrame) -> DataFrame:
+    """The classes that open other families: (x, f, g, the family opened).
+
+    The token-group matrix holds, for every token, the families whose union has it.  The lists that a class
+    shares with a family's union bound its overlap with every member; only families that reach the least
+    overlap are opened.  Of two families the smaller one's classes ask.  A token's row of the matrix is
+    repeated for ``SALTS`` parts of its list, so a token of very many classes is no hot key."""
+    sizes = named.select("f", "x").distinct().groupBy("f").agg(F.count("*").alias("size"))
+    cells = named.groupBy("token", "f").agg(F.first("weight").alias("weight"))
+    several = cells.groupBy("token").agg(F.count("*").alias("families")).filter("families > 1").select("token")
+    cells = stored(cells.join(several, "token").join(sizes, "f"), "ngram-matrix")
+    opened = cells.select("token", F.col("f").alias("f_y"), F.col("size").alias("size_y"),
+                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = named.join(sizes, "f").select("token", "weight", "x", "n", "f", "g", "size",
+                                         F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int").alias("salt"))
+    smaller = F.struct("size", "f") < F.struct(F.col("size_y").alias("size"), F.col("f_y").alias("f"))
+    shared = rows.join(opened, ["token", "salt"]).filter(smaller).groupBy("x", "n", "f", "g", "f_y").agg(
+        F.sum("weight").alias("shared"))
+    return shared.filter(F.col("shared") >= _least_shared()).select("x", "f", "g", "f_y")
+
+
+def _within(named: DataFrame, asking: DataFrame, reps: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links between groups, family by family and block by block on whole sets.
+
+    The classes outside the family's largest group, and those of other families that opened it, meet all
+    its classes.  A block holds some ``BLOCK_CLASSES`` of either side, so a family of any size is many small
+    tasks, and only links leave them, at most one for each class and group of a block."""
     width = shuffle_width(named.sparkSession)
     members = named.groupBy("x").agg(F.first("f").alias("f"), F.first("g").alias("g"))
     sizes = members.groupBy("f", "g").agg(F.count("*").alias("size")).groupBy("f").agg(
-        F.max_by("g", F.struct("size", "g")).alias("top"), F.sum("size").alias("all"),
-        (F.sum("size") - F.max("size")).alias("rest")).filter("rest > 0")
-    own = (members.join(sizes, "f").join(reps.select(F.col("h1").alias("x"), "rep"), "x")
-           .withColumn("nb", F.floor(F.col("all") / BLOCK_CLASSES) + 1)
-           .withColumn("na", F.floor(F.col("rest") / BLOCK_CLASSES) + 1))
+        F.max_by("g", F.struct("size", "g")).alias("top"), F.sum("size").alias("all"))
+    inner = members.join(sizes, "f").filter("g <> top").select("x", "f", "g")
+    asks = stored(inner.unionByName(asking.select("x", F.col("f_y").alias("f"), "g")), "ngram-asks")
+    blocks = asks.groupBy("f").agg(F.count("*").alias("rest")).join(sizes, "f").select(
+        "f", (F.floor(F.col("all") / BLOCK_CLASSES) + 1).alias("nb"), (F.floor(F.col("rest") / BLOCK_CLASSES) + 1).alias("na"))
+    named_reps = reps.select(F.col("h1").alias("x"), "rep")
     hashed = F.xxhash64("x")
 
     def side(rows: DataFrame, role: int) -> DataFrame:
@@ -512,7 +522,8 @@ def _within(named: DataFrame, reps: DataFrame, tokens: DataFrame) -> DataFrame:
         return out.select(F.col("x").alias("id"), "rep", "f", F.col(a).alias("a"), F.col(b).alias("b"),
                           F.lit(role).alias("role"), "g")
 
-    wanted = stored(side(own.filter("g <> top"), 0).unionByName(side(own, 1)), "ngram-blocks")
+    wanted = stored(side(asks.join(blocks, "f").join(named_reps, "x"), 0).unionByName(
+        side(members.join(blocks, "f").join(named_reps, "x"), 1)), "ngram-blocks")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     met = (tokens.join(wanted, ["id", "rep"]).select("f", "a", "b", "role", "g", "id", "tokens")
