@@ -67,6 +67,7 @@ BLOCK_BYTES = 2 << 20
 BROADCAST_ROWS = 200_000
 #: Parts of a token's list that meet the matrix apart.
 SALTS = 16
+_ASKS, _ASKED = 1, 2
 
 
 def needed(n):
@@ -458,6 +459,19 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", list_
     return rows, classes, groups
 
 
+def _salt():
+    return F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int")
+
+
+def _every_salt():
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
+def _with_family(rows: DataFrame, families: DataFrame) -> DataFrame:
+    """Rows (x, f) with what ``families`` says of f; a family of very many classes is dealt over salted parts."""
+    return rows.withColumn("salt", _salt()).join(families.select("*", _every_salt()), ["f", "salt"]).drop("salt")
+
+
 def _least_shared(n: str = "n"):
     """The least number of listed tokens that a class shares with any that links to it, larger or smaller."""
     return F.least(F.lit(SHARED), F.ceil(F.ceil(F.col(n) * PERCENT / 100) * PERCENT / 100))
@@ -480,19 +494,14 @@ def _asking(named: DataFrame) -> DataFrame:
 
     The token-group matrix holds, for every token, the families whose union has it.  The lists that a class
     shares with a family's union bound its overlap with every member; only families that reach the least
-    overlap are opened.  Of two families the smaller one's classes ask.  A token's row of the matrix is
+    overlap are opened.  Of two families the one of the lesser name asks.  A token's row of the matrix is
     repeated for ``SALTS`` parts of its list, so a token of very many classes is no hot key."""
-    sizes = named.select("f", "x").distinct().groupBy("f").agg(F.count("*").alias("size"))
     cells = named.groupBy("token", "f").agg(F.first("weight").alias("weight"))
     several = cells.groupBy("token").agg(F.count("*").alias("families")).filter("families > 1").select("token")
-    cells = stored(cells.join(several, "token").join(sizes, "f"), "ngram-matrix")
-    opened = cells.select("token", F.col("f").alias("f_y"), F.col("size").alias("size_y"),
-                          F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = named.join(sizes, "f").select("token", "weight", "x", "n", "f", "g", "size",
-                                         F.pmod(F.xxhash64("x"), F.lit(SALTS)).cast("int").alias("salt"))
-    smaller = F.struct("size", "f") < F.struct(F.col("size_y").alias("size"), F.col("f_y").alias("f"))
-    shared = rows.join(opened, ["token", "salt"]).filter(smaller).groupBy("x", "n", "f", "g", "f_y").agg(
-        F.sum("weight").alias("shared"))
+    cells = stored(cells.join(several, "token"), "ngram-matrix")
+    opened = cells.select("token", F.col("f").alias("f_y"), _every_salt())
+    shared = named.withColumn("salt", _salt()).join(opened, ["token", "salt"]).filter("f < f_y").groupBy(
+        "x", "n", "f", "g", "f_y").agg(F.sum("weight").alias("shared"))
     return shared.filter(F.col("shared") >= _least_shared()).select("x", "f", "g", "f_y")
 
 
@@ -506,7 +515,8 @@ def _within(named: DataFrame, asking: DataFrame, reps: DataFrame, tokens: DataFr
     members = named.groupBy("x").agg(F.first("f").alias("f"), F.first("g").alias("g"))
     sizes = members.groupBy("f", "g").agg(F.count("*").alias("size")).groupBy("f").agg(
         F.max_by("g", F.struct("size", "g")).alias("top"), F.sum("size").alias("all"))
-    inner = members.join(sizes, "f").filter("g <> top").select("x", "f", "g")
+    sizes = stored(sizes, "ngram-sizes")
+    inner = _with_family(members, sizes).filter("g <> top").select("x", "f", "g")
     asks = stored(inner.unionByName(asking.select("x", F.col("f_y").alias("f"), "g")), "ngram-asks")
     blocks = asks.groupBy("f").agg(F.count("*").alias("rest")).join(sizes, "f").select(
         "f", (F.floor(F.col("all") / BLOCK_CLASSES) + 1).alias("nb"), (F.floor(F.col("rest") / BLOCK_CLASSES) + 1).alias("na"))
@@ -514,20 +524,23 @@ def _within(named: DataFrame, asking: DataFrame, reps: DataFrame, tokens: DataFr
     hashed = F.xxhash64("x")
 
     def side(rows: DataFrame, role: int) -> DataFrame:
-        mine, other = ("na", "nb") if role == 0 else ("nb", "na")
+        mine, other = ("na", "nb") if role == _ASKS else ("nb", "na")
         block = F.pmod(hashed, F.col(mine))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("other")
         out = rows.select("x", "rep", "f", "g", block.alias("mine"), every)
-        a, b = ("mine", "other") if role == 0 else ("other", "mine")
+        a, b = ("mine", "other") if role == _ASKS else ("other", "mine")
         return out.select(F.col("x").alias("id"), "rep", "f", F.col(a).alias("a"), F.col(b).alias("b"),
                           F.lit(role).alias("role"), "g")
 
-    wanted = stored(side(asks.join(blocks, "f").join(named_reps, "x"), 0).unionByName(
-        side(members.join(blocks, "f").join(named_reps, "x"), 1)), "ngram-blocks")
+    sides = side(_with_family(asks, blocks).join(named_reps, "x"), _ASKS).unionByName(
+        side(_with_family(members, blocks).join(named_reps, "x"), _ASKED))
+    # a class that asks and is asked in one block is sent there once
+    wanted = stored(sides.groupBy("id", "rep", "f", "a", "b").agg(
+        F.bit_or("role").alias("role"), F.first("g").alias("g")), "ngram-blocks")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     met = (tokens.join(wanted, ["id", "rep"]).select("f", "a", "b", "role", "g", "id", "tokens")
-           .repartition(width, "f", "a", "b").sortWithinPartitions("f", "a", "b", "role", "id"))
+           .repartition(width, "f", "a", "b").sortWithinPartitions("f", "a", "b", "id"))
     return met.mapInArrow(_compare_blocks, "a bigint, b bigint").distinct()
 
 
@@ -553,7 +566,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(held: list) -> pa.RecordBatch:
-        asks, asked = ([r for r in held if r["role"] == k] for k in (0, 1))
+        asks, asked = ([r for r in held if r["role"] & k] for k in (_ASKS, _ASKED))
         a, b = [], []
         if asks and asked:
             left, right = ([_unpack48(r["tokens"]) for r in side] for side in (asks, asked))
