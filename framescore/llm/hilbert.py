@@ -6,7 +6,8 @@ text hash, id, reading order) with one range exchange over small rows (the text
 itself never moves), and the order is cut into ``n_shards`` runs whose row counts
 differ by one at most (law ``rows``).  Neighbours on the curve are neighbours in
 every dimension, so a run covers a compact box and a filter on any dimension skips
-most files (``pruning_boxes``).  Copies that agree in their metadata are neighbours;
+files (``pruning_boxes``).  Text dimensions are cut by whole values, however long their
+common beginning.  Copies that agree in their metadata are neighbours;
 a group may be cut at a run's edge, as the law demands when a group is larger
 than a shard.
 
@@ -25,7 +26,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,28 +74,69 @@ def _curve(dims: int, bits: int):
     return run
 
 
+def _is_text(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType))
+
+
 def ordinal(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column: numbers as they are, text by its first 7 bytes."""
+    """The column in its own order: numbers and times as doubles, all else as whole text."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType)):
-        return F.col(name).cast("timestamp").cast("double")
-    head = F.rpad(F.substring(F.hex(F.col(name).cast("string").cast("binary")), 1, 14), 14, "0")
-    return F.conv(head, 16, 10).cast("double")
+    if _is_text(kind):
+        return F.col(name).cast("string")
+    return F.col(name).cast("timestamp" if not isinstance(kind, T.NumericType) else kind).cast("double")
+
+
+def text_quantiles(keyed: DataFrame, dims: list[str], cuts: int) -> dict[str, list[str]]:
+    """For each text dimension its ``cuts`` - 1 quantiles by row, exact, whole values.
+
+    Values are counted, the distinct ones are put in order by ranges, and the row counts
+    of the ranges before give each value its place among all rows.  The driver sees a
+    count per range and the quantiles."""
+    if not dims:
+        return {}
+    spark = keyed.sparkSession
+    pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in dims])).alias("p")
+    values = (keyed.select(pairs).select("p.*").filter("value IS NOT NULL").groupBy("dim", "value")
+              .agg(F.count("*").alias("n")))
+    ranged = stored(values.repartitionByRange(shuffle_width(spark), "dim", "value")
+                    .withColumn("_range", F.spark_partition_id()), "hilbert-values")
+    totals = sorted((r["dim"], r["_range"], r["n"]) for r in
+                    ranged.groupBy("dim", "_range").agg(F.sum("n").alias("n")).collect())
+    starts, rows = [], {}
+    for d, r, n in totals:
+        starts.append((d, r, rows.get(d, 0)))
+        rows[d] = rows.get(d, 0) + n
+    if not rows:
+        return {d: [] for d in dims}
+    before = spark.createDataFrame(starts, "dim string, _range int, _start bigint")
+    whole = spark.createDataFrame(list(rows.items()), "dim string, _rows bigint")
+    own = Window.partitionBy("dim", "_range").orderBy("value")
+    placed = (ranged.join(F.broadcast(before), ["dim", "_range"]).join(F.broadcast(whole), "dim")   # a row a range
+              .withColumn("_end", F.col("_start") + F.sum("n").over(own)))
+    at = F.expr(f"filter(sequence(1, {cuts - 1}), k -> ceil(k * _rows / {cuts}) > _end - n "
+                f"AND ceil(k * _rows / {cuts}) <= _end)")
+    found = placed.select("dim", "value", F.explode(at).alias("k")).collect()      # cuts - 1 a dimension
+    return {d: [r["value"] for r in sorted(found, key=lambda r: r["k"]) if r["dim"] == d] for d in dims}
 
 
 def order_on_curve(keyed: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
-    """Adds ``curve``: each dimension cut at its quantiles into 2**bits codes."""
+    """Adds ``curve``: each dimension cut at its quantiles into 2**bits codes.
+
+    A value's code is the middle of the quantiles that it spans, so few frequent values
+    lie apart on the whole axis and reach its high bits; a null has code 0."""
     cuts = 1 << bits
-    quantiles = keyed.agg(*[F.percentile_approx(d, [k / cuts for k in range(1, cuts)],
-                                                QUANTILE_ACCURACY).alias(d) for d in dims]).first()
+    texts = [d for d in dims if _is_text(keyed.schema[d].dataType)]
+    numbers = [d for d in dims if d not in texts]
+    quantiles = text_quantiles(keyed, texts, cuts)
+    if numbers:
+        quantiles |= keyed.agg(*[F.percentile_approx(d, [k / cuts for k in range(1, cuts)],
+                                                     QUANTILE_ACCURACY).alias(d) for d in numbers]).first().asDict()
     codes = []
     for d in dims:
-        code = F.lit(0)
-        for q in sorted(set(quantiles[d] or [])):
-            code = code + F.coalesce((F.col(d) > F.lit(q)).cast("int"), F.lit(0))
-        codes.append(code)
+        twice = F.lit(0)
+        for q in quantiles[d] or []:
+            twice = twice + (F.col(d) > F.lit(q)).cast("int") + (F.col(d) >= F.lit(q)).cast("int")
+        codes.append(F.coalesce(F.floor(twice / 2).cast("int"), F.lit(0)))
     return keyed.withColumn("curve", _curve(len(dims), bits)(*codes))
 
 
@@ -117,7 +159,7 @@ def global_positions(df: DataFrame, order: list[str], name: str) -> tuple[DataFr
 def hilbert_shards(docs: DataFrame, n_shards: int = 24, dims: tuple[str, ...] = ("lang", "source"),
                    id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard, curve and the
-    dimensions' numbers ``dim_0``...; the text's size is always the last dimension."""
+    dimensions' values ``dim_0``... (see ``ordinal``); the text's size is always the last dimension."""
     text = F.col(text_col).cast("string")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_OVERHEAD).cast("long")
     known = [d for d in dims if d in docs.columns]

@@ -288,6 +288,42 @@ def test_shards(spark, docs):
     assert by_id[0]["text_crc32"] is None and by_id[4]["text_crc32"] == zlib.crc32(b"a")
 
 
+def _codes(values, cuts=16):
+    """Brute force: each value's code is the middle of the row quantiles it spans."""
+    known = sorted(v for v in values if v is not None)
+    if not known:
+        return [0] * len(values)
+    marks = [known[-(-k * len(known) // cuts) - 1] for k in range(1, cuts)]
+    return [0 if v is None else (sum(v > m for m in marks) + sum(v >= m for m in marks)) // 2 for v in values]
+
+
+def test_shards_equal_brute_force(spark):
+    """Whole values are ranked, however long their common beginning; the order is the curve's."""
+    rng = random.Random(8)
+    rows = [(i, "y" * rng.randint(0, 40), rng.choice(["en", "en", "de", None]),
+             rng.choice(["https://a.example/", "commoncrawl-"]) + rng.choice("aaabcdefgh")) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(5)
+    got = {r["doc_id"]: r for r in _rows(hilbert.hilbert_shards(df))}
+    axes = [_codes([r[2] for r in rows]), _codes([r[3] for r in rows]), _codes([len(r[1]) + 8 for r in rows])]
+    curve = hilbert.hilbert_index(np.array(axes).T, hilbert.BITS)
+    assert [got[r[0]]["curve"] for r in rows] == curve.tolist()
+    order = sorted(range(700), key=lambda i: (curve[i], zlib.crc32(rows[i][1].encode()), i))
+    flat = sorted(got, key=lambda i: (got[i]["shard"], got[i]["slot"]))
+    assert flat == order
+    assert len(set(axes[1])) >= 8 and max(axes[0]) - min(axes[0]) >= 8
+
+
+@pytest.mark.parametrize("dim,value", [(0, "en"), (1, "source_of_pages_3"), (2, 30.0)])
+def test_every_dimension_prunes(spark, dim, value):
+    """Few and unequal languages, sources that share their first letters, sizes."""
+    df = spark.range(6000).selectExpr(
+        "id AS doc_id", "repeat('x', cast(pmod(xxhash64(id), 97) as int)) AS text",
+        "array('en', 'en', 'en', 'de', 'fr')[pmod(xxhash64(id, 1), 5)] AS lang",
+        "concat('source_of_pages_', pmod(xxhash64(id, 2), 9)) AS source")
+    boxes = _rows(hilbert.pruning_boxes(hilbert.hilbert_shards(df)))
+    assert sum(b[f"min_dim_{dim}"] <= value <= b[f"max_dim_{dim}"] for b in boxes) <= 20
+
+
 def test_pruning_boxes(spark, tmp_path):
     df = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', cast(id % 97 as int)) AS text",
                                       "concat('s', id % 7) AS lang", "concat('t', id % 11) AS source")
