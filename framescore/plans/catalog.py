@@ -47,6 +47,7 @@ LSTM_PARAMS = dict(steps=8, features=8, hidden=16, classes=10, seed=7)
 FIRST_N = 100
 FRAMES_PER_DOC = 1 << 20        # an offset of the image log is doc_id times this plus the frame
 IDX_FILE_ROWS = 8192            # images per IDX file pair
+IDX_SPLIT_BYTES = 1 << 20       # output bytes a range, where a file is read by many tasks
 RECORD_LOG_FILE_ROWS = 250      # several files per record log, so replay takes several batches
 EVENT_LOG_FILE_ROWS = 12500
 LOG_START = {0: 10, 1: 0, 2: 40}        # partition 3 is not named: it starts at 0
@@ -259,6 +260,21 @@ def idx_tables_q(spark, sf_dir):
                                   F.sum("ps").cast("bigint").alias("pixel_sum"))
 
 
+def idx_ranges_q(spark, sf_dir):
+    """Frames of whole texts as IDX files, read back in ranges of a file by many tasks."""
+    frames = _frames(document_records(spark, sf_dir).select("doc_id", "value"), IMAGE_BYTES)
+    whole = frames.where(F.length("value") == IMAGE_BYTES).select(
+        "value", F.pmod("doc_id", F.lit(IMAGE_CLASSES)).alias("label"))
+    path = shared_path(spark, "idx-frames")
+    write_idx_pair(whole, path, "value", "label", IMAGE_SIDE, IMAGE_SIDE)
+    imgs = idx_images(spark, path, split_bytes=IDX_SPLIT_BYTES)
+    labs = idx_labels(spark, path, split_bytes=IDX_SPLIT_BYTES)
+    px = scaled_sums("pixels", (1.0,))["s0"]
+    j = imgs.select("source", "pos", px.alias("ps")).join(labs, ["source", "pos"])
+    return j.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                  F.sum("ps").cast("bigint").alias("pixel_sum"))
+
+
 def image_accuracy_q(spark, sf_dir):
     path = _write_icons(spark, sf_dir)
     model = DenseSoftmax(byte_weights(ICON_SIDE * ICON_SIDE, IMAGE_CLASSES), name="icon-dense")
@@ -528,6 +544,7 @@ QUERIES = {
     "accuracy": accuracy_q,
     "score_images": score_images_q,
     "idx_tables": idx_tables_q,
+    "idx_ranges": idx_ranges_q,
     "image_accuracy": image_accuracy_q,
     "trace_fields": trace_fields_q,
     "stream_replay": stream_replay_q,

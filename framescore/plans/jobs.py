@@ -100,13 +100,15 @@ def csv_labels(spark: SparkSession, path: str, model, width: int,
     return score(rows, model, features="features", timings=False, with_scores=False)
 
 
-def image_accuracy(spark: SparkSession, path: str, model, divisor: float = 255.0) -> DataFrame:
-    """M4 + J1 + A1: IDX images and labels -> predictions -> accuracy."""
-    imgs = idx_images(spark, path)
+def image_accuracy(spark: SparkSession, path: str, model, divisor: float = 255.0,
+                   split_bytes: int | None = None) -> DataFrame:
+    """M4 + J1 + A1: IDX images and labels -> predictions -> accuracy (``split_bytes``: large files are
+    read in ranges by many tasks)."""
+    imgs = idx_images(spark, path, split_bytes=split_bytes)
     preds = score(imgs.select("source", "pos", "pixels"), model, features="pixels",
                   keep=["source", "pos"], input=("u8", divisor), timings=False,
                   with_scores=False)
-    return accuracy(preds, idx_labels(spark, path), ["source", "pos"])
+    return accuracy(preds, idx_labels(spark, path, split_bytes=split_bytes), ["source", "pos"])
 
 
 def publish(df: DataFrame, features: str, topic: str, key=None, partition: str | None = None,

@@ -174,6 +174,12 @@ FROM frames f LEFT JOIN top t ON f.doc_id = t.doc_id AND f.frame = t.frame AND t
 SELECT CAST(label AS INTEGER) AS label, count(*) AS n, CAST(sum(ps) AS BIGINT) AS pixel_sum
 FROM (SELECT label, list_sum({_ICON_PIXELS}) AS ps FROM embeddings)
 GROUP BY label
+""",
+    "idx_ranges": f"""
+WITH {_DOC_BYTES}
+SELECT CAST(doc_id % 10 AS INTEGER) AS label, count(*) // 784 AS n, CAST(sum(u) AS BIGINT) AS pixel_sum
+FROM b WHERE (i // 784 + 1) * 784 <= nb
+GROUP BY label
 """,
     "image_accuracy": f"""
 WITH px AS (SELECT vec_id, label, unnest({_ICON_PIXELS}) AS u,
