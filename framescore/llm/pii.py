@@ -2,10 +2,12 @@
 
 Native: SQL expressions only; each text is read once, nothing but vote counts moves.
 
-*Candidates* are the base spans (fixed patterns with their checks) and weaker forms:
-phones without a country code, spelled-out mail addresses, IPv6.  *Labelers* vote
-+1, 0 or -1 on each: strict form, gazetteer (known endings, issuers, prefixes), a cue
-word before it, a misleading cue before it, and variety of its characters.
+*Candidates* are the base spans (fixed patterns with their checks) and what the labelers
+propose beyond them: disguised, spaced and defanged forms (patterns), digit runs in national
+forms or with any separator (gazetteer prefixes decide later), and digit runs behind a cue word
+(context).  *Labelers* vote +1, 0 or -1 on each: strict form (the kind's check on the digits or
+the ending), gazetteer (known endings, issuers, prefixes), a cue word before it, a misleading
+cue before it, and variety of its characters; on proposals they disagree.
 *Expectation-maximisation* over the counts of vote patterns estimates each labeler's
 reliability for true and false spans, and the posteriors train the *final classifier*,
 a logistic model over votes and kind, which scores every candidate.  Base spans stay
@@ -41,15 +43,21 @@ BASE = {
     "card": r"[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+_DOT = r"(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++"
 WEAK = {
-    "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++"
-              r"(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++)++"),
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "email": (rf"(?<![{_LOCAL}])[{_LOCAL}]++(?: ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++{_DOT}"
+              rf"| @ ?[A-Za-z0-9-]++{_DOT}| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)"),
+    "ip": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){7}+[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])"
+           r"|(?<![0-9])[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)| \. |\[dot\]| dot )[0-9]{1,3}+){3}(?![0-9])"),
+    "card": r"(?<![0-9A-Za-z])[0-9](?:[ ._/-]?[0-9]){12,18}+(?![0-9A-Za-z])",
+    "phone": (r"(?<![0-9A-Za-z+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
+              r"|(?<![0-9A-Za-z+(.-])\(?0[0-9][0-9 ()/.-]{6,16}[0-9](?![0-9A-Za-z-])"
+              r"|(?i)(?<=\b(?:tel|phone|call|fax|mobile|cell|telefon)[:. ]{1,2})[0-9][0-9 ()/.-]{5,16}[0-9](?![0-9A-Za-z-])"),
 }
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "%@%", "ip": "%.%", "phone": "%+%"}
-WEAK_NEEDS = {"email": "%at%", "ip": "%:%"}
+#: The pattern (for ``RLIKE``) without which no proposal of the kind is tried.
+WEAK_NEEDS = {"email": r"[(\[ ]at[)\] ]| @", "ip": r":|[\[( ](?:\.|dot)[\]) ]"}
 GAZETTEER = {
     "email": r"(?i)[.](com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)$",
     "ip": r"^(10|127|172|192|[1-9]?[0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
@@ -92,6 +100,20 @@ def _valid(kind: str, m: str) -> str:
     return "true"
 
 
+def _strict(kind: str, m: str) -> str:
+    """The vote of the strict form on a proposal."""
+    digits = f"regexp_replace({m}, '[^0-9]+', '')"
+    passes = {
+        # blanks around a plain dot end a sentence rather than a label
+        "email": f"{m} RLIKE '[A-Za-z]{{2,6}}$' AND NOT {m} RLIKE '[.] | [.]'",
+        "ip": (f"contains({m}, ':') OR forall(filter(split({m}, '[^0-9]+'), p -> p <> ''), "
+               "p -> cast(p AS int) <= 255)"),
+        "card": f"CASE WHEN length({digits}) BETWEEN 13 AND 19 THEN {_luhn(digits)} ELSE false END",
+        "phone": f"length({digits}) BETWEEN 10 AND 15",
+    }
+    return f"CASE WHEN {passes[kind]} THEN 1 ELSE -1 END"
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -103,7 +125,7 @@ def _step(name: str) -> str:
 def _located(kind: str, base: bool, n: str) -> str:
     m, before = "x.m", "x.b"
     votes = {
-        "strict": "1" if base else "0",
+        "strict": "1" if base else _strict(kind, m),
         "gazetteer": f"CASE WHEN {m} RLIKE {_quoted(GAZETTEER[kind])} THEN 1 ELSE -1 END",
         "cue": f"CASE WHEN {before} RLIKE {_quoted(CUES[kind])} THEN 1 ELSE 0 END",
         "misleading": f"CASE WHEN {before} RLIKE {_quoted(MISLEADING)} THEN -1 ELSE 0 END",
@@ -128,16 +150,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = ["doc_id", "row"] if carry else ["doc_id"]
     row = [F.struct(*docs.columns).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *row, text.alias("text"))
-    tried = ([(k, True, p, NEEDS.get(k)) for k, p in BASE.items()]
-             + [(k, False, p, WEAK_NEEDS.get(k)) for k, p in WEAK.items()])
+    held = F.col("text")
+    tried = ([(k, True, p, held.like(NEEDS[k]) if k in NEEDS else None) for k, p in BASE.items()]
+             + [(k, False, p, held.rlike(WEAK_NEEDS[k]) if k in WEAK_NEEDS else None) for k, p in WEAK.items()])
     names = []
     none = F.array().cast("array<string>")
     for kind, base, pattern, needs in tried:
         name = f"{kind}_{'base' if base else 'weak'}"
         names.append((kind, base, name))
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        rows = rows.withColumn(name, F.when(F.col("text").like(needs), found).otherwise(none)
-                               if needs else found)
+        rows = rows.withColumn(name, found if needs is None
+                               else F.when(needs, found).otherwise(none))
     pieces = rows.select("*", *[
         F.when(F.size(n) > 0, F.split("text", pattern, -1)).otherwise(none).alias(f"{n}_p")
         for (_, _, n), (_, _, pattern, _) in zip(names, tried, strict=True)])

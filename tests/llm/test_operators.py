@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framescore.llm import (arrays, bpe_words, hash_forest, hilbert, html_text, ngram_join, packing, pii,
                             quality_cnn, quality_rules, url_filter)
@@ -131,6 +132,73 @@ def test_pii_estimate_orders_reliable_labelers():
     assert weights[1] > 0.5 and abs(weights[4]) < 0.3 and weights[0] > 0.5
 
 
+def _luhn_number(rng, first, n, valid=True):
+    body = first + "".join(rng.choice("0123456789") for _ in range(n - len(first) - 1))
+    for last in "0123456789":
+        d = body + last
+        if (sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0) == valid:
+            return d
+    raise AssertionError
+
+
+def _made_personal(rng):
+    """A text, and its personal (true) and harmless (false) pieces beyond the base patterns."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    num = lambda n: "".join(rng.choice("123456789") for _ in range(n))                                 # noqa: E731
+    four = lambda d, sep: sep.join(d[i:i + 4] for i in range(0, len(d), 4))                              # noqa: E731
+    tld = rng.choice(["com", "org", "net", "de", "info"])
+    octet = lambda: str(rng.randint(1, 254))                                                             # noqa: E731
+    true = [("email", f"{word()}.{word()} (at) {word()}.{tld}"), ("email", f"{word()} at {word()} dot {tld}"),
+            ("email", f"{word()}[at]{word()}[dot]{tld}"), ("email", f"{word()} @ {word()}.{tld}"),
+            ("ip", "[.]".join(octet() for _ in range(4))), ("ip", " . ".join(octet() for _ in range(4))),
+            ("ip", ":".join(rng.choice(["20a1", "db8", "7", "ff02", "9c"]) for _ in range(8))),
+            ("card", four(_luhn_number(rng, rng.choice(["4", "51", "6011"]), 16), rng.choice("./_"))),
+            ("phone", f"({num(3)}) {num(3)}-{num(4)}"), ("phone", f"{num(3)}.{num(3)}.{num(4)}"),
+            ("phone", f"0{num(2)} {num(4)} {num(4)}"), ("phone", f"0{num(3)}/{num(7)}")]
+    false = [f"isbn 978-{num(1)}-{num(2)}-{num(6)}-{num(1)}", f"{word()} @ {word()}. {word().title()}",
+             f"{word()} @ {word()}. {word()}",
+             f"version {rng.randint(1, 9)} . {rng.randint(0, 9)} . {rng.randint(300, 999)} . 4",
+             f"order {four(_luhn_number(rng, '1', 16, valid=False), '.')}", f"no 0{rng.randint(1, 9)}.0{rng.randint(1, 9)}.20{num(2)}",
+             f"serial {_luhn_number(rng, '9', 17, valid=False)}", f"part 0{num(2)}-{num(3)}-{num(2)}"]
+    base = [f"{word()}@{word()}.{tld}", ".".join(octet() for _ in range(4)),
+            four(_luhn_number(rng, "4", 16), " "), f"+49 {num(2)} {num(8)}"]
+    cue = {"email": ["mail: ", "contact "], "ip": ["host ", "ip "], "card": ["card "], "phone": ["tel ", "phone: "]}
+    pieces, wanted, text = [], [], ""
+    for _ in range(3):
+        kind = rng.choice(["true", "false", "base"])
+        if kind == "true":
+            what, s = rng.choice(true)
+            pieces.append((what, (rng.choice(cue[what]) if rng.random() < 0.5 else word() + " "), s))
+        else:
+            pieces.append((None, word() + " ", rng.choice(false if kind == "false" else base)))
+    for what, lead, s in pieces:
+        text += " ".join(word() for _ in range(4)) + ", " + lead
+        if what:
+            wanted.append((what, len(text), len(text) + len(s)))
+        text += s + " ; "
+    return text, wanted
+
+
+def test_pii_proposals_on_held_out_documents(spark):
+    """Labelers learnt on made documents without labels, judged on others: spans beyond the base ones."""
+    rng = random.Random(11)
+    made = [_made_personal(rng) for _ in range(1500)]
+    df = lambda part: spark.createDataFrame(list(enumerate(t for t, _ in part)), "doc_id bigint, text string")
+    learnt = pii.train(pii.candidates(df(made[:1000])))
+    held = made[1000:]
+    rows = pii.candidates(df(held)).select("doc_id", pii._kept(*learnt).alias("spans")).collect()
+    found = {(r["doc_id"], pii.KINDS[s["kind"]], s["start"], s["end"]) for r in rows for s in r["spans"] if not s["base"]}
+    wanted = {(i, *w) for i, (_, want) in enumerate(held) for w in want}
+    by_kind = {k: (len({f for f in found & wanted if f[1] == k}), len({f for f in found if f[1] == k}),
+                   len({w for w in wanted if w[1] == k})) for k in pii.KINDS}
+    precision, recall = len(found & wanted) / len(found), len(found & wanted) / len(wanted)
+    print(f"precision {precision:.3f} recall {recall:.3f} (right, found, wanted): {by_kind}")
+    assert precision >= 0.95 and recall >= 0.85, by_kind
+    proposed = pii.candidates(df(held)).select(F.explode("found").alias("c")).filter("NOT c.base")
+    votes = proposed.agg(*[F.countDistinct(f"c.{v}").alias(v) for v in pii.LABELERS]).first()
+    assert all(votes[v] >= 2 for v in pii.LABELERS)              # every labeler differs on proposals
+
+
 def test_pii_redaction(spark):
     df = spark.createDataFrame([(0, "é a@b.cc x +1 (523) 555-1055!", 5), (1, None, 6), (None, "+49.30.123.45 678 z", 7)],
                                "doc_id bigint, text string, spans int")
