@@ -57,7 +57,9 @@ WEAK = {
 #: What a text must hold for a pattern to be tried.
 NEEDS = {"email": "%@%", "ip": "%.%", "phone": "%+%"}
 #: The pattern (for ``RLIKE``) without which no proposal of the kind is tried.
-WEAK_NEEDS = {"email": r"[(\[ ]at[)\] ]| @", "ip": r":|[\[( ](?:\.|dot)[\]) ]"}
+WEAK_NEEDS = {"email": r"[(\[]at[)\]]| @| dot ",
+              "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|[\[( ](?:\.|dot)[\]) ]",
+              "card": "[0-9][ ._/-]?[0-9]", "phone": "[0-9][0-9 ()/.-]*[0-9]"}
 GAZETTEER = {
     "email": r"(?i)[.](com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)$",
     "ip": r"^(10|127|172|192|[1-9]?[0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
