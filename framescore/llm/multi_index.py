@@ -18,7 +18,8 @@ Four passes, each a shuffle of packed queries to the blocks they open:
 The result is exact.  What must be opened depends on the vectors: without structure in them, as in
 uniformly random directions, the bounds are wide and most cells are opened, and the work is that of
 the stated query set against all rows in blocks.  A cell of any size is many blocks; a task holds one
-block and the queries of one query block.  The driver holds the codebooks, radii and the directory of
+block and the queries of one query block.  Asked queries meet their blocks in a shuffle, whatever
+Spark takes their size for.  The driver holds the codebooks, radii and the directory of
 cells and blocks, at most ``MAX_CODES`` ** 2 + 2 * ``MAX_BLOCKS`` entries whatever the table's size.
 
 Defined cases: rows with a null id, label or vector, a null or non-finite component, a component of
@@ -331,6 +332,15 @@ def _state(found: DataFrame, name: str, slot: str) -> DataFrame:
         "score")).alias(name))
 
 
+def met(asked: DataFrame, packed: DataFrame) -> DataFrame:
+    """Asking queries beside the block that they open, both dealt by block.
+
+    A query is asked once per block that it opens, so the asking rows grow with queries times blocks, which
+    Spark can't see: it takes them for about as small as the queries and would broadcast them through the
+    driver.  The hint keeps both sides shuffled."""
+    return asked.join(packed.hint("merge"), "block").drop("block")
+
+
 def hard_negatives(rows: DataFrame, every: int = 50, query_block: int = QUERY_BLOCK, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` (vec_id, label, vector of integers): for each anchor (``vec_id`` divisible by ``every``)
     and each of its positives the hardest negatives of the positive's window."""
@@ -370,7 +380,7 @@ def hard_negatives(rows: DataFrame, every: int = 50, query_block: int = QUERY_BL
 
     def visit(asking: DataFrame, which: int) -> DataFrame:
         asked = asking.mapInArrow(_open(shipped, which, dims), _ASKED)
-        found = asked.join(packed, "block").drop("block").mapInArrow(_score(which > 2, dims), _FOUND)
+        found = met(asked, packed).mapInArrow(_score(which > 2, dims), _FOUND)
         return _top(found, NEGATIVES if which > 2 else POSITIVES).drop("rank")
 
     some = stored(visit(queries, 1), "index-positives-1")

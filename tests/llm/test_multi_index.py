@@ -87,6 +87,14 @@ def _index(vectors, codes):
     return index, cells
 
 
+def test_asking_queries_are_not_broadcast(spark):
+    """They grow with queries times blocks, whatever Spark takes their size for: a broadcast would put them in the driver."""
+    df = mi.hard_negatives(mi.quantised(spark.createDataFrame(_rows(11, 300), SCHEMA)), every=5, query_block=16, block_rows=64)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [block#" in line and " Inner" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_visits_fall_and_bound_their_cells():
     vectors = np.floor(256 * np.array([r[1] for r in _rows(4, 600, clusters=9)])).astype(np.int32)
     index, cells = _index(vectors, 8)
