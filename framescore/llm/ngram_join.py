@@ -63,6 +63,8 @@ ROUNDS = 1
 BLOCK_CLASSES = 1024
 BLOCK_TOKENS = 4096
 BLOCK_BYTES = 2 << 20
+#: From so many tokens on the unary form of a set is the shorter one.
+UNARY_TOKENS = 48
 #: Wanted sets (id, partner, salt: some 40 bytes a row) up to which their table is broadcast.
 BROADCAST_ROWS = 200_000
 #: Parts of a token's list that meet the matrix apart.
@@ -176,7 +178,7 @@ def level_table(stats: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-_POSTED = "bucket int, salt int, tokens binary, classes binary, sizes binary, reaches binary"
+_POSTED = "bucket int, salt int, tokens binary, classes binary, sizes binary, places binary"
 
 
 def _post(levels, buckets: int, list_limit: int):
@@ -187,7 +189,7 @@ def _post(levels, buckets: int, list_limit: int):
         # expected length of a slot's lists; longer ones are dealt into parts
         parts = np.ceil((2.0 ** (np.arange(256) / 4)) / list_limit).astype(np.int64)
         for _, data, off in arrays.blocks(batches, "text", BLOCK_BYTES):
-            tokens, classes, sizes, reaches = [], [], [], []
+            tokens, classes, sizes, places = [], [], [], []
             for own in sets_of(data, off):
                 who = identity(own)
                 if not len(own) or who in seen:
@@ -195,7 +197,7 @@ def _post(levels, buckets: int, list_limit: int):
                 seen.add(who)
                 order = np.lexsort((own, table[_slots(own)]))[:prefix_length(len(own))]
                 tokens.append(own[order])
-                reaches.append(len(own) - np.arange(len(order)))     # tokens from this one on
+                places.append(np.arange(len(order)))                 # tokens before this one
                 classes.append(who[0])
                 sizes.append(len(own))
             if not tokens:
@@ -204,22 +206,32 @@ def _post(levels, buckets: int, list_limit: int):
             t = np.concatenate(tokens)
             c = np.repeat(np.array(classes, np.int64), width)
             n = np.repeat(np.array(sizes, np.int64), width)
-            r = np.concatenate(reaches)
+            place = np.concatenate(places)
             salts = parts[table[_slots(t)]]
             salt = np.where(salts > 1, 1 + arrays.mix(c.view(np.uint64)) % np.maximum(salts, 1).astype(np.uint64),
                             0).astype(np.int64)
             bucket = (t % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((salt, bucket))
-            t, c, n, r, salt, bucket = (a[order] for a in (t, c, n, r, salt, bucket))
+            t, c, n, place, salt, bucket = (a[order] for a in (t, c, n, place, salt, bucket))
             edge = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (salt[1:] != salt[:-1])]))
             cut = np.append(edge, len(t))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket[edge].astype(np.int32)), pa.array(salt[edge].astype(np.int32)),
-                 *[arrays.binary_array(a, cut).cast(pa.binary()) for a in (t, c, n.astype("<u4"), r.astype("<u4"))]],
-                names=["bucket", "salt", "tokens", "classes", "sizes", "reaches"])
+                 *[arrays.binary_array(a, cut).cast(pa.binary()) for a in (t, c, _narrow(n), _narrow(place))]],
+                names=["bucket", "salt", "tokens", "classes", "sizes", "places"])
     return run
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Counts in the fewest bytes that hold them all: 1, 2 or 4 each."""
+    most = int(values.max(initial=0))
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
+
+
+def _widened(raw: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // count}").astype(np.int64)
+
+
 _LISTS = "token bigint, weight int, x bigint, n int, reach int"
 
 
@@ -229,8 +241,9 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Tokens of a bucket with the same members are one list of that weight; a member's reach
     is then the largest of its reaches."""
     def out(salt: int, held: list) -> pa.RecordBatch | None:
-        t, c, n, r = (np.concatenate([np.frombuffer(x[k], d) for x in held]) for k, d in (
-            ("tokens", "<u8"), ("classes", "<i8"), ("sizes", "<u4"), ("reaches", "<u4")))
+        t, c = (np.concatenate([np.frombuffer(x[k], d) for x in held]) for k, d in (("tokens", "<u8"), ("classes", "<i8")))
+        n, place = (np.concatenate([_widened(x[k], len(x["tokens"]) // 8) for x in held]) for k in ("sizes", "places"))
+        r = n - place                                                  # tokens from this one on
         order = np.lexsort((c, t))
         t, c, n, r = (a[order] for a in (t, c, n, r))
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])])
@@ -308,12 +321,26 @@ def _tokens_of(bitmap):
 
 
 def _pack48(tokens: np.ndarray) -> bytes:
-    return np.sort(tokens >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """A set's 48-bit tokens in order.  Long sets keep the upper 8 bits in unary, some 5.2 bytes a token;
+    the first byte tells which form it is."""
+    own = np.sort(tokens >> np.uint64(16)).astype("<u8")
+    low = own.view(np.uint8).reshape(-1, 8)
+    if len(own) < UNARY_TOKENS:
+        return b"\0" + low[:, :6].tobytes()
+    steps = np.zeros(len(own) + 256, np.uint8)
+    steps[low[:, 5].astype(np.int64) + np.arange(len(own))] = 1
+    return b"\1" + low[:, :5].tobytes() + np.packbits(steps).tobytes()
 
 
 def _unpack48(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    body = np.frombuffer(raw, np.uint8, offset=1)
+    n = 8 * (len(body) - 32) // 41 if raw[0] else len(body) // 6        # 41 bits a token and 256 more
+    wide = np.zeros((n, 8), np.uint8)
+    if raw[0]:
+        wide[:, :5] = body[:5 * n].reshape(-1, 5)
+        wide[:, 5] = np.flatnonzero(np.unpackbits(body[5 * n:])) - np.arange(n)
+    else:
+        wide[:, :6] = body.reshape(-1, 6)
     return wide.view("<u8").ravel()
 
 

@@ -802,3 +802,18 @@ def test_words_encoded_in_lines_equal_single_words(monkeypatch):
             ids, at = packing.encode_block(path, data, off, None)
             want = tok.encode_batch(texts[lo:lo + 1000], add_special_tokens=False)
             assert all(ids[at[k]:at[k + 1]].tolist() == w.ids for k, w in enumerate(want))
+
+
+@pytest.mark.parametrize("n", [0, 1, 47, 48, 49, 55, 56, 57, 300, 5000])
+def test_packed_sets_are_whole_and_short(n):
+    tokens = np.unique(np.random.default_rng(n).integers(0, 2 ** 64, n, dtype=np.uint64))
+    for own in (tokens, np.arange(n, dtype=np.uint64) << np.uint64(16), ~(np.arange(n, dtype=np.uint64) << np.uint64(16))):
+        packed = ngram_join._pack48(own)
+        assert (ngram_join._unpack48(packed) == np.sort(own >> np.uint64(16))).all()
+        assert n < 300 or len(packed) < 5.3 * n
+
+
+def test_counts_travel_in_the_fewest_bytes():
+    for most, width in ((0, 1), (255, 1), (256, 2), (65535, 2), (65536, 4)):
+        raw = ngram_join._narrow(np.array([0, most])).tobytes()
+        assert len(raw) == 2 * width and ngram_join._widened(raw, 2).tolist() == [0, most]
