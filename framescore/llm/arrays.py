@@ -48,12 +48,26 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
     """Cut the batches into runs of whole rows: (rows, bytes, offsets)."""
     for batch in batches:
         data, off = text_bytes(batch.column(column))
-        lo = 0
-        while lo < batch.num_rows:
-            hi = int(np.searchsorted(off, off[lo] + max_bytes, side="right")) - 1
-            hi = min(max(hi, lo + 1), batch.num_rows)
+        for lo, hi in runs(off, max_bytes):
             yield batch.slice(lo, hi - lo), data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-            lo = hi
+        release()
+
+
+def release() -> None:
+    """Give back what the allocators hold but nobody uses: a worker stays between tasks, and its free memory
+    counts as its executor's."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()               # numpy's, too
+
+
+def runs(offsets: np.ndarray, max_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of runs of whole rows of at most ``max_bytes``, or of one row."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = int(np.searchsorted(offsets, offsets[lo] + max_bytes, side="right")) - 1
+        hi = min(max(hi, lo + 1), n)
+        yield lo, hi
+        lo = hi
 
 
 def binary_array(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -63,6 +63,10 @@ ROUNDS = 1
 BLOCK_CLASSES = 1024
 BLOCK_TOKENS = 4096
 BLOCK_BYTES = 2 << 20
+#: Texts of a block whose words and shingles are held at a time (bounds a worker's memory, not the result).
+STRETCH_BYTES = 1 << 18
+#: Rows of a batch that are looked at together where only some of them are wanted.
+SLICE_ROWS = 1024
 #: From so many tokens on the unary form of a set is the shorter one.
 UNARY_TOKENS = 48
 #: Wanted sets (id, partner, salt: some 40 bytes a row) up to which their table is broadcast.
@@ -101,10 +105,11 @@ def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def sets_of(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
     """The sorted distinct tokens of each row of a block."""
-    hashes, cut = shingles(data, off)
-    for k in range(len(cut) - 1):
-        own = np.sort(hashes[cut[k]:cut[k + 1]])
-        yield own[np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))] if len(own) else own
+    for lo, hi in arrays.runs(off, STRETCH_BYTES):
+        hashes, cut = shingles(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+        for k in range(len(cut) - 1):
+            own = np.sort(hashes[cut[k]:cut[k + 1]])
+            yield own[np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))] if len(own) else own
 
 
 def identity(tokens: np.ndarray) -> tuple[int, int]:
@@ -137,7 +142,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(who)
                 fresh.append(tokens)
         if fresh:
-            counts += np.bincount(_slots(np.concatenate(fresh)), minlength=len(counts)).astype(np.uint32)
+            np.add.at(counts, _slots(np.concatenate(fresh)), np.uint32(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.zeros(len(n), np.int32)), rows.column("doc_id"), pa.array(n, pa.int64()),
              pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.nulls(len(n), pa.int32()),
@@ -229,7 +234,7 @@ def _narrow(values: np.ndarray) -> np.ndarray:
 
 
 def _widened(raw: bytes, count: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // count}").astype(np.int64)
+    return np.frombuffer(raw, f"<u{len(raw) // count}").astype(np.int32)
 
 
 _LISTS = "token bigint, weight int, x bigint, n int, reach int"
@@ -243,6 +248,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(salt: int, held: list) -> pa.RecordBatch | None:
         t, c = (np.concatenate([np.frombuffer(x[k], d) for x in held]) for k, d in (("tokens", "<u8"), ("classes", "<i8")))
         n, place = (np.concatenate([_widened(x[k], len(x["tokens"]) // 8) for x in held]) for k in ("sizes", "places"))
+        held.clear()
         r = n - place                                                  # tokens from this one on
         order = np.lexsort((c, t))
         t, c, n, r = (a[order] for a in (t, c, n, r))
@@ -273,12 +279,14 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     key, held = None, []
     for batch in batches:
-        for row in batch.to_pylist():
-            if (row["bucket"], row["salt"]) != key:
+        packed = {k: batch.column(k) for k in ("tokens", "classes", "sizes", "places")}
+        for k, now in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("salt").to_pylist(), strict=True)):
+            if now != key:
                 if held and (made := out(key[1], held)) is not None:
                     yield made
-                key, held = (row["bucket"], row["salt"]), []
-            held.append(row)
+                    arrays.release()
+                key, held = now, []
+            held.append({name: column[k].as_buffer() for name, column in packed.items()})    # views, not copies
     if held and (made := out(key[1], held)) is not None:
         yield made
 
@@ -305,7 +313,7 @@ def _tokens_of(bitmap):
     """Whole sets of the rows whose id is in the bitmap, 48 bits a token."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
             ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             slot = (arrays.mix(ids.view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
             mine = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))

@@ -35,28 +35,57 @@ END_ID = 1
 BLOCK_BYTES = 8 << 20
 #: Words a worker remembers between blocks (bounds its memory, not the result).
 REMEMBERED = 1_000_000
+#: And the ids of those, together.
+REMEMBERED_IDS = 6 * REMEMBERED
+#: Texts of a block encoded at a time (bounds a worker's memory, not the result).
+STRETCH_BYTES = 1 << 19
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 PIECES = ("doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, sequence_length bigint, cost double")
 
 
 class Words:
-    """Ids of the words a worker remembers: sorted hashes, and where each word's ids lie."""
+    """Ids of the words a worker remembers: sorted hashes, and where each word's ids lie in one growing buffer."""
 
-    def __init__(self):
-        self.hashes, self.starts, self.lens = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+    def __init__(self, vocabulary: int):
+        self.hashes, self.used = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.starts, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat, self.size = np.zeros(0, np.uint16 if vocabulary <= 1 << 16 else np.uint32), 0
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(is it known, its place)."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        return (self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)), at
+        """(is it known, its place or the place to put it) of ascending hashes."""
+        at = np.searchsorted(self.hashes, hashes)
+        known = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        known[inside] = self.hashes[at[inside]] == hashes[inside]
+        return known, at
 
-    def keep(self, hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.lens = hashes[order], lens[order]
-        self.flat = arrays.gather(flat, starts[order], self.lens)
-        self.starts = np.cumsum(self.lens) - self.lens
+    def add(self, hashes: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
+        """Ascending hashes of new words and their ids, one word's after another's."""
+        at = np.searchsorted(self.hashes, hashes)
+        end = self.size + len(flat)
+        if end > len(self.flat):
+            grown = np.empty(max(end, min(2 * len(self.flat), REMEMBERED_IDS)), self.flat.dtype)
+            grown[:self.size] = self.flat[:self.size]
+            self.flat = grown
+        self.flat[self.size:end] = flat
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, self.size + np.cumsum(lens) - lens)
+        self.lens = np.insert(self.lens, at, lens)
+        self.used = np.insert(self.used, at, False)
+        self.size = end
+
+    def forget(self, needed: np.ndarray) -> None:
+        """Keep the words at places ``needed`` and, where these fill at most half, those used since the last time."""
+        keep = self.used
+        keep[needed] = True
+        if 2 * int(keep.sum()) > REMEMBERED or 2 * int(self.lens[keep].sum()) > REMEMBERED_IDS:
+            keep = np.zeros(len(self.hashes), bool)
+            keep[needed] = True
+        self.hashes, lens = self.hashes[keep], self.lens[keep]
+        self.flat = arrays.gather(self.flat, self.starts[keep], lens)
+        self.starts, self.lens = np.cumsum(lens, dtype=np.int32) - lens, lens
+        self.size, self.used = len(self.flat), np.zeros(len(lens), bool)
 
 
 @lru_cache(maxsize=1)
@@ -65,7 +94,7 @@ def _tokenizer(path: str):
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     newline = tok.encode("\n", add_special_tokens=False).ids
-    return tok, newline[0] if len(newline) == 1 else None, Words()
+    return tok, newline[0] if len(newline) == 1 else None, Words(max(tok.get_vocab(True).values()) + 1)
 
 
 def encode_words(path: str, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,33 +131,39 @@ def encode_words(path: str, data: np.ndarray, starts: np.ndarray, lens: np.ndarr
 
 def encode_block(path: str, data: np.ndarray, off: np.ndarray, end_id: int | None
                  ) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts of the block, each with ``end_id`` after it; offsets)."""
+    """(ids of all texts of the block, each with ``end_id`` after it; offsets).
+
+    The arrays per byte, word and id, many times the text's size, are those of one stretch of it."""
+    parts, counts = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+    for lo, hi in arrays.runs(off, STRETCH_BYTES):
+        ids, n = _encode_stretch(path, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo], end_id)
+        parts.append(ids)
+        counts.append(n)
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
+def _encode_stretch(path: str, data: np.ndarray, off: np.ndarray, end_id: int | None
+                    ) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the texts, each with ``end_id`` after it; how many each has)."""
     known = _tokenizer(path)[2]
     starts = arrays.pretokens(data, off)
     ends = np.append(starts[1:], len(data))
-    hashes = arrays.hash_slices(data, starts, ends)
-    at, rank = arrays.distinct(hashes)
-    hashes = hashes[at]
+    hashes, at, rank = np.unique(arrays.hash_slices(data, starts, ends), return_index=True, return_inverse=True)
     hit, place = known.find(hashes)
-    new = np.flatnonzero(~hit)
-    fresh, counts = encode_words(path, data, starts[at[new]], (ends - starts)[at[new]])
-    lens, begin = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    lens[hit], begin[hit] = known.lens[place[hit]], known.starts[place[hit]]
-    lens[new], begin[new] = counts, len(known.flat) + np.cumsum(counts) - counts
-    flat = np.concatenate([known.flat, fresh])
-    first = np.searchsorted(starts, off)
-    n_words = lens[rank]
-    ids = arrays.gather(flat, begin[rank], n_words)
-    at_id = np.concatenate([[0], np.cumsum(n_words)])[first]
-    if len(known.hashes) + len(new) > REMEMBERED:        # full: this block's words stay, frequent ones first
-        known.keep(hashes[:REMEMBERED], flat, begin[:REMEMBERED], lens[:REMEMBERED])
-    elif len(new):
-        known.keep(np.concatenate([known.hashes, hashes[new]]), flat, np.concatenate([known.starts, begin[new]]),
-                   np.concatenate([known.lens, lens[new]]))
+    new = at[~hit]
+    if len(new):
+        fresh, lens = encode_words(path, data, starts[new], (ends - starts)[new])
+        if len(known.hashes) + len(new) > REMEMBERED or known.size + len(fresh) > REMEMBERED_IDS:
+            known.forget(place[hit])
+        known.add(hashes[~hit], fresh, lens)
+        place = known.find(hashes)[1]
+    known.used[place[hit]] = True
+    n_words = known.lens[place].astype(np.int64)[rank]
+    ids = arrays.gather(known.flat, known.starts[place].astype(np.int64)[rank], n_words).astype(np.uint32)
+    at_id = np.concatenate([[0], np.cumsum(n_words)])[np.searchsorted(starts, off)]
     if end_id is None:
-        return ids, at_id
-    ids = np.insert(ids, at_id[1:], np.uint32(end_id))
-    return ids, at_id + np.arange(len(at_id))
+        return ids, np.diff(at_id)
+    return np.insert(ids, at_id[1:], np.uint32(end_id)), np.diff(at_id) + 1
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int, linear: float = LINEAR,
@@ -205,7 +240,7 @@ def _pack(path: str, end_id: int, capacity: int, block_bytes: int, linear: float
             full = np.bincount(seq, weights=n, minlength=len(costs)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(n),
-                 arrays.binary_array(ids.astype("<u4"), np.append(at[doc] + start, len(ids))
+                 arrays.binary_array(ids.astype("<u4", copy=False), np.append(at[doc] + start, len(ids))
                                      ).cast(pa.binary()),
                  pa.array(lengths[doc]), pa.array(sequence + seq), pa.array(offset),
                  pa.array(full[seq]), pa.array(np.array(costs)[seq])],

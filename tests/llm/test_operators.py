@@ -817,3 +817,63 @@ def test_counts_travel_in_the_fewest_bytes():
     for most, width in ((0, 1), (255, 1), (256, 2), (65535, 2), (65536, 4)):
         raw = ngram_join._narrow(np.array([0, most])).tobytes()
         assert len(raw) == 2 * width and ngram_join._widened(raw, 2).tolist() == [0, most]
+
+
+def _long_texts(n_bytes):
+    """Texts of some 2,000 bytes, many of their words rare."""
+    import pyarrow as pa
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{k:x}" for k in range(200_000)])
+    made, size = [], 0
+    while size < n_bytes:
+        made.append(" ".join(words[(len(words) * rng.random(350) ** 3).astype(int)]))
+        size += len(made[-1])
+    return pa.array(made)
+
+
+def _peak(run):
+    import tracemalloc
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_packing_holds_a_stretch_not_a_block(monkeypatch):
+    """The arrays of words and ids are many times the text; only a stretch's are held, with the same ids."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    data, off = arrays.text_bytes(_long_texts(8 << 20))
+    packing._tokenizer.cache_clear()
+    packing._tokenizer(path)
+    (ids, at), peak = _peak(lambda: packing.encode_block(path, data, off, 1))
+    assert peak < 8 * len(data)
+    for name, value in (("STRETCH_BYTES", len(data)), ("STRETCH_BYTES", 5000), ("REMEMBERED_IDS", 3000)):
+        monkeypatch.setattr(packing, name, value)
+        packing._tokenizer.cache_clear()
+        same, same_at = packing.encode_block(path, data, off, 1)
+        assert (same == ids).all() and (same_at == at).all()
+
+
+def test_words_forgotten_are_the_unused(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 8)
+    known = packing.Words(1 << 17)
+    known.add(np.arange(8, dtype=np.uint64), np.arange(8, dtype=np.uint32) + 70_000, np.ones(8, np.int64))
+    known.used[[2, 5]] = True
+    known.forget(np.array([7]))
+    assert known.hashes.tolist() == [2, 5, 7] and not known.used.any()
+    assert known.flat[known.starts].tolist() == [70_002, 70_005, 70_007] and known.size == 3
+    known.used[:] = True
+    known.add(np.array([1, 9], np.uint64), np.array([3, 4, 6], np.uint32), np.array([2, 1]))
+    known.used[:] = True
+    known.forget(np.array([0, 4]))                           # five used are more than half
+    assert known.hashes.tolist() == [1, 9] and known.flat.tolist() == [3, 4, 6]
+
+
+def test_ngram_sets_hold_a_stretch_not_a_block(monkeypatch):
+    data, off = arrays.text_bytes(_long_texts(ngram_join.BLOCK_BYTES))
+    own, peak = _peak(lambda: sum(len(x) for x in ngram_join.sets_of(data, off)))
+    assert peak < 4 * len(data)
+    monkeypatch.setattr(ngram_join, "STRETCH_BYTES", len(data))
+    assert own == sum(len(x) for x in ngram_join.sets_of(data, off))
